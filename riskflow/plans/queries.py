@@ -578,3 +578,289 @@ SELECT loan_id, observation_month, risk_state, coalesce(days_in_arrears, 0.0) AS
        coalesce(suspended_interest, 0.0) AS suspended_interest FROM {SEARCH_SQL} s"""))
 def q_account_history(spark, d):
     return account.account_history(account.account_search(pf(spark, d).verified, SEARCH_TEXT))
+
+
+# ---------------------------------------------------------------------------
+# Markov algebra
+# ---------------------------------------------------------------------------
+
+SN = O.STATE_NAME
+
+
+@register("matrix_power", B(O.power_cte(12), f"""
+SELECT h AS horizon, {SN.format(c='i')} AS from_state, {SN.format(c='j')} AS to_state,
+       i AS from_idx, j AS to_idx, round(p, 6) AS p FROM pw WHERE h IN (1, 3, 6, 12)
+UNION ALL
+SELECT 0, from_state, to_state, from_idx, to_idx, CASE WHEN from_idx = to_idx THEN 1.0 ELSE 0.0 END FROM grid"""))
+def q_matrix_power(spark, d):
+    return markov.matrix_power(pf(spark, d).P, [0, 1, 3, 6, 12], digits=6)
+
+
+@register("forecast", B(O.power_cte(6), f"""
+SELECT 6 AS horizon,
+       (SELECT round(p, 4) FROM pw WHERE h = 6 AND i = 2 AND j = 3) AS high_to_default,
+       {SN.format(c='i')} AS from_state, {SN.format(c='j')} AS to_state, i AS from_idx, j AS to_idx,
+       round(p, 4) AS p FROM pw WHERE h = 6"""))
+def q_forecast(spark, d):
+    return markov.forecast(pf(spark, d).P, 6)
+
+
+def _evolution_sql(month_expr: str, horizon: int, scale: str, digits: int, seg: str = "") -> str:
+    return f"""
+snapc AS (SELECT risk_state, count(*) AS n FROM verified_out
+          WHERE observation_month = {month_expr}{seg} GROUP BY 1),
+tot AS (SELECT sum(n) AS total FROM snapc),
+pi0 AS (SELECT s.idx AS j, CAST(coalesce(c.n, 0) AS DOUBLE) / CAST(t.total AS DOUBLE) AS v
+        FROM st s LEFT JOIN snapc c ON c.risk_state = s.state, tot t WHERE t.total > 0),
+ev(n, j, v) AS (
+  SELECT 0, j, v FROM pi0
+  UNION ALL
+  SELECT ev.n + 1, pm.to_idx, sum(ev.v * pm.p) FROM ev JOIN pm ON ev.j = pm.from_idx
+  WHERE ev.n < {horizon} GROUP BY ev.n + 1, pm.to_idx),
+evo AS (SELECT n AS horizon_months, {SN.format(c='j')} AS state, round(v * {scale}, {digits}) AS pct FROM ev)"""
+
+
+@register("portfolio_evolution", B(_evolution_sql(f"'{SNAPSHOT_MONTH}'", 6, "100.0", 2),
+                                   "SELECT * FROM evo"))
+def q_portfolio_evolution(spark, d):
+    return markov.portfolio_evolution(pf(spark, d).verified, pf(spark, d).P, SNAPSHOT_MONTH, horizon=6)
+
+
+@register("portfolio_evolution_segment", B(_evolution_sql(f"'{SNAPSHOT_MONTH}'", 12, "100.0", 2,
+                                                          f" AND segment = '{SNAPSHOT_SEGMENT}'"),
+                                           "SELECT * FROM evo"))
+def q_portfolio_evolution_seg(spark, d):
+    return markov.portfolio_evolution(pf(spark, d).verified, pf(spark, d).P, SNAPSHOT_MONTH,
+                                      SNAPSHOT_SEGMENT, horizon=12)
+
+
+@register("portfolio_forecast_table", B(_evolution_sql("(SELECT max(observation_month) FROM verified_out)",
+                                                       6, "1.0", 6), """
+SELECT horizon_months, max(pct) FILTER (WHERE state = 'Low') AS "Low",
+       max(pct) FILTER (WHERE state = 'Medium') AS "Medium", max(pct) FILTER (WHERE state = 'High') AS "High",
+       max(pct) FILTER (WHERE state = 'Default') AS "Default"
+FROM evo WHERE horizon_months IN (0, 1, 3, 6) GROUP BY 1"""))
+def q_portfolio_forecast_table(spark, d):
+    return markov.portfolio_forecast_table(pf(spark, d).verified, pf(spark, d).P)
+
+
+def _horizon_default_sql(hs):
+    return B(O.power_cte(max(hs)), f"""
+SELECT h AS horizon, {SN.format(c='i')} AS state, round(p, 6) AS p_default
+FROM pw WHERE j = 3 AND h IN ({', '.join(map(str, hs))})""")
+
+
+@register("horizon_default", _horizon_default_sql([1, 3, 6]))
+def q_horizon_default(spark, d):
+    return markov.horizon_default(pf(spark, d).P, (1, 3, 6))
+
+
+@register("horizon_default_long", _horizon_default_sql([3, 6, 12, 24]))
+def q_horizon_default_long(spark, d):
+    return markov.horizon_default(pf(spark, d).P, (3, 6, 12, 24))
+
+
+@register("default_curve", B(O.power_cte(60), f"""
+SELECT h AS n, {SN.format(c='i')} AS state, round(p, 6) AS p_default FROM pw WHERE j = 3 AND i <> 3"""))
+def q_default_curve(spark, d):
+    return markov.default_curve(pf(spark, d).P, 60)
+
+
+@register("power_table", B(O.power_cte(60), f"""
+SELECT h AS n, {SN.format(c='i')} AS from_state, {SN.format(c='j')} AS to_state, i AS from_idx, j AS to_idx,
+       round(p, 6) AS p FROM pw"""))
+def q_power_table(spark, d):
+    return markov.power_table(pf(spark, d).P, 60).withColumn("p", F.round("p", 6))
+
+
+WITHIN_CTES = LATEST_REM_CTES + "," + O.power_cte(60) + """,
+wt AS (
+  SELECT l.*, round(pw.p, 6) AS within_term_default_prob
+  FROM latest_rem l LEFT JOIN pw ON pw.j = 3 AND pw.h = least(l.remaining_months, 60)
+       AND pw.i = l.risk_state_code),
+wl AS (
+  SELECT loan_id, customer_id, risk_state, segment, days_in_arrears, instalments_in_arrears,
+         remaining_months, within_term_default_prob,
+         CASE WHEN within_term_default_prob > 0 AND within_term_default_prob <= 0.2 THEN 'Low urgency'
+              WHEN within_term_default_prob > 0.2 AND within_term_default_prob <= 0.5 THEN 'Medium urgency'
+              WHEN within_term_default_prob > 0.5 AND within_term_default_prob <= 0.75 THEN 'High urgency'
+              WHEN within_term_default_prob > 0.75 AND within_term_default_prob <= 1.01 THEN 'CRITICAL'
+         END AS urgency
+  FROM wt WHERE risk_state IN ('Medium', 'High'))"""
+
+
+def _within(spark, d):
+    p = pf(spark, d)
+    w = markov.within_term_default_prob(p.latest_with_remaining, p.P)
+    return w.withColumn("within_term_default_prob", F.round("within_term_default_prob", 6))
+
+
+@register("within_term_default_prob", B(WITHIN_CTES, """
+SELECT loan_id, customer_id, risk_state, remaining_months, within_term_default_prob FROM wt"""))
+def q_within_term(spark, d):
+    return _within(spark, d).select("loan_id", "customer_id", "risk_state", "remaining_months",
+                                    "within_term_default_prob")
+
+
+@register("within_term_watchlist", B(WITHIN_CTES, "SELECT * FROM wl"))
+def q_within_watchlist(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.risk_watch_subset(_within(spark, d))
+
+
+@register("critical_accounts", B(WITHIN_CTES, """
+SELECT loan_id, customer_id, risk_state, days_in_arrears, remaining_months, within_term_default_prob
+FROM wt WHERE risk_state = 'High'
+  AND ((SELECT count(*) FROM wt WHERE risk_state = 'High' AND remaining_months <= 6) = 0
+       OR remaining_months <= 6)"""))
+def q_critical_accounts(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.critical_accounts(_within(spark, d))
+
+
+@register("critical_accounts_top10", B(WITHIN_CTES, """
+SELECT loan_id, customer_id, risk_state, days_in_arrears, remaining_months, within_term_default_prob
+FROM wt WHERE risk_state = 'High'
+  AND ((SELECT count(*) FROM wt WHERE risk_state = 'High' AND remaining_months <= 6) = 0
+       OR remaining_months <= 6)
+ORDER BY within_term_default_prob DESC, loan_id LIMIT 10"""))
+def q_critical_top10(spark, d):
+    from riskflow.operators import watchlist
+    c = watchlist.critical_accounts(_within(spark, d))
+    return watchlist.top_n(c, 10, F.col("within_term_default_prob").desc(), F.col("loan_id"))
+
+
+@register("watchlist_top15", B(WITHIN_CTES, """
+SELECT * FROM wl ORDER BY within_term_default_prob DESC, loan_id LIMIT 15"""))
+def q_watchlist_top15(spark, d):
+    from riskflow.operators import watchlist
+    w = watchlist.risk_watch_subset(_within(spark, d))
+    return watchlist.top_n(w, 15, F.col("within_term_default_prob").desc(), F.col("loan_id"))
+
+
+@register("prob_by_state", B(WITHIN_CTES, """
+SELECT risk_state, round(avg(within_term_default_prob), 6) AS mean_prob,
+       round(min(within_term_default_prob), 6) AS min_prob, round(max(within_term_default_prob), 6) AS max_prob
+FROM wt GROUP BY 1"""))
+def q_prob_by_state(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.prob_by_state(_within(spark, d))
+
+
+@register("urgency_breakdown", B(WITHIN_CTES, "SELECT urgency, count(*) AS n FROM wl GROUP BY 1"))
+def q_urgency_breakdown(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.urgency_breakdown(watchlist.risk_watch_subset(_within(spark, d)))
+
+
+ABSORB_CTES = """
+qa AS (
+  SELECT max(CASE WHEN from_idx = 0 AND to_idx = 0 THEN 1.0 - p END) AS a00,
+         max(CASE WHEN from_idx = 0 AND to_idx = 1 THEN -p END) AS a01,
+         max(CASE WHEN from_idx = 0 AND to_idx = 2 THEN -p END) AS a02,
+         max(CASE WHEN from_idx = 1 AND to_idx = 0 THEN -p END) AS a10,
+         max(CASE WHEN from_idx = 1 AND to_idx = 1 THEN 1.0 - p END) AS a11,
+         max(CASE WHEN from_idx = 1 AND to_idx = 2 THEN -p END) AS a12,
+         max(CASE WHEN from_idx = 2 AND to_idx = 0 THEN -p END) AS a20,
+         max(CASE WHEN from_idx = 2 AND to_idx = 1 THEN -p END) AS a21,
+         max(CASE WHEN from_idx = 2 AND to_idx = 2 THEN 1.0 - p END) AS a22,
+         max(CASE WHEN from_idx = 0 AND to_idx = 3 THEN p END) AS r0,
+         max(CASE WHEN from_idx = 1 AND to_idx = 3 THEN p END) AS r1,
+         max(CASE WHEN from_idx = 2 AND to_idx = 3 THEN p END) AS r2,
+         max(CASE WHEN from_idx = 3 AND to_idx = 3 THEN p END) AS p33
+  FROM pm),
+qd AS (SELECT *, a00 * (a11 * a22 - a12 * a21) - a01 * (a10 * a22 - a12 * a20)
+                 + a02 * (a10 * a21 - a11 * a20) AS det FROM qa),
+ninv AS (
+  SELECT * FROM (VALUES (0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)) AS c(i, j), qd),
+nm AS (
+  SELECT i, j, CASE
+      WHEN i = 0 AND j = 0 THEN (a11 * a22 - a12 * a21) WHEN i = 0 AND j = 1 THEN -(a01 * a22 - a02 * a21)
+      WHEN i = 0 AND j = 2 THEN (a01 * a12 - a02 * a11) WHEN i = 1 AND j = 0 THEN -(a10 * a22 - a12 * a20)
+      WHEN i = 1 AND j = 1 THEN (a00 * a22 - a02 * a20) WHEN i = 1 AND j = 2 THEN -(a00 * a12 - a02 * a10)
+      WHEN i = 2 AND j = 0 THEN (a10 * a21 - a11 * a20) WHEN i = 2 AND j = 1 THEN -(a00 * a21 - a01 * a20)
+      ELSE (a00 * a11 - a01 * a10) END / det AS v,
+    CASE j WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS rj, p33
+  FROM ninv),
+tt AS (SELECT i, sum(v * rj) AS b, sum(v) AS t, max(p33) AS p33 FROM nm GROUP BY i)"""
+
+
+@register("classify_states", B("", """
+SELECT from_state AS state, round(p, 6) AS self_transition, p >= 0.95 AS absorbing
+FROM pm WHERE from_idx = to_idx"""))
+def q_classify_states(spark, d):
+    return markov.classify_states(pf(spark, d).P)
+
+
+@register("reachability", B(O.power_cte(100), f"""
+SELECT {SN.format(c='i')} AS state, round(p, 6) AS p_reach_default, p > 0.001 AS can_reach,
+       i IN (SELECT from_idx FROM pm WHERE from_idx = to_idx AND p < 0.95) AS transient,
+       (SELECT coalesce(bool_and(x.p > 0.001), true) FROM pw x WHERE x.h = 100 AND x.j = 3
+          AND x.i IN (SELECT from_idx FROM pm WHERE from_idx = to_idx AND p < 0.95)) AS all_transient_reach
+FROM pw WHERE h = 100 AND j = 3"""))
+def q_reachability(spark, d):
+    return markov.reachability(pf(spark, d).P)
+
+
+@register("canonical_form", B("", """
+SELECT from_state, to_state, p, CASE WHEN to_idx = 3 THEN 'R' ELSE 'Q' END AS block
+FROM pm WHERE from_idx < 3"""))
+def q_canonical_form(spark, d):
+    return markov.canonical_form(pf(spark, d).P)
+
+
+@register("fundamental_matrix", B(ABSORB_CTES, f"""
+SELECT {SN.format(c='i')} AS from_state, {SN.format(c='j')} AS to_state, round(v, 6) AS n_visits FROM nm"""))
+def q_fundamental_matrix(spark, d):
+    return markov.fundamental_matrix(pf(spark, d).P)
+
+
+@register("time_to_absorption", B(ABSORB_CTES, f"""
+SELECT {SN.format(c='i')} AS risk_state, round(b, 6) AS absorption_probability,
+       round(t, 2) AS expected_months_to_default, round(t / 12.0, 2) AS expected_years_to_default FROM tt"""))
+def q_time_to_absorption(spark, d):
+    return markov.time_to_absorption(pf(spark, d).P)
+
+
+@register("absorption_summary", B(ABSORB_CTES, f"""
+SELECT {SN.format(c='i')} AS state, round(b, 4) AS probability, round(t, 1) AS months,
+       round(t / 12.0, 1) AS years, round(p33, 4) AS default_self_transition FROM tt"""))
+def q_absorption_summary(spark, d):
+    return markov.absorption_summary(pf(spark, d).P)
+
+
+@register("intervention_urgency", B(ABSORB_CTES, f"""
+SELECT {SN.format(c='i')} AS risk_state, round(t, 2) AS expected_months_to_default,
+       CASE i WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'HIGH' END AS intervention_urgency FROM tt"""))
+def q_intervention_urgency(spark, d):
+    t = markov.time_to_absorption(pf(spark, d).P)
+    return markov.intervention_urgency(t).select("risk_state", "expected_months_to_default",
+                                                 "intervention_urgency")
+
+
+@register("within_vs_infinite", B(ABSORB_CTES + "," + O.power_cte(36), f"""
+SELECT {SN.format(c='pw.i')} AS state, pw.h AS remaining, round(pw.p, 6) AS within_term,
+       round(tt.b, 6) AS infinite_horizon
+FROM pw LEFT JOIN tt ON tt.i = pw.i WHERE pw.j = 3 AND pw.i <> 3 AND pw.h IN (3, 6, 12, 24, 36)"""))
+def q_within_vs_infinite(spark, d):
+    return markov.within_vs_infinite(pf(spark, d).P)
+
+
+def _seg_power_sql(h):
+    return SEG_CTES + f""",
+spw(segment, h, i, j, p) AS (
+  SELECT segment, 1, from_idx, to_idx, p FROM g_pm
+  UNION ALL
+  SELECT spw.segment, spw.h + 1, spw.i, g.to_idx, sum(spw.p * g.p)
+  FROM spw JOIN g_pm g ON g.segment = spw.segment AND spw.j = g.from_idx
+  WHERE spw.h < {h} GROUP BY spw.segment, spw.h + 1, spw.i, g.to_idx)"""
+
+
+@register("segment_forecast", B(_seg_power_sql(6), f"""
+SELECT segment, 6 AS horizon,
+       round(max(p) FILTER (WHERE i = 2 AND j = 3) OVER (PARTITION BY segment), 4) AS high_to_default,
+       {SN.format(c='i')} AS from_state, {SN.format(c='j')} AS to_state, i AS from_idx, j AS to_idx,
+       round(p, 4) AS p FROM spw WHERE h = 6"""))
+def q_segment_forecast(spark, d):
+    pk = transitions.segment_transition_matrices(pf(spark, d).pairs, packed=True)
+    return markov.forecast(pk, 6, by=["segment"])
