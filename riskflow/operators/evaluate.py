@@ -63,16 +63,19 @@ def class_report(df: DataFrame, actual: str = "next_risk_state", pred: str = "pr
         rec = safe(F.col(f"tp{i}").cast("double"), F.col(f"ap{i}"))
         f1 = safe(2 * prec * rec, prec + rec)
         rows.append(F.struct(F.lit(s).alias("label"), prec.alias("precision"), rec.alias("recall"),
-                             f1.alias("f1"), F.col(f"ap{i}").cast("bigint").alias("support")))
+                             f1.alias("f1"), F.col(f"ap{i}").cast("bigint").alias("support"),
+                             F.col(f"pp{i}").cast("bigint").alias("_pp")))
     per = g.select("_n", "_ok", F.explode(F.array(*rows)).alias("r")).select("_n", "_ok", "r.*")
-    macro = per.groupBy().agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-                              F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                              F.sum("support").cast("bigint").alias("support"))
+    # macro average over the labels seen in either column (scikit-learn's label set)
+    seen = per.filter((F.col("support") > 0) | (F.col("_pp") > 0))
+    macro = seen.groupBy().agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
+                               F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+                               F.sum("support").cast("bigint").alias("support"))
     acc = g.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
                    F.lit(None).cast("double").alias("recall"),
                    safe(F.col("_ok").cast("double"), F.col("_n")).alias("f1"),
                    F.col("_n").cast("bigint").alias("support"))
-    out = per.drop("_n", "_ok").unionByName(macro).unionByName(acc)
+    out = per.drop("_n", "_ok", "_pp").unionByName(macro).unionByName(acc)
     return out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")],
                       "support")
 

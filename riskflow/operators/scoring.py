@@ -68,31 +68,42 @@ def snapshot_features(snap: DataFrame, panel: DataFrame, month: str) -> DataFram
     return d.withColumn("dpd_band_position", dpd_band_position("risk_state", "days_in_arrears"))
 
 def deterministic_scores(feat: DataFrame, packed: DataFrame, states: list[str] = STATES) -> DataFrame:
-    """p_s = 0.5 * P[current, s] + 0.5 * [band(projected DPD) = s]."""
+    """p_s = 0.5 * P[current, s] + 0.5 * [band(projected DPD) = s].
+
+    The probabilities are one array column (``_probs``) so that the argmax,
+    ``p_pred`` and ``is_worse`` read it instead of re-inlining the scorer."""
+    k = len(states)
     m = packed.select(F.lit(0).alias("_g"), F.col("P").alias("_P"))
     d = feat.withColumn("_g", F.lit(0)).join(F.broadcast(m), "_g").drop("_g")
     cur = state_code("risk_state", states)
     proj = clip_lower(F.col("days_in_arrears") + F.coalesce(F.col("dpd_delta"), F.lit(0.0)), 0.0)
-    band = state_from_dpd(proj, unknown=None)
-    probs = []
-    for j, s in enumerate(states):
-        row_p = F.coalesce(mat_get(F.col("_P"), cur, F.lit(j)), F.lit(0.0))
-        hit = F.when(band == s, F.lit(1.0)).otherwise(F.lit(0.0))
-        probs.append(F.when(band.isNull(), row_p).otherwise(row_p * 0.5 + hit * 0.5))
-    d = d.select("*", *[p.alias(c) for p, c in zip(probs, PROB_COLS)]).drop("_P")
+    band = state_code(state_from_dpd(proj, unknown=None), states)
+    d = d.withColumn("_band", band).withColumn("_row", F.get(F.col("_P"), cur))
+
+    def prob(j):
+        rp = F.coalesce(F.get(F.col("_row"), j), F.lit(0.0))
+        hit = F.when(F.col("_band") == j, F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.when(F.col("_band").isNull(), rp).otherwise(rp * 0.5 + hit * 0.5)
+    d = d.withColumn("_probs", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), prob))
+    d = d.select(*[c for c in d.columns if c not in ("_P", "_band", "_row")],
+                 *[F.get(F.col("_probs"), F.lit(i)).alias(c) for i, c in enumerate(PROB_COLS)])
     return with_prediction_columns(d, states)
 
+
 def with_prediction_columns(d: DataFrame, states: list[str] = STATES) -> DataFrame:
     """pred = argmax (first state wins a tie), score, p_pred, is_worse."""
-    arr = F.array(*[F.col(c) for c in PROB_COLS])
-    best = F.array_max(arr)
-    pred_idx = F.array_position(arr, best) - 1
+    if "_probs" not in d.columns:
+        d = d.withColumn("_probs", F.array(*[F.col(c) for c in PROB_COLS]))
+    d = d.withColumn("_pi", F.array_position(F.col("_probs"), F.array_max(F.col("_probs"))).cast("int"))
     labels = F.array(*[F.lit(s) for s in states])
-    d = d.withColumn("pred", F.element_at(labels, (pred_idx + 1).cast("int")))
-    d = d.withColumn("score", F.col("p_default") + F.col("p_high"))
-    d = d.withColumn("p_pred", F.coalesce(F.element_at(arr, (pred_idx + 1).cast("int")), F.lit(0.0)))
-    return d.withColumn("is_worse", F.coalesce(state_code("pred", states) > state_code("risk_state", states),
-                                               F.lit(False)))
+    d = d.select(
+        "*",
+        F.element_at(labels, F.col("_pi")).alias("pred"),
+        (F.col("p_default") + F.col("p_high")).alias("score"),
+        F.coalesce(F.element_at(F.col("_probs"), F.col("_pi")), F.lit(0.0)).alias("p_pred"),
+        F.coalesce((F.col("_pi") - 1) > state_code("risk_state", states), F.lit(False)).alias("is_worse"))
+    return d.drop("_probs", "_pi")
+
 
 def score_snapshot(panel: DataFrame, packed: DataFrame, month: str,
                    segment: str | None = "All Segments") -> DataFrame:

@@ -864,3 +864,428 @@ SELECT segment, 6 AS horizon,
 def q_segment_forecast(spark, d):
     pk = transitions.segment_transition_matrices(pf(spark, d).pairs, packed=True)
     return markov.forecast(pk, 6, by=["segment"])
+
+
+# ---------------------------------------------------------------------------
+# Scoring, watchlists (J1-J3, J5, WF1-WF14, T1-T2, A14, E15-E20)
+# ---------------------------------------------------------------------------
+
+BAND_POS_SQL = """CASE WHEN raw_bp < 0 THEN 0.0 WHEN raw_bp > 1 THEN 1.0 ELSE raw_bp END"""
+RAW_BP_SQL = """CASE WHEN risk_state = 'Low' THEN days_in_arrears / 3.0
+          WHEN risk_state = 'Medium' THEN (CASE WHEN days_in_arrears - 5 < 0 THEN 0.0 ELSE days_in_arrears - 5 END) / 24.0
+          WHEN risk_state = 'High' THEN (CASE WHEN days_in_arrears - 31 < 0 THEN 0.0 ELSE days_in_arrears - 31 END) / 58.0
+          WHEN risk_state = 'Default' THEN (CASE WHEN days_in_arrears / 280.0 > 1 THEN 1.0 ELSE days_in_arrears / 280.0 END)
+          ELSE 0.0 END"""
+
+
+def score_sql(src: str, out: str) -> str:
+    """Deterministic scorer over ``src`` (needs risk_state, days_in_arrears, dpd_delta)."""
+    def p(j, s):
+        return (f"CASE WHEN band IS NULL THEN coalesce(r{j}, 0.0) "
+                f"ELSE coalesce(r{j}, 0.0) * 0.5 + (CASE WHEN band = '{s}' THEN 1.0 ELSE 0.0 END) * 0.5 END")
+    return f"""
+{out}_w AS (SELECT from_state AS fs, max(p) FILTER (WHERE to_idx = 0) AS r0, max(p) FILTER (WHERE to_idx = 1) AS r1,
+                 max(p) FILTER (WHERE to_idx = 2) AS r2, max(p) FILTER (WHERE to_idx = 3) AS r3 FROM pm GROUP BY 1),
+{out}_a AS (
+  SELECT x.*, CASE WHEN proj = 0 THEN 'Low' WHEN proj >= 1 AND proj <= 30 THEN 'Medium'
+                   WHEN proj >= 31 AND proj <= 90 THEN 'High' WHEN proj > 90 THEN 'Default' END AS band
+  FROM (SELECT s.*, w.r0, w.r1, w.r2, w.r3,
+               CASE WHEN days_in_arrears + coalesce(dpd_delta, 0.0) < 0 THEN 0.0
+                    ELSE days_in_arrears + coalesce(dpd_delta, 0.0) END AS proj
+        FROM {src} s LEFT JOIN {out}_w w ON w.fs = s.risk_state) x),
+{out}_b AS (
+  SELECT * EXCLUDE (r0, r1, r2, r3, proj, band), {p(0, 'Low')} AS p_low, {p(1, 'Medium')} AS p_medium,
+         {p(2, 'High')} AS p_high, {p(3, 'Default')} AS p_default FROM {out}_a),
+{out}_c AS (
+  SELECT *, CASE WHEN p_low = greatest(p_low, p_medium, p_high, p_default) THEN 'Low'
+                 WHEN p_medium = greatest(p_low, p_medium, p_high, p_default) THEN 'Medium'
+                 WHEN p_high = greatest(p_low, p_medium, p_high, p_default) THEN 'High' ELSE 'Default' END AS pred
+  FROM {out}_b),
+{out} AS (
+  SELECT *, p_default + p_high AS score,
+         CASE pred WHEN 'Low' THEN p_low WHEN 'Medium' THEN p_medium WHEN 'High' THEN p_high ELSE p_default END AS p_pred,
+         coalesce(({O.CODE.format(c='pred')}) > ({O.CODE.format(c='risk_state')}), false) AS is_worse
+  FROM {out}_c)"""
+
+
+SNAP_SCORE_CTES = TRAJ_SQL + f""",
+mi AS (SELECT observation_month, lag(observation_month) OVER (ORDER BY observation_month) AS prev_month
+       FROM (SELECT DISTINCT observation_month FROM verified_out) m),
+pmon AS (SELECT prev_month FROM mi WHERE observation_month = '{SNAPSHOT_MONTH}'),
+prevrows AS (SELECT loan_id, arg_max(risk_state_code, row_seq) AS pc, arg_max(days_in_arrears, row_seq) AS pd
+             FROM verified_out WHERE observation_month = (SELECT prev_month FROM pmon) GROUP BY 1),
+streak AS (SELECT loan_id, arg_max(months_in_state, row_seq) AS mis FROM traj
+           WHERE observation_month = '{SNAPSHOT_MONTH}' GROUP BY 1),
+sf AS (
+  SELECT s.*,
+    CAST(CASE WHEN (SELECT prev_month FROM pmon) IS NULL THEN s.risk_state_code
+              ELSE coalesce(p.pc, s.risk_state_code) END AS INTEGER) AS prev_risk_state_code,
+    CASE WHEN (SELECT prev_month FROM pmon) IS NULL THEN s.days_in_arrears ELSE coalesce(p.pd, 0.0) END AS prev_dpd,
+    CAST(coalesce(k.mis, 1) AS INTEGER) AS months_in_state
+  FROM verified_out s LEFT JOIN prevrows p ON p.loan_id = s.loan_id LEFT JOIN streak k ON k.loan_id = s.loan_id
+  WHERE s.observation_month = '{SNAPSHOT_MONTH}'),
+sf2 AS (SELECT * EXCLUDE (raw_bp), {BAND_POS_SQL} AS dpd_band_position
+        FROM (SELECT *, days_in_arrears - prev_dpd AS dpd_delta, {RAW_BP_SQL} AS raw_bp FROM sf) x),""" + \
+    score_sql("sf2", "snap_scored")
+
+
+def _scored(spark, d):
+    from riskflow.operators import scoring
+    p = pf(spark, d)
+    return scoring.score_snapshot(p.verified, p.P, SNAPSHOT_MONTH)
+
+
+SCORE_COLS = ["loan_id", "risk_state", "prev_risk_state_code", "prev_dpd", "dpd_delta", "months_in_state",
+              "dpd_band_position", "p_low", "p_medium", "p_high", "p_default", "pred", "score", "p_pred",
+              "is_worse"]
+_R6 = {"dpd_band_position", "p_low", "p_medium", "p_high", "p_default", "score", "p_pred"}
+
+
+def _score_select_sql(src):
+    return "SELECT " + ", ".join(f"round({c}, 6) AS {c}" if c in _R6 else c for c in SCORE_COLS) + f" FROM {src}"
+
+
+def _score_select(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in _R6 else F.col(c) for c in SCORE_COLS])
+
+
+@register("scored_snapshot", B(SNAP_SCORE_CTES, _score_select_sql("snap_scored")))
+def q_scored_snapshot(spark, d):
+    return _score_select(_scored(spark, d))
+
+
+WATCH_SQL = {
+    "about_to_default": "risk_state = 'High' AND p_default >= 0.25",
+    "high_risk_any": "risk_state = 'High'",
+    "high_to_high": "risk_state = 'High' AND pred = 'High' AND p_default >= 0.10",
+    "medium_to_high": "risk_state = 'Medium' AND pred = 'High'",
+    "medium_elevated": "risk_state = 'Medium' AND p_default >= 0.10",
+    "medium_to_default": "risk_state = 'Medium' AND pred = 'Default'",
+    "low_to_medium": "risk_state = 'Low' AND pred = 'Medium'",
+    "low_to_high": "risk_state = 'Low' AND pred IN ('High', 'Default')",
+    "fast_deterioration": "risk_state <> 'Default' AND pred IN ('High', 'Default')",
+    "all_deteriorating": "risk_state <> 'Default' AND is_worse",
+    "all_performing": "risk_state <> 'Default'",
+    "legacy_about_to_default": "risk_state = 'High' AND pred = 'Default'",
+    "legacy_high_to_high": "risk_state = 'High' AND pred = 'High'",
+    "legacy_early_warning": "risk_state = 'Low' AND is_worse",
+}
+
+
+def _watch_query(name):
+    def run(spark, d):
+        from riskflow.operators import watchlist
+        return _score_select(watchlist.watch_filter(_scored(spark, d), name))
+    return run
+
+
+for _name, _pred in WATCH_SQL.items():
+    register(f"watch_{_name}", B(SNAP_SCORE_CTES, _score_select_sql(f"snap_scored WHERE {_pred}")))(
+        _watch_query(_name))
+
+register("watch_unknown_filter", B(SNAP_SCORE_CTES, _score_select_sql(
+    f"snap_scored WHERE {WATCH_SQL['all_performing']}")))(_watch_query("no_such_filter"))
+
+
+def _page_sql(pred, page, size):
+    return B(SNAP_SCORE_CTES, f"""
+SELECT loan_id, customer_id, segment, risk_state, pred, CAST(days_in_arrears AS INTEGER) AS days_in_arrears,
+       CAST(instalments_in_arrears AS INTEGER) AS instalments_in_arrears, principal_balance,
+       round(p_default, 4) AS p_default, round(p_high, 4) AS p_high, round(p_pred, 4) AS p_pred,
+       round(score, 4) AS score, is_worse,
+       (SELECT count(*) FROM snap_scored WHERE {pred}) AS total,
+       CAST(greatest(1, ceil((SELECT count(*) FROM snap_scored WHERE {pred}) / {size}.0)) AS BIGINT) AS total_pages
+FROM snap_scored WHERE {pred}
+ORDER BY score DESC, loan_id LIMIT {size} OFFSET {(page - 1) * size}""")
+
+
+@register("watchlist_page", _page_sql(WATCH_SQL["all_deteriorating"], 1, 25))
+def q_watchlist_page(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.watchlist(_scored(spark, d), "all_deteriorating", 1, 25)
+
+
+@register("watchlist_page_3", _page_sql(WATCH_SQL["all_performing"], 3, 10))
+def q_watchlist_page3(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.watchlist(_scored(spark, d), "all_performing", 3, 10)
+
+
+def _summary_sql(where):
+    return B(SNAP_SCORE_CTES, "SELECT " + ", ".join(
+        f"count(*) FILTER (WHERE pred = '{s}') AS \"{s}\"" for s in ("Low", "Medium", "High", "Default")) +
+        f" FROM snap_scored WHERE {where}")
+
+
+@register("prediction_summary", _summary_sql("true"))
+def q_prediction_summary(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.prediction_summary(_scored(spark, d))
+
+
+@register("prediction_summary_filtered", _summary_sql(WATCH_SQL["fast_deterioration"]))
+def q_prediction_summary_filtered(spark, d):
+    from riskflow.operators import watchlist
+    return watchlist.prediction_summary(watchlist.watch_filter(_scored(spark, d), "fast_deterioration"))
+
+
+@register("horizon_risk", B(SNAP_SCORE_CTES + "," + O.power_cte(3) + """,
+hr AS (SELECT i, sum(p) FILTER (WHERE j IN (2, 3)) AS v FROM pw WHERE h = 3 GROUP BY i)""", f"""
+SELECT s.loan_id, round(coalesce(hr.v, 0.0), 6) AS horizon_risk,
+       round(s.score * 0.6 + coalesce(hr.v, 0.0) * 0.4, 6) AS combined_score,
+       s.risk_state || ' → ' || s.pred AS transition_label,
+       printf('%.1f%%', coalesce(hr.v, 0.0) * 100.0) AS horizon_risk_text
+FROM snap_scored s LEFT JOIN hr ON hr.i = s.risk_state_code"""))
+def q_horizon_risk(spark, d):
+    from riskflow.operators import watchlist
+    p = pf(spark, d)
+    h = markov.horizon_risk_lookup(_scored(spark, d), p.P, horizon=3)
+    c = watchlist.combined_score(h)
+    return c.select("loan_id", F.round("horizon_risk", 6).alias("horizon_risk"),
+                    F.round("combined_score", 6).alias("combined_score"), "transition_label",
+                    "horizon_risk_text")
+
+
+# ---------------------------------------------------------------------------
+# Evaluation
+# ---------------------------------------------------------------------------
+
+EVAL_CTES = TRAJ_SQL + "," + score_sql("traj", "all_scored") + """,
+lab AS (SELECT * FROM all_scored WHERE next_risk_state IS NOT NULL),
+tm AS (SELECT observation_month FROM (SELECT DISTINCT observation_month FROM lab) m
+       ORDER BY observation_month DESC LIMIT 2),
+split AS (SELECT *, CASE WHEN observation_month IN (SELECT observation_month FROM tm) THEN 'test'
+                         ELSE 'train' END AS split FROM lab),
+test AS (SELECT * FROM split WHERE split = 'test'),
+train AS (SELECT * FROM split WHERE split = 'train')"""
+
+
+def _eval(spark, d):
+    from riskflow.operators import scoring
+    p = pf(spark, d)
+    return scoring.deterministic_scores(p.featured, p.P)
+
+
+def _split(spark, d):
+    return evaluate.time_split(_eval(spark, d))
+
+
+def _test(spark, d):
+    return _split(spark, d).filter(F.col("split") == "test")
+
+
+@register("time_split", B(EVAL_CTES, """
+SELECT split, count(*) AS n_rows, count(DISTINCT observation_month) AS n_months FROM split GROUP BY 1"""))
+def q_time_split(spark, d):
+    return _split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                 F.countDistinct("observation_month").alias("n_months"))
+
+
+@register("confusion_matrix", B(EVAL_CTES, """
+SELECT g.from_state AS actual, g.to_state AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM grid g LEFT JOIN (SELECT next_risk_state, pred, count(*) AS n FROM test GROUP BY 1, 2) c
+  ON c.next_risk_state = g.from_state AND c.pred = g.to_state"""))
+def q_confusion(spark, d):
+    return evaluate.confusion_matrix(_test(spark, d))
+
+
+CONF_NORM = """
+cn AS (
+  SELECT g.from_state, g.to_state, g.from_idx, g.to_idx, CAST(coalesce(c.n, 0) AS BIGINT) AS n_pairs
+  FROM grid g LEFT JOIN (SELECT {a} AS a, {p} AS p, count(*) AS n FROM {src} GROUP BY 1, 2) c
+    ON c.a = g.from_state AND c.p = g.to_state),
+cnp AS (SELECT *, CASE WHEN sum(n_pairs) OVER (PARTITION BY from_state) = 0 THEN 0.0
+                  ELSE n_pairs / CAST(sum(n_pairs) OVER (PARTITION BY from_state) AS DOUBLE) END AS pc FROM cn)"""
+
+
+@register("row_normalised_confusion", B(EVAL_CTES + "," + CONF_NORM.format(a="next_risk_state", p="pred",
+                                                                           src="test"), """
+SELECT from_state, to_state, from_idx, to_idx, n_pairs, pc AS p FROM cnp"""))
+def q_row_norm_conf(spark, d):
+    return transitions.to_long(evaluate.row_normalised_confusion(_test(spark, d)))
+
+
+@register("empirical_matrix", B(EVAL_CTES + "," + CONF_NORM.format(a="risk_state", p="next_risk_state",
+                                                                   src="test"), """
+SELECT from_state, to_state, from_idx, to_idx, n_pairs, pc AS p FROM cnp"""))
+def q_empirical_matrix(spark, d):
+    return transitions.to_long(evaluate.empirical_matrix(_test(spark, d)))
+
+
+@register("transition_mae", B(EVAL_CTES + "," + CONF_NORM.format(a="next_risk_state", p="pred", src="test"), """
+SELECT round(avg(abs(c.pc - m.p)), 4) AS transition_mae
+FROM cnp c JOIN pm m ON m.from_idx = c.from_idx AND m.to_idx = c.to_idx"""))
+def q_transition_mae(spark, d):
+    return evaluate.transition_mae(_test(spark, d), pf(spark, d).P)
+
+
+def _class_report_sql(src, a, p):
+    return f"""
+cr AS (
+  SELECT s.state AS label, s.idx,
+         count(*) FILTER (WHERE t.{a} = s.state AND t.{p} = s.state) AS tp,
+         count(*) FILTER (WHERE t.{p} = s.state) AS pp, count(*) FILTER (WHERE t.{a} = s.state) AS ap
+  FROM st s, {src} t GROUP BY 1, 2),
+cr2 AS (SELECT label, tp, pp, ap,
+               CASE WHEN pp > 0 THEN tp / CAST(pp AS DOUBLE) ELSE 0.0 END AS prec,
+               CASE WHEN ap > 0 THEN tp / CAST(ap AS DOUBLE) ELSE 0.0 END AS rec FROM cr),
+cr3 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM cr2)"""
+
+
+@register("class_report", B(EVAL_CTES + "," + _class_report_sql("test", "next_risk_state", "pred"), """
+SELECT label, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1,
+       CAST(ap AS BIGINT) AS support FROM cr3
+UNION ALL
+SELECT 'macro avg', round(avg(prec), 6), round(avg(rec), 6), round(avg(f1), 6), CAST(sum(ap) AS BIGINT)
+FROM cr3 WHERE ap > 0 OR pp > 0
+UNION ALL
+SELECT 'accuracy', NULL, NULL, round(count(*) FILTER (WHERE next_risk_state = pred) / CAST(count(*) AS DOUBLE), 6),
+       CAST(count(*) AS BIGINT) FROM test"""))
+def q_class_report(spark, d):
+    return evaluate.class_report(_test(spark, d))
+
+
+@register("threshold_sweep", B(EVAL_CTES, """
+SELECT t AS threshold,
+  round(CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END, 6) AS recall_high,
+  round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END, 6) AS precision_high,
+  CAST(tp + fp AS BIGINT) AS n_flagged
+FROM (SELECT v.t,
+        count(*) FILTER (WHERE p_high >= v.t AND next_risk_state = 'High') AS tp,
+        count(*) FILTER (WHERE p_high >= v.t AND next_risk_state <> 'High') AS fp,
+        count(*) FILTER (WHERE p_high < v.t AND next_risk_state = 'High') AS fn
+      FROM (SELECT CAST(t AS DOUBLE) AS t FROM (VALUES (0.15), (0.2), (0.25), (0.3), (0.35), (0.4), (0.45), (0.5)) AS v0(t)) v, test
+      GROUP BY v.t) x"""))
+def q_threshold_sweep(spark, d):
+    return evaluate.threshold_sweep(_test(spark, d))
+
+
+@register("recall_by_current_state", B(EVAL_CTES, """
+SELECT risk_state, count(*) AS n, count(*) FILTER (WHERE p_high >= 0.5) AS caught_050,
+       count(*) FILTER (WHERE p_high >= 0.25) AS caught_025
+FROM test WHERE next_risk_state = 'High' GROUP BY 1"""))
+def q_recall_by_state(spark, d):
+    return evaluate.recall_by_current_state(_test(spark, d))
+
+
+PROJ_BAND_SQL = """coalesce(CASE WHEN projected_dpd_next = 0 THEN 'Low'
+  WHEN projected_dpd_next >= 1 AND projected_dpd_next <= 30 THEN 'Medium'
+  WHEN projected_dpd_next >= 31 AND projected_dpd_next <= 90 THEN 'High'
+  WHEN projected_dpd_next > 90 THEN 'Default' END, risk_state)"""
+
+MODELS_CTE = f"""
+mods AS (
+  SELECT 'scorer' AS model, 1 AS model_order, next_risk_state AS a, pred AS p FROM test
+  UNION ALL SELECT 'persistence', 2, next_risk_state, risk_state FROM test
+  UNION ALL SELECT 'dpd_projection', 3, next_risk_state, {PROJ_BAND_SQL} FROM test),
+mc AS (
+  SELECT m.model, m.model_order, s.state,
+         count(*) FILTER (WHERE m.a = s.state AND m.p = s.state) AS tp,
+         count(*) FILTER (WHERE m.p = s.state) AS pp, count(*) FILTER (WHERE m.a = s.state) AS ap
+  FROM mods m, st s GROUP BY 1, 2, 3),
+mc2 AS (SELECT *, CASE WHEN pp > 0 THEN tp / CAST(pp AS DOUBLE) ELSE 0.0 END AS prec,
+               CASE WHEN ap > 0 THEN tp / CAST(ap AS DOUBLE) ELSE 0.0 END AS rec FROM mc),
+mc3 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM mc2),
+mm AS (SELECT model, model_order, avg(f1) FILTER (WHERE ap > 0 OR pp > 0) AS macro_f1,
+              max(rec) FILTER (WHERE state = 'High') AS recall_high,
+              max(rec) FILTER (WHERE state = 'Medium') AS recall_medium FROM mc3 GROUP BY 1, 2)"""
+
+
+def _model_preds(spark, d):
+    from riskflow.functions.columns import state_from_dpd as sfd
+    t = _test(spark, d)
+    return {"scorer": t,
+            "persistence": t.withColumn("pred", F.col("risk_state")),
+            "dpd_projection": t.withColumn("pred", F.coalesce(sfd("projected_dpd_next", None),
+                                                              F.col("risk_state")))}
+
+
+@register("model_comparison", B(EVAL_CTES + "," + MODELS_CTE, """
+SELECT model, round(macro_f1, 6) AS macro_f1, round(recall_high, 6) AS recall_high,
+       round(recall_medium, 6) AS recall_medium,
+       round(macro_f1 * 0.5 + recall_high * 0.25 + recall_medium * 0.25, 6) AS composite,
+       row_number() OVER (ORDER BY macro_f1 * 0.5 + recall_high * 0.25 + recall_medium * 0.25 DESC,
+                          model_order) = 1 AS is_best
+FROM mm"""))
+def q_model_comparison(spark, d):
+    mets = None
+    for i, (name, df) in enumerate(_model_preds(spark, d).items()):
+        m = evaluate.model_metrics(df, name).withColumn("model_order", F.lit(i + 1))
+        mets = m if mets is None else mets.unionByName(m)
+    return evaluate.model_comparison(mets)
+
+
+MT_CTES = """
+nx AS (SELECT pred, lead(pred) OVER (PARTITION BY loan_id ORDER BY observation_month, row_seq) AS np
+       FROM all_scored),
+mt AS (
+  SELECT g.from_state, g.to_state, g.from_idx, g.to_idx, CAST(coalesce(c.n, 0) AS BIGINT) AS n_pairs
+  FROM grid g LEFT JOIN (SELECT pred, np, count(*) AS n FROM nx WHERE np IS NOT NULL GROUP BY 1, 2) c
+    ON c.pred = g.from_state AND c.np = g.to_state),
+mtp AS (SELECT *, CASE WHEN sum(n_pairs) OVER (PARTITION BY from_state) = 0 THEN 0.0
+                  ELSE n_pairs / CAST(sum(n_pairs) OVER (PARTITION BY from_state) AS DOUBLE) END AS p FROM mt)"""
+
+
+@register("model_transition_matrix", B(EVAL_CTES + "," + MT_CTES, """
+SELECT from_state, to_state, from_idx, to_idx, n_pairs, p FROM mtp"""))
+def q_model_transition_matrix(spark, d):
+    return transitions.to_long(transitions.model_transition_matrix(_eval(spark, d), "pred"))
+
+
+@register("compare_matrices", B(EVAL_CTES + "," + MT_CTES, """
+SELECT 'scorer' AS model, round(avg(abs(a.p - b.p)), 4) AS mae,
+       round(max(a.p) FILTER (WHERE a.from_idx = 2 AND a.to_idx = 3), 4) AS high_to_default,
+       round(max(a.p) FILTER (WHERE a.from_idx = 1 AND a.to_idx = 2), 4) AS medium_to_high,
+       round(max(a.p) FILTER (WHERE a.from_idx = 3 AND a.to_idx = 3), 4) AS default_persist
+FROM mtp a JOIN pm b ON a.from_idx = b.from_idx AND a.to_idx = b.to_idx"""))
+def q_compare_matrices(spark, d):
+    m = transitions.model_transition_matrix(_eval(spark, d), "pred").select(F.lit("scorer").alias("model"), "P")
+    return transitions.compare_matrices(pf(spark, d).P, m)
+
+
+@register("class_weights", B(EVAL_CTES, """
+SELECT next_risk_state, round(n_all / (k * CAST(nc AS DOUBLE)), 6) AS weight
+FROM (SELECT next_risk_state, count(*) AS nc FROM train GROUP BY 1) c,
+     (SELECT count(*) AS n_all, count(DISTINCT next_risk_state) AS k FROM train) t"""))
+def q_class_weights(spark, d):
+    tr = _split(spark, d).filter(F.col("split") == "train")
+    w = evaluate.class_weights(tr)
+    return w.select("next_risk_state", F.round("weight", 6).alias("weight")).distinct()
+
+
+@register("label_encoding", B(EVAL_CTES, """
+SELECT 'segment' AS "column", value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT segment AS value FROM train WHERE segment IS NOT NULL) s
+UNION ALL
+SELECT 'loan_type', value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER)
+FROM (SELECT DISTINCT loan_type AS value FROM train WHERE loan_type IS NOT NULL) l"""))
+def q_label_encoding(spark, d):
+    tr = _split(spark, d).filter(F.col("split") == "train")
+    a = evaluate.label_encoding(tr, "segment").select(F.lit("segment").alias("column"), "value", "code")
+    b = evaluate.label_encoding(tr, "loan_type").select(F.lit("loan_type").alias("column"), "value", "code")
+    return a.unionByName(b)
+
+
+@register("safe_encode", B(EVAL_CTES, f"""
+SELECT s.loan_id, s.segment, coalesce(e.code, 0) AS segment_enc
+FROM (SELECT * FROM verified_out WHERE observation_month = '{SNAPSHOT_MONTH}') s
+LEFT JOIN (SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+           FROM (SELECT DISTINCT segment AS value FROM train WHERE segment IS NOT NULL AND segment <> 'SME') x) e
+  ON e.value = coalesce(s.segment, 'nan')"""))
+def q_safe_encode(spark, d):
+    # the encoding is fitted without SME so that SME rows exercise the unseen path
+    tr = _split(spark, d).filter((F.col("split") == "train") & (F.col("segment") != "SME"))
+    enc = evaluate.label_encoding(tr, "segment")
+    snap = overview.snapshot(pf(spark, d).verified, SNAPSHOT_MONTH)
+    return evaluate.safe_encode(snap, "segment", enc).select("loan_id", "segment", "segment_enc")
+
+
+STD_FEATS = ["days_in_arrears", "dpd_delta", "months_in_state"]
+
+
+@register("standardise", B(EVAL_CTES, "SELECT loan_id, observation_month, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 "
+    f"ELSE stddev_pop({c}) OVER () END, 6) AS {c}_std" for c in STD_FEATS) + " FROM test"))
+def q_standardise(spark, d):
+    s = evaluate.standardise(_test(spark, d), STD_FEATS)
+    return s.select("loan_id", "observation_month", *[F.round(f"{c}_std", 6).alias(f"{c}_std") for c in STD_FEATS])
