@@ -7,6 +7,7 @@ query acts on it, and Catalyst plans every query from the scan.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.operators import clean, features, transitions
 from riskflow.operators.overview import latest_snapshot
+from riskflow.session import ensure_checkpoint_dir
 from riskflow.sources.panel import panel_from_tpch, scan_panel
+from riskflow.sources.sinks import write_panel
 
 # Fixed values for the registered queries: a month with all four states at
 # every test scale, a segment, a search text and the scoring horizon.
@@ -64,6 +67,27 @@ class Portfolio:
     def lineitem(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.source}/lineitem.parquet")
 
+    def materialize(self, root: str | None = None) -> "Portfolio":
+        """Write the verified panel (partitioned by month) and the portfolio
+        matrix under ``root`` (default: the session's checkpoint directory,
+        the cluster's shared folder) and return a Portfolio that reads them.
+
+        This is the pipeline's stage boundary: downstream queries read a
+        month-pruned Parquet table instead of re-deriving the panel, and the
+        lineage is cut so a lost executor only re-reads files.
+        """
+        root = root or ensure_checkpoint_dir(self.spark)
+        base = f"{root.rstrip('/')}/riskflow-{uuid.uuid4().hex[:12]}"
+        v = self.verified
+        write_panel(v, f"{base}/verified")
+        m = Portfolio(self.spark, self.source, self.kind)
+        m.__dict__["panel"] = self.panel
+        m.__dict__["verified"] = self.spark.read.schema(v.schema).parquet(f"{base}/verified")
+        m.P.write.mode("overwrite").parquet(f"{base}/P")   # from the written table
+        m.__dict__["P"] = self.spark.read.parquet(f"{base}/P")
+        m.location = base
+        return m
+
 
 def portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
     return Portfolio(spark, sf_dir)

@@ -69,27 +69,38 @@ def scan_matrix(spark: SparkSession, path: str, states: list[str] = STATES,
 
 def _monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return (li.select("l_partkey", "l_shipdate", "l_returnflag", "l_quantity")
-              .groupBy(F.col("l_partkey").alias("k"),
-                       F.date_format("l_shipdate", "yyyy-MM").alias("observation_month"))
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.count_if(F.col("l_returnflag") == "R").alias("r"),
-                   F.count_if(F.col("l_returnflag") == "N").alias("a"),
-                   F.sum("l_quantity").cast("bigint").alias("q")))
+    # group on an integer yyyymm (cheaper to hash than a formatted string);
+    # the yyyy-MM label is built after aggregation, on panel-sized data
+    ym = F.year("l_shipdate") * 100 + F.month("l_shipdate")
+    g = (li.select("l_partkey", "l_shipdate", "l_returnflag", "l_quantity")
+           .groupBy(F.col("l_partkey").alias("k"), ym.alias("ym"))
+           .agg(F.count(F.lit(1)).alias("n"),
+                F.count_if(F.col("l_returnflag") == "R").alias("r"),
+                F.count_if(F.col("l_returnflag") == "N").alias("a"),
+                F.sum("l_quantity").cast("bigint").alias("q")))
+    label = F.concat((F.col("ym") / 100).cast("int").cast("string"), F.lit("-"),
+                     F.lpad((F.col("ym") % 100).cast("string"), 2, "0"))
+    return g.withColumn("observation_month", label)
+
+
+def _loan_id(k):
+    return F.concat(F.lit("LN"), F.lpad(k.cast("string"), 6, "0"))
 
 
 def panel_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (part, ship month): a loan whose arrears walk up and down.
 
     Plan: a partial+final aggregate on (part, month) — a hot part is split by
-    month and pre-combined map-side — then one exchange on the part key for
-    the per-loan windows (each window group holds at most one row per
-    calendar month), and the ``part`` join reuses that partitioning.
+    month and pre-combined map-side — then ONE exchange on ``loan_id`` for the
+    per-loan windows (each window group holds at most one row per calendar
+    month). ``part`` joins on ``loan_id`` too, so the join and every later
+    per-loan window (next state, trajectories) reuse that partitioning: the
+    panel is shuffled once end to end.
     """
-    m = _monthly_lines(spark, sf_dir)
-    w = Window.partitionBy("k").orderBy("observation_month")
+    m = _monthly_lines(spark, sf_dir).withColumn("loan_id", _loan_id(F.col("k")))
+    w = Window.partitionBy("loan_id").orderBy("ym")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("k")
+    whole = Window.partitionBy("loan_id")
     step = F.when(F.col("r") > F.col("a"), 1).when(F.col("r") < F.col("a"), -1).otherwise(0)
     s = (m.withColumn("step", step)
           .withColumn("cs", F.sum("step").over(run))
@@ -105,8 +116,8 @@ def panel_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("days_in_arrears", dpd)
 
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        F.col("p_partkey").alias("k"), "p_brand", "p_type", "p_size", "p_retailprice")
-    j = s.join(part, "k", "inner")
+        _loan_id(F.col("p_partkey")).alias("loan_id"), "p_brand", "p_type", "p_size", "p_retailprice")
+    j = s.join(part, "loan_id", "inner")
 
     k = F.col("k")
     size20 = F.col("p_size") % 20
@@ -122,7 +133,7 @@ def panel_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     qd = q.cast("double")
     state = state_from_dpd(days)
     out = j.select(
-        F.concat(F.lit("LN"), F.lpad(k.cast("string"), 6, "0")).alias("loan_id"),
+        "loan_id",
         F.concat(F.lit("ANON_"), (k % 997).cast("string")).alias("customer_id"),
         "observation_month",
         state.alias("risk_state"),
