@@ -1289,3 +1289,133 @@ STD_FEATS = ["days_in_arrears", "dpd_delta", "months_in_state"]
 def q_standardise(spark, d):
     s = evaluate.standardise(_test(spark, d), STD_FEATS)
     return s.select("loan_id", "observation_month", *[F.round(f"{c}_std", 6).alias(f"{c}_std") for c in STD_FEATS])
+
+
+# ---------------------------------------------------------------------------
+# MLlib models (L1-L15, A26, E22, E24, J8) — rows-only checks
+# ---------------------------------------------------------------------------
+
+_MODELS: dict[tuple, object] = {}
+
+
+def _ml_sets(spark, d):
+    from riskflow.operators import ml
+    sp = evaluate.time_split(pf(spark, d).featured)
+    train = sp.filter(F.col("split") == "train")
+    enc = ml.fit_encodings(train)
+    return ml.apply_encodings(train, enc), ml.apply_encodings(sp.filter(F.col("split") == "test"), enc), enc
+
+
+def _training_set(spark, d):
+    from riskflow.operators import ml
+    train, _, _ = _ml_sets(spark, d)
+    feats = ml.NOTEBOOK_FEATURES
+    return ml.append_synthetic(train, ml.augment_high(train, feats), feats)
+
+
+def _model(spark, d, kind):
+    """Fit once per session/data/kind; the fitted model is reused by the
+    prediction and explanation queries."""
+    from riskflow.operators import ml
+    key = (id(spark), d, kind)
+    if key not in _MODELS:
+        tr = _training_set(spark, d).cache()
+        feats = ml.NOTEBOOK_FEATURES
+        if kind == "logistic":
+            _MODELS[key] = ml.fit_logistic(tr, feats)
+        elif kind == "forest":
+            _MODELS[key] = ml.fit_forest(tr, feats, **FOREST_PARAMS)
+        else:
+            _MODELS[key] = ml.fit_boosted(tr, feats, **BOOSTED_PARAMS)
+    return _MODELS[key]
+
+
+# Model sizes used by the registered queries. The operator defaults follow the
+# reference (300 trees of unlimited depth, 300 boosting rounds per state); the
+# registered queries train smaller models on all rows so that the per-query
+# check finishes in seconds (the reference size takes minutes at sf0.01).
+FOREST_PARAMS: dict = {"num_trees": 50, "max_depth": 12}
+BOOSTED_PARAMS: dict = {"rounds": 20, "depth": 6}
+
+PRED_OUT = ["loan_id", "observation_month", "risk_state", "next_risk_state", "pred", "p_low", "p_medium",
+            "p_high", "p_default", "score", "p_pred", "is_worse", "early_warning_high"]
+
+
+@register("augment_high_balance")
+def q_augment_balance(spark, d):
+    return _training_set(spark, d).groupBy("next_risk_state", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ml_predictions(kind):
+    def run(spark, d):
+        from riskflow.operators import ml
+        _, test, _ = _ml_sets(spark, d)
+        return ml.predict_batch(_model(spark, d, kind), test).select(*PRED_OUT)
+    return run
+
+
+for _kind in ("logistic", "forest", "boosted"):
+    register(f"ml_{_kind}_predictions")(_ml_predictions(_kind))
+
+
+@register("ml_logistic_class_report")
+def q_ml_class_report(spark, d):
+    return evaluate.class_report(_ml_predictions("logistic")(spark, d))
+
+
+@register("ml_logistic_threshold_sweep")
+def q_ml_sweep(spark, d):
+    return evaluate.threshold_sweep(_ml_predictions("logistic")(spark, d))
+
+
+def _snapshot_features(spark, d):
+    from riskflow.operators import ml
+    _, _, enc = _ml_sets(spark, d)
+    snap = pf(spark, d).featured.filter(F.col("observation_month") == SNAPSHOT_MONTH)
+    return ml.apply_encodings(snap, enc)
+
+
+@register("ml_predict_account")
+def q_ml_predict_account(spark, d):
+    from riskflow.operators import ml
+    _, _, enc = _ml_sets(spark, d)
+    latest = account.latest_match(account.account_search(pf(spark, d).featured, SEARCH_TEXT))
+    return ml.predict_account(_model(spark, d, "logistic"), ml.apply_encodings(latest, enc))
+
+
+@register("ml_explain_top5")
+def q_ml_explain(spark, d):
+    from riskflow.operators import ml
+    _, _, enc = _ml_sets(spark, d)
+    m = _model(spark, d, "logistic")
+    latest = ml.apply_encodings(account.latest_match(account.account_search(pf(spark, d).featured,
+                                                                            SEARCH_TEXT)), enc)
+    scored = ml.predict_batch(m, latest).select("loan_id", "pred")
+    c = ml.linear_contributions(m, latest, ["loan_id"])
+    mine = c.join(scored, "loan_id").filter(F.col("class") == F.col("pred"))
+    return ml.driver_direction(ml.explain_top(mine, ["loan_id", "pred"], n=5))
+
+
+@register("ml_global_importance")
+def q_ml_importance(spark, d):
+    from riskflow.operators import ml
+    m = _model(spark, d, "logistic")
+    sample = ml.sample_rows(_snapshot_features(spark, d), 100)
+    return ml.global_importance(ml.linear_contributions(m, sample, ["loan_id"]), "Default")
+
+
+@register("ml_watchlist_top3")
+def q_ml_watchlist_top3(spark, d):
+    from riskflow.operators import ml, watchlist
+    m = _model(spark, d, "logistic")
+    scored = ml.predict_batch(m, _snapshot_features(spark, d))
+    ranked = watchlist.top_n(watchlist.watch_filter(scored, "all_performing"), 100,
+                             F.col("score").desc(), F.col("loan_id"))
+    drivers = ml.top_drivers_text(ml.linear_contributions(m, ranked, ["loan_id"]), ["loan_id"])
+    return ranked.select("loan_id", "risk_state", "pred", "score").join(drivers, "loan_id", "left")
+
+
+@register("sample_rows")
+def q_sample_rows(spark, d):
+    from riskflow.operators import ml
+    return ml.sample_rows(pf(spark, d).verified, 100).select("loan_id", "observation_month", "risk_state")

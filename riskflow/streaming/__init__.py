@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference processes a static monthly panel; it has no streams,
+watermarks, time windows or stateful operators, so nothing here is built.
+Every operator in ``riskflow.operators`` is a plain DataFrame function and
+would run unchanged inside ``foreachBatch`` should a month ever arrive as a
+micro-batch.
+"""
