@@ -64,15 +64,16 @@ def rule_report(panel: DataFrame, key=("loan_id", "observation_month"),
     names = [c for c in j.columns]
     long = j.unpivot([], names, "rule", "violations")
     status = F.when(F.col("violations") == 0, F.lit("PASS")) \
-        .otherwise(F.concat(F.lit("FLAG — "), F.col("violations").cast("string")))
+        .otherwise(F.concat(F.lit("FLAG — "), F.format_number(F.col("violations"), 0), F.lit(" records")))
     return long.select("rule", F.col("violations").cast("bigint").alias("violations"),
                        status.alias("status"))
 
 
 def overall_verdict(report: DataFrame) -> DataFrame:
-    return report.agg(F.count_if(F.col("violations") > 0).alias("n_flagged"),
-                      F.when(F.count_if(F.col("violations") > 0) == 0, F.lit("ALL PASS"))
-                       .otherwise(F.lit("REVIEW")).alias("verdict"))
+    """V12 verdict: PASSED when no rule flags, else FLAGS (review first)."""
+    n = F.count_if(F.col("violations") > 0)
+    return report.agg(n.alias("n_flagged"),
+                      F.when(n == 0, F.lit("PASSED")).otherwise(F.lit("FLAGS")).alias("verdict"))
 
 
 def duplicate_rows(df: DataFrame, key=("loan_id", "observation_month")) -> DataFrame:

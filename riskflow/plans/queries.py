@@ -291,7 +291,7 @@ def _rule_sql(strict: bool, term_nulls: bool) -> str:
     parts.append("SELECT 'V6_duplicate_rows' AS rule, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS violations "
                  "FROM (SELECT count(*) AS c FROM panel GROUP BY loan_id, observation_month) x")
     return B("", "SELECT rule, violations, CASE WHEN violations = 0 THEN 'PASS' "
-                 "ELSE 'FLAG — ' || CAST(violations AS VARCHAR) END AS status FROM (" +
+                 "ELSE 'FLAG — ' || format('{:,}', violations) || ' records' END AS status FROM (" +
              " UNION ALL ".join(parts) + ") r")
 
 
@@ -305,6 +305,14 @@ def q_rule_report_strict(spark, d):
     return validate.rule_report(pf(spark, d).panel, strict_suspended=True, term_nulls_violate=True)
 
 
+@register("rule_verdict", _rule_sql(False, False).replace(
+    "SELECT rule, violations, CASE", "SELECT count(*) FILTER (WHERE violations > 0) AS n_flagged, "
+    "CASE WHEN count(*) FILTER (WHERE violations > 0) = 0 THEN 'PASSED' ELSE 'FLAGS' END AS verdict "
+    "FROM (SELECT rule, violations, CASE", 1) + ") v")
+def q_rule_verdict(spark, d):
+    return validate.overall_verdict(validate.rule_report(pf(spark, d).panel))
+
+
 @register("panel_continuity", B("", """
 SELECT max(a) AS n_months, count(*) FILTER (WHERE m = a) AS complete_loans,
        count(*) FILTER (WHERE m < a) AS incomplete_loans
@@ -1029,6 +1037,23 @@ def q_prediction_summary_filtered(spark, d):
     return watchlist.prediction_summary(watchlist.watch_filter(_scored(spark, d), "fast_deterioration"))
 
 
+@register("high_prob_filter", B(SNAP_SCORE_CTES, """
+SELECT loan_id, days_in_arrears, round(p_default, 6) AS p_default FROM snap_scored
+WHERE risk_state = 'High' AND p_default > 0.1 ORDER BY p_default DESC, loan_id LIMIT 10"""))
+def q_high_prob_filter(spark, d):
+    from riskflow.operators import watchlist
+    s = _scored(spark, d).filter((F.col("risk_state") == "High") & (F.col("p_default") > 0.1))
+    return watchlist.top_n(s, 10, F.col("p_default").desc(), F.col("loan_id")).select(
+        "loan_id", "days_in_arrears", F.round("p_default", 6).alias("p_default"))
+
+
+@register("high_pred_distribution", B(SNAP_SCORE_CTES, """
+SELECT pred, count(*) AS n FROM snap_scored WHERE risk_state = 'High' GROUP BY 1"""))
+def q_high_pred_distribution(spark, d):
+    s = _scored(spark, d).filter(F.col("risk_state") == "High")
+    return s.groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("horizon_risk", B(SNAP_SCORE_CTES + "," + O.power_cte(3) + """,
 hr AS (SELECT i, sum(p) FILTER (WHERE j IN (2, 3)) AS v FROM pw WHERE h = 3 GROUP BY i)""", f"""
 SELECT s.loan_id, round(coalesce(hr.v, 0.0), 6) AS horizon_risk,
