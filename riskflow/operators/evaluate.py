@@ -149,17 +149,29 @@ def model_comparison(metrics: DataFrame, digits: int = 6) -> DataFrame:
                                                           "composite")], "is_best")
 
 
+def test_cutoff(df: DataFrame, n_test_months: int = 2):
+    """First test month: the smallest of the last ``n_test_months`` distinct
+    labelled months, as a scalar subquery (it only reads the month and label
+    columns, and the comparison against it prunes month partitions)."""
+    months = df.filter(F.col("next_risk_state").isNotNull()).select("observation_month").distinct()
+    return months.orderBy(F.col("observation_month").desc()).limit(n_test_months) \
+        .agg(F.min("observation_month").alias("_cut")).scalar()
+
+
 def time_split(df: DataFrame, n_test_months: int = 2, labelled_only: bool = True) -> DataFrame:
     """the last ``n_test_months`` distinct months of the labelled rows are
-    test, the rest train. Distinct months are few; ranking them is a tiny job
-    whose result is broadcast into an equi-join."""
+    test, the rest train (a ``split`` column)."""
     d = df.filter(F.col("next_risk_state").isNotNull()) if labelled_only else df
-    months = d.select("observation_month").distinct()
-    ranked = months.withColumn("_r", F.dense_rank().over(
-        Window.partitionBy(F.lit(0)).orderBy(F.col("observation_month").desc())))
-    tag = ranked.select("observation_month",
-                        F.when(F.col("_r") <= n_test_months, "test").otherwise("train").alias("split"))
-    return d.join(F.broadcast(tag), "observation_month")
+    cut = test_cutoff(df, n_test_months)
+    return d.withColumn("split", F.when(F.col("observation_month") >= cut, "test").otherwise("train"))
+
+
+def train_test(df: DataFrame, n_test_months: int = 2) -> tuple[DataFrame, DataFrame]:
+    """F6 as two filtered tables; the test side reads only its months."""
+    d = df.filter(F.col("next_risk_state").isNotNull())
+    cut = test_cutoff(df, n_test_months)
+    return (d.filter(F.col("observation_month") < cut).withColumn("split", F.lit("train")),
+            d.filter(F.col("observation_month") >= cut).withColumn("split", F.lit("test")))
 
 
 def class_weights(df: DataFrame, label: str = "next_risk_state", out: str = "weight") -> DataFrame:

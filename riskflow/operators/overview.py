@@ -26,10 +26,10 @@ def latest_month(panel: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(panel: DataFrame) -> DataFrame:
-    """rows of the latest month. The max is a one-row global aggregate,
-    broadcast into an equi-join (a scalar subquery)."""
-    m = latest_month(panel)
-    return panel.join(F.broadcast(m), panel["observation_month"] == m["_latest"], "left_semi")
+    """rows of the latest month, filtered by a scalar subquery. On a
+    month-partitioned table the subquery reads only partition values and the
+    filter prunes to one partition at run time."""
+    return panel.filter(F.col("observation_month") == latest_month(panel).scalar())
 
 
 def list_months(panel: DataFrame) -> DataFrame:

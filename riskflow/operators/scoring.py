@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.columns import clip_lower, dpd_band_position, state_from_dpd
 from riskflow.functions.matrix import mat_get
-from riskflow.operators.features import month_index, trajectory_features
+from riskflow.operators.features import TRAJECTORY_COLUMNS, trajectory_features
 from riskflow.schema import ROW_SEQ
 from riskflow.states import STATES, state_code
 
@@ -27,21 +27,21 @@ PROB_COLS = ["p_low", "p_medium", "p_high", "p_default"]
 def prev_month_join(snap: DataFrame, panel: DataFrame, month: str) -> DataFrame:
     """Previous-*panel*-month state and DPD per loan.
 
+    The previous existing month is a scalar subquery (max month below
+    ``month``), so on a month-partitioned panel only that partition is read.
     First panel month -> own state / own DPD; a loan absent last month ->
     own code and DPD 0. Duplicate (loan, month) rows on the right are reduced
     to the last ingested one so the left join cannot fan out.
     """
-    mi = month_index(panel).filter(F.col("observation_month") == month) \
-        .select(F.col("prev_month").alias("_prev_month"))
+    prev_m = panel.filter(F.col("observation_month") < month) \
+        .agg(F.max("observation_month").alias("_pm")).scalar()
     code = state_code("risk_state")
-    prev = (panel.join(F.broadcast(mi), panel["observation_month"] == mi["_prev_month"], "left_semi")
+    prev = (panel.filter(F.col("observation_month") == prev_m)
                  .groupBy("loan_id")
                  .agg(F.max_by(F.struct(code.alias("c"), F.col("days_in_arrears").alias("d")),
                                F.col(ROW_SEQ)).alias("_p")))
     s = snap if "risk_state_code" in snap.columns else snap.withColumn("risk_state_code", code)
-    s = s.withColumn("_g", F.lit(0)).join(
-        F.broadcast(mi.withColumn("_g", F.lit(0))), "_g", "left").drop("_g")
-    j = s.join(prev, "loan_id", "left")
+    j = s.join(prev, "loan_id", "left").withColumn("_prev_month", prev_m)
     first = F.col("_prev_month").isNull()
     prev_code = F.when(first, F.col("risk_state_code")).otherwise(
         F.coalesce(F.col("_p.c"), F.col("risk_state_code"))).cast("int")
@@ -51,16 +51,24 @@ def prev_month_join(snap: DataFrame, panel: DataFrame, month: str) -> DataFrame:
              .withColumn("dpd_delta", F.col("days_in_arrears") - F.col("prev_dpd"))
              .drop("_p", "_prev_month"))
 
+
 def streak_join(snap: DataFrame, panel: DataFrame, month: str) -> DataFrame:
     """J2 + J3: months_in_state at ``month`` from the history of the
-    snapshot's loans (semi-join), null -> 1."""
-    hist = panel.filter(F.col("observation_month") <= month) \
-        .join(snap.select("loan_id").distinct(), "loan_id", "left_semi")
-    t = trajectory_features(hist).filter(F.col("observation_month") == month) \
-        .groupBy("loan_id").agg(F.max_by("months_in_state", F.col(ROW_SEQ)).alias("_mis"))
+    snapshot's loans, null -> 1. A featured panel already stores the streak
+    (computed in the panel's single per-loan window pass), so only the
+    ``month`` partition is read; otherwise the history up to ``month`` of the
+    snapshot's loans (semi-join) goes through the loan window."""
+    if "months_in_state" in panel.columns:
+        t = panel.filter(F.col("observation_month") == month)
+    else:
+        hist = panel.filter(F.col("observation_month") <= month) \
+            .join(snap.select("loan_id").distinct(), "loan_id", "left_semi")
+        t = trajectory_features(hist).filter(F.col("observation_month") == month)
+    t = t.groupBy("loan_id").agg(F.max_by("months_in_state", F.col(ROW_SEQ)).alias("_mis"))
     return snap.join(t, "loan_id", "left") \
         .withColumn("months_in_state", F.coalesce(F.col("_mis"), F.lit(1)).cast("int")).drop("_mis")
 
+
 def snapshot_features(snap: DataFrame, panel: DataFrame, month: str) -> DataFrame:
     """J1 + J2 + E4 for a one-month snapshot (the scoring-time features)."""
     d = prev_month_join(snap, panel, month)
@@ -110,6 +118,7 @@ def score_snapshot(panel: DataFrame, packed: DataFrame, month: str,
     """Snapshot -> J1/J2/E4 features -> deterministic probabilities."""
     from riskflow.operators.overview import snapshot
     snap = snapshot(panel, month, segment)
+    snap = snap.drop(*[c for c in TRAJECTORY_COLUMNS if c in snap.columns])
     return deterministic_scores(snapshot_features(snap, panel, month), packed)
 
 def model_pairs_scored(featured: DataFrame, packed: DataFrame) -> DataFrame:

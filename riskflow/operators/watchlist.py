@@ -84,17 +84,19 @@ def paginate(df: DataFrame, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE,
 
 def watchlist(scored: DataFrame, filter_type: str = "all_deteriorating", page: int = 1,
               page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """WF* -> T1 -> T2 with the record projection (probabilities 4 dp)."""
-    f = watch_filter(scored, filter_type)
-    p = paginate(f, page, page_size)
-    return p.select(
+    """WF* -> T1 -> T2 with the record projection (probabilities 4 dp). The
+    projection comes before paging: column pruning does not cross ``offset``,
+    so this keeps the scan to the record's columns."""
+    f = watch_filter(scored, filter_type).select(
         "loan_id", "customer_id", "segment", "risk_state", "pred",
         F.col("days_in_arrears").cast("int").alias("days_in_arrears"),
         F.col("instalments_in_arrears").cast("int").alias("instalments_in_arrears"),
         "principal_balance",
         F.round("p_default", 4).alias("p_default"), F.round("p_high", 4).alias("p_high"),
-        F.round("p_pred", 4).alias("p_pred"), F.round("score", 4).alias("score"),
-        "is_worse", "total", "total_pages")
+        F.round("p_pred", 4).alias("p_pred"), F.col("score").alias("_score"),
+        F.round("score", 4).alias("score"), "is_worse")
+    p = paginate(f, page, page_size, score="_score")
+    return p.drop("_score")
 
 
 def prediction_summary(scored: DataFrame, by: list[str] | None = None,

@@ -31,6 +31,7 @@ class Portfolio:
         self.spark = spark
         self.source = source
         self.kind = kind
+        self.materialized = False
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -68,28 +69,27 @@ class Portfolio:
         return self.spark.read.parquet(f"{self.source}/lineitem.parquet")
 
     def materialize(self, root: str | None = None) -> "Portfolio":
-        """Write the verified panel (partitioned by month) and the portfolio
-        matrix under ``root`` (default: the session's checkpoint directory,
-        the cluster's shared folder) and return a Portfolio that reads them.
+        """Write the featured panel (verified columns + trajectory features,
+        partitioned by month) and the portfolio matrix under ``root``
+        (default: the session's checkpoint directory, the cluster's shared
+        folder) and return a Portfolio that reads them.
 
-        This is the pipeline's stage boundary: downstream queries read a
-        month-pruned Parquet table instead of re-deriving the panel, and the
+        This is the pipeline's stage boundary: the one per-loan window pass
+        is paid once, downstream queries read month-pruned Parquet, and the
         lineage is cut so a lost executor only re-reads files.
         """
         root = root or ensure_checkpoint_dir(self.spark)
         base = f"{root.rstrip('/')}/riskflow-{uuid.uuid4().hex[:12]}"
-        v = self.verified
-        write_panel(v, f"{base}/verified")
+        f = self.featured
+        verified_cols = self.verified.columns
+        write_panel(f, f"{base}/featured")
         m = Portfolio(self.spark, self.source, self.kind)
+        m.materialized = True
+        table = self.spark.read.schema(f.schema).parquet(f"{base}/featured")
         m.__dict__["panel"] = self.panel
-        m.__dict__["verified"] = self.spark.read.schema(v.schema).parquet(f"{base}/verified")
+        m.__dict__["featured"] = table
+        m.__dict__["verified"] = table.select(*verified_cols)
         m.P.write.mode("overwrite").parquet(f"{base}/P")   # from the written table
         m.__dict__["P"] = self.spark.read.parquet(f"{base}/P")
         m.location = base
         return m
-
-
-def portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
-    return Portfolio(spark, sf_dir)
-
-

@@ -940,7 +940,7 @@ sf2 AS (SELECT * EXCLUDE (raw_bp), {BAND_POS_SQL} AS dpd_band_position
 def _scored(spark, d):
     from riskflow.operators import scoring
     p = pf(spark, d)
-    return scoring.score_snapshot(p.verified, p.P, SNAPSHOT_MONTH)
+    return scoring.score_snapshot(p.featured if p.materialized else p.verified, p.P, SNAPSHOT_MONTH)
 
 
 SCORE_COLS = ["loan_id", "risk_state", "prev_risk_state_code", "prev_dpd", "dpd_delta", "months_in_state",
@@ -1096,7 +1096,7 @@ def _split(spark, d):
 
 
 def _test(spark, d):
-    return _split(spark, d).filter(F.col("split") == "test")
+    return evaluate.train_test(_eval(spark, d))[1]
 
 
 @register("time_split", B(EVAL_CTES, """
@@ -1273,7 +1273,7 @@ SELECT next_risk_state, round(n_all / (k * CAST(nc AS DOUBLE)), 6) AS weight
 FROM (SELECT next_risk_state, count(*) AS nc FROM train GROUP BY 1) c,
      (SELECT count(*) AS n_all, count(DISTINCT next_risk_state) AS k FROM train) t"""))
 def q_class_weights(spark, d):
-    tr = _split(spark, d).filter(F.col("split") == "train")
+    tr = evaluate.train_test(_eval(spark, d))[0]
     w = evaluate.class_weights(tr)
     return w.select("next_risk_state", F.round("weight", 6).alias("weight")).distinct()
 
@@ -1285,7 +1285,7 @@ UNION ALL
 SELECT 'loan_type', value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER)
 FROM (SELECT DISTINCT loan_type AS value FROM train WHERE loan_type IS NOT NULL) l"""))
 def q_label_encoding(spark, d):
-    tr = _split(spark, d).filter(F.col("split") == "train")
+    tr = evaluate.train_test(_eval(spark, d))[0]
     a = evaluate.label_encoding(tr, "segment").select(F.lit("segment").alias("column"), "value", "code")
     b = evaluate.label_encoding(tr, "loan_type").select(F.lit("loan_type").alias("column"), "value", "code")
     return a.unionByName(b)
@@ -1299,7 +1299,7 @@ LEFT JOIN (SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER)
   ON e.value = coalesce(s.segment, 'nan')"""))
 def q_safe_encode(spark, d):
     # the encoding is fitted without SME so that SME rows exercise the unseen path
-    tr = _split(spark, d).filter((F.col("split") == "train") & (F.col("segment") != "SME"))
+    tr = evaluate.train_test(_eval(spark, d))[0].filter(F.col("segment") != "SME")
     enc = evaluate.label_encoding(tr, "segment")
     snap = overview.snapshot(pf(spark, d).verified, SNAPSHOT_MONTH)
     return evaluate.safe_encode(snap, "segment", enc).select("loan_id", "segment", "segment_enc")
@@ -1325,10 +1325,9 @@ _MODELS: dict[tuple, object] = {}
 
 def _ml_sets(spark, d):
     from riskflow.operators import ml
-    sp = evaluate.time_split(pf(spark, d).featured)
-    train = sp.filter(F.col("split") == "train")
+    train, test = evaluate.train_test(pf(spark, d).featured)
     enc = ml.fit_encodings(train)
-    return ml.apply_encodings(train, enc), ml.apply_encodings(sp.filter(F.col("split") == "test"), enc), enc
+    return ml.apply_encodings(train, enc), ml.apply_encodings(test, enc), enc
 
 
 def _training_set(spark, d):
