@@ -1216,15 +1216,6 @@ mm AS (SELECT model, model_order, avg(f1) FILTER (WHERE ap > 0 OR pp > 0) AS mac
               max(rec) FILTER (WHERE state = 'Medium') AS recall_medium FROM mc3 GROUP BY 1, 2)"""
 
 
-def _model_preds(spark, d):
-    from riskflow.functions.columns import state_from_dpd as sfd
-    t = _test(spark, d)
-    return {"scorer": t,
-            "persistence": t.withColumn("pred", F.col("risk_state")),
-            "dpd_projection": t.withColumn("pred", F.coalesce(sfd("projected_dpd_next", None),
-                                                              F.col("risk_state")))}
-
-
 @register("model_comparison", B(EVAL_CTES + "," + MODELS_CTE, """
 SELECT model, round(macro_f1, 6) AS macro_f1, round(recall_high, 6) AS recall_high,
        round(recall_medium, 6) AS recall_medium,
@@ -1233,11 +1224,10 @@ SELECT model, round(macro_f1, 6) AS macro_f1, round(recall_high, 6) AS recall_hi
                           model_order) = 1 AS is_best
 FROM mm"""))
 def q_model_comparison(spark, d):
-    mets = None
-    for i, (name, df) in enumerate(_model_preds(spark, d).items()):
-        m = evaluate.model_metrics(df, name).withColumn("model_order", F.lit(i + 1))
-        mets = m if mets is None else mets.unionByName(m)
-    return evaluate.model_comparison(mets)
+    t = _test(spark, d)
+    preds = {"scorer": F.col("pred"), "persistence": F.col("risk_state"),
+             "dpd_projection": F.coalesce(state_from_dpd("projected_dpd_next", None), F.col("risk_state"))}
+    return evaluate.model_comparison(evaluate.compare_models(t, preds))
 
 
 MT_CTES = """

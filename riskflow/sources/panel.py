@@ -97,17 +97,19 @@ def panel_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     per-loan window (next state, trajectories) reuse that partitioning: the
     panel is shuffled once end to end.
     """
-    m = _monthly_lines(spark, sf_dir).withColumn("loan_id", _loan_id(F.col("k")))
-    w = Window.partitionBy("loan_id").orderBy("ym")
+    m = _monthly_lines(spark, sf_dir).select(
+        "*", _loan_id(F.col("k")).alias("loan_id"), F.lit(0).cast("bigint").alias(ROW_SEQ))
+    # the same window spec as every later per-loan window (loan_window), so
+    # the panel is sorted once for the adapter, next state and trajectories
+    w = Window.partitionBy("loan_id").orderBy("observation_month", ROW_SEQ)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("loan_id")
     step = F.when(F.col("r") > F.col("a"), 1).when(F.col("r") < F.col("a"), -1).otherwise(0)
-    s = (m.withColumn("step", step)
-          .withColumn("cs", F.sum("step").over(run))
-          .withColumn("paid", F.sum(F.when(F.col("step") <= 0, 1).otherwise(0)).over(run))
-          .withColumn("first_month", F.min("observation_month").over(whole)))
-    s = s.withColumn("wv", F.col("cs") - F.least(F.lit(0), F.min("cs").over(run)))
-    s = s.withColumn("mx", F.max("wv").over(run))
+    s = m.select("*", step.alias("step"))
+    s = s.select("*", F.sum("step").over(run).alias("cs"),
+                 F.sum(F.when(F.col("step") <= 0, 1).otherwise(0)).over(run).alias("paid"),
+                 F.min("observation_month").over(run).alias("first_month"))
+    s = s.select("*", (F.col("cs") - F.least(F.lit(0), F.min("cs").over(run))).alias("wv"))
+    s = s.select("*", F.max("wv").over(run).alias("mx"))
     q = F.col("q")
     dpd = (F.when(F.col("mx") >= 4, 91 + q % 120)
             .when(F.col("wv") == 0, F.lit(0))
@@ -156,6 +158,6 @@ def panel_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         (qd * 3.0).alias("accrued_interest"),
         (F.col("n").cast("double") * 1000.0).alias("all_crb"),
         (12.0 + (k % 10)).cast("double").alias("interest_rate"),
-        F.lit(0).cast("bigint").alias(ROW_SEQ),
+        ROW_SEQ,
     )
     return out.select(*PANEL_NAMES, ROW_SEQ)

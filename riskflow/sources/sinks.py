@@ -7,13 +7,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def partitioned_write(df: DataFrame, path: str, col: str, mode: str = "overwrite") -> None:
+    """Write partitioned by ``col`` after a REBALANCE on it: AQE groups rows of
+    a partition value into advisory-sized tasks (a large month is split, small
+    months are merged), so the file count follows the data size instead of
+    tasks x partition values."""
+    df.hint("rebalance", col).write.mode(mode).partitionBy(col).parquet(path)
+
+
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Panel / verified panel, partitioned by month (snapshot reads prune)."""
-    df.write.mode(mode).partitionBy("observation_month").parquet(path)
+    partitioned_write(df, path, "observation_month", mode)
 
 
 def write_transitions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy("observation_month").parquet(path)
+    partitioned_write(df, path, "observation_month", mode)
 
 
 def write_matrix(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -26,7 +34,7 @@ def write_matrix(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
 
 def write_forecasts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One table for all horizons, partitioned by ``horizon`` (one folder each)."""
-    df.write.mode(mode).partitionBy("horizon").parquet(path)
+    partitioned_write(df, path, "horizon", mode)
 
 
 def group_file_key(col: str) -> F.Column:
@@ -35,8 +43,7 @@ def group_file_key(col: str) -> F.Column:
 
 
 def write_group_matrices(df: DataFrame, path: str, group_col: str, mode: str = "overwrite") -> None:
-    df.withColumn("group_key", group_file_key(group_col)) \
-      .write.mode(mode).partitionBy("group_key").parquet(path)
+    partitioned_write(df.withColumn("group_key", group_file_key(group_col)), path, "group_key", mode)
 
 
 def write_watchlist(df: DataFrame, path: str, mode: str = "overwrite") -> None:
