@@ -60,33 +60,37 @@ def fill_features(df: DataFrame, features: list[str]) -> DataFrame:
     return df.fillna(0, subset=features)
 
 
-def verified_panel(panel: DataFrame, key: str = "loan_id",
-                   order=("observation_month", ROW_SEQ)) -> DataFrame:
-    """Cleaned panel + risk_state_code, repayment_ratio, obs_date,
-    loan_age_months, arrears_ratio, next_risk_state(_code)."""
+def verified_columns(panel: DataFrame) -> DataFrame:
+    """Cleaned panel + the row-wise nb01 features (no window)."""
     df = clean_panel(panel)
     if ROW_SEQ not in df.columns:
         df = df.withColumn(ROW_SEQ, F.lit(0).cast("bigint"))
     disb = F.col("disbursed_amount_lcy")
     obs = parse_month("observation_month")
     dd = parse_yyyymmdd("disbursement_date")
-    w = loan_window(key, order)
-    code = state_code("risk_state")
     return df.select(
         *[c for c in df.columns if c != "disbursement_date"],
         dd.alias("disbursement_date"),
-        code.alias("risk_state_code"),
+        state_code("risk_state").alias("risk_state_code"),
         F.when(disb > 0, clip(F.lit(1.0) - F.col("principal_balance") / disb, 0.0, 1.0))
          .otherwise(F.lit(0.0)).alias("repayment_ratio"),
         obs.alias("obs_date"),
         clip_lower(month_diff(obs, dd), 0).cast("int").alias("loan_age_months"),
         safe_ratio_clip(F.col("instalments_in_arrears"), F.col("loan_term_months"))
         .alias("arrears_ratio"),
-        F.lead("risk_state", 1).over(w).alias("next_risk_state"),
-        F.lead(code, 1).over(w).alias("next_risk_state_code"),
     )
 
 
+def verified_panel(panel: DataFrame, key: str = "loan_id",
+                   order=("observation_month", ROW_SEQ)) -> DataFrame:
+    """Cleaned panel + risk_state_code, repayment_ratio, obs_date,
+    loan_age_months, arrears_ratio, next_risk_state(_code) (window path)."""
+    df = verified_columns(panel)
+    w = loan_window(key, order)
+    return df.select("*", F.lead("risk_state", 1).over(w).alias("next_risk_state"),
+                     F.lead("risk_state_code", 1).over(w).alias("next_risk_state_code"))
+
+
 def transition_pairs(verified: DataFrame) -> DataFrame:
     """Rows that have a next state (the saved transitions table)."""
     return verified.filter(F.col("next_risk_state").isNotNull())

@@ -53,35 +53,37 @@ def trajectory_features(df: DataFrame, key: str = "loan_id",
 
 
 def add_dpd_features(df: DataFrame) -> DataFrame:
-    """E4-E10 from dpd, prev_dpd, prev_dpd_2m/3m, codes."""
+    """E4-E10 from dpd, prev_dpd, prev_dpd_2m/3m, codes (three projections,
+    so the plan is analysed three times rather than once per column)."""
     dpd = F.col("days_in_arrears")
-    delta = F.coalesce(dpd - F.col("prev_dpd"), F.lit(0.0))
-    v2 = F.coalesce(dpd - F.col("prev_dpd_2m"), F.lit(0.0))
-    v3 = F.coalesce(dpd - F.col("prev_dpd_3m"), F.lit(0.0))
-    df = df.withColumn("dpd_delta", delta).withColumn("dpd_velocity_2m", v2) \
-           .withColumn("dpd_velocity_3m", v3)
-    proj = clip_lower(dpd + F.col("dpd_delta"), 0.0)
-    sv = F.col("dpd_delta") * 0.6 + F.col("dpd_velocity_2m") / 2.0 * 0.4
-    df = df.withColumn("dpd_band_position", dpd_band_position("risk_state", "days_in_arrears")) \
-           .withColumn("projected_dpd_next", proj) \
-           .withColumn("smooth_velocity", sv)
+    keep = [c for c in df.columns if c not in TRAJECTORY_COLUMNS or c in (
+        "prev_risk_state_code", "prev_dpd", "prev_dpd_2m", "prev_dpd_3m", "months_in_state")]
+    d = df.select(
+        *keep,
+        F.coalesce(dpd - F.col("prev_dpd"), F.lit(0.0)).alias("dpd_delta"),
+        F.coalesce(dpd - F.col("prev_dpd_2m"), F.lit(0.0)).alias("dpd_velocity_2m"),
+        F.coalesce(dpd - F.col("prev_dpd_3m"), F.lit(0.0)).alias("dpd_velocity_3m"),
+        dpd_band_position("risk_state", "days_in_arrears").alias("dpd_band_position"))
+    d = d.select(
+        "*",
+        clip_lower(dpd + F.col("dpd_delta"), 0.0).alias("projected_dpd_next"),
+        (F.col("dpd_delta") * 0.6 + F.col("dpd_velocity_2m") / 2.0 * 0.4).alias("smooth_velocity"))
     p = F.col("projected_dpd_next")
     sp = clip_lower(dpd + F.col("smooth_velocity"), 0.0)
-    df = df.withColumn("smooth_proj_dpd", sp)
-    s = F.col("smooth_proj_dpd")
-    return (df.withColumn("proj_will_be_high", between_flag(p, 31, 90))
-              .withColumn("proj_will_be_default", (p > 90).cast("int"))
-              .withColumn("proj_will_be_medium", between_flag(p, 1, 30))
-              .withColumn("proj_will_be_low", (p == 0).cast("int"))
-              .withColumn("smooth_proj_high", between_flag(s, 31, 90))
-              .withColumn("smooth_proj_default", (s > 90).cast("int"))
-              .withColumn("transitioning_up",
-                          (F.col("risk_state_code") > F.col("prev_risk_state_code")).cast("int"))
-              .withColumn("transitioning_down",
-                          (F.col("risk_state_code") < F.col("prev_risk_state_code")).cast("int"))
-              .withColumn("near_high_threshold", between_flag(dpd, 22, 30))
-              .withColumn("near_default_threshold", between_flag(dpd, 75, 90))
-              .withColumn("near_medium_threshold", between_flag(dpd, 1, 8)))
+    return d.select(
+        "*",
+        sp.alias("smooth_proj_dpd"),
+        between_flag(p, 31, 90).alias("proj_will_be_high"),
+        (p > 90).cast("int").alias("proj_will_be_default"),
+        between_flag(p, 1, 30).alias("proj_will_be_medium"),
+        (p == 0).cast("int").alias("proj_will_be_low"),
+        between_flag(sp, 31, 90).alias("smooth_proj_high"),
+        (sp > 90).cast("int").alias("smooth_proj_default"),
+        (F.col("risk_state_code") > F.col("prev_risk_state_code")).cast("int").alias("transitioning_up"),
+        (F.col("risk_state_code") < F.col("prev_risk_state_code")).cast("int").alias("transitioning_down"),
+        between_flag(dpd, 22, 30).alias("near_high_threshold"),
+        between_flag(dpd, 75, 90).alias("near_default_threshold"),
+        between_flag(dpd, 1, 8).alias("near_medium_threshold"))
 
 
 def month_index(panel: DataFrame) -> DataFrame:
