@@ -1433,3 +1433,41 @@ def q_ml_watchlist_top3(spark, d):
 def q_sample_rows(spark, d):
     from riskflow.operators import ml
     return ml.sample_rows(pf(spark, d).verified, 100).select("loan_id", "observation_month", "risk_state")
+
+
+@register("ml_boosted_explain_top5")
+def q_ml_boosted_explain(spark, d):
+    """L13 for the boosted model: exact TreeSHAP, top 5 for the predicted state."""
+    from riskflow.operators import ml, treeshap
+    _, _, enc = _ml_sets(spark, d)
+    m = _model(spark, d, "boosted")
+    latest = ml.apply_encodings(account.latest_match(account.account_search(pf(spark, d).featured,
+                                                                            SEARCH_TEXT)), enc)
+    scored = ml.predict_batch(m, latest).select("loan_id", "pred")
+    c = treeshap.tree_contributions(m, latest, ["loan_id"])
+    mine = c.join(scored, "loan_id").filter(F.col("class") == F.col("pred"))
+    return ml.driver_direction(ml.explain_top(mine, ["loan_id", "pred"], n=5))
+
+
+@register("ml_boosted_global_importance")
+def q_ml_boosted_importance(spark, d):
+    """A26 for the boosted model over a 100-row sample of the snapshot."""
+    from riskflow.operators import ml, treeshap
+    m = _model(spark, d, "boosted")
+    sample = ml.sample_rows(_snapshot_features(spark, d), 100)
+    return ml.global_importance(treeshap.tree_contributions(m, sample, ["loan_id"]), "Default")
+
+
+@register("ml_forest_explain_top5")
+def q_ml_forest_explain(spark, d):
+    """L13 for the forest: exact TreeSHAP of the class probabilities, top 5
+    for the predicted state of the searched account."""
+    from riskflow.operators import ml, treeshap
+    _, _, enc = _ml_sets(spark, d)
+    m = _model(spark, d, "forest")
+    latest = ml.apply_encodings(account.latest_match(account.account_search(pf(spark, d).featured,
+                                                                            SEARCH_TEXT)), enc)
+    scored = ml.predict_batch(m, latest).select("loan_id", "pred")
+    c = treeshap.tree_contributions(m, latest, ["loan_id"])
+    mine = c.join(scored, "loan_id").filter(F.col("class") == F.col("pred"))
+    return ml.driver_direction(ml.explain_top(mine, ["loan_id", "pred"], n=5))
