@@ -76,3 +76,12 @@ def test_portfolio_skew_safe_switch_gives_same_matrix(spark):
     assert ra == rb
     assert rows(b.featured.select(*sorted(a.featured.columns))) == \
         rows(a.featured.select(*sorted(a.featured.columns)))
+
+
+def test_scanned_panel_runs_the_size_check(spark, tmp_path):
+    from riskflow.plans.pipeline import Portfolio
+    p = panel_from_tpch(spark, "/root/testdata/sf0.001")
+    p.write.parquet(str(tmp_path / "panel"))
+    port = Portfolio(spark, str(tmp_path / "panel"), kind="parquet")
+    assert port.skew_safe is False
+    assert port.P.count() == 1
