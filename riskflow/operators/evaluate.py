@@ -122,22 +122,6 @@ def recall_by_current_state(df: DataFrame, prob: str = "p_high", actual: str = "
                .withColumn("_o", order).orderBy("_o").drop("_o"))
 
 
-def recall_for(df: DataFrame, label: str, actual: str = "next_risk_state", pred: str = "pred") -> F.Column:
-    a = F.col(actual) == label
-    return F.count_if(a & (F.col(pred) == label)) / F.count_if(a)
-
-
-def model_metrics(scored: DataFrame, model: str, actual: str = "next_risk_state",
-                  pred: str = "pred", states: list[str] = STATES) -> DataFrame:
-    """One row of the comparison table: macro F1 and per-class recall."""
-    rep = class_report(scored, actual, pred, states, digits=12)
-    wide = rep.groupBy().agg(
-        F.max(F.when(F.col("label") == "macro avg", F.col("f1"))).alias("macro_f1"),
-        *[F.max(F.when(F.col("label") == s, F.col("recall"))).alias(f"recall_{s.lower()}")
-          for s in states])
-    return wide.select(F.lit(model).alias("model"), "*")
-
-
 def compare_models(df: DataFrame, preds: dict, actual: str = "next_risk_state",
                    states: list[str] = STATES) -> DataFrame:
     """Per-model macro F1 and per-class recall in ONE pass: each row is

@@ -120,8 +120,3 @@ def score_snapshot(panel: DataFrame, packed: DataFrame, month: str,
     snap = snapshot(panel, month, segment)
     snap = snap.drop(*[c for c in TRAJECTORY_COLUMNS if c in snap.columns])
     return deterministic_scores(snapshot_features(snap, panel, month), packed)
-
-def model_pairs_scored(featured: DataFrame, packed: DataFrame) -> DataFrame:
-    """Score every labelled row of a trajectory-featured panel (for evaluation)."""
-    return deterministic_scores(featured, packed)
-

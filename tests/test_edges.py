@@ -178,3 +178,11 @@ def test_prev_month_join_first_month(spark, month, expected):
     else:
         assert j["A"].prev_dpd == 0.0 and j["A"].prev_risk_state_code == 0
         assert j["B"].prev_dpd == 0.0 and j["B"].prev_risk_state_code == 1   # absent last month
+
+
+def test_encode_state_and_dpd_state(spark):
+    df = spark.createDataFrame([("Low", 0.0), ("Default", 95.0), ("Other", 30.5), (None, None)],
+                               "risk_state string, days_in_arrears double")
+    out = clean.with_state_from_dpd(clean.encode_state(df)).collect()
+    assert [r.risk_state_code for r in out] == [0, 3, None, None]
+    assert [r.dpd_state for r in out] == ["Low", "Default", "Unknown", "Unknown"]
