@@ -46,6 +46,14 @@ def max_rows_per_key(df: DataFrame, key: str = KEY) -> int:
     return int(r or 0)
 
 
+def _concat(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """Row-concatenate, skipping empty frames (keeps dtypes stable)."""
+    parts = [f[_CTX] for f in frames if len(f)]
+    if not parts:
+        return pd.DataFrame(columns=_CTX)
+    return pd.concat(parts, ignore_index=True)
+
+
 class _State:
     """What a batch/partition needs from everything before it."""
 
@@ -65,7 +73,7 @@ class _State:
             kc = self.key_count + n_last
         else:
             kc = n_last
-        tail = pd.concat([self.tail, part[_CTX]], ignore_index=True).tail(3).reset_index(drop=True)
+        tail = _concat([self.tail, part[_CTX]]).tail(3).reset_index(drop=True)
         streak = int(mis.iloc[-1]) if mis is not None else self.streak
         return _State(tail, last_key, kc, streak)
 
@@ -74,7 +82,7 @@ def _sequence_batch(part: pd.DataFrame, st: _State, nxt: pd.DataFrame) -> pd.Dat
     """Features of ``part`` (sorted) given the state before it and the row(s)
     after it (``nxt``: the first row of what follows, possibly empty)."""
     n_ctx = len(st.tail)
-    ext = pd.concat([st.tail, part[_CTX], nxt[_CTX]], ignore_index=True)
+    ext = _concat([st.tail, part[_CTX], nxt[_CTX]])
     g = ext.groupby(KEY, sort=False)
     sl = slice(n_ctx, n_ctx + len(part))
     state = ext["risk_state"]
@@ -126,8 +134,9 @@ def _summaries(it):
 def sequence_features(panel: DataFrame, n_partitions: int | None = None) -> DataFrame:
     """Skew-safe equivalent of the per-loan window features (see module doc)."""
     spark = panel.sparkSession
-    from riskflow.session import ensure_checkpoint_dir
+    from riskflow.session import ensure_checkpoint_dir, ensure_package_on_workers
     ensure_checkpoint_dir(spark)
+    ensure_package_on_workers(spark)
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (panel.repartitionByRange(n, KEY, *ORDER).sortWithinPartitions(KEY, *ORDER)
               .checkpoint(eager=True))
@@ -147,7 +156,7 @@ def sequence_features(panel: DataFrame, n_partitions: int | None = None) -> Data
             if r.all_one_key and first_key == st.key and r.streak == r.n and len(st.tail) and \
                     st.tail["risk_state"].iloc[-1] == tail["risk_state"].iloc[-1]:
                 streak = st.streak + r.n
-            full_tail = pd.concat([st.tail, tail], ignore_index=True).tail(3).reset_index(drop=True)
+            full_tail = _concat([st.tail, tail]).tail(3).reset_index(drop=True)
             st = _State(full_tail[_CTX], r.key, kc, streak)
     nxt, following = {}, None
     for r in reversed(rows):

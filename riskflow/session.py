@@ -53,3 +53,28 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     target = conf_dir or fallback or tempfile.mkdtemp(prefix="riskflow-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
+
+
+def ensure_package_on_workers(spark: SparkSession) -> None:
+    """Ship this package to the Python workers (``addPyFile`` of a zip), once
+    per SparkContext. Only the operators that run Python on executors
+    (``mapInPandas``) need it; on a cluster where the package is installed the
+    shipped copy is simply the same code."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_riskflow_shipped", False):
+        return
+    import riskflow
+    pkg = os.path.dirname(os.path.abspath(riskflow.__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="riskflow-pyfiles-"), "riskflow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._riskflow_shipped = True
