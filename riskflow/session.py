@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not (conf_dir or fallback or sc.master.split("[")[0] == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     target = conf_dir or fallback or tempfile.mkdtemp(prefix="riskflow-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
