@@ -4,9 +4,10 @@ Plan
   1. One pass hashes every text (MD5, 128 bits) and writes ids and hashes to
      the shared folder. Only these are grouped: partial counts per map task,
      so a group holding a third of the table arrives as one row per task.
-  2. Hashes shared by several rows are checked byte for byte: per hash the
-     smallest and the largest text must be the same string. The texts of a
-     group are reduced map-side, so no group's texts meet in one task. Hashes
+  2. Hashes shared by several rows are checked byte for byte: their texts are
+     written out, and per hash the smallest and the largest text must be the
+     same string. The texts of a group are reduced map-side, so no group's
+     texts meet in one task. Hashes
      whose texts differ (a collision) are split again by the text itself; their
      table is empty but for collisions, so Spark sees from its file size that
      joins with it need no exchange.
@@ -38,12 +39,10 @@ def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.sha2(text.cast("binary"), 256).alias("_sha"))
 
 
-def _clashes(rows: DataFrame, by_hash: DataFrame) -> DataFrame:
+def _clashes(texts: DataFrame) -> DataFrame:
     """Hashes (``_c``) that stand for more than one text, by comparing bytes."""
-    shared = by_hash.where("_n > 1").select("_h")
-    return (rows.select("_h", "_text").join(shared, "_h", "left_semi")
-                .groupBy("_h").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
-                .where("_lo <> _hi").select(F.col("_h").alias("_c")))
+    return (texts.groupBy("_h").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
+                 .where("_lo <> _hi").select(F.col("_h").alias("_c")))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -57,12 +56,16 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _hashed(df, id_col, text_col)
     ids = stash(rows.select("_id", "_h", "_sha"), "dedup-ids")
     by_hash = stash(ids.groupBy(F.col("_h").alias("_gh")).agg(*members), "dedup-groups")
-    clash = stash(_clashes(rows, by_hash.withColumnRenamed("_gh", "_h")), "dedup-clash")
+    shared = by_hash.where("_n > 1")
+    # written between the join and the grouping: a skewed hash is split in the join
+    # and reduced per task before the grouping's exchange
+    texts = stash(rows.join(shared, rows["_h"] == shared["_gh"], "left_semi"), "dedup-texts")
+    clash = stash(_clashes(texts), "dedup-clash")
 
     whole = ids.join(by_hash, ids["_h"] == by_hash["_gh"]).join(clash, F.col("_gh") == F.col("_c"), "left_anti")
-    apart = rows.join(clash, rows["_h"] == clash["_c"], "left_semi")
-    texts = apart.groupBy(F.col("_text").alias("_gt")).agg(*members)
-    split = apart.join(texts, apart["_text"] == texts["_gt"])
+    apart = texts.join(clash, texts["_h"] == clash["_c"], "left_semi")
+    by_text = apart.groupBy(F.col("_text").alias("_gt")).agg(*members)
+    split = apart.join(by_text, apart["_text"] == by_text["_gt"])
     cols = ["_id", "_sha", "_keep", "_n"]
     return whole.select(*cols).unionByName(split.select(*cols)).select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"),
