@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskflow.llm import exact_dedup, mixing, warc
+from riskflow.llm import exact_dedup, mixing, secret_scan, sentencepiece_codec, warc
 from riskflow.llm.common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.round_trip(documents(spark, sf_dir))
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -82,3 +87,8 @@ FROM g
 """)
 def op6_warc(spark, sf_dir):
     return warc.roundtrip(pages(spark, sf_dir)).drop("bundle")
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.find_secrets(documents(spark, sf_dir))
