@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskflow.llm import exact_dedup, mixing, secret_scan, sentencepiece_codec, warc
+from riskflow.llm import (
+    exact_dedup, fingerprint, html_extract, language_id, mixing, secret_scan, sentencepiece_codec, warc)
 from riskflow.llm.common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,19 @@ def op6_warc(spark, sf_dir):
 @query("op8_secret_scan")
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(documents(spark, sf_dir))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+@query("op5_html_extract")
+def op5_html_extract(spark, sf_dir):
+    return html_extract.extract_pages(pages(spark, sf_dir))
+
+
+@query("op10_fingerprint")
+def op10_fingerprint(spark, sf_dir):
+    return fingerprint.fingerprint_documents(documents(spark, sf_dir))
