@@ -43,8 +43,8 @@ __all__ = ["fit_rarity", "Fingerprinter", "likeness", "fingerprint", "fingerprin
 
 WINDOW = 32
 BINS = 1000
-NEIGHBOURS = 8
-LEAST_WINS = 3
+NEIGHBOURS = 4
+LEAST_WINS = 2
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 HASHES = 5

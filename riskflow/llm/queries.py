@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.llm import (
-    exact_dedup, fingerprint, html_extract, language_id, mixing, secret_scan, sentencepiece_codec, warc)
+    exact_dedup, fingerprint, html_extract, language_id, mixing, order_minhash, secret_scan,
+    sentencepiece_codec, warc)
 from riskflow.llm.common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,8 @@ def op5_html_extract(spark, sf_dir):
 @query("op10_fingerprint")
 def op10_fingerprint(spark, sf_dir):
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
+
+
+@query("op7_order_minhash")
+def op7_order_minhash(spark, sf_dir):
+    return order_minhash.near_duplicate_classes(documents(spark, sf_dir))
