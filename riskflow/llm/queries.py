@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.llm import (
-    exact_dedup, fingerprint, html_extract, language_id, mixing, order_minhash, secret_scan,
+    exact_dedup, fingerprint, html_extract, language_id, lm_scoring, mixing, order_minhash, secret_scan,
     sentencepiece_codec, warc)
-from riskflow.llm.common import documents, pages
+from riskflow.llm.common import documents, labels, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,8 @@ def op10_fingerprint(spark, sf_dir):
 @query("op7_order_minhash")
 def op7_order_minhash(spark, sf_dir):
     return order_minhash.near_duplicate_classes(documents(spark, sf_dir))
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_documents(documents(spark, sf_dir), lm_scoring.target_ids(labels(spark, sf_dir)))
