@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -49,6 +50,9 @@ __all__ = ["MODEL_PATH", "Model", "read_model", "Segmenter", "encode", "decode",
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE_WORDS = 200_000
+CACHE_PAIRS = 300_000
+CHUNK_CHARS = 1_000_000
+_CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -62,7 +66,6 @@ class Model(NamedTuple):
     byte_ids: list[int]
     unknown_id: int
     pieces: list[bytes]      # what each id decodes to
-    longest: int
     dummy_prefix: bool
     key: bytes               # of the model file's content
 
@@ -93,7 +96,7 @@ def read_model(path: str = MODEL_PATH) -> Model:
     if any(re.search(f"[^{MARK}]{MARK}", p) for p in ids):
         raise ValueError("a piece crosses a word boundary")
     return Model(proto.trainer_spec.model_type, scores, ids, byte_ids, unknown, pieces,
-                 max(map(len, ids)), norm.add_dummy_prefix, hashlib.md5(content).digest())
+                 norm.add_dummy_prefix, hashlib.md5(content).digest())
 
 
 def merge(text: str, scores: dict[str, float]) -> list[str]:
@@ -130,12 +133,39 @@ class Segmenter:
 
     def __init__(self, model: Model):
         self.model = model
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.halves: dict[str, list[str]] = {}
+        # segmented words in two generations: the older one is dropped when the younger is full
+        self.words: dict[str, array] = {}
+        self.older: dict[str, array] = {}
         self.steps = 0           # characters whose state was computed
-        self.tails = {p[k:] for p in model.scores for k in range(len(p))}
         self.low = min(model.scores.values()) - 10.0
+        # when a piece is merged: the lower the earlier; characters come before all
+        self.rank = {p: -v for p, v in model.scores.items() if len(p) > 1}
+        # pieces by number, and all pieces as a tree of characters; "" leads to the number
+        self.names = list(model.scores)
+        self.number = {p: k for k, p in enumerate(self.names)}
+        self.value = list(model.scores.values())
+        self.codes = [array("i", [model.ids[p]]) for p in self.names]
+        self.root: dict = {}
+        for k, p in enumerate(self.names):
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = k
+        self.pairs: dict[int, bool] = {}      # by left number * 2^32 + right number
+
+    def _character(self, c: str) -> int:
+        """The number of a single character, which may have no piece."""
+        k = self.number.get(c)
+        if k is None:
+            m = self.model
+            coded = [m.byte_ids[b] for b in c.encode("utf-8", "replace")]
+            k = self.number[c] = len(self.names)
+            self.names.append(c)
+            self.value.append(self.low)
+            self.codes.append(array("i", coded if min(coded) >= 0 else [m.unknown_id]))
+        return k
 
     def _is_whole(self, piece: str) -> bool:
         ok = self.whole.get(piece)
@@ -143,103 +173,160 @@ class Segmenter:
             ok = self.whole[piece] = len(piece) == 1 or merge(piece, self.model.scores) == [piece]
         return ok
 
-    def _may_follow(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both pieces leaves these two."""
-        if len(self.pairs) > 2 * CACHE_WORDS:
+    def _halves(self, piece: str) -> list[str]:
+        """The two pieces whose merge makes ``piece``."""
+        parts = self.halves.get(piece)
+        if parts is None:
+            rest = {piece[i:j]: self.model.scores[piece[i:j]] for i in range(len(piece))
+                    for j in range(i + 1, len(piece) + 1) if j - i < len(piece) and piece[i:j] in self.model.scores}
+            parts = self.halves[piece] = merge(piece, rest)
+        return parts
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        """Whether merging the characters of both pieces leaves these two. Undo
+        their merges from the last one on: at no time may the pieces that touch
+        at the border make a piece that is merged earlier, or at the same time
+        and further left."""
+        if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
-        ok = self._is_whole(right) and merge(left + right, self.model.scores) == [left, right]
-        self.pairs[(left, right)] = ok
+        a, b = self.names[left], self.names[right]
+        rank, limit = self.rank, float("inf")
+        ok = self._is_whole(a) and self._is_whole(b)
+        while ok:
+            joined = rank.get(a + b)
+            if joined is not None and joined < limit:
+                ok = False
+                break
+            ra, rb = rank.get(a, -1.0), rank.get(b, -1.0)
+            if ra > rb:
+                limit, a = ra, self._halves(a)[-1]
+            elif rb >= 0:
+                limit, b = rb + 0.5, self._halves(b)[0]
+            else:
+                break
+        self.pairs[left << 32 | right] = ok
         return ok
 
-    def _step_merge(self, word: str, i: int, last: list[str]) -> str:
-        """The last piece of word[:i]; ``last[j]`` is that of word[:j]."""
-        scores, tails, pairs = self.model.scores, self.tails, self.pairs
-        n, found = 1, [word[i - 1]]
-        while n < i:
-            n += 1
-            piece = word[i - n:i]
-            if piece not in tails:
-                break
-            if piece in scores:
-                found.append(piece)
-        for piece in reversed(found):
-            if len(piece) == i:
-                if self._is_whole(piece):
-                    return piece
-                continue
-            left = last[i - len(piece)]
-            ok = pairs.get((left, piece))
-            if ok is None:
-                ok = self._may_follow(left, piece)
-            if ok:
-                return piece
-        raise AssertionError("a prefix has no segmentation")
-
-    def _step_score(self, word: str, i: int, last: list[str], best: list[float]) -> str:
-        """The same for a unigram model; appends the score to ``best``."""
-        scores, low = self.model.scores, self.low
-        top, choice = float("-inf"), word[i - 1]
-        for n in range(1, min(i, self.model.longest) + 1):
-            piece = word[i - n:i]
-            s = scores.get(piece, low if n == 1 else None)
-            if s is not None and best[i - n] + s > top:
-                top, choice = best[i - n] + s, piece
-        best.append(top)
-        return choice
-
-    def _ids(self, pieces: Iterable[str]) -> list[int]:
-        m, out = self.model, []
-        for p in pieces:
-            k = m.ids.get(p)
-            if k is not None:
-                out.append(k)
-                continue
-            coded = [m.byte_ids[b] for b in p.encode("utf-8", "replace")]
-            out.extend(coded if min(coded) >= 0 else [m.unknown_id])
-        return out
+    def _forward(self, word: str, at: int, open_: list, last: list[int], begin: list[int], best: list[float]) -> None:
+        """States after each character from ``at`` on: ``open_`` gets the places
+        in the tree of the pieces under way, ``last`` the last piece, ``begin``
+        where it begins, ``best`` its score (unigram models only)."""
+        root, number, pairs, bpe = self.root, self.number, self.pairs, self.model.kind == BPE
+        under_way = open_[at]
+        for i in range(at, len(word)):
+            c, moved, choice = word[i], [], None
+            if not bpe:
+                found = []
+                for j, node in under_way:
+                    node = node.get(c)
+                    if node is not None:
+                        moved.append((j, node))
+                        if "" in node:
+                            found.append((best[j] + self.value[node[""]], -j, node[""]))
+                k = self._character(c)
+                score, j, choice = max([*found, (best[i] + self.value[k], -i, k)])
+                begin.append(-j)
+                best.append(score)
+            else:
+                for j, node in under_way:
+                    node = node.get(c)
+                    if node is not None:
+                        moved.append((j, node))
+                        if choice is None:
+                            k = node.get("")
+                            if k is not None:
+                                if j:
+                                    left = last[j]
+                                    ok = pairs.get(left << 32 | k)
+                                    if ok is None:
+                                        ok = self._may_follow(left, k)
+                                else:
+                                    ok = self._is_whole(self.names[k])
+                                if ok:
+                                    choice, start = k, j
+                if choice is None:
+                    # no longer piece fits: the character itself does
+                    choice, start = number.get(c), i
+                    if choice is None:
+                        choice = self._character(c)
+                begin.append(start)
+            node = root.get(c)
+            if node is not None:
+                moved.append((i, node))
+            open_.append(moved)
+            last.append(choice)
+            under_way = moved
 
     def learn(self, words: Iterable[str]) -> None:
         """Segment the words that are not in the table yet."""
-        new = sorted(w for w in words if w not in self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {}
-            new = sorted(set(words))
-        bpe = self.model.kind == BPE
-        before, last, best = "", [""], [0.0]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.older = {}, self.words
+        table, older, new = self.words, self.older, []
+        for w in words:
+            if w not in table:
+                known = older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    table[w] = known
+        new.sort()
+        bpe, codes = self.model.kind == BPE, self.codes
+        before, open_, last, begin, best = "", [[]], [-1], [0], [0.0]
         for word in new:
             if bpe and MARK * 2 in word:
-                self.words[word] = self._ids(merge(word, self.model.scores))
+                out = array("i")
+                for p in merge(word, self.model.scores):
+                    out += codes[self._character(p)]
+                table[word] = out
                 continue
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1:]
-            del best[shared + 1:]
-            for i in range(shared + 1, len(word) + 1):
-                last.append(self._step_merge(word, i, last) if bpe else self._step_score(word, i, last, best))
+            for stack in (open_, last, begin, best):
+                del stack[shared + 1:]
+            self._forward(word, shared, open_, last, begin, best)
             self.steps += len(word) - shared
-            pieces, i = [], len(word)
+            path, i = [], len(word)
             while i:
-                pieces.append(last[i])
-                i -= len(last[i])
-            self.words[word] = self._ids(reversed(pieces))
+                path.append(last[i])
+                i = begin[i]
+            out = array("i")
+            for k in reversed(path):
+                out += codes[k]
+            table[word] = out
             before = word
 
+    def encode_flat(self, texts: list[str | None]) -> tuple[array, list[int]]:
+        """All token ids in a row and the number of tokens of each text."""
+        ids, counts, at = array("i"), [], 0
+        cut = _CUT.findall
+        while at < len(texts):
+            # some texts at a time, so that only their words are held
+            marked, size = [], 0
+            while at < len(texts) and size < CHUNK_CHARS:
+                t = texts[at]
+                at += 1
+                if t:
+                    size += len(t)
+                    t = t.replace(" ", MARK)
+                    marked.append(cut(MARK + t if self.model.dummy_prefix else t))
+                else:
+                    marked.append([])
+            self.learn(set().union(*marked))
+            table = self.words
+            for ws in marked:
+                begin = len(ids)
+                for w in ws:
+                    ids += table[w]
+                counts.append(len(ids) - begin)
+        return ids, counts
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        cut, marked = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"), []
-        for t in texts:
-            if not t:
-                marked.append([])
-                continue
-            t = t.replace(" ", MARK)
-            marked.append(cut.findall(MARK + t if self.model.dummy_prefix else t))
-        self.learn({w for ws in marked for w in ws})
-        table, out = self.words, []
-        for ws in marked:
-            ids: list[int] = []
-            for w in ws:
-                ids += table[w]
-            out.append(ids)
+        ids, counts = self.encode_flat(texts)
+        out, at = [], 0
+        for n in counts:
+            out.append(ids[at:at + n].tolist())
+            at += n
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -259,6 +346,14 @@ def _segmenter(model: Model) -> Segmenter:
     return _SEGMENTERS[model.key]
 
 
+def _lists(ids: array, counts: list[int]):
+    """An Arrow list per text over the flat ids."""
+    import numpy as np
+    import pyarrow as pa
+    values = np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(values, pa.int32()))
+
+
 def _columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -277,9 +372,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import pyarrow as pa
         seg = _segmenter(model.value)
         for batch in batches:
-            ids = seg.encode(batch.column(1).to_pylist())
+            ids, counts = seg.encode_flat(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())],
+                [batch.column(0), _lists(ids, counts), pa.array(counts, pa.int64())],
                 names=["_id", "token_ids", "n_tokens"])
 
     out = _columns(df, id_col, text_col).mapInArrow(
@@ -316,13 +411,16 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seg = _segmenter(model.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = seg.encode(texts)
-            back = [seg.decode(x) for x in ids]
+            ids, counts = seg.encode_flat(texts)
+            digests, same, at = [], [], 0
+            for text, n in zip(texts, counts, strict=True):
+                back = seg.decode(ids[at:at + n])
+                at += n
+                digests.append(hashlib.sha256(back.encode()).hexdigest())
+                same.append(back == text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(len, ids), pa.int64()),
-                 pa.array(ids, pa.list_(pa.int32())),
-                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
-                 pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()),
+                 _lists(ids, counts), pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
                 names=["_id", "n_chars", "n_tokens", "token_ids", "decoded_sha256", "round_trip"])
 
     return _columns(df, id_col, text_col).mapInArrow(
