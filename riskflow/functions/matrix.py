@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "identity", "matmul", "vecmat", "matpow", "powers_upto", "mat_get",
-    "submatrix", "mat_inverse", "identity_like", "row_sums", "mat_has_null", "mat_round",
+    "mat_inverse", "identity_like", "row_sums", "mat_has_null", "mat_round",
 ]
 
 
@@ -71,10 +71,6 @@ def powers_upto(p: Column, n_max: int, k: int) -> Column:
     return out["acc"]
 
 
-def submatrix(m: Column, rows: list[int], cols: list[int]) -> Column:
-    return F.array(*[F.array(*[mat_get(m, i, j) for j in cols]) for i in rows])
-
-
 def row_sums(m: Column) -> Column:
     return F.transform(m, lambda row: F.aggregate(row, F.lit(0.0), lambda a, x: a + x))
 

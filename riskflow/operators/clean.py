@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.columns import (clip, clip_lower, month_diff, parse_month,
                                         parse_yyyymmdd, safe_ratio_clip, state_from_dpd)
+from riskflow.operators.sequence import with_neighbours
 from riskflow.schema import CRITICAL_COLUMNS, FILL_UNKNOWN, FILL_ZERO, ROW_SEQ
 from riskflow.states import STATES, state_code
 
 
-def loan_window(key: str = "loan_id", order=("observation_month", ROW_SEQ)):
-    """The one window every per-loan feature shares: a single exchange on the
-    loan key and a single sort. A loan holds one row per month, so a window
-    group stays small however large the panel grows."""
-    return Window.partitionBy(key).orderBy(*order)
-
-
 def drop_critical_nulls(panel: DataFrame, critical: list[str] = CRITICAL_COLUMNS) -> DataFrame:
     return panel.dropna(subset=critical)
 
@@ -84,11 +78,11 @@ def verified_columns(panel: DataFrame) -> DataFrame:
 def verified_panel(panel: DataFrame, key: str = "loan_id",
                    order=("observation_month", ROW_SEQ)) -> DataFrame:
     """Cleaned panel + risk_state_code, repayment_ratio, obs_date,
-    loan_age_months, arrears_ratio, next_risk_state(_code) (window path)."""
+    loan_age_months, arrears_ratio, next_risk_state(_code)."""
     df = verified_columns(panel)
-    w = loan_window(key, order)
-    return df.select("*", F.lead("risk_state", 1).over(w).alias("next_risk_state"),
-                     F.lead("risk_state_code", 1).over(w).alias("next_risk_state_code"))
+    n = with_neighbours(df, {"state": "risk_state", "code": "risk_state_code"}, lead=True, key=key, order=order)
+    return n.select(*df.columns, F.col("_next.state").alias("next_risk_state"),
+                    F.col("_next.code").alias("next_risk_state_code"))
 
 
 def transition_pairs(verified: DataFrame) -> DataFrame:

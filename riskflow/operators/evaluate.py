@@ -195,9 +195,8 @@ def class_weights(df: DataFrame, label: str = "next_risk_state", out: str = "wei
     """Balanced weight n / (k * n_c) attached to each row. The per-class
     table has one row per class (k rows), so broadcasting it is bounded by k."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k")).withColumn("_g", F.lit(0))
-    w = counts.withColumn("_g", F.lit(0)).join(F.broadcast(tot), "_g").select(
-        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+    every = Window.partitionBy(F.lit(0))       # over k rows
+    w = counts.select(label, (F.sum("_nc").over(every) / (F.count(F.lit(1)).over(every) * F.col("_nc"))).alias(out))
     return df.join(F.broadcast(w), label, "left")
 
 
@@ -221,12 +220,13 @@ def safe_encode(df: DataFrame, col: str, encoding: DataFrame, out: str | None =
 
 def standardise(df: DataFrame, features: list[str], suffix: str = "_std") -> DataFrame:
     """(x - mean) / population std (0 std -> 1, as scikit-learn does).
-    Means and stds are one global aggregate row broadcast back."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in features],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in features]).withColumn("_g", F.lit(0))
-    j = df.withColumn("_g", F.lit(0)).join(F.broadcast(stats), "_g").drop("_g")
+    Means and stds are one scalar (a struct) from one aggregate."""
+    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in features],
+                            *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).alias("_st")).scalar()
+    j = df.withColumn("_st", stats)
+    z = []
     for c in features:
-        sd = F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
-        j = j.withColumn(c + suffix, (F.col(c) - F.col(f"_m_{c}")) / sd)
-    return j.drop(*[f"_m_{c}" for c in features], *[f"_s_{c}" for c in features])
+        sd = F.when(F.col(f"_st.s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_st.s_{c}"))
+        z.append(((F.col(c) - F.col(f"_st.m_{c}")) / sd).alias(c + suffix))
+    return j.select(*df.columns, *z)
 

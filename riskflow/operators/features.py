@@ -1,7 +1,7 @@
 """Per-loan trajectory features (W2-W7) and scalar features.
 
-All window features use the single loan window so the plan has one exchange
-on ``loan_id`` and one sort, whatever subset of features is requested.
+All per-loan features come from one pass over neighbouring rows
+(:mod:`riskflow.operators.sequence`), whatever subset is requested.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.columns import (between_flag, clip, clip_lower, dpd_band_position,
                                         lifecycle_stage, safe_ratio_clip)
-from riskflow.operators.clean import loan_window
+from riskflow.operators.sequence import with_neighbours
 from riskflow.schema import ROW_SEQ
 from riskflow.states import state_code
 
@@ -26,30 +26,22 @@ TRAJECTORY_COLUMNS = [
 
 
 def trajectory_features(df: DataFrame, key: str = "loan_id",
-                        order=("observation_month", ROW_SEQ)) -> DataFrame:
-    """W2-W5 + E4-E10 over the whole panel (previous *row*, gaps collapse)."""
+                        order=("observation_month", ROW_SEQ), with_next: bool = False) -> DataFrame:
+    """W2-W5 + E4-E10 over the whole panel (previous *row*, gaps collapse).
+    ``with_next`` adds the next state (W1) from the same pass."""
     if "risk_state_code" not in df.columns:
         df = df.withColumn("risk_state_code", state_code("risk_state"))
-    w = loan_window(key, order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dpd = F.col("days_in_arrears")
-    code = F.col("risk_state_code")
-    prev_state = F.lag("risk_state", 1).over(w)
-    changed = prev_state.isNull() | (prev_state != F.col("risk_state"))
-    base = df.select(
-        "*",
-        F.coalesce(F.lag(code, 1).over(w), code).cast("int").alias("prev_risk_state_code"),
-        F.coalesce(F.lag(dpd, 1).over(w), F.lit(0.0)).alias("prev_dpd"),
-        F.coalesce(F.lag(dpd, 2).over(w), F.lit(0.0)).alias("prev_dpd_2m"),
-        F.coalesce(F.lag(dpd, 3).over(w), F.lit(0.0)).alias("prev_dpd_3m"),
-        F.row_number().over(w).alias("_rn"),
-        changed.alias("_chg"),
-    )
-    # streak length = rows since the last state change (same window, no regroup)
-    base = base.withColumn(
-        "months_in_state",
-        (F.col("_rn") - F.max(F.when(F.col("_chg"), F.col("_rn"))).over(run) + 1).cast("int"))
-    return add_dpd_features(base.drop("_rn", "_chg"))
+    n = with_neighbours(df, {"state": "risk_state", "code": "risk_state_code", "dpd": "days_in_arrears"}, lags=3,
+                        lead=with_next, run_of="state", key=key, order=order)
+    nxt = [F.col("_next.state").alias("next_risk_state"), F.col("_next.code").alias("next_risk_state_code")]
+    base = n.select(
+        *df.columns, *(nxt if with_next else []),
+        F.coalesce(F.col("_lag1.code"), F.col("risk_state_code")).cast("int").alias("prev_risk_state_code"),
+        F.coalesce(F.col("_lag1.dpd"), F.lit(0.0)).alias("prev_dpd"),
+        F.coalesce(F.col("_lag2.dpd"), F.lit(0.0)).alias("prev_dpd_2m"),
+        F.coalesce(F.col("_lag3.dpd"), F.lit(0.0)).alias("prev_dpd_3m"),
+        F.col("_run").alias("months_in_state"))
+    return add_dpd_features(base)
 
 
 def add_dpd_features(df: DataFrame) -> DataFrame:

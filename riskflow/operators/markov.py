@@ -72,11 +72,8 @@ def _pi0(counts_row):
 
 
 def _with_matrix(dist: DataFrame, packed: DataFrame) -> DataFrame:
-    """Attach the single portfolio matrix to the single snapshot row. Both
-    are global aggregates (exactly one row each), so the broadcast is
-    bounded; they meet on a constant key (an equi-join, not a product)."""
-    m = packed.select(F.lit(0).alias("_g"), "P")
-    return dist.withColumn("_g", F.lit(0)).join(F.broadcast(m), "_g").drop("_g")
+    """Attach the single portfolio matrix (a scalar subquery) to the snapshot row."""
+    return dist.withColumn("P", packed.select("P").scalar())
 
 
 def portfolio_evolution(panel: DataFrame, packed: DataFrame, month=None,
@@ -169,15 +166,21 @@ def horizon_risk_lookup(accounts: DataFrame, packed: DataFrame, horizon: int = 1
 # ---------------------------------------------------------------------------
 
 def absorbing_parts(packed: DataFrame, by: list[str] | None = None, states: list[str] = STATES,
-                    threshold: float = ABSORBING_THRESHOLD) -> DataFrame:
-    """M9 + M11-M14 in one projection: transient/absorbing index sets (by the
-    diagonal threshold), Q, R, N = (I-Q)^-1, B = N.R, t = N.1, singular flag."""
+                    threshold: float = ABSORBING_THRESHOLD,
+                    absorbing: list[str] | None = None) -> DataFrame:
+    """M9 + M11-M14 in one projection: transient/absorbing index sets, Q, R,
+    N = (I-Q)^-1, B = N.R, t = N.1, singular flag. The absorbing states are the
+    named ones, or else those whose diagonal reaches the threshold."""
     by = list(by or [])
     k = len(states)
     P = F.col("P")
     idx = F.sequence(F.lit(0), F.lit(k - 1))
-    t_idx = F.filter(idx, lambda i: mat_get(P, i, i) < threshold)
-    a_idx = F.filter(idx, lambda i: mat_get(P, i, i) >= threshold)
+    if absorbing is None:
+        t_idx = F.filter(idx, lambda i: mat_get(P, i, i) < threshold)
+        a_idx = F.filter(idx, lambda i: mat_get(P, i, i) >= threshold)
+    else:
+        t_idx = F.array(*[F.lit(i) for i, s in enumerate(states) if s not in absorbing])
+        a_idx = F.array(*[F.lit(i) for i, s in enumerate(states) if s in absorbing])
     base = packed.select(*by, "P", t_idx.alias("t_idx"), a_idx.alias("a_idx"))
     Q = F.transform(F.col("t_idx"), lambda i: F.transform(F.col("t_idx"), lambda j: mat_get(P, i, j)))
     R = F.transform(F.col("t_idx"), lambda i: F.transform(F.col("a_idx"), lambda j: mat_get(P, i, j)))
@@ -244,30 +247,33 @@ def _explode_named(parts: DataFrame, by, mat: str, rows_idx: str, cols_idx: str,
 
 
 def canonical_form(packed: DataFrame, by: list[str] | None = None, states: list[str] = STATES,
-                   threshold: float = ABSORBING_THRESHOLD) -> DataFrame:
+                   threshold: float = ABSORBING_THRESHOLD,
+                   absorbing: list[str] | None = None) -> DataFrame:
     """Q and R cells in one long table with a ``block`` column."""
     by = list(by or [])
-    parts = absorbing_parts(packed, by, states, threshold)
+    parts = absorbing_parts(packed, by, states, threshold, absorbing)
     q = _explode_named(parts, by, "Q", "t_idx", "t_idx", states, "p").withColumn("block", F.lit("Q"))
     r = _explode_named(parts, by, "R", "t_idx", "a_idx", states, "p").withColumn("block", F.lit("R"))
     return q.unionByName(r)
 
 
 def fundamental_matrix(packed: DataFrame, by: list[str] | None = None, states: list[str] = STATES,
-                       threshold: float = ABSORBING_THRESHOLD, digits: int = 6) -> DataFrame:
+                       threshold: float = ABSORBING_THRESHOLD,
+                       absorbing: list[str] | None = None, digits: int = 6) -> DataFrame:
     """N = (I - Q)^-1 cells (expected visits); a singular I-Q gives nulls."""
     by = list(by or [])
-    parts = absorbing_parts(packed, by, states, threshold)
+    parts = absorbing_parts(packed, by, states, threshold, absorbing)
     n = _explode_named(parts, by, "N", "t_idx", "t_idx", states, "n_visits")
     return n.withColumn("n_visits", F.round("n_visits", digits))
 
 
 def time_to_absorption(packed: DataFrame, by: list[str] | None = None, states: list[str] = STATES,
-                       threshold: float = ABSORBING_THRESHOLD) -> DataFrame:
+                       threshold: float = ABSORBING_THRESHOLD,
+                       absorbing: list[str] | None = None) -> DataFrame:
     """M13 + M14: absorption probability into Default (B = N.R), expected
     months (row sums of N) and years, per transient state (6 dp / 2 dp / 2 dp)."""
     by = list(by or [])
-    parts = absorbing_parts(packed, by, states, threshold)
+    parts = absorbing_parts(packed, by, states, threshold, absorbing)
     d = states.index(DEFAULT_STATE)
     lab = _labels(states)
     t = parts.select(*by, "t_idx", "a_idx", "B", "t",
@@ -282,21 +288,26 @@ def time_to_absorption(packed: DataFrame, by: list[str] | None = None, states: l
 
 
 def absorption_summary(packed: DataFrame, by: list[str] | None = None, states: list[str] = STATES,
-                       threshold: float = ABSORBING_THRESHOLD) -> DataFrame:
+                       absorbing: tuple[str, ...] = (DEFAULT_STATE,)) -> DataFrame:
     """Per transient state probability (4 dp), months and years
-    (1 dp) and the Default self-transition (4 dp), recomputed from P."""
+    (1 dp), the expected visits to each transient state (``visits_<state>``, 4 dp)
+    and the Default self-transition (4 dp), recomputed from P. The absorbing
+    states are named: a state that rarely moves stays transient."""
     by = list(by or [])
-    parts = absorbing_parts(packed, by, states, threshold)
+    parts = absorbing_parts(packed, by, states, absorbing=list(absorbing))
     d = states.index(DEFAULT_STATE)
     lab = _labels(states)
-    t = parts.select(*by, "P", "a_idx", "B", "t", F.posexplode("t_idx").alias("_i", "_state_idx"))
+    names = [s for s in states if s not in absorbing]
+    t = parts.select(*by, "P", "a_idx", "B", "t", "N", F.posexplode("t_idx").alias("_i", "_state_idx"))
     pos_d = F.array_position(F.col("a_idx"), F.lit(d)).cast("int")
     bprob = F.when(pos_d > 0, F.get(F.get(F.col("B"), F.col("_i")), pos_d - 1))
     months = F.get(F.col("t"), F.col("_i"))
+    visits = F.get(F.col("N"), F.col("_i"))
     return t.select(*by, F.element_at(lab, F.col("_state_idx") + 1).alias("state"),
                     F.round(bprob, 4).alias("probability"),
                     F.round(months, 1).alias("months"),
                     F.round(months / 12.0, 1).alias("years"),
+                    *[F.round(F.get(visits, F.lit(k)), 4).alias(f"visits_{s.lower()}") for k, s in enumerate(names)],
                     F.round(mat_get(F.col("P"), d, d), 4).alias("default_self_transition"))
 
 

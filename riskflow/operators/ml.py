@@ -195,9 +195,9 @@ def _scaling_row(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _apply_scaling(df: DataFrame, scaling: DataFrame, features: list[str]) -> DataFrame:
-    """Adds ``<f>_z`` standardised columns using the one-row statistics table
-    (broadcast on a constant key; its size is fixed by the feature count)."""
-    j = df.withColumn("_g", F.lit(0)).join(F.broadcast(scaling.withColumn("_g", F.lit(0))), "_g")
+    """Adds ``<f>_z`` standardised columns using the one-row statistics table (a
+    scalar subquery)."""
+    j = df.withColumn("_st", scaling.select(F.struct("*").alias("_st")).scalar()).select("*", "_st.*")
     zs = []
     for f in features:
         sd = F.when(F.col(f"_s_{f}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{f}"))

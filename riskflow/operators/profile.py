@@ -32,13 +32,12 @@ def total_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def value_distribution(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
-    """Count and percent of total per value. The total is a one-row sum
-    over the aggregated groups, broadcast back on a constant key; no step
-    gathers the groups into one task."""
+    """Count and percent of total per value. The total is a
+    scalar over the same groups (their exchange is reused); no step gathers
+    the groups into one task."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    tot = g.agg(F.sum("count").alias("_tot")).withColumn("_g", F.lit(0))
-    j = g.withColumn("_g", F.lit(0)).join(F.broadcast(tot), "_g")
-    return j.select(col, "count", F.round(F.col("count") * 100.0 / F.col("_tot"), digits).alias("pct"))
+    total = g.agg(F.sum("count").alias("_tot")).scalar()
+    return g.select(col, "count", F.round(F.col("count") * 100.0 / total, digits).alias("pct"))
 
 
 def describe(df: DataFrame, col: str, digits: int = 1, approx: bool = False) -> DataFrame:

@@ -81,8 +81,7 @@ def deterministic_scores(feat: DataFrame, packed: DataFrame, states: list[str] =
     The probabilities are one array column (``_probs``) so that the argmax,
     ``p_pred`` and ``is_worse`` read it instead of re-inlining the scorer."""
     k = len(states)
-    m = packed.select(F.lit(0).alias("_g"), F.col("P").alias("_P"))
-    d = feat.withColumn("_g", F.lit(0)).join(F.broadcast(m), "_g").drop("_g")
+    d = feat.withColumn("_P", packed.select("P").scalar())
     cur = state_code("risk_state", states)
     proj = clip_lower(F.col("days_in_arrears") + F.coalesce(F.col("dpd_delta"), F.lit(0.0)), 0.0)
     band = state_code(state_from_dpd(proj, unknown=None), states)

@@ -1,198 +1,76 @@
-"""Skew-safe per-loan sequence features.
-
-The window path (``clean.verified_panel`` + ``features.trajectory_features``)
-puts every row of a loan in one task. A loan's rows are bounded by its
-months unless it carries many duplicate copies; if one loan (or one group of
-copies) holds a large share of the panel, that task would straggle. This
-path computes the same columns without grouping by loan:
-
-1. range-partition and sort by (loan_id, observation_month, row_seq) and
-   checkpoint, so a hot loan is spread over many partitions whose contents
-   are fixed (the checkpoint lives in the cluster's checkpoint directory);
-2. one ``mapInPandas`` pass emits a one-row summary per partition (its first
-   row, last three rows, run lengths); the driver folds these O(#partitions)
-   rows into the carry-in of every partition (the rows just before it, the
-   row just after it, the streak and row count of the loan it starts in);
-3. a second ``mapInPandas`` pass computes next state, lags and streaks per
-   Arrow batch, carrying the same state from batch to batch.
-
-The result equals the window path row for row (tested), for
-next_risk_state(_code), prev_risk_state_code, prev_dpd(_2m/_3m) and
-months_in_state.
+"""Values of neighbouring rows of a loan without gathering the loan.
+
+A loan may hold any number of rows (duplicate copies are kept), so a window
+over the whole loan could put most of a panel into one task. Rows are instead
+windowed inside buckets of (loan, month, ``BLOCK_ROWS`` of ingestion order); one
+summary row per bucket goes through a window over the loan, and what it carries
+in - the last rows before the bucket, the first row after it, the length of the
+run that reaches it - joins the bucket's rows. A loan's summary has one row per
+month and block. The result equals the window over the whole loan.
 """
 
 from __future__ import annotations
 
-import io
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskflow.schema import ROW_SEQ
-from riskflow.states import STATES
-
-KEY = "loan_id"
-ORDER = ["observation_month", ROW_SEQ]
-_CTX = ["loan_id", "risk_state", "days_in_arrears"]
-_CODE = {s: i for i, s in enumerate(STATES)}
-
-
-def max_rows_per_key(df: DataFrame, key: str = KEY) -> int:
-    """The size check: the largest group a per-key window would hold (one
-    partial aggregate, one number to the driver)."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(r or 0)
-
-
-def _concat(frames: list[pd.DataFrame]) -> pd.DataFrame:
-    """Row-concatenate, skipping empty frames (keeps dtypes stable)."""
-    parts = [f[_CTX] for f in frames if len(f)]
-    if not parts:
-        return pd.DataFrame(columns=_CTX)
-    return pd.concat(parts, ignore_index=True)
-
-
-class _State:
-    """What a batch/partition needs from everything before it."""
-
-    def __init__(self, tail=None, key=None, key_count=0, streak=0):
-        self.tail = tail if tail is not None else pd.DataFrame(columns=_CTX)  # last <= 3 rows
-        self.key = key            # loan of the last row seen
-        self.key_count = key_count  # rows of that loan seen so far
-        self.streak = streak      # months_in_state of the last row seen
-
-    def advance(self, part: pd.DataFrame, mis: pd.Series | None = None) -> "_State":
-        if len(part) == 0:
-            return self
-        last_key = part[KEY].iloc[-1]
-        same = (part[KEY] == last_key).to_numpy()
-        n_last = int(same[::-1].cumprod().sum())          # trailing rows of the last loan
-        if n_last == len(part) and last_key == self.key:
-            kc = self.key_count + n_last
-        else:
-            kc = n_last
-        tail = _concat([self.tail, part[_CTX]]).tail(3).reset_index(drop=True)
-        streak = int(mis.iloc[-1]) if mis is not None else self.streak
-        return _State(tail, last_key, kc, streak)
-
-
-def _sequence_batch(part: pd.DataFrame, st: _State, nxt: pd.DataFrame) -> pd.DataFrame:
-    """Features of ``part`` (sorted) given the state before it and the row(s)
-    after it (``nxt``: the first row of what follows, possibly empty)."""
-    n_ctx = len(st.tail)
-    ext = _concat([st.tail, part[_CTX], nxt[_CTX]])
-    g = ext.groupby(KEY, sort=False)
-    sl = slice(n_ctx, n_ctx + len(part))
-    state = ext["risk_state"]
-    lead = g["risk_state"].shift(-1).iloc[sl].to_numpy()
-    lag_state = g["risk_state"].shift(1).iloc[sl].reset_index(drop=True)
-    lags = {k: g["days_in_arrears"].shift(k).iloc[sl].to_numpy() for k in (1, 2, 3)}
-    cur = state.iloc[sl].reset_index(drop=True)
-    code = cur.map(_CODE)
-    lag_code = lag_state.map(_CODE)
-    out = part.copy()
-    out["next_risk_state"] = lead
-    out["next_risk_state_code"] = pd.Series(lead).map(_CODE).astype("Int32").to_numpy()
-    out["prev_risk_state_code"] = lag_code.fillna(code).astype("Int32").to_numpy()
-    out["prev_dpd"] = pd.Series(lags[1]).fillna(0.0).to_numpy()
-    out["prev_dpd_2m"] = pd.Series(lags[2]).fillna(0.0).to_numpy()
-    out["prev_dpd_3m"] = pd.Series(lags[3]).fillna(0.0).to_numpy()
-    # streak: rows since the last state change of the same loan
-    changed = (lag_state.isna() | (lag_state != cur)).to_numpy()
-    keys = part[KEY].reset_index(drop=True)
-    sid = pd.Series(changed.astype("int64")).groupby(keys).cumsum()
-    pos = pd.Series(1, index=sid.index).groupby([keys, sid]).cumsum()
-    carry = (keys == st.key) & (sid == 0)                 # continues the streak from before
-    mis = pos + carry.astype("int64") * st.streak
-    out["months_in_state"] = mis.astype("int32").to_numpy()
-    return out
-
-
-def _summaries(it):
-    """Pass 1: one row per partition: its size, first row and end state."""
-    from pyspark import TaskContext
-    pid = TaskContext.get().partitionId()
-    st, first, n = _State(), None, 0
-    for b in it:
-        if len(b) == 0:
-            continue
-        if first is None:
-            first = b[_CTX].iloc[:1]
-        feats = _sequence_batch(b, st, b[_CTX].iloc[0:0])
-        st = st.advance(b, feats["months_in_state"])
-        n += len(b)
-    yield pd.DataFrame({"pid": [pid], "n": [n],
-                        "first": [None if first is None else first.to_json(orient="records")],
-                        "tail": [st.tail.to_json(orient="records")], "key": [st.key],
-                        "key_count": [st.key_count], "streak": [st.streak],
-                        "all_one_key": [n > 0 and st.key_count == n and first is not None
-                                        and first[KEY].iloc[0] == st.key]})
-
-
-def sequence_features(panel: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """Skew-safe equivalent of the per-loan window features (see module doc)."""
-    spark = panel.sparkSession
-    from riskflow.session import ensure_checkpoint_dir, ensure_package_on_workers
-    ensure_checkpoint_dir(spark)
-    ensure_package_on_workers(spark)
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (panel.repartitionByRange(n, KEY, *ORDER).sortWithinPartitions(KEY, *ORDER)
-              .checkpoint(eager=True))
-    summ_schema = ("pid int, n long, first string, tail string, key string, key_count long, "
-                   "streak long, all_one_key boolean")
-    rows = sorted(s.mapInPandas(_summaries, summ_schema).collect(), key=lambda r: r.pid)
-    # driver fold over one row per partition: carry-in before and the row after each partition
-    carry, st = {}, _State()
-    for r in rows:
-        carry[r.pid] = st
-        if r.n:
-            tail = pd.read_json(io.StringIO(r.tail), orient="records") if r.tail else st.tail
-            first_key = pd.read_json(io.StringIO(r.first), orient="records")[KEY].iloc[0]
-            kc = st.key_count + r.key_count if (r.all_one_key and first_key == st.key) else r.key_count
-            # a partition that is one unbroken run of the previous loan and state extends its streak
-            streak = r.streak
-            if r.all_one_key and first_key == st.key and r.streak == r.n and len(st.tail) and \
-                    st.tail["risk_state"].iloc[-1] == tail["risk_state"].iloc[-1]:
-                streak = st.streak + r.n
-            full_tail = _concat([st.tail, tail]).tail(3).reset_index(drop=True)
-            st = _State(full_tail[_CTX], r.key, kc, streak)
-    nxt, following = {}, None
-    for r in reversed(rows):
-        nxt[r.pid] = following
-        if r.n:
-            following = r.first
-    ctx = spark.sparkContext.broadcast({p: (c.tail.to_json(orient="records"), c.key, c.key_count,
-                                            c.streak, nxt[p]) for p, c in carry.items()})
-
-    def run(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        tail_js, key, kc, streak, after = ctx.value.get(pid, ("[]", None, 0, 0, None))
-        tail = pd.read_json(io.StringIO(tail_js), orient="records") if tail_js != "[]" \
-            else pd.DataFrame(columns=_CTX)
-        st = _State(tail.reindex(columns=_CTX), key, kc, streak)
-        after_df = pd.read_json(io.StringIO(after), orient="records") if after \
-            else pd.DataFrame(columns=_CTX)
-        held = None   # the previous batch, waiting for the first row of the next one
-        for b in it:
-            if len(b) == 0:
-                continue
-            if held is not None:
-                pb, pst = held
-                yield _sequence_batch(pb, pst, b[_CTX].iloc[:1])
-            feats_st = _sequence_batch(b, st, b[_CTX].iloc[0:0])
-            held = (b, st)
-            st = st.advance(b, feats_st["months_in_state"])
-        if held is not None:
-            pb, pst = held
-            yield _sequence_batch(pb, pst, after_df.reindex(columns=_CTX))
 
-    extra = [T.StructField("next_risk_state", T.StringType()),
-             T.StructField("next_risk_state_code", T.IntegerType()),
-             T.StructField("prev_risk_state_code", T.IntegerType()),
-             T.StructField("prev_dpd", T.DoubleType()), T.StructField("prev_dpd_2m", T.DoubleType()),
-             T.StructField("prev_dpd_3m", T.DoubleType()), T.StructField("months_in_state", T.IntegerType())]
-    schema = T.StructType(list(s.schema.fields) + extra)
-    return s.mapInPandas(run, schema)
+BLOCK_ROWS = 100_000
+
+
+def with_neighbours(df: DataFrame, payload: dict[str, Column | str], lags: int = 0, lead: bool = False,
+                    run_of: str | None = None, key: str = "loan_id",
+                    order=("observation_month", ROW_SEQ)) -> DataFrame:
+    """Adds ``_lag1.._lagN`` and ``_next`` (structs of ``payload``, null past the
+    loan's ends) and ``_run``: rows since the payload field ``run_of`` last
+    changed, counted from 1. Ties of the order are broken arbitrarily, as in a
+    window. Without the ingestion order a bucket is a loan's month."""
+    month, seq = order[0], (order[1] if len(order) > 1 and order[1] in df.columns else None)
+    block = F.floor(F.col(seq) / BLOCK_ROWS) if seq else F.lit(0).cast("bigint")
+    me = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in payload.items()])
+    rows = df.withColumn("_me", me).withColumn("_blk", block)
+    bucket = Window.partitionBy(key, month, "_blk").orderBy(F.col(seq) if seq else F.lit(0))
+    so_far = bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = [F.row_number().over(bucket).alias("_r"), F.lead("_me").over(bucket).alias("_after"),
+            F.first("_me").over(so_far).alias("_first")]
+    cols += [F.lag("_me", k).over(bucket).alias(f"_p{k}") for k in range(1, max(lags, 1) + 1)]
+    rows = rows.select("*", *cols)
+    if run_of:
+        changed = (F.col("_r") > 1) & ~F.col("_p1")[run_of].eqNullSafe(F.col("_me")[run_of])
+        rows = rows.withColumn("_turn", F.max(F.when(changed, F.col("_r"))).over(so_far))
+    else:
+        rows = rows.withColumn("_turn", F.lit(None).cast("int"))
+
+    # one row per bucket: its last row knows everything the neighbours need
+    last = rows.where(F.col("_after").isNull()).select(
+        F.col(key).alias("_k"), F.col(month).alias("_m"), F.col("_blk").alias("_b"), "_first", "_me",
+        F.col("_r").alias("_n"), (F.col("_r") - F.col("_turn") + 1).alias("_tail"),
+        F.filter(F.array("_me", *[f"_p{k}" for k in range(1, lags)]), lambda x: x.isNotNull()).alias("_end"))
+    loan = Window.partitionBy("_k").orderBy("_m", "_b")
+    upto = loan.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nothing = F.array().cast(last.schema["_end"].dataType)
+    before = F.concat(*[F.coalesce(F.lag("_end", k).over(loan), nothing) for k in range(1, max(lags, 1) + 1)])
+    s = last.select("*", F.slice(before, 1, max(lags, 1)).alias("_before"), F.lead("_first").over(loan).alias("_then"))
+    if run_of:
+        joins = F.coalesce(F.lag("_me").over(loan)[run_of].eqNullSafe(F.col("_first")[run_of])
+                           & F.lag("_n").over(loan).isNotNull(), F.lit(False))
+        s = s.withColumn("_joins", joins)
+        s = s.withColumn("_adds", F.coalesce("_tail", "_n"))
+        s = s.withColumn("_sum", F.sum("_adds").over(upto))
+        starts = F.col("_tail").isNotNull() | ~F.col("_joins")
+        s = s.withColumn("_base", F.last(F.when(starts, F.col("_sum") - F.col("_adds")), ignorenulls=True).over(upto))
+        s = s.withColumn("_carry", F.when(F.col("_joins"), F.lag(F.col("_sum") - F.col("_base")).over(loan)).otherwise(0))
+    else:
+        s = s.withColumn("_carry", F.lit(0))
+    s = s.select(F.col("_k"), F.col("_m"), F.col("_b"), "_before", "_then", "_carry")
+
+    j = rows.join(s, (rows[key] == s["_k"]) & (rows[month] == s["_m"]) & (rows["_blk"] == s["_b"]), "left")
+    out = [F.coalesce(F.col(f"_p{k}"), F.when(F.col("_r") <= k, F.get("_before", F.lit(k) - F.col("_r")))).alias(f"_lag{k}")
+           for k in range(1, lags + 1)]
+    if lead:
+        out.append(F.coalesce("_after", "_then").alias("_next"))
+    if run_of:
+        out.append(F.coalesce(F.col("_r") - F.col("_turn") + 1, F.col("_r") + F.coalesce("_carry", F.lit(0)))
+                   .cast("int").alias("_run"))
+    return j.select(*df.columns, *out)

@@ -11,11 +11,12 @@ per group per map task. Matrices come out in two interchangeable forms:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.columns import lifecycle_stage  # noqa: F401
 from riskflow.functions.matrix import mat_get
+from riskflow.operators.sequence import with_neighbours
 from riskflow.states import STATES
 
 
@@ -177,9 +178,8 @@ def model_transition_matrix(df: DataFrame, pred_col: str = "pred", key: str = "l
                             order=("observation_month", "row_seq"),
                             states: list[str] = STATES) -> DataFrame:
     """Predicted state x next row's predicted state, per loan (row shift)."""
-    w = Window.partitionBy(key).orderBy(*[o for o in order if o in df.columns])
-    pairs = df.withColumn("_next_pred", F.lead(pred_col).over(w)).filter(
-        F.col("_next_pred").isNotNull())
+    pairs = with_neighbours(df, {"p": pred_col}, lead=True, key=key, order=order).select(
+        pred_col, F.col("_next.p").alias("_next_pred")).filter(F.col("_next_pred").isNotNull())
     return transition_matrix_packed(pairs, [], states, pred_col, "_next_pred", empty_row="zero")
 
 

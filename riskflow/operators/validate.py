@@ -42,25 +42,20 @@ def rule_predicates(suspended_dpd: float = 90, strict_suspended: bool = False,
 def rule_report(panel: DataFrame, key=("loan_id", "observation_month"),
                 strict_suspended: bool = False, term_nulls_violate: bool = False,
                 critical: list[str] = CRITICAL_COLUMNS) -> DataFrame:
-    """One aggregate over the panel plus one over the duplicate-key
-    counts, unpivoted to ``(rule, violations, status)``.
-
-    V6 (duplicates after the first) = rows - distinct keys; it is computed as
-    a grouped count of the key, so it partitions on the key like any join.
+    """V1-V12 in one pass, unpivoted to ``(rule, violations, status)``: partial
+    counts per (loan, month), then their sums. V6 (duplicates after the first)
+    is the rows of each key beyond one.
     """
     preds = rule_predicates(strict_suspended=strict_suspended,
                             term_nulls_violate=term_nulls_violate)
     any_null = F.lit(False)
     for c in critical:
         any_null = any_null | F.col(c).isNull()
-    aggs = [F.count_if(p).alias(n) for n, p in preds]
-    aggs.append(F.count_if(any_null).alias("V11_critical_nulls"))
-    wide = panel.agg(*aggs).withColumn("_g", F.lit(0))
-    dups = (panel.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-                 .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint")
-                      .alias("V6_duplicate_rows"))
-                 .withColumn("_g", F.lit(0)))
-    j = wide.join(F.broadcast(dups), "_g").drop("_g")
+    preds = [*preds, ("V11_critical_nulls", any_null)]
+    by_key = panel.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(p).alias(n) for n, p in preds])
+    zero = F.lit(0).cast("bigint")
+    j = by_key.agg(*[F.coalesce(F.sum(n), zero).alias(n) for n, _ in preds],
+                   F.coalesce(F.sum(F.col("_n") - 1), zero).alias("V6_duplicate_rows"))
     names = [c for c in j.columns]
     long = j.unpivot([], names, "rule", "violations")
     status = F.when(F.col("violations") == 0, F.lit("PASS")) \
@@ -83,11 +78,16 @@ def duplicate_rows(df: DataFrame, key=("loan_id", "observation_month")) -> DataF
 
 
 def panel_continuity(panel: DataFrame, key: str = "loan_id") -> DataFrame:
-    """Loans observed in every panel month vs fewer. Two small
-    aggregates: months per loan, then a count against the panel's month count."""
-    per_loan = panel.groupBy(key).agg(F.countDistinct("observation_month").alias("_m"))
-    n_months = panel.agg(F.countDistinct("observation_month").alias("_all")).withColumn("_g", F.lit(0))
-    j = per_loan.withColumn("_g", F.lit(0)).join(F.broadcast(n_months), "_g")
-    return j.agg(F.first("_all").alias("n_months"),
-                 F.count_if(F.col("_m") == F.col("_all")).alias("complete_loans"),
-                 F.count_if(F.col("_m") < F.col("_all")).alias("incomplete_loans"))
+    """Loans observed in every panel month vs fewer. One pass to the
+    distinct (loan, month) pairs; months per loan and the panel's month count
+    (a scalar) both come from them."""
+    seen = panel.select(key, "observation_month").where(F.col("observation_month").isNotNull()).distinct()
+    months = seen.agg(F.countDistinct("observation_month").alias("_all")).scalar()
+    # loans without any month have none of the panel's months
+    per_loan = panel.groupBy(key).agg(F.lit(0).alias("_z")).join(
+        seen.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_m")),
+        F.col(key).eqNullSafe(F.col("_k")), "left").select(F.coalesce("_m", F.lit(0)).alias("_m"))
+    return per_loan.withColumn("_all", months).agg(
+        F.first("_all").alias("n_months"),
+        F.count_if(F.col("_m") == F.col("_all")).alias("complete_loans"),
+        F.count_if(F.col("_m") < F.col("_all")).alias("incomplete_loans"))

@@ -39,7 +39,7 @@ s5 AS (
                       WHEN wv = 1 THEN 1 + q % 30 ELSE 31 + q % 60 END AS DOUBLE) AS dpd
   FROM s4),
 panel AS (
-  SELECT 'LN' || lpad(CAST(k AS VARCHAR), 6, '0') AS loan_id,
+  SELECT 'LN' || CASE WHEN k < 100000 THEN lpad(CAST(k AS VARCHAR), 6, '0') ELSE CAST(k AS VARCHAR) END AS loan_id,
          'ANON_' || CAST(k % 997 AS VARCHAR) AS customer_id,
          observation_month,
          CASE WHEN dpd = 0 THEN 'Low' WHEN dpd >= 1 AND dpd <= 30 THEN 'Medium'

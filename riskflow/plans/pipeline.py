@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 
-from riskflow.operators import clean, features, sequence, transitions
+from riskflow.operators import clean, features, transitions
 from riskflow.operators.overview import latest_snapshot
 from riskflow.session import ensure_checkpoint_dir
 from riskflow.sources.panel import panel_from_tpch, scan_panel
@@ -24,32 +24,14 @@ from riskflow.sources.sinks import write_panel
 SNAPSHOT_MONTH = "2001-06"
 SNAPSHOT_SEGMENT = "SME"
 SEARCH_TEXT = "LN0001"
-# A loan with more rows than this (duplicate copies) switches the per-loan
-# features to the skew-safe path.
-HOT_KEY_ROWS = 100_000
 
 
 class Portfolio:
-    def __init__(self, spark: SparkSession, source: str, kind: str = "tpch",
-                 skew_safe: bool | None = None):
+    def __init__(self, spark: SparkSession, source: str, kind: str = "tpch"):
         self.spark = spark
         self.source = source
         self.kind = kind
         self.materialized = False
-        self._skew_safe = skew_safe
-
-    @cached_property
-    def skew_safe(self) -> bool:
-        """Per-loan windows hold every row of a loan in one task. When the
-        size check finds a loan above ``HOT_KEY_ROWS`` rows (duplicate copies),
-        the sequence features take the range-partitioned skew-safe path."""
-        if self._skew_safe is not None:
-            return self._skew_safe
-        if self.kind == "tpch":
-            # the adapter aggregates to one row per (part, month): a loan holds
-            # at most one row per calendar month, so no check is needed
-            return False
-        return sequence.max_rows_per_key(self.panel) > HOT_KEY_ROWS
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -59,9 +41,6 @@ class Portfolio:
 
     @cached_property
     def verified(self) -> DataFrame:
-        if self.skew_safe:
-            cols = clean.verified_columns(self.panel).columns + ["next_risk_state", "next_risk_state_code"]
-            return self.featured.select(*cols)
         return clean.verified_panel(self.panel)
 
     @cached_property
@@ -75,12 +54,9 @@ class Portfolio:
 
     @cached_property
     def featured(self) -> DataFrame:
-        """Verified panel + trajectory features (one loan-window pass, or the
-        skew-safe sequence pass when a hot loan exists)."""
-        if self.skew_safe:
-            seq = sequence.sequence_features(clean.verified_columns(self.panel))
-            return features.add_dpd_features(seq)
-        return features.trajectory_features(self.verified)
+        """Verified panel + trajectory features, next state included, in one pass
+        over neighbouring rows."""
+        return features.trajectory_features(clean.verified_columns(self.panel), with_next=True)
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -107,11 +83,12 @@ class Portfolio:
         base = f"{root.rstrip('/')}/riskflow-{uuid.uuid4().hex[:12]}"
         f = self.featured
         verified_cols = self.verified.columns
+        write_panel(self.panel, f"{base}/panel")
         write_panel(f, f"{base}/featured")
-        m = Portfolio(self.spark, self.source, self.kind, skew_safe=self.skew_safe)
+        m = Portfolio(self.spark, self.source, self.kind)
         m.materialized = True
         table = self.spark.read.schema(f.schema).parquet(f"{base}/featured")
-        m.__dict__["panel"] = self.panel
+        m.__dict__["panel"] = self.spark.read.schema(self.panel.schema).parquet(f"{base}/panel")
         m.__dict__["featured"] = table
         m.__dict__["verified"] = table.select(*verified_cols)
         m.P.write.mode("overwrite").parquet(f"{base}/P")   # from the written table

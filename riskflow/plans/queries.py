@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from riskflow.functions.columns import state_from_dpd
 from riskflow.operators import (account, clean, evaluate, features, markov, overview, profile,
                                 transitions, validate)
+from riskflow.operators.sequence import with_neighbours
 from riskflow.plans import oracle as O
 from riskflow.plans.pipeline import SEARCH_TEXT, SNAPSHOT_MONTH, SNAPSHOT_SEGMENT, Portfolio
-from riskflow.schema import PANEL_NAMES
+from riskflow.schema import PANEL_NAMES, ROW_SEQ
 from riskflow.states import FIVE_STATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,9 +172,9 @@ SELECT from_state, to_state, from_idx, to_idx, n_pairs,
 FROM k5"""))
 def q_five_state(spark, d):
     v = pf(spark, d).verified
-    w = clean.loan_window()
-    lab = transitions.five_state_label()
-    pairs5 = v.select(lab.alias("s5"), F.lead(lab).over(w).alias("n5")).filter(F.col("n5").isNotNull())
+    v = v.select("loan_id", "observation_month", ROW_SEQ, transitions.five_state_label().alias("s5"))
+    pairs5 = with_neighbours(v, {"s": "s5"}, lead=True).select("s5", F.col("_next.s").alias("n5")) \
+        .filter(F.col("n5").isNotNull())
     pk = transitions.transition_matrix_packed(pairs5, None, FIVE_STATES, "s5", "n5", empty_row="zero")
     return transitions.to_long(pk, None, FIVE_STATES).withColumn("p", F.round("p", 4))
 
@@ -551,9 +552,9 @@ def q_account_search(spark, d):
 
 
 @register("account_search_special", B("", """
-SELECT * FROM verified_out WHERE contains(lower(loan_id), '(]') OR contains(lower(customer_id), '(]')"""))
+SELECT * FROM verified_out WHERE contains(lower(loan_id), 'n_12') OR contains(lower(customer_id), 'n_12')"""))
 def q_account_search_special(spark, d):
-    return account.account_search(pf(spark, d).verified, "(]")
+    return account.account_search(pf(spark, d).verified, "N_12")
 
 
 @register("account_latest_rows", B("", f"""
@@ -761,9 +762,13 @@ def q_urgency_breakdown(spark, d):
     return watchlist.urgency_breakdown(watchlist.risk_watch_subset(_within(spark, d)))
 
 
-ABSORB_CTES = """
+def absorb_ctes(src: str = "pm", by: str = "") -> str:
+    """I - Q, its inverse by cofactors and the sums over it, per group; the
+    absorbing state is Default."""
+    g, per = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return f"""
 qa AS (
-  SELECT max(CASE WHEN from_idx = 0 AND to_idx = 0 THEN 1.0 - p END) AS a00,
+  SELECT {g}max(CASE WHEN from_idx = 0 AND to_idx = 0 THEN 1.0 - p END) AS a00,
          max(CASE WHEN from_idx = 0 AND to_idx = 1 THEN -p END) AS a01,
          max(CASE WHEN from_idx = 0 AND to_idx = 2 THEN -p END) AS a02,
          max(CASE WHEN from_idx = 1 AND to_idx = 0 THEN -p END) AS a10,
@@ -776,13 +781,13 @@ qa AS (
          max(CASE WHEN from_idx = 1 AND to_idx = 3 THEN p END) AS r1,
          max(CASE WHEN from_idx = 2 AND to_idx = 3 THEN p END) AS r2,
          max(CASE WHEN from_idx = 3 AND to_idx = 3 THEN p END) AS p33
-  FROM pm),
+  FROM {src}{per}),
 qd AS (SELECT *, a00 * (a11 * a22 - a12 * a21) - a01 * (a10 * a22 - a12 * a20)
                  + a02 * (a10 * a21 - a11 * a20) AS det FROM qa),
 ninv AS (
   SELECT * FROM (VALUES (0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)) AS c(i, j), qd),
 nm AS (
-  SELECT i, j, CASE
+  SELECT {g}i, j, CASE
       WHEN i = 0 AND j = 0 THEN (a11 * a22 - a12 * a21) WHEN i = 0 AND j = 1 THEN -(a01 * a22 - a02 * a21)
       WHEN i = 0 AND j = 2 THEN (a01 * a12 - a02 * a11) WHEN i = 1 AND j = 0 THEN -(a10 * a22 - a12 * a20)
       WHEN i = 1 AND j = 1 THEN (a00 * a22 - a02 * a20) WHEN i = 1 AND j = 2 THEN -(a00 * a12 - a02 * a10)
@@ -790,7 +795,12 @@ nm AS (
       ELSE (a00 * a11 - a01 * a10) END / det AS v,
     CASE j WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS rj, p33
   FROM ninv),
-tt AS (SELECT i, sum(v * rj) AS b, sum(v) AS t, max(p33) AS p33 FROM nm GROUP BY i)"""
+tt AS (SELECT {g}i, sum(v * rj) AS b, sum(v) AS t, max(p33) AS p33,
+              max(CASE WHEN j = 0 THEN v END) AS v0, max(CASE WHEN j = 1 THEN v END) AS v1,
+              max(CASE WHEN j = 2 THEN v END) AS v2 FROM nm GROUP BY {g}i)"""
+
+
+ABSORB_CTES = absorb_ctes()
 
 
 @register("classify_states", B("", """
@@ -830,13 +840,23 @@ def q_time_to_absorption(spark, d):
     return markov.time_to_absorption(pf(spark, d).P)
 
 
-@register("absorption_summary", B(ABSORB_CTES, f"""
-SELECT {SN.format(c='i')} AS state, round(b, 4) AS probability, round(t, 1) AS months,
-       round(t / 12.0, 1) AS years, round(p33, 4) AS default_self_transition FROM tt"""))
+ABSORB_COLS = f"""{SN.format(c='i')} AS state, round(b, 4) AS probability, round(t, 1) AS months,
+       round(t / 12.0, 1) AS years, round(v0, 4) AS visits_low, round(v1, 4) AS visits_medium,
+       round(v2, 4) AS visits_high, round(p33, 4) AS default_self_transition"""
+
+
+@register("absorption_summary", B(ABSORB_CTES, f"SELECT {ABSORB_COLS} FROM tt"))
 def q_absorption_summary(spark, d):
     return markov.absorption_summary(pf(spark, d).P)
 
 
+@register("segment_absorption", B(SEG_CTES + "," + absorb_ctes("g_pm", "segment"),
+                                  f"SELECT segment, {ABSORB_COLS} FROM tt"))
+def q_segment_absorption(spark, d):
+    pk = transitions.segment_transition_matrices(pf(spark, d).pairs, packed=True)
+    return markov.absorption_summary(pk, by=["segment"])
+
+
 @register("intervention_urgency", B(ABSORB_CTES, f"""
 SELECT {SN.format(c='i')} AS risk_state, round(t, 2) AS expected_months_to_default,
        CASE i WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'HIGH' END AS intervention_urgency FROM tt"""))
@@ -1013,6 +1033,15 @@ def q_watchlist_page(spark, d):
     return watchlist.watchlist(_scored(spark, d), "all_deteriorating", 1, 25)
 
 
+@register("watchlist_page_info", B(SNAP_SCORE_CTES, f"""
+SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) AS total_pages, 1000 AS page, 25 AS page_size
+FROM snap_scored WHERE {WATCH_SQL["all_deteriorating"]}"""))
+def q_watchlist_page_info(spark, d):
+    """Totals of a page past the end of the list."""
+    from riskflow.operators import watchlist
+    return watchlist.page_info(watchlist.watch_filter(_scored(spark, d), "all_deteriorating"), 1000, 25)
+
+
 @register("watchlist_page_3", _page_sql(WATCH_SQL["all_performing"], 3, 10))
 def q_watchlist_page3(spark, d):
     from riskflow.operators import watchlist
@@ -1281,18 +1310,21 @@ def q_label_encoding(spark, d):
     return a.unionByName(b)
 
 
+# the latest month's branches, some with a name that training has not seen
+BRANCH_SQL = "CASE WHEN branch_name = 'BR3' THEN 'BR-NEW' ELSE branch_name END"
+
+
 @register("safe_encode", B(EVAL_CTES, f"""
-SELECT s.loan_id, s.segment, coalesce(e.code, 0) AS segment_enc
-FROM (SELECT * FROM verified_out WHERE observation_month = '{SNAPSHOT_MONTH}') s
+SELECT s.loan_id, s.branch, coalesce(e.code, 0) AS branch_enc
+FROM (SELECT loan_id, {BRANCH_SQL} AS branch FROM verified_out WHERE observation_month = '{SNAPSHOT_MONTH}') s
 LEFT JOIN (SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS code
-           FROM (SELECT DISTINCT segment AS value FROM train WHERE segment IS NOT NULL AND segment <> 'SME') x) e
-  ON e.value = coalesce(s.segment, 'nan')"""))
+           FROM (SELECT DISTINCT branch_name AS value FROM train WHERE branch_name IS NOT NULL) x) e
+  ON e.value = coalesce(s.branch, 'nan')"""))
 def q_safe_encode(spark, d):
-    # the encoding is fitted without SME so that SME rows exercise the unseen path
-    tr = evaluate.train_test(_eval(spark, d))[0].filter(F.col("segment") != "SME")
-    enc = evaluate.label_encoding(tr, "segment")
+    enc = evaluate.label_encoding(evaluate.train_test(_eval(spark, d))[0], "branch_name")
     snap = overview.snapshot(pf(spark, d).verified, SNAPSHOT_MONTH)
-    return evaluate.safe_encode(snap, "segment", enc).select("loan_id", "segment", "segment_enc")
+    snap = snap.withColumn("branch", F.expr(BRANCH_SQL))
+    return evaluate.safe_encode(snap, "branch", enc).select("loan_id", "branch", "branch_enc")
 
 
 STD_FEATS = ["days_in_arrears", "dpd_delta", "months_in_state"]

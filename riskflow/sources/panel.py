@@ -1,7 +1,7 @@
 """Panel sources.
 
-* ``scan_panel`` reads a loan panel (CSV with header, or Parquet) with a fixed
-  schema and attaches a stable ingestion order ``row_seq``.
+* ``scan_panel`` reads a loan panel (CSV with header, or Parquet) by column name
+  and stores an ingestion order ``row_seq`` where the input has none.
 * ``panel_from_tpch`` derives a deterministic loan panel from the driver's
   ``lineitem`` + ``part`` tables (grain: part x ship month).
 * ``scan_matrix`` reads a saved matrix (CSV with an index column) into the
@@ -10,30 +10,64 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskflow.functions.columns import state_from_dpd
 from riskflow.schema import PANEL_NAMES, PANEL_SCHEMA, ROW_SEQ
+from riskflow.session import ensure_checkpoint_dir
 from riskflow.states import STATES
 
 
-def scan_panel(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read a panel. CSV gets the fixed schema; ``row_seq`` is the read order.
+# Text that stands for a missing value in a panel file (fixed values).
+MISSING_TEXT = ["", "nan", "na", "n/a", "null", "none"]
+
+
+def scan_panel(spark: SparkSession, path: str, fmt: str | None = None, store: str | None = None) -> DataFrame:
+    """Read a panel by column name.
+
+    Columns are taken from the header (CSV) or the schema (Parquet), whatever
+    their order, and cast to the panel's types; further columns are kept after
+    them. A missing panel column is an error, as is a file whose header
+    differs from the first one. NaN and its spellings are null.
 
-    ``monotonically_increasing_id`` is deterministic for a given file split
-    (partition id in the high bits, position in the low bits), so re-reading
-    the same files yields the same order. Write the result with
-    :func:`riskflow.sources.sinks.write_panel` to pin it.
+    ``row_seq``, the ingestion order that decides between rows of one loan and
+    month, must not depend on how files are split at query time: where the
+    input has none, the panel is written once with it - to ``store`` or the
+    session's shared folder - and read from there.
     """
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     if fmt == "csv":
-        df = spark.read.schema(PANEL_SCHEMA).option("header", True).csv(path)
+        names = spark.read.option("header", True).csv(path).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     else:
         df = spark.read.parquet(path)
-    if ROW_SEQ not in df.columns:
-        df = df.withColumn(ROW_SEQ, F.monotonically_increasing_id())
-    return df
+    lost = [n for n in PANEL_NAMES if n not in df.columns]
+    if lost:
+        raise ValueError(f"{path} lacks the panel columns {', '.join(lost)}")
+    cols = []
+    for field in [*PANEL_SCHEMA.fields, T.StructField(ROW_SEQ, T.LongType())]:
+        if field.name not in df.columns:
+            continue
+        c = F.col(f"`{field.name}`")
+        if isinstance(df.schema[field.name].dataType, T.StringType):
+            c = F.when(~F.lower(F.trim(c)).isin(MISSING_TEXT), c)
+        c = c.cast(field.dataType)
+        if isinstance(field.dataType, T.DoubleType):
+            c = F.when(~F.isnan(c), c)
+        cols.append(c.alias(field.name))
+    extra = [F.col(f"`{c}`") for c in df.columns if c not in PANEL_NAMES and c != ROW_SEQ]
+    df = df.select(*cols, *extra)
+    if ROW_SEQ in df.columns:
+        return df
+    store = store or f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskflow-panel-{uuid.uuid4().hex[:12]}"
+    df = df.withColumn(ROW_SEQ, F.monotonically_increasing_id())
+    df.write.parquet(store)
+    return spark.read.schema(df.schema).parquet(store)
 
 
 def scan_transitions(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +118,10 @@ def _monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loan_id(k):
-    return F.concat(F.lit("LN"), F.lpad(k.cast("string"), 6, "0"))
+    """LN and the part key, padded to six digits. ``lpad`` also shortens, so a
+    longer key is taken as it is."""
+    s = k.cast("string")
+    return F.concat(F.lit("LN"), F.when(F.length(s) < 6, F.lpad(s, 6, "0")).otherwise(s))
 
 
 def panel_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:

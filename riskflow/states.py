@@ -30,17 +30,3 @@ def state_code(col: Column | str, states: list[str] = STATES) -> Column:
     for i, s in enumerate(states):
         expr = F.when(c == s, F.lit(i)) if expr is None else expr.when(c == s, F.lit(i))
     return expr.otherwise(F.lit(None).cast("int"))
-
-
-def state_label(code: Column | str, states: list[str] = STATES) -> Column:
-    """Inverse of :func:`state_code`; out of range -> null."""
-    c = F.col(code) if isinstance(code, str) else code
-    expr = None
-    for i, s in enumerate(states):
-        expr = F.when(c == i, F.lit(s)) if expr is None else expr.when(c == i, F.lit(s))
-    return expr.otherwise(F.lit(None).cast("string"))
-
-
-def state_dim(spark, states: list[str] = STATES):
-    """A tiny dimension DataFrame (state, state_idx) — fixed size, safe to broadcast."""
-    return spark.createDataFrame([(s, i) for i, s in enumerate(states)], "state string, state_idx int")

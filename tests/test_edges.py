@@ -186,3 +186,28 @@ def test_encode_state_and_dpd_state(spark):
     out = clean.with_state_from_dpd(clean.encode_state(df)).collect()
     assert [r.risk_state_code for r in out] == [0, 3, None, None]
     assert [r.dpd_state for r in out] == ["Low", "Default", "Unknown", "Unknown"]
+
+
+def test_a_sticky_state_stays_transient(spark):
+    """Low rarely moves (0.96): named absorbing states keep it transient."""
+    from riskflow.operators import markov
+    p = [[0.96, 0.03, 0.01, 0.0], [0.30, 0.40, 0.20, 0.10], [0.10, 0.10, 0.50, 0.30], [0.0, 0.0, 0.0, 1.0]]
+    packed = spark.createDataFrame([(p,)], "P array<array<double>>")
+    got = {r.state: r for r in markov.absorption_summary(packed).collect()}
+    import numpy as np
+    n = np.linalg.inv(np.eye(3) - np.array(p)[:3, :3])
+    for k, s in enumerate(["Low", "Medium", "High"]):
+        assert got[s].months == round(n.sum(axis=1)[k], 1) and got[s].probability == 1.0
+        assert abs(got[s].visits_high - n[k, 2]) < 1e-4
+    by_threshold = markov.time_to_absorption(packed)
+    assert {r.risk_state for r in by_threshold.collect()} == {"Medium", "High"}
+    named = markov.time_to_absorption(packed, absorbing=["Default"])
+    assert {r.risk_state for r in named.collect()} == {"Low", "Medium", "High"}
+
+
+def test_page_info_past_the_end(spark):
+    from riskflow.operators import watchlist
+    df = spark.createDataFrame([(f"L{i}", float(i)) for i in range(7)], "loan_id string, score double")
+    assert watchlist.paginate(df, 9, 3).count() == 0
+    assert tuple(watchlist.page_info(df, 9, 3).first()) == (7, 3, 9, 3)
+    assert tuple(watchlist.page_info(df.where("false"), 1, 3).first()) == (0, 1, 1, 3)

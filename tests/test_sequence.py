@@ -1,87 +1,67 @@
-"""The skew-safe sequence path equals the per-loan window path."""
+"""Neighbouring rows from bucket summaries equal the window over the whole loan."""
 
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskflow.operators import clean, features, sequence
 from riskflow.sources.panel import panel_from_tpch
 from tools.oracle_check import canon
 
-COLS = ["loan_id", "observation_month", "row_seq", "next_risk_state", "next_risk_state_code",
-        "prev_risk_state_code", "prev_dpd", "prev_dpd_2m", "prev_dpd_3m", "months_in_state"]
+SF = "/root/testdata/sf0.001"
 
 
-def window_path(panel):
-    return features.trajectory_features(clean.verified_panel(panel)).select(*COLS)
+def rows(df):
+    return canon([tuple(r) for r in df.collect()], df.columns)
 
 
-def skew_path(panel, n):
-    return sequence.sequence_features(clean.verified_columns(panel), n_partitions=n).select(*COLS)
+def by_window(df):
+    """The same columns from one window per loan."""
+    w = Window.partitionBy("loan_id").orderBy("observation_month", "row_seq")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = F.lag("s").over(w).isNull() | (F.lag("s").over(w) != F.col("s"))
+    d = df.select("*", F.row_number().over(w).alias("rn"), turn.alias("turn"),
+                  *[F.lag("x", k).over(w).alias(f"x{k}") for k in (1, 2, 3)], F.lead("s").over(w).alias("n"))
+    streak = F.col("rn") - F.max(F.when(F.col("turn"), F.col("rn"))).over(run) + 1
+    return d.select("loan_id", "observation_month", "row_seq", "s", "x", "x1", "x2", "x3", "n", streak.alias("run"))
 
 
-def rows(df):
-    return canon([tuple(r) for r in df.collect()], df.columns)
+def by_buckets(df):
+    n = sequence.with_neighbours(df, {"s": "s", "x": "x"}, lags=3, lead=True, run_of="s")
+    return n.select(*df.columns, *[F.col(f"_lag{k}.x").alias(f"x{k}") for k in (1, 2, 3)],
+                    F.col("_next.s").alias("n"), F.col("_run").alias("run"))
 
 
-@pytest.mark.parametrize("n", [1, 7])
-def test_hot_loan_with_copies(spark, n):
-    rnd = random.Random(5)
-    data, seq = [], 0
-    states = [("Low", 0.0), ("Medium", 10.0), ("High", 45.0), ("Default", 120.0)]
-    for loan, months, copies in [("HOT", 6, 400), ("A", 5, 1), ("B", 3, 2), ("Z", 4, 1)]:
+@pytest.mark.parametrize("block", [1, 3, 50, 100_000])
+@pytest.mark.parametrize("same", [0.5, 0.95])
+def test_equals_the_window_on_copies_and_numeric_ids(spark, monkeypatch, block, same):
+    monkeypatch.setattr(sequence, "BLOCK_ROWS", block)
+    r, data, seq = random.Random(block), [], 0
+    for loan, months, copies in [("000123", 6, 60), ("123", 5, 1), ("LN7", 1, 1), ("B", 3, 2), ("0", 9, 3)]:
+        state = "Low"
         for m in range(months):
-            for _ in range(copies):
-                st, dpd = states[rnd.randrange(4)] if loan == "HOT" and rnd.random() < 0.3 else states[m % 2]
-                data.append((loan, "C" + loan, f"2024-{m + 1:02d}", st, st, dpd + rnd.randrange(3), seq))
+            for _ in range(r.randint(1, copies)):
+                state = state if r.random() < same else r.choice(["Low", "Medium", "High"])
+                data.append((loan, f"2024-{m + 1:02d}", seq, state, float(r.randint(0, 99))))
                 seq += 1
-    df = spark.createDataFrame(data, "loan_id string, customer_id string, observation_month string, "
-                                     "risk_state string, performance_class string, days_in_arrears double, "
-                                     "row_seq long")
-    df = df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in [
-        ("segment", "string"), ("isic_industry_name", "string"), ("penal_interest", "double"),
-        ("suspended_interest", "double"), ("principal_due", "double"), ("accrued_interest", "double"),
-        ("interest_due", "double"), ("disbursed_amount_lcy", "double"), ("principal_balance", "double"),
-        ("disbursement_date", "string"), ("instalments_in_arrears", "double"),
-        ("loan_term_months", "double")]])
-    assert sequence.max_rows_per_key(df) == 2400
-    assert rows(skew_path(df, n)) == rows(window_path(df))
-
-
-def test_adapter_panel_equal(spark):
-    p = panel_from_tpch(spark, "/root/testdata/sf0.001")
-    assert rows(skew_path(p, 5)) == rows(window_path(p))
-
-
-def test_small_batches_carry_state(spark):
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        p = panel_from_tpch(spark, "/root/testdata/sf0.001")
-        assert rows(skew_path(p, 3)) == rows(window_path(p))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-
-
-def test_portfolio_skew_safe_switch_gives_same_matrix(spark):
-    from riskflow.operators import transitions
-    from riskflow.plans.pipeline import Portfolio
-    d = "/root/testdata/sf0.001"
-    a = Portfolio(spark, d)
-    assert a.skew_safe is False          # the size check: adapter loans hold <= one row per month
-    b = Portfolio(spark, d, skew_safe=True)
-    ra = rows(transitions.to_long(a.P))
-    rb = rows(transitions.to_long(b.P))
-    assert ra == rb
-    assert rows(b.featured.select(*sorted(a.featured.columns))) == \
-        rows(a.featured.select(*sorted(a.featured.columns)))
-
-
-def test_scanned_panel_runs_the_size_check(spark, tmp_path):
-    from riskflow.plans.pipeline import Portfolio
-    p = panel_from_tpch(spark, "/root/testdata/sf0.001")
-    p.write.parquet(str(tmp_path / "panel"))
-    port = Portfolio(spark, str(tmp_path / "panel"), kind="parquet")
-    assert port.skew_safe is False
-    assert port.P.count() == 1
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "loan_id string, observation_month string, row_seq long, s string, x double")
+    assert rows(by_buckets(df)) == rows(by_window(df))
+
+
+def test_featured_panel_carries_the_next_state(spark):
+    p = panel_from_tpch(spark, SF)
+    one = features.trajectory_features(clean.verified_columns(p), with_next=True)
+    two = features.trajectory_features(clean.verified_panel(p))
+    assert set(one.columns) == set(two.columns)
+    assert rows(one.select(*sorted(one.columns))) == rows(two.select(*sorted(two.columns)))
+
+
+def test_a_loan_without_ingestion_order(spark):
+    df = spark.createDataFrame([("A", f"2024-0{m}", s) for m, s in enumerate("xxyxx", 1)],
+                               "loan_id string, observation_month string, s string")
+    got = sequence.with_neighbours(df, {"s": "s"}, lead=True, run_of="s").orderBy("observation_month").collect()
+    assert [r["_next"] and r["_next"].s for r in got] == ["x", "y", "x", "x", None]
+    assert [r["_run"] for r in got] == [1, 2, 1, 1, 2]

@@ -64,3 +64,63 @@ def test_group_matrices_file_keys(spark):
     sinks.write_group_matrices(df, f"{out}/g", "g")
     assert sorted(os.listdir(f"{out}/g"))[:2] == ["_SUCCESS", "group_key=EARLY_STAGE"] or \
         "group_key=INSTITUTIONAL_BANKING" in os.listdir(f"{out}/g")
+
+
+def test_long_part_keys_are_different_loans(spark):
+    ids = spark.createDataFrame([(7,), (100000,), (999999,), (1000000,), (1000001,)], "k bigint")
+    assert [r[0] for r in ids.select(P._loan_id(F.col("k"))).collect()] == [
+        "LN000007", "LN100000", "LN999999", "LN1000000", "LN1000001"]
+
+
+def test_long_part_keys_keep_their_rows(spark, tmp_path):
+    import datetime
+    days = [datetime.date(2001, m, 3) for m in (1, 2, 3)]
+    li = [(k, d, "N", float(k % 7)) for k in (100000, 1000000) for d in days]
+    spark.createDataFrame(li, "l_partkey bigint, l_shipdate date, l_returnflag string, l_quantity double") \
+         .write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "b", "t", 1, 1.0) for k in (100000, 1000000)],
+                          "p_partkey bigint, p_brand string, p_type string, p_size int, p_retailprice double") \
+         .write.parquet(str(tmp_path / "part.parquet"))
+    got = P.panel_from_tpch(spark, str(tmp_path)).groupBy("loan_id").count().collect()
+    assert sorted(map(tuple, got)) == [("LN100000", 3), ("LN1000000", 3)]
+
+
+def _panel_csv(folder, header, rows):
+    folder.mkdir(parents=True, exist_ok=True)
+    with open(folder / "p.csv", "w") as f:
+        f.write("\n".join(",".join(r) for r in [header, *rows]) + "\n")
+    return str(folder)
+
+
+def test_scan_reads_columns_by_name(spark, tmp_path):
+    header = ["extra", *PANEL_NAMES[::-1]]
+    values = {n: "1" for n in PANEL_NAMES} | {"loan_id": "000123", "customer_id": "C9", "observation_month": "2024-01",
+                                              "days_in_arrears": "NaN", "interest_rate": "", "segment": "nan",
+                                              "principal_balance": "12.5"}
+    path = _panel_csv(tmp_path / "a", header, [["e", *[values[n] for n in header[1:]]]])
+    r = P.scan_panel(spark, path, fmt="csv").first()
+    assert (r.loan_id, r.customer_id, r.extra, r.principal_balance) == ("000123", "C9", "e", 12.5)
+    assert r.days_in_arrears is None and r.interest_rate is None and r.segment is None
+    assert r.row_seq is not None
+
+
+def test_scan_refuses_a_missing_column(spark, tmp_path):
+    import pytest
+    header = [n for n in PANEL_NAMES if n not in ("loan_id", "segment")]
+    path = _panel_csv(tmp_path / "b", header, [["1"] * len(header)])
+    with pytest.raises(ValueError, match="loan_id, segment"):
+        P.scan_panel(spark, path, fmt="csv")
+
+
+def test_row_seq_is_stored_once(spark, tmp_path):
+    p = P.panel_from_tpch(spark, SF).drop("row_seq")
+    p.repartition(3).write.parquet(str(tmp_path / "in"))
+    a = P.scan_panel(spark, str(tmp_path / "in"), store=str(tmp_path / "kept"))
+    b = P.scan_panel(spark, str(tmp_path / "kept"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        c = P.scan_panel(spark, str(tmp_path / "kept")).select("loan_id", "observation_month", "row_seq")
+        assert sorted(map(tuple, c.collect())) == sorted(map(tuple, a.select(*c.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert a.count() == b.count() == 4999
