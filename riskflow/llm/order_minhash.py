@@ -11,10 +11,10 @@
 3. Nodes that share a value form a bucket. Within a bucket pairs are not listed:
    every member is compared with a leader. Links join nodes into classes; a
    leader has met all of its bucket and leaves it. Buckets that still hold
-   several classes get new leaders, nodes without a link first, which are
+   several classes get a new leader, nodes without a link first, which is
    compared with the members of other classes, and so on until no bucket holds
    several classes or, after ``LEAST_TURNS`` turns, a turn finds no new link.
-   A turn costs a bounded number of pairs per node, whatever the size of a
+   A turn costs at most one pair per node and table, whatever the size of a
    bucket. Two similar nodes share about a third of their tables, with other
    leaders in each.
 4. A pair is verified by aligning the two shingle sequences. With insertions and
@@ -27,8 +27,9 @@
    smallest label over links with shortcuts, each round written out.
 
 Hot buckets, hot leaders and hot classes appear only as join keys between
-written tables (adaptive execution splits them) or as grouping keys of
-aggregates that combine map-side.
+written tables or as grouping keys of aggregates that combine map-side. Joins
+ask for a sort-merge join, which adaptive execution can split, so the plan is
+the same at every size.
 
 Defined cases: null and empty texts and texts without a word are in no class
 but their own (``class_id`` is the id, ``class_size`` 1). A class is named by
@@ -56,8 +57,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 32
 PICK = 5
-LEADERS = 4
-LEAST_TURNS = 3
+LEAST_TURNS = 2
 _CACHE = 500_000
 _CELLS = 1 << 21      # hashes held at once while sketching a long text
 
@@ -240,7 +240,7 @@ def _sequences(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     ids = wanted.select(F.col("_id").alias("_w")).distinct()
-    texts = rows.join(ids, rows["_id"].eqNullSafe(ids["_w"]), "left_semi")
+    texts = rows.join(ids.hint("merge"), rows["_id"].eqNullSafe(ids["_w"]), "left_semi")
     found = texts.select("_text").mapInArrow(run, "node bigint, seq array<int>")
     # repeated ids may bring other texts or the same one twice
     one = Window.partitionBy("node").orderBy(F.size("seq"))
@@ -264,60 +264,53 @@ def _verified(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
 
     member = seqs.select(F.col("node").alias("_mn"), F.col("seq").alias("_ms"))
     leader = seqs.select(F.col("node").alias("_ln"), F.col("seq").alias("_ls"))
-    j = (pairs.join(member, F.col("b") == F.col("_mn")).select("a", "b", "_ms")
-              .join(leader, F.col("a") == F.col("_ln")).select("a", "b", "_ls", "_ms"))
+    j = (pairs.join(member.hint("merge"), F.col("b") == F.col("_mn")).select("a", "b", "_ms")
+              .join(leader.hint("merge"), F.col("a") == F.col("_ln")).select("a", "b", "_ls", "_ms"))
     return stash(j.mapInArrow(run, "a bigint, b bigint"), "omh-links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node in a link."""
     both = stash(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                 .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "omh-edges")
+                 .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "omh-edges")
     labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")), "omh-label")
     while True:
-        near = (both.join(labels, both["u"] == labels["node"]).select(F.col("v").alias("node"), "label")
-                    .unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
-        near = stash(near, "omh-label")
+        sent = both.join(labels, both["u"] == labels["node"]).select(
+            F.col("v").alias("node"), "label", F.lit(None).cast("bigint").alias("old"))
+        near = stash(sent.unionByName(labels.select("node", "label", F.col("label").alias("old")))
+                     .groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), "omh-label")
         # shortcut: a node takes the label of its label
         far = near.select(F.col("node").alias("_n"), F.col("label").alias("_far"))
         new = stash(near.join(far, near["label"] == far["_n"], "left")
-                    .select("node", F.least("label", F.coalesce("_far", "label")).alias("label")), "omh-label")
-        old = labels.select(F.col("node").alias("_n"), F.col("label").alias("_old"))
-        changed = new.join(old, new["node"] == old["_n"]).where("label <> _old").limit(1).count()
-        labels = new
-        if not changed:
+                    .select("node", F.least("label", F.coalesce("_far", "label")).alias("label"), "old"), "omh-label")
+        labels = new.select("node", "label")
+        if new.where("label <> old").limit(1).count() == 0:
             return labels
 
 
-def _leaders(members: DataFrame, turn: int) -> DataFrame:
-    """(bucket, leader, its label) for the buckets that still hold several
-    classes: at first the smallest node, later ``LEADERS`` nodes by a hash of
-    the turn, nodes without a link before others."""
-    open_ = (members.groupBy(F.col("bucket").alias("_b"))
-             .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-             .where("_lo <> _hi").select("_b"))
-    rows = members.join(stash(open_, "omh-open"), F.col("bucket") == F.col("_b")).select("bucket", "node", "label", "linked")
-    order = [F.col("node")] if turn == 0 else [F.col("linked"), F.xxhash64(F.col("node"), F.lit(turn))]
-    first = Window.partitionBy("bucket").orderBy(*order)
-    return stash(rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= (LEADERS if turn else 1))
-                 .select(F.col("bucket").alias("_b"), F.col("node").alias("_lead"), F.col("label").alias("_own")),
-                 "omh-heads")
-
-
 def _links(buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame | None:
     """Labels of the nodes in classes of several nodes, or None without links."""
-    rest, labels, links, tested, turn = buckets, None, None, None, 0
-    members = rest.select("bucket", "node", F.col("node").alias("label"), F.lit(False).alias("linked"))
+    labels, links, tested, turn = None, None, None, 0
+    members = buckets.select("bucket", "node", F.col("node").alias("label"), F.lit(False).alias("linked"))
     while True:
-        heads = _leaders(members, turn)
-        if heads.limit(1).count() == 0:
-            return labels           # every pair of classes that shares a bucket was tested
-        pairs = (members.join(heads, F.col("bucket") == F.col("_b")).where("label <> _own")
-                        .select(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b")).distinct())
+        # the leader of each bucket that still holds several classes: nodes without a link
+        # first, by one order of all nodes, so that buckets of a group share leaders
+        rank = F.xxhash64(F.col("node"), F.lit(turn)) if turn else F.col("node")
+        heads = (members.groupBy(F.col("bucket").alias("_b"))
+                 .agg(F.min(F.struct(F.col("linked"), rank.alias("r"), F.col("node"), F.col("label"))).alias("_h"),
+                      F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+                 .where("_lo <> _hi").select("_b", F.col("_h.node").alias("_lead"), F.col("_h.label").alias("_own")))
+        heads = stash(heads, "omh-heads")
+        met = stash(members.join(heads.hint("merge"), F.col("bucket") == F.col("_b")).where("node <> _lead")
+                    .select("bucket", "node", "label", "_lead", "_own"), "omh-met")
+        pairs = met.where("label <> _own").select(F.least("_lead", "node").alias("a"),
+                                                  F.greatest("_lead", "node").alias("b")).distinct()
         if tested is not None:
             old = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
             pairs = pairs.join(old, (pairs["a"] == old["_a"]) & (pairs["b"] == old["_b"]), "left_anti")
         pairs = stash(pairs, "omh-pairs")
+        if met.limit(1).count() == 0:
+            return labels           # every pair of classes that shares a bucket was tested
         found = _verified(pairs, seqs, least)
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
@@ -325,16 +318,14 @@ def _links(buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame | Non
         elif turn >= LEAST_TURNS:
             return labels
         tested = pairs if tested is None else tested.unionByName(pairs)
-        # a leader has met all of its bucket and leaves it
-        rest = stash(rest.join(heads, (rest["bucket"] == heads["_b"]) & (rest["node"] == heads["_lead"]), "left_anti"),
-                     "omh-rest")
+        # a leader has met all of its bucket and leaves it; buckets of one class are done
         if labels is None:
-            members = rest.select("bucket", "node", F.col("node").alias("label"), F.lit(False).alias("linked"))
+            members = met.select("bucket", "node", F.col("node").alias("label"), F.lit(False).alias("linked"))
         else:
             at = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-            members = stash(rest.join(at, rest["node"] == at["_n"], "left")
-                            .select("bucket", "node", F.coalesce("_l", "node").alias("label"),
-                                    F.col("_l").isNotNull().alias("linked")), "omh-members")
+            members = stash(met.join(at.hint("merge"), met["node"] == at["_n"], "left").select(
+                "bucket", "node", F.coalesce("_l", "node").alias("label"), F.col("_l").isNotNull().alias("linked")),
+                "omh-members")
         turn += 1
 
 
@@ -349,7 +340,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     values = stash(nodes.select("node", "_id", F.explode("sketch").alias("bucket")), "omh-values")
     shared = stash(values.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
                    .where("_n > 1").select("_b"), "omh-shared")
-    buckets = stash(values.join(shared, values["bucket"] == shared["_b"], "left_semi"), "omh-buckets")
+    buckets = stash(values.join(shared.hint("merge"), values["bucket"] == shared["_b"], "left_semi"), "omh-buckets")
     wanted = stash(buckets.select("node", "_id").distinct(), "omh-wanted")
     seqs = _sequences(df, id_col, text_col, wanted)
     labels = _links(buckets.select("bucket", "node"), seqs, similarity)
