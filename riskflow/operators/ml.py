@@ -17,12 +17,13 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.columns import between_flag, clip, state_from_dpd
 from riskflow.operators.evaluate import class_weights, label_encoding, safe_encode
 from riskflow.operators.scoring import PROB_COLS, with_prediction_columns
+from riskflow.schema import ROW_SEQ
 from riskflow.states import STATES
 
 # The notebook's 38 training features (36 numeric + 2 encoded).
@@ -129,13 +130,28 @@ AUG_MULTIPLIER = 4
 NOISE_SIGMA = 0.05
 
 
+def _row_hash(*parts):
+    """md5 of the parts and the row's key, as hexadecimal text."""
+    return F.md5(F.concat_ws("|", *parts, F.col("loan_id"), F.col("observation_month"),
+                             F.col(ROW_SEQ).cast("string")).cast("binary"))
+
+
+def _normal(*parts):
+    """A standard normal number from the row's key (Box-Muller on two hashes'
+    digits): the same in every run and on every partitioning."""
+    def unit(text, at):
+        return (F.conv(F.substring(text, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    h = _row_hash(*parts)
+    return F.sqrt(F.lit(-2.0) * F.log(unit(h, 1))) * F.cos(unit(h, 9) * 6.283185307179586)
+
+
 def augment_high(train: DataFrame, features: list[str], seed: int = 42,
                  copies: int = AUG_MULTIPLIER, target: str = "High",
                  label: str = "next_risk_state") -> DataFrame:
     """L4: ``copies`` noisy copies of every row labelled ``target``.
 
-    Each copy adds N(0, 0.05 * (|x| + 0.01)) to every feature (``randn`` per
-    column, seeded), clips at 0, clamps DPD into the band of the row's
+    Each copy adds N(0, 0.05 * (|x| + 0.01)) to every feature (from a hash of
+    seed, feature, copy and row key), clips at 0, clamps DPD into the band of the row's
     current DPD (Medium copies also get delta = |delta| + 2), and recomputes
     the DPD-derived features. Rows fan out by a fixed factor with
     ``explode`` — no group is gathered anywhere.
@@ -147,7 +163,7 @@ def augment_high(train: DataFrame, features: list[str], seed: int = 42,
         "_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     noisy = rep.select(
         *[c for c in rep.columns if c not in features],
-        *[F.greatest(F.lit(0.0), F.col(f) + F.randn(seed + i) * (NOISE_SIGMA * (F.abs(F.col(f)) + 0.01)))
+        *[F.greatest(F.lit(0.0), F.col(f) + _normal(F.lit(str(seed)), F.lit(f), F.col("_copy").cast("string")) * (NOISE_SIGMA * (F.abs(F.col(f)) + 0.01)))
           .alias(f) for i, f in enumerate(features)])
     d = F.col("days_in_arrears")
     noisy = (noisy
@@ -182,6 +198,7 @@ class RiskModel:
     scaling: DataFrame | None = None
     threshold: float = HIGH_RISK_THRESHOLD
     meta: dict = field(default_factory=dict)
+    encodings: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def input_cols(self) -> list[str]:
@@ -291,6 +308,21 @@ def predict_batch(model: RiskModel, df: DataFrame) -> DataFrame:
         "early_warning_high", F.col("p_high") >= model.threshold)
 
 
+def predict_snapshot(model: RiskModel, snapshot: DataFrame, panel: DataFrame) -> DataFrame:
+    """L11 from raw rows in one call: trajectory features of the snapshot's
+    loans where the model lists any, the model's own encodings, prediction."""
+    from riskflow.operators.features import TRAJECTORY_COLUMNS, trajectory_features
+    df = snapshot
+    if set(model.features) & set(TRAJECTORY_COLUMNS):
+        key = ["loan_id", "observation_month", ROW_SEQ]
+        df = df.drop(*[c for c in TRAJECTORY_COLUMNS if c in df.columns])
+        history = panel.drop(*[c for c in TRAJECTORY_COLUMNS if c in panel.columns])
+        history = history.join(df.select("loan_id").distinct(), "loan_id", "left_semi")
+        found = trajectory_features(history).select(*key, *TRAJECTORY_COLUMNS)
+        df = df.join(found, key, "left")
+    return predict_batch(model, apply_encodings(df, model.encodings))
+
+
 def predict_account(model: RiskModel, latest_row: DataFrame) -> DataFrame:
     """The same code path on a search's latest row, probabilities 4 dp."""
     p = predict_batch(model, latest_row)
@@ -364,9 +396,9 @@ def top_drivers_text(contribs: DataFrame, id_cols: list[str], cls: str = "Defaul
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """N rows without replacement, seeded (a top-n on a random key:
-    per-partition top-n, then an n-row merge — no full sort)."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+    """N rows without replacement, seeded: a top-n on a hash of the row's
+    key, so the sample does not depend on partitioning."""
+    return df.withColumn("_r", _row_hash(F.lit(str(seed)))).orderBy("_r", "loan_id").limit(n).drop("_r")
 
 
 # ---------------------------------------------------------------------------
@@ -381,17 +413,19 @@ _MODEL_CLASSES = {
 
 
 def save_model(model: RiskModel, path: str) -> None:
-    """Fitted models, scaling row and metadata (kind, ordered features,
-    threshold) under one folder."""
+    """Fitted models, encodings, scaling row and metadata (kind, ordered
+    features, threshold) under one folder."""
     for i, m in enumerate(model.models):
         m.write().overwrite().save(f"{path}/model_{i}")
     if model.scaling is not None:
         model.scaling.write.mode("overwrite").parquet(f"{path}/scaling")
     meta = {"kind": model.kind, "features": model.features, "threshold": model.threshold,
             "n_models": len(model.models), "has_scaling": model.scaling is not None}
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    s.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    for c, table in model.encodings.items():
+        table.write.mode("overwrite").parquet(f"{path}/encodings/{c}")
+    meta["encodings"] = sorted(model.encodings)
+    SparkSession.active().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+        .write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark, path: str) -> RiskModel:
@@ -401,4 +435,5 @@ def load_model(spark, path: str) -> RiskModel:
     klass = getattr(importlib.import_module(mod), cls)
     models = [klass.load(f"{path}/model_{i}") for i in range(meta["n_models"])]
     scaling = spark.read.parquet(f"{path}/scaling") if meta["has_scaling"] else None
-    return RiskModel(meta["kind"], meta["features"], models, scaling, meta["threshold"])
+    encodings = {c: spark.read.parquet(f"{path}/encodings/{c}") for c in meta.get("encodings", [])}
+    return RiskModel(meta["kind"], meta["features"], models, scaling, meta["threshold"], encodings=encodings)

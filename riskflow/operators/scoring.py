@@ -119,3 +119,30 @@ def score_snapshot(panel: DataFrame, packed: DataFrame, month: str,
     snap = snapshot(panel, month, segment)
     snap = snap.drop(*[c for c in TRAJECTORY_COLUMNS if c in snap.columns])
     return deterministic_scores(snapshot_features(snap, panel, month), packed)
+
+
+def term_scores(accounts: DataFrame, packed: DataFrame, cap: int = 60, states: list[str] = STATES) -> DataFrame:
+    """A deterministic scorer over the rest of an account's term: the
+    probabilities are the row of P^h of its state, h = min(remaining months,
+    cap), and ``pred`` is the median state (the first whose cumulated
+    probability reaches one half). An account may so move up or down from any
+    state. The lookup has k * cap rows, a size fixed by the parameters."""
+    from riskflow.operators.markov import power_table
+    k = len(states)
+    cells = power_table(packed, cap, None, states).groupBy(F.col("from_state").alias("_s"), F.col("n").alias("_n")).agg(
+        *[F.max(F.when(F.col("to_idx") == i, F.col("p"))).alias(c) for i, c in enumerate(PROB_COLS[:k])])
+    acc = accounts.withColumn("_h", F.least(F.col("remaining_months"), F.lit(cap)))
+    d = acc.join(F.broadcast(cells), (F.col("risk_state") == F.col("_s")) & (F.col("_h") == F.col("_n")), "left") \
+           .drop("_s", "_n", "_h")
+    half, upto, at = F.lit(None).cast("int"), F.lit(0.0), F.lit(None).cast("int")
+    for i, c in enumerate(PROB_COLS[:k]):
+        upto = upto + F.col(c)
+        half = F.when(upto >= 0.5, F.lit(i)) if i == 0 else half.when(upto >= 0.5, F.lit(i))
+    at = half.otherwise(F.when(F.col(PROB_COLS[0]).isNotNull(), F.lit(k - 1)))
+    d = d.withColumn("_at", at)
+    labels, probs = F.array(*[F.lit(s) for s in states]), F.array(*[F.col(c) for c in PROB_COLS[:k]])
+    return d.select(
+        *[c for c in d.columns if c != "_at"], F.get(labels, F.col("_at")).alias("pred"),
+        (F.col("p_default") + F.col("p_high")).alias("score"),
+        F.coalesce(F.get(probs, F.col("_at")), F.lit(0.0)).alias("p_pred"),
+        F.coalesce(F.col("_at") > state_code("risk_state", states), F.lit(False)).alias("is_worse"))

@@ -39,6 +39,12 @@ class Portfolio:
             return panel_from_tpch(self.spark, self.source)
         return scan_panel(self.spark, self.source)
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Cleaned rows with the row-wise features: for queries that need no
+        neighbouring row."""
+        return clean.verified_columns(self.panel)
+
     @cached_property
     def verified(self) -> DataFrame:
         return clean.verified_panel(self.panel)
@@ -64,7 +70,7 @@ class Portfolio:
 
     @cached_property
     def latest_with_remaining(self) -> DataFrame:
-        return features.remaining_months(self.latest)
+        return features.remaining_months(latest_snapshot(self.rows))
 
     def lineitem(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.source}/lineitem.parquet")
@@ -90,6 +96,7 @@ class Portfolio:
         table = self.spark.read.schema(f.schema).parquet(f"{base}/featured")
         m.__dict__["panel"] = self.spark.read.schema(self.panel.schema).parquet(f"{base}/panel")
         m.__dict__["featured"] = table
+        m.__dict__["rows"] = table
         m.__dict__["verified"] = table.select(*verified_cols)
         m.P.write.mode("overwrite").parquet(f"{base}/P")   # from the written table
         m.__dict__["P"] = self.spark.read.parquet(f"{base}/P")

@@ -212,7 +212,7 @@ SELECT risk_state, count(*) AS count,
        round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 2) AS pct
 FROM verified_out GROUP BY 1"""))
 def q_value_distribution(spark, d):
-    return profile.value_distribution(pf(spark, d).verified, "risk_state")
+    return profile.value_distribution(pf(spark, d).rows, "risk_state")
 
 
 @register("describe_dpd", B("", """
@@ -223,7 +223,7 @@ SELECT CAST(count(days_in_arrears) AS DOUBLE) AS count, round(avg(days_in_arrear
        round(quantile_cont(days_in_arrears, 0.75), 1) AS p75,
        round(max(days_in_arrears), 1) AS max FROM verified_out"""))
 def q_describe_dpd(spark, d):
-    return profile.describe(pf(spark, d).verified, "days_in_arrears")
+    return profile.describe(pf(spark, d).rows, "days_in_arrears")
 
 
 LATEST_REM_CTES = """
@@ -373,7 +373,7 @@ SELECT CASE WHEN days_in_arrears = 0 THEN 'Low' WHEN days_in_arrears >= 1 AND da
 FROM (SELECT days_in_arrears FROM verified_out
       UNION ALL SELECT days_in_arrears + 0.5 FROM verified_out WHERE days_in_arrears = 30) x GROUP BY 1"""))
 def q_state_from_dpd(spark, d):
-    v = pf(spark, d).verified.select("days_in_arrears")
+    v = pf(spark, d).rows.select("days_in_arrears")
     half = v.filter(F.col("days_in_arrears") == 30).select((F.col("days_in_arrears") + 0.5)
                                                            .alias("days_in_arrears"))
     return v.unionByName(half).groupBy(state_from_dpd("days_in_arrears").alias("dpd_state")) \
@@ -464,7 +464,7 @@ SELECT loan_id, observation_month,
   CASE WHEN coalesce(suspended_interest, 0) > 0 THEN 'Default' ELSE 'Low' END AS suspended_flag
 FROM verified_out"""))
 def q_payment_flags(spark, d):
-    f = features.payment_flags(pf(spark, d).verified)
+    f = features.payment_flags(pf(spark, d).rows)
     return f.select("loan_id", "observation_month", "dpd_flag", "instalment_flag", "repayment_flag",
                     "penal_flag", "suspended_flag")
 
@@ -486,14 +486,14 @@ def q_latest_snapshot(spark, d):
 
 @register("list_months", B("", "SELECT DISTINCT observation_month FROM verified_out"))
 def q_list_months(spark, d):
-    return overview.list_months(pf(spark, d).verified)
+    return overview.list_months(pf(spark, d).rows)
 
 
 @register("list_segments", B("", """
 SELECT segment FROM (SELECT 'All Segments' AS segment UNION ALL
   SELECT DISTINCT segment FROM verified_out WHERE segment IS NOT NULL AND segment <> 'UNKNOWN') x"""))
 def q_list_segments(spark, d):
-    return overview.list_segments(pf(spark, d).verified)
+    return overview.list_segments(pf(spark, d).rows)
 
 
 def _snapshot_sql(month, segment):
@@ -509,12 +509,12 @@ LEFT JOIN (SELECT risk_state, count(*) AS n FROM verified_out WHERE observation_
 
 @register("portfolio_snapshot", _snapshot_sql(SNAPSHOT_MONTH, None))
 def q_portfolio_snapshot(spark, d):
-    return overview.portfolio_snapshot(pf(spark, d).verified, SNAPSHOT_MONTH)
+    return overview.portfolio_snapshot(pf(spark, d).rows, SNAPSHOT_MONTH)
 
 
 @register("portfolio_snapshot_segment", _snapshot_sql(SNAPSHOT_MONTH, SNAPSHOT_SEGMENT))
 def q_portfolio_snapshot_seg(spark, d):
-    return overview.portfolio_snapshot(pf(spark, d).verified, SNAPSHOT_MONTH, SNAPSHOT_SEGMENT)
+    return overview.portfolio_snapshot(pf(spark, d).rows, SNAPSHOT_MONTH, SNAPSHOT_SEGMENT)
 
 
 _TREND_COLS = ", ".join(f"count(*) FILTER (WHERE risk_state = '{s}') AS \"{s}\""
@@ -523,7 +523,7 @@ _TREND_COLS = ", ".join(f"count(*) FILTER (WHERE risk_state = '{s}') AS \"{s}\""
 
 @register("risk_trend", B("", f"SELECT observation_month, {_TREND_COLS} FROM verified_out GROUP BY 1"))
 def q_risk_trend(spark, d):
-    return overview.risk_trend(pf(spark, d).verified)
+    return overview.risk_trend(pf(spark, d).rows)
 
 
 @register("risk_trend_pct", B("", "SELECT observation_month, " + ", ".join(
@@ -531,7 +531,7 @@ def q_risk_trend(spark, d):
     for s in ("Low", "Medium", "High", "Default")) +
     f" FROM (SELECT observation_month, {_TREND_COLS} FROM verified_out GROUP BY 1) t"))
 def q_risk_trend_pct(spark, d):
-    return overview.risk_trend_pct(pf(spark, d).verified)
+    return overview.risk_trend_pct(pf(spark, d).rows)
 
 
 @register("trend_tail", B("", f"""
@@ -539,7 +539,7 @@ SELECT *, "Low" + "Medium" + "High" + "Default" AS total
 FROM (SELECT observation_month, {_TREND_COLS} FROM verified_out GROUP BY 1) t
 ORDER BY observation_month DESC LIMIT 8"""))
 def q_trend_tail(spark, d):
-    return overview.trend_tail(pf(spark, d).verified)
+    return overview.trend_tail(pf(spark, d).rows)
 
 
 SEARCH_SQL = (f"(SELECT * FROM verified_out WHERE contains(lower(loan_id), lower('{SEARCH_TEXT}')) "
@@ -576,7 +576,7 @@ _PROFILE_SQL = """loan_id, customer_id, segment, loan_type, observation_month AS
 SELECT {_PROFILE_SQL} FROM {SEARCH_SQL} s
 ORDER BY observation_month DESC, row_seq DESC, loan_id DESC LIMIT 1"""))
 def q_account_profile(spark, d):
-    m = account.account_search(pf(spark, d).verified, SEARCH_TEXT)
+    m = account.account_search(pf(spark, d).rows, SEARCH_TEXT)
     return account.account_profile(account.latest_match(m))
 
 
@@ -586,7 +586,7 @@ SELECT loan_id, observation_month, risk_state, coalesce(days_in_arrears, 0.0) AS
        coalesce(repayment_ratio, 0.0) AS repayment_ratio, coalesce(penal_interest, 0.0) AS penal_interest,
        coalesce(suspended_interest, 0.0) AS suspended_interest FROM {SEARCH_SQL} s"""))
 def q_account_history(spark, d):
-    return account.account_history(account.account_search(pf(spark, d).verified, SEARCH_TEXT))
+    return account.account_history(account.account_search(pf(spark, d).rows, SEARCH_TEXT))
 
 
 # ---------------------------------------------------------------------------
@@ -632,14 +632,14 @@ evo AS (SELECT n AS horizon_months, {SN.format(c='j')} AS state, round(v * {scal
 @register("portfolio_evolution", B(_evolution_sql(f"'{SNAPSHOT_MONTH}'", 6, "100.0", 2),
                                    "SELECT * FROM evo"))
 def q_portfolio_evolution(spark, d):
-    return markov.portfolio_evolution(pf(spark, d).verified, pf(spark, d).P, SNAPSHOT_MONTH, horizon=6)
+    return markov.portfolio_evolution(pf(spark, d).rows, pf(spark, d).P, SNAPSHOT_MONTH, horizon=6)
 
 
 @register("portfolio_evolution_segment", B(_evolution_sql(f"'{SNAPSHOT_MONTH}'", 12, "100.0", 2,
                                                           f" AND segment = '{SNAPSHOT_SEGMENT}'"),
                                            "SELECT * FROM evo"))
 def q_portfolio_evolution_seg(spark, d):
-    return markov.portfolio_evolution(pf(spark, d).verified, pf(spark, d).P, SNAPSHOT_MONTH,
+    return markov.portfolio_evolution(pf(spark, d).rows, pf(spark, d).P, SNAPSHOT_MONTH,
                                       SNAPSHOT_SEGMENT, horizon=12)
 
 
@@ -650,7 +650,7 @@ SELECT horizon_months, max(pct) FILTER (WHERE state = 'Low') AS "Low",
        max(pct) FILTER (WHERE state = 'Default') AS "Default"
 FROM evo WHERE horizon_months IN (0, 1, 3, 6) GROUP BY 1"""))
 def q_portfolio_forecast_table(spark, d):
-    return markov.portfolio_forecast_table(pf(spark, d).verified, pf(spark, d).P)
+    return markov.portfolio_forecast_table(pf(spark, d).rows, pf(spark, d).P)
 
 
 def _horizon_default_sql(hs):
@@ -960,7 +960,7 @@ sf2 AS (SELECT * EXCLUDE (raw_bp), {BAND_POS_SQL} AS dpd_band_position
 def _scored(spark, d):
     from riskflow.operators import scoring
     p = pf(spark, d)
-    return scoring.score_snapshot(p.featured if p.materialized else p.verified, p.P, SNAPSHOT_MONTH)
+    return scoring.score_snapshot(p.rows, p.P, SNAPSHOT_MONTH)
 
 
 SCORE_COLS = ["loan_id", "risk_state", "prev_risk_state_code", "prev_dpd", "dpd_delta", "months_in_state",
@@ -1011,6 +1011,38 @@ for _name, _pred in WATCH_SQL.items():
     register(f"watch_{_name}", B(SNAP_SCORE_CTES, _score_select_sql(f"snap_scored WHERE {_pred}")))(
         _watch_query(_name))
 
+# The same filters over every month with the scorer of the rest of the term, which
+# moves accounts of every state: filters that select nothing in one month bite here.
+TERM_CTES = O.power_cte(60) + """,
+term_x AS (SELECT *, CAST(coalesce(CASE WHEN loan_term_months - loan_age_months < 1 THEN 1.0
+                          ELSE loan_term_months - loan_age_months END, 12.0) AS INTEGER) AS remaining_months FROM verified_out),
+term_p AS (SELECT h, i, max(p) FILTER (WHERE j = 0) AS p_low, max(p) FILTER (WHERE j = 1) AS p_medium,
+                  max(p) FILTER (WHERE j = 2) AS p_high, max(p) FILTER (WHERE j = 3) AS p_default FROM pw GROUP BY 1, 2),
+term_y AS (SELECT x.loan_id, x.observation_month, x.risk_state, x.risk_state_code, x.remaining_months, t.p_low, t.p_medium,
+                  t.p_high, t.p_default,
+                  CASE WHEN t.p_low >= 0.5 THEN 0 WHEN t.p_low + t.p_medium >= 0.5 THEN 1
+                       WHEN t.p_low + t.p_medium + t.p_high >= 0.5 THEN 2 ELSE 3 END AS med
+           FROM term_x x JOIN term_p t ON t.i = x.risk_state_code AND t.h = least(x.remaining_months, 60)),
+term_scored AS (SELECT *, CASE med WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Default' END AS pred,
+                       p_default + p_high AS score, med > risk_state_code AS is_worse FROM term_y)"""
+TERM_COLS = ["loan_id", "observation_month", "risk_state", "remaining_months", "pred", "p_default", "score", "is_worse"]
+
+
+def _term_query(name):
+    def run(spark, d):
+        from riskflow.operators import scoring, watchlist
+        p = pf(spark, d)
+        s = scoring.term_scores(features.remaining_months(p.rows), p.P)
+        return watchlist.watch_filter(s, name).select(
+            *[F.round(c, 6).alias(c) if c in ("p_default", "score") else F.col(c) for c in TERM_COLS])
+    return run
+
+
+for _name, _pred in WATCH_SQL.items():
+    register(f"watch_term_{_name}", B(TERM_CTES, "SELECT " + ", ".join(
+        f"round({c}, 6) AS {c}" if c in ("p_default", "score") else c for c in TERM_COLS)
+        + f" FROM term_scored WHERE {_pred}"))(_term_query(_name))
+
 register("watch_unknown_filter", B(SNAP_SCORE_CTES, _score_select_sql(
     f"snap_scored WHERE {WATCH_SQL['all_performing']}")))(_watch_query("no_such_filter"))
 
@@ -1322,7 +1354,7 @@ LEFT JOIN (SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER)
   ON e.value = coalesce(s.branch, 'nan')"""))
 def q_safe_encode(spark, d):
     enc = evaluate.label_encoding(evaluate.train_test(_eval(spark, d))[0], "branch_name")
-    snap = overview.snapshot(pf(spark, d).verified, SNAPSHOT_MONTH)
+    snap = overview.snapshot(pf(spark, d).rows, SNAPSHOT_MONTH)
     snap = snap.withColumn("branch", F.expr(BRANCH_SQL))
     return evaluate.safe_encode(snap, "branch", enc).select("loan_id", "branch", "branch_enc")
 
@@ -1387,7 +1419,9 @@ PRED_OUT = ["loan_id", "observation_month", "risk_state", "next_risk_state", "pr
             "p_high", "p_default", "score", "p_pred", "is_worse", "early_warning_high"]
 
 
-@register("augment_high_balance")
+@register("augment_high_balance", B(EVAL_CTES, """
+SELECT next_risk_state, false AS synthetic, count(*) AS n FROM train GROUP BY 1
+UNION ALL SELECT 'High', true, 4 * count(*) FROM train WHERE next_risk_state = 'High' HAVING count(*) > 0"""))
 def q_augment_balance(spark, d):
     return _training_set(spark, d).groupBy("next_risk_state", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -1446,8 +1480,7 @@ def q_ml_explain(spark, d):
 def q_ml_importance(spark, d):
     from riskflow.operators import ml
     m = _model(spark, d, "logistic")
-    sample = ml.sample_rows(_snapshot_features(spark, d), 100)
-    return ml.global_importance(ml.linear_contributions(m, sample, ["loan_id"]), "Default")
+    return ml.global_importance(ml.linear_contributions(m, _snapshot_features(spark, d), ["loan_id"]), "Default")
 
 
 @register("ml_watchlist_top3")
@@ -1455,16 +1488,17 @@ def q_ml_watchlist_top3(spark, d):
     from riskflow.operators import ml, watchlist
     m = _model(spark, d, "logistic")
     scored = ml.predict_batch(m, _snapshot_features(spark, d))
-    ranked = watchlist.top_n(watchlist.watch_filter(scored, "all_performing"), 100,
-                             F.col("score").desc(), F.col("loan_id"))
+    ranked = watchlist.watch_filter(scored, "all_performing")
     drivers = ml.top_drivers_text(ml.linear_contributions(m, ranked, ["loan_id"]), ["loan_id"])
     return ranked.select("loan_id", "risk_state", "pred", "score").join(drivers, "loan_id", "left")
 
 
-@register("sample_rows")
+@register("sample_rows", B("", """
+SELECT loan_id, observation_month, risk_state FROM verified_out
+ORDER BY md5('42|' || loan_id || '|' || observation_month || '|' || CAST(row_seq AS VARCHAR)), loan_id LIMIT 100"""))
 def q_sample_rows(spark, d):
     from riskflow.operators import ml
-    return ml.sample_rows(pf(spark, d).verified, 100).select("loan_id", "observation_month", "risk_state")
+    return ml.sample_rows(pf(spark, d).rows, 100).select("loan_id", "observation_month", "risk_state")
 
 
 @register("ml_boosted_explain_top5")
@@ -1483,11 +1517,10 @@ def q_ml_boosted_explain(spark, d):
 
 @register("ml_boosted_global_importance")
 def q_ml_boosted_importance(spark, d):
-    """A26 for the boosted model over a 100-row sample of the snapshot."""
+    """A26 for the boosted model over the whole snapshot."""
     from riskflow.operators import ml, treeshap
     m = _model(spark, d, "boosted")
-    sample = ml.sample_rows(_snapshot_features(spark, d), 100)
-    return ml.global_importance(treeshap.tree_contributions(m, sample, ["loan_id"]), "Default")
+    return ml.global_importance(treeshap.tree_contributions(m, _snapshot_features(spark, d), ["loan_id"]), "Default")
 
 
 @register("ml_forest_explain_top5")

@@ -109,6 +109,36 @@ def test_save_load_roundtrip(spark, sets, lr):
     assert a.exceptAll(b).count() == 0 and back.features == lr.features
 
 
+def test_saved_model_scores_a_raw_snapshot(spark, sets):
+    from riskflow.plans.pipeline import Portfolio
+    train, _ = sets
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    snap = p.rows.where("observation_month = '2001-06'")
+    enc = ml.fit_encodings(p.rows.where("observation_month < '2001-06'"))
+    for m in (ml.fit_logistic(train, ml.DEPLOYED_FEATURES), ml.fit_forest(train, ml.DEPLOYED_FEATURES, num_trees=3, max_depth=3),
+              ml.fit_boosted(train, ml.DEPLOYED_FEATURES, rounds=2, depth=2)):
+        m.encodings = enc
+        path = tempfile.mkdtemp(prefix="rf-model-") + "/m"
+        ml.save_model(m, path)
+        cols = ["loan_id", "pred", *ml.PROB_COLS]
+        a = ml.predict_snapshot(m, snap, p.rows).select(*cols)
+        b = ml.predict_snapshot(ml.load_model(spark, path), snap, p.rows).select(*cols)
+        whole = ml.apply_encodings(p.featured.where("observation_month = '2001-06'"), enc)
+        c = ml.predict_batch(m, whole).select(*cols)
+        got = [sorted(map(tuple, x.collect())) for x in (a, b, c)]
+        assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_sample_and_noise_do_not_depend_on_partitioning(sets):
+    train, _ = sets
+    cols = ["loan_id", "observation_month"]
+    a, b = (ml.sample_rows(train.repartition(n), 30).select(*cols) for n in (3, 7))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    x, y = (ml.augment_high(train.repartition(n), ml.DEPLOYED_FEATURES).groupBy().sum("days_in_arrears").first()[0]
+            for n in (3, 7))
+    assert x == pytest.approx(y, rel=1e-12)
+
+
 def test_forest_and_boosted_small(sets):
     train, test = sets
     rf = ml.fit_forest(train, ml.DEPLOYED_FEATURES, num_trees=5, max_depth=5)
