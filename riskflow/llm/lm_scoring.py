@@ -22,7 +22,8 @@ How it runs
      which follows the token count: by context, or for a hot context by the
      pair, so no context, word or pair gathers in one task. A shard counts its
      pairs and contexts for both models and returns sums per document.
-  4. Sums per document are added.
+  4. A shard's sums travel packed by parts of ``PART_DOCUMENTS`` documents, in
+     which they are added.
 The exchanged volume grows with the corpus; a shard's size does not.
 
 The target side is fitted on a bounded sample of labelled rows: ``TARGET_DOCS``
@@ -52,6 +53,7 @@ MASS = 50.0
 HOT = 2000
 TARGET_DOCS = 20_000
 SHARD_ENTRIES = 4_000_000
+PART_DOCUMENTS = 10_000
 FLUSH_TOKENS = 1_500_000
 _CACHE = 500_000
 _WORDS = re.compile(r"\w+")
@@ -193,7 +195,8 @@ class Statistics:
 
 ENTRY = ("shard int, ids binary, keys binary, flags binary, contexts binary, runs binary, words binary, "
          "docs binary, counts binary")
-SUMS = "_key bigint, _id string, rows bigint, tokens bigint, target double, background double"
+SUMS = "part int, keys binary, ids binary, tokens binary, target binary, background binary"
+SCORES = "_id string, n_tokens bigint, target_loss double, background_loss double"
 
 
 def _entries(targets: frozenset, stats: Statistics, shards: int):
@@ -243,7 +246,7 @@ def _entries(targets: frozenset, stats: Statistics, shards: int):
                     continue
                 c, w, used = context[part], word[part], np.unique(doc[part])
                 change = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                rows.append((s, "\n".join([ids[k] for k in used]).encode(),
+                rows.append((s, None,
                              np.array([keys[k] for k in used], np.int64).tobytes(), flag[used].tobytes(),
                              c[change].tobytes(), np.diff(np.append(change, len(c))).astype(np.uint32).tobytes(),
                              w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
@@ -278,16 +281,30 @@ def _entries(targets: frozenset, stats: Statistics, shards: int):
     return run
 
 
-def _score_shard(stats: Statistics):
+def _pack(keys, ids, tokens, target, background, parts: int):
+    """Sums per document, packed into one row per part."""
+    import pandas as pd
+    part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    borders = np.searchsorted(part[order], np.arange(parts + 1))
+    out = []
+    for p in range(parts):
+        k = order[borders[p]:borders[p + 1]]
+        if len(k):
+            names = None if ids is None else "\n".join([ids[i] for i in k]).encode()
+            out.append((p, keys[k].tobytes(), names, tokens[k].astype(np.uint32).tobytes(),
+                        target[k].astype(np.float64).tobytes(), background[k].astype(np.float64).tobytes()))
+    return pd.DataFrame(out, columns=[x.split(" ")[0] for x in SUMS.split(", ")])
+
+
+def _score_shard(stats: Statistics, parts: int):
     def run(pdf):
         import pandas as pd
-        names = [x.split(" ")[0] for x in SUMS.split(", ")]
         whole = pdf["contexts"].isna()
-        out = [_local_sums(r, names) for r in pdf[whole].itertuples(index=False)]
+        out = [_local_sums(r, parts) for r in pdf[whole].itertuples(index=False)]
         pdf = pdf[~whole]
         if not len(pdf):
             return pd.concat(out, ignore_index=True)
-        ids = [i for x in pdf["ids"] for i in x.decode().split("\n")]
         keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
         contexts = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["contexts"]])
         runs = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["runs"]])
@@ -315,21 +332,36 @@ def _score_shard(stats: Statistics):
         pair_t = np.bincount(at, weights=count * flag, minlength=len(pair))
         loss_t, loss_b = stats.losses(word[first], pair_n, pair_t, context_n[context[first]], context_t[context[first]])
         n = len(keys)
-        out.append(pd.DataFrame(dict(zip(names, (
-            keys, ids, np.zeros(n, np.int64), np.bincount(doc, weights=count, minlength=n).astype(np.int64),
-            np.bincount(doc, weights=count * loss_t[at], minlength=n),
-            np.bincount(doc, weights=count * loss_b[at], minlength=n)), strict=True))))
+        out.append(_pack(keys, None, np.bincount(doc, weights=count, minlength=n),
+                         np.bincount(doc, weights=count * loss_t[at], minlength=n),
+                         np.bincount(doc, weights=count * loss_b[at], minlength=n), parts))
         return pd.concat(out, ignore_index=True)
     return run
 
 
-def _local_sums(row, names):
-    """The sums of known pairs; each document's row is counted here, once."""
-    import pandas as pd
-    keys = np.frombuffer(row.keys, np.int64)
+def _local_sums(row, parts: int):
+    """The sums of known pairs. Every document row is in one of these, with its id."""
     n, t, b = np.frombuffer(row.docs, np.float64).reshape(3, -1)
-    return pd.DataFrame(dict(zip(names, (keys, row.ids.decode().split("\n"), np.ones(len(keys), np.int64),
-                                         n.astype(np.int64), t, b), strict=True)))
+    return _pack(np.frombuffer(row.keys, np.int64), row.ids.decode().split("\n"), n, t, b, parts)
+
+
+def _add_part(pdf):
+    """Scores of the documents of one part. Rows repeated with one id and text
+    share a key: their sums were added, and each row is returned."""
+    import pandas as pd
+    keys, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]]), return_inverse=True)
+
+    def added(column, kind):
+        values = np.concatenate([np.frombuffer(x, kind) for x in pdf[column]]).astype(np.float64)
+        return np.bincount(at, weights=values, minlength=len(keys))
+
+    tokens, target, background = added("tokens", np.uint32), added("target", np.float64), added("background", np.float64)
+    named = pdf[pdf["ids"].notna()]
+    ids = np.array([i for x in named["ids"] for i in x.decode().split("\n")], dtype=object)
+    mine = np.searchsorted(keys, np.concatenate([np.frombuffer(x, np.int64) for x in named["keys"]]))
+    rows = np.bincount(mine, minlength=len(keys))[mine]
+    return pd.DataFrame({"_id": ids, "n_tokens": (tokens[mine] / rows).astype(np.int64),
+                         "target_loss": target[mine] / tokens[mine], "background_loss": background[mine] / tokens[mine]})
 
 
 def score_documents(df: DataFrame, targets: list, id_col: str = "doc_id", text_col: str = "text",
@@ -358,17 +390,9 @@ def score_documents(df: DataFrame, targets: list, id_col: str = "doc_id", text_c
     stats = Statistics(tokens, total["k"] - 1, frequent, [(r["pair"], r["n"], r["t"]) for r in pairs])
     shards = max(1, -(-tokens // shard_entries))
 
+    parts = max(1, -(-total["docs"] // PART_DOCUMENTS))
     entries = rows.mapInArrow(_entries(wanted, stats, shards), ENTRY)
-    sums = entries.groupBy("shard").applyInPandas(_score_shard(stats), SUMS).groupBy("_key", "_id").agg(
-        F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.sum("target").alias("target"),
-        F.sum("background").alias("background"))
-    return _finish(sums, kind, id_col)
-
-
-def _finish(sums: DataFrame, kind: str, id_col: str) -> DataFrame:
-    # rows repeated with one id and text were summed; each is returned
-    out = sums.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    t, b = F.col("target") / F.col("tokens"), F.col("background") / F.col("tokens")
-    return out.select(F.expr(f"cast(nullif(_id, '') as {kind})").alias(id_col),
-                      (F.col("tokens") / F.col("rows")).cast("bigint").alias("n_tokens"),
-                      t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
+    sums = entries.groupBy("shard").applyInPandas(_score_shard(stats, parts), SUMS)
+    out = sums.groupBy("part").applyInPandas(_add_part, SCORES)
+    return out.select(F.expr(f"cast(nullif(_id, '') as {kind})").alias(id_col), "n_tokens", "target_loss",
+                      "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
