@@ -52,9 +52,9 @@ __all__ = ["target_ids", "score_documents"]
 MASS = 50.0
 HOT = 2000
 TARGET_DOCS = 20_000
-SHARD_ENTRIES = 4_000_000
+SHARD_ENTRIES = 2_500_000
 PART_DOCUMENTS = 10_000
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 1_000_000
 _CACHE = 500_000
 _WORDS = re.compile(r"\w+")
 # Hashes that stand for the marks.
