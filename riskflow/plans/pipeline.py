@@ -87,14 +87,15 @@ class Portfolio:
         """
         root = root or ensure_checkpoint_dir(self.spark)
         base = f"{root.rstrip('/')}/riskflow-{uuid.uuid4().hex[:12]}"
-        f = self.featured
-        verified_cols = self.verified.columns
+        # the adapter runs once: the features are built from the written panel
         write_panel(self.panel, f"{base}/panel")
-        write_panel(f, f"{base}/featured")
         m = Portfolio(self.spark, self.source, self.kind)
+        m.__dict__["panel"] = self.spark.read.schema(self.panel.schema).parquet(f"{base}/panel") \
+            .select(*self.panel.columns)
+        f, verified_cols = m.featured, m.verified.columns
+        write_panel(f, f"{base}/featured")
         m.materialized = True
         table = self.spark.read.schema(f.schema).parquet(f"{base}/featured")
-        m.__dict__["panel"] = self.spark.read.schema(self.panel.schema).parquet(f"{base}/panel")
         m.__dict__["featured"] = table
         m.__dict__["rows"] = table
         m.__dict__["verified"] = table.select(*verified_cols)
