@@ -13,10 +13,13 @@
    leader has met all of its bucket and leaves it. Buckets that still hold
    several classes get a new leader, nodes without a link first, which is
    compared with the members of other classes, and so on until no bucket holds
-   several classes or, after ``LEAST_TURNS`` turns, a turn finds no new link.
-   A turn costs at most one pair per node and table, whatever the size of a
-   bucket. Two similar nodes share about a third of their tables, with other
-   leaders in each.
+   several classes. A turn costs at most one pair per node and table, whatever
+   the size of a bucket. Buckets that still hold several classes when a turn
+   after ``LEAST_TURNS`` finds no new link, or after ``MOST_TURNS``, are not given
+   up: the nodes in them are joined by an exact prefix filter. Two nodes at
+   ``SIMILARITY`` share one of their rarest labelled shingles, early enough that
+   the rest of both can still make up the overlap; the lengths, that overlap and
+   a bitmap of either's shingles leave pairs out only if they cannot pass.
 4. A pair is verified by aligning the two shingle sequences. With insertions and
    deletions only, similarity = matches / alignment columns, so two texts
    without moved passages have exactly their shingles' Jaccard similarity. A
@@ -58,6 +61,9 @@ SIMILARITY = 0.8
 TABLES = 32
 PICK = 5
 LEAST_TURNS = 2
+MOST_TURNS = 6
+SALT_ROWS = 2000      # nodes with one shingle that meet in one task of the rest's join
+BITMAP = 8            # longs of a node's bitmap
 _CACHE = 500_000
 _CELLS = 1 << 21      # hashes held at once while sketching a long text
 
@@ -120,7 +126,8 @@ class Sketcher:
         place = np.arange(len(s))
         number = np.empty(len(s), np.int64)
         number[order] = place - np.maximum.accumulate(np.where(same, 0, place))
-        return _mix(shingles + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        # a first occurrence is the same whether or not its text repeats any shingle
+        return np.where(number, _mix(shingles + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), shingles)
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         """One signed 64-bit value per table."""
@@ -288,6 +295,71 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _bitmap(labelled: np.ndarray) -> np.ndarray:
+    """Parity of the shingles per bit: two bitmaps differ in no more bits than
+    the sets differ in shingles."""
+    odd = np.bincount((_mix(labelled) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _rest(members: DataFrame, seqs: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """All links between classes of the buckets that still hold several: pairs
+    that may reach ``least`` by a prefix filter on the rarest labelled shingles."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            found = [Sketcher.labelled(x.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64))
+                     for x in batch.column(2)]
+            maps = np.array([_bitmap(x) for x in found], np.int64).reshape(-1, BITMAP)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(map(len, found), pa.int64()),
+                 *[pa.array(np.ascontiguousarray(m)) for m in maps.T],
+                 pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
+                names=["node", "label", "size", *bits, "tokens"])
+
+    bits = [f"m{i}" for i in range(BITMAP)]
+    several = (members.groupBy(F.col("bucket").alias("_b")).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+               .where("_lo <> _hi").select("_b"))
+    nodes = stash(members.join(several.hint("merge"), F.col("bucket") == F.col("_b"), "left_semi")
+                  .select(F.col("node").alias("_n"), "label").distinct(), "omh-open")
+    heads = stash(seqs.join(nodes.hint("merge"), F.col("node") == F.col("_n")).select("node", "label", "seq").mapInArrow(
+        run, "node bigint, label bigint, size bigint, " + "".join(f"{b} bigint, " for b in bits)
+        + "tokens array<bigint>"), "omh-heads")
+    tokens = heads.select(F.col("node").alias("_n"), F.explode("tokens").alias("token"))
+    counts = stash(tokens.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "omh-counts")
+    # a node's shingles by frequency, the rarest at place 0: those of no other node come before all that are left here
+    often = stash(tokens.join(counts.hint("merge"), F.col("token") == F.col("_t")).select("_n", "token", "n"), "omh-often")
+    back = F.row_number().over(Window.partitionBy("_n").orderBy(F.desc("n"), F.desc("token")))
+    share = least / (1.0 + least)
+    first = (often.withColumn("_back", back)
+             .join(heads.drop("tokens").hint("merge"), F.col("_n") == F.col("node"))
+             .withColumn("place", F.col("size") - F.col("_back"))
+             .where(F.col("size") - F.col("place") >= least * F.col("size") - 1e-6)
+             .withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
+             .select("token", "salts", "node", "label", "size", "place", *bits))
+    first = stash(first, "omh-prefix")
+    # the shorter one (x) needs fewer shingles than the longer one (y); a shingle of many nodes is dealt by y
+    x = (first.where(F.col("size") - F.col("place") >= 2 * share * F.col("size") - 1e-6)
+         .select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
+    y = first.select("*", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
+    x, y = (d.select(*[F.col(c).alias(f"{side}_{c}") for c in d.columns if c != "salts"])
+            for d, side in ((x, "x"), (y, "y")))
+    need = share * (F.col("x_size") + F.col("y_size")) - 1e-6
+    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits), F.lit(0))
+    pairs = x.join(y.hint("merge"), (F.col("x_token") == F.col("y_token")) & (F.col("x_salt") == F.col("y_salt"))
+                   & (F.col("x_label") != F.col("y_label"))
+                   & ((F.col("x_size") < F.col("y_size"))
+                      | ((F.col("x_size") == F.col("y_size")) & (F.col("x_node") < F.col("y_node"))))
+                   & (F.col("x_size") >= least * F.col("y_size") - 1e-6)
+                   & (F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) >= need)
+                   & (apart <= F.col("x_size") + F.col("y_size") - 2 * need))
+    pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    old = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    pairs = stash(pairs.join(old.hint("merge"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"),
+                  "omh-pairs")
+    return _verified(pairs, seqs, least)
+
+
 def _links(buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame | None:
     """Labels of the nodes in classes of several nodes, or None without links."""
     labels, links, tested, turn = None, None, None, 0
@@ -312,11 +384,10 @@ def _links(buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame | Non
         if met.limit(1).count() == 0:
             return labels           # every pair of classes that shares a bucket was tested
         found = _verified(pairs, seqs, least)
-        if found.limit(1).count():
+        new = found.limit(1).count() > 0
+        if new:
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        elif turn >= LEAST_TURNS:
-            return labels
         tested = pairs if tested is None else tested.unionByName(pairs)
         # a leader has met all of its bucket and leaves it; buckets of one class are done
         if labels is None:
@@ -326,6 +397,11 @@ def _links(buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame | Non
             members = stash(met.join(at.hint("merge"), met["node"] == at["_n"], "left").select(
                 "bucket", "node", F.coalesce("_l", "node").alias("label"), F.col("_l").isNotNull().alias("linked")),
                 "omh-members")
+        if turn >= (LEAST_TURNS if not new else MOST_TURNS):
+            found = _rest(members, seqs, tested, least)
+            if found.limit(1).count():
+                labels = components(found if links is None else links.unionByName(found))
+            return labels
         turn += 1
 
 

@@ -118,6 +118,30 @@ def test_near_duplicate_classes_match_brute_force(spark):
     assert sorted(got) == _brute_classes(rows)
 
 
+def test_pairs_of_one_large_group_are_all_aligned(spark):
+    # texts of one template with four words changed: those with the same places are
+    # at 0.81, all others below 0.8, and no shingle is theirs alone
+    r, template = random.Random(4), [f"w{k}" for k in range(200)]
+    kinds, rows = set(), []
+    while len(kinds) < 700:
+        kinds.add(tuple(sorted(r.sample(range(5, 195, 5), 4))))
+    for kind in sorted(kinds):
+        for copy in range(3):
+            words = list(template)
+            for k in kind:
+                words[k] = f"x{len(rows)}x{k}"
+            rows.append((len(rows), " ".join(words), None, None, None))
+    r.shuffle(rows)
+    got = plain(order_minhash.near_duplicate_classes(spark.createDataFrame(rows, DOC_SCHEMA)), "doc_id", "class_id")
+    assert sorted(got) == [(i, i - i % 3) for i in range(2100)]
+
+
+def test_a_repeated_shingle_leaves_the_others_labels():
+    a = order_minhash.Sketcher().shingles(prose(3, 50))
+    b = np.concatenate([a, a[:1]])
+    assert (order_minhash.Sketcher.labelled(b)[:-1] == order_minhash.Sketcher.labelled(a)).all()
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     df = frame(spark)
     got = {(r.doc_id, r.class_id, r.class_size, r.kept) for r in order_minhash.near_duplicate_classes(df).collect()}
