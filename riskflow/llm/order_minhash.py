@@ -7,7 +7,10 @@
    hashes among the occurrence-labelled shingles (the second occurrence of a
    shingle differs from the first) and hashes these shingles in text order. Two
    nodes share a value if their minima and the order of these agree, so the
-   chance follows edit similarity, not only the common set.
+   chance follows edit similarity, not only the common set. Where so few shingles
+   leave little or no choice, chance is not relied on: a node of up to ``SHORT``
+   shingles also has the keys of its sequence and of its sequence without each
+   one, so that two such nodes that differ by one shingle always share a value.
 3. Nodes that share a value form a bucket. Within a bucket pairs are not listed:
    every member is compared with a leader. Links join nodes into classes; a
    leader has met all of its bucket and leaves it. Buckets that still hold
@@ -60,6 +63,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 32
 PICK = 5
+SHORT = 8             # shingles: two texts of no more that reach 0.8 differ by one shingle at most
 LEAST_TURNS = 2
 MOST_TURNS = 6
 SALT_ROWS = 2000      # nodes with one shingle that meet in one task of the rest's join
@@ -129,6 +133,13 @@ class Sketcher:
         # a first occurrence is the same whether or not its text repeats any shingle
         return np.where(number, _mix(shingles + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), shingles)
 
+    def short_keys(self, shingles: np.ndarray) -> np.ndarray:
+        """Keys of a short sequence and of those with one shingle less; none for others."""
+        if len(shingles) > SHORT:
+            return np.empty(0, np.int64)
+        less = [np.delete(shingles, i) for i in range(len(shingles))] if len(shingles) > 1 else []
+        return np.array(sorted({self.key(x) for x in (shingles, *less)}), np.int64)
+
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         """One signed 64-bit value per table."""
         x = self.labelled(shingles)
@@ -222,7 +233,7 @@ def _sketch_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 s = maker.shingles(text)
                 nodes.append(maker.key(s) if len(s) else None)
-                values.append(maker.sketch(s) if len(s) else None)
+                values.append(np.concatenate([maker.sketch(s), maker.short_keys(s)]) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
                 names=["_id", "node", "sketch"])

@@ -136,6 +136,18 @@ def test_pairs_of_one_large_group_are_all_aligned(spark):
     assert sorted(got) == [(i, i - i % 3) for i in range(2100)]
 
 
+def test_short_texts_match_brute_force(spark):
+    rows = []
+    for words in range(1, 21):
+        for k in range(4):
+            text = prose(1000 * words + k, words).split(" ")
+            for copy in (text, ["before", *text], [*text, "behind"], text[1:], text[:-1], ["a", *text, "z"]):
+                rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC_SCHEMA)
+    got = plain(order_minhash.near_duplicate_classes(df), "doc_id", "class_id", "class_size")
+    assert sorted(got) == _brute_classes(rows)
+
+
 def test_a_repeated_shingle_leaves_the_others_labels():
     a = order_minhash.Sketcher().shingles(prose(3, 50))
     b = np.concatenate([a, a[:1]])
