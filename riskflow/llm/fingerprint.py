@@ -2,7 +2,10 @@
 
 1. Features are windows of ``WINDOW`` bytes of the UTF-8 text that begin at a
    word (after white space, or the text's start), so an insertion moves them
-   but does not change them. A text shorter than a window is one feature.
+   but does not change them. In a run without white space that is longer than a
+   window (prose in scripts without blanks, encoded data) they begin at every
+   character from which the run holds a whole window and at its last window, so
+   every byte is in a window. A text shorter than a window is one feature.
 2. Each window's entropy is put into one of ``BINS`` bins. A corpus pass counts
    the windows per bin over all documents (a table of at most ``BINS`` rows);
    the fewer windows a bin holds, the rarer - the more improbable - its windows.
@@ -58,11 +61,18 @@ _odd = np.random.default_rng(20240917).integers(1, 2 ** 63, WINDOW, dtype=np.uin
 
 
 def _starts(data: np.ndarray) -> np.ndarray:
-    """Where words begin, as far as a whole window follows."""
+    """Where words begin and every character of a run longer than a window, as
+    far as a whole window follows."""
     blank = data <= 32
     first = np.empty(len(data), bool)
     first[0] = True
     first[1:] = blank[:-1] & ~blank[1:]
+    edges = np.flatnonzero(np.concatenate(([True], blank, [True])))
+    for k in np.flatnonzero(np.diff(edges) > WINDOW + 1):
+        # continuation bytes of UTF-8 begin no character
+        run = slice(edges[k], edges[k + 1] - WINDOW)
+        first[run] |= (data[run] & 0xC0) != 0x80
+        first[run.stop - 1] = True            # the run's last bytes, wherever a character begins
     return np.flatnonzero(first[:len(data) - WINDOW + 1])
 
 

@@ -1,7 +1,9 @@
 import hashlib
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from riskflow.llm import fingerprint, language_id, lm_scoring
@@ -131,6 +133,23 @@ def test_fingerprint_likeness():
     assert fingerprint.likeness(nothing, nothing) == 1.0 and fingerprint.likeness(nothing, own) == 0.0
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x4E00 + 2000))), "กขคงจฉชซ",
+                                     "ABCDEFabcdef0123456789+/"])
+def test_fingerprints_of_unspaced_texts_cover_all_of_it(letters):
+    maker = fingerprint.Fingerprinter(list(range(fingerprint.BINS)))
+    r = random.Random(1)
+    text, other = ("".join(r.choice(letters) for _ in range(1500)) for _ in range(2))
+    half = text[:750] + other[:750]
+    for around in ("%s", "some words before %s and after"):
+        own = maker.filters(around % text)
+        assert 0.2 < fingerprint.likeness(own, maker.filters(around % half)) < 0.8
+        assert fingerprint.likeness(own, maker.filters(around % (text[:20] + other))) < 0.2
+        assert fingerprint.likeness(own, maker.filters(around % ("x" + text))) > 0.9
+    data = fingerprint._as_array(text)
+    starts = fingerprint._starts(data)
+    assert np.diff(starts).max() <= 4 and starts[0] == 0 and starts[-1] == len(data) - fingerprint.WINDOW
+
+
 def test_entropy_bins_match_a_direct_count():
     data = fingerprint._as_array(prose(1, 200) + " " + "a" * 100 + " " + prose(2, 50))
     starts = fingerprint._starts(data)
