@@ -2,12 +2,16 @@
 
 Patterns give the base spans. The battery adds tokens that no pattern names:
 maximal runs of encoding characters whose encoding can be inferred (hex,
-base32, base36, base64, base64url) are tested against "characters drawn
+base32, base36, BASE36, base64, base64url) are tested against "characters drawn
 uniformly and independently from that alphabet" by
   * a chi-squared test of the alphabet's uniformity,
   * a runs test about the middle of the alphabet,
   * a lag-1 serial correlation test,
 combined by Fisher's method. Ordinary identifiers are rejected by these tests.
+``=`` only ends a run, so a name and its value are two. A run that is in no
+encoding as a whole is split at the characters that base64, base64url or the
+plain alphabets do not hold, and its parts that are in an encoding and within no
+other such part are tested.
 A Benjamini-Hochberg step-up at level ``q`` inside each stratum of encoding and
 length (long tokens carry far more evidence than short ones, so they are not
 ranked together) decides which rejections count: at most a share ``q`` of the
@@ -45,7 +49,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 # Parameters of the battery.
-TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}=*"
+PARTS = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
 LEVEL = 0.05
 BIN = 20.0  # bins per factor e of a p-value
 ALPHABETS = {
@@ -53,6 +58,7 @@ ALPHABETS = {
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
@@ -117,10 +123,34 @@ def _encoding(t: Column) -> Column:
              .when(has("^[0-9A-F]+$", "[0-9]", "[A-F]"), "HEX")
              .when(has("^[A-Z2-7]+$", "[A-Z]", "[2-7]"), "base32")
              .when(has("^[0-9a-z]+$", "[0-9].*[0-9]", "[a-z]"), "base36")
+             .when(has("^[0-9A-Z]+$", "[0-9].*[0-9]", "[A-Z]"), "BASE36")
              .when(has("^[A-Za-z0-9+/]+$", "[A-Z]", "[a-z]", "[0-9]"), "base64")
              .when(has("^[A-Za-z0-9_-]+$", "[A-Z]", "[a-z]", "[0-9]"), "base64url"))
 
 
+def _candidates(run: Column) -> Column:
+    """The run itself if it is in an encoding, else its parts that are."""
+    whole = F.struct(run["start"].alias("start"), run["end"].alias("end"), run["text"].alias("text"),
+                     _encoding(run["text"]).alias("enc"))
+
+    def parts(k):
+        found = _located(run["text"], PARTS[k], F.regexp_extract_all(run["text"], F.lit(PARTS[k]), F.lit(0)))
+        return F.transform(found, lambda p: F.struct(
+            (run["start"] + p["start"]).alias("start"),
+            # the padding belongs to the last part
+            F.when(p["end"] == F.length(run["text"]), run["end"]).otherwise(run["start"] + p["end"]).alias("end"),
+            p["text"].alias("text"), _encoding(p["text"]).alias("enc"), F.lit(k).alias("k")))
+
+    def outer(found):
+        return F.filter(found, lambda p: ~F.exists(found, lambda o: (o["start"] <= p["start"]) & (o["end"] >= p["end"]) & (
+            (o["end"] - o["start"] > p["end"] - p["start"]) | (o["k"] < p["k"]))))
+
+    split = _let(F.filter(F.concat(*map(parts, range(len(PARTS)))), lambda p: p["enc"].isNotNull()), outer)
+    return _let(whole, lambda w: F.when(w["enc"].isNotNull(), F.array(w)).otherwise(F.transform(
+        split, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"),
+                                  p["enc"].alias("enc")))))
+
+
 def _erfc(x: Column) -> Column:
     """Complementary error function for x >= 0 (a published rational
     approximation, absolute error below 2e-7; fixed coefficients)."""
@@ -203,9 +233,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     named = base.select("*", F.concat("assign", "access", "hex").alias("_base"), F.transform("_s4", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
         F.rtrim(s["text"], F.lit("=")).alias("text"))).alias("_s5"))
-    named = named.withColumn("_s6", F.filter(F.transform("_s5", lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
-        _encoding(s["text"]).alias("enc"))), lambda s: s["enc"].isNotNull() & (F.length(s["text"]) >= 20) & ~F.exists(
+    named = named.withColumn("_s6", F.filter(F.flatten(F.transform("_s5", _candidates)), lambda s: (
+        F.length(s["text"]) >= 20) & ~F.exists(
             "_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     tokens = F.transform("_s6", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"),

@@ -82,6 +82,35 @@ def test_battery_matches_python_and_separates_random_tokens(spark):
     assert got[0][1] in ("", f"random:4:{4 + len(good[0])}")
 
 
+def test_unspaced_names_and_other_alphabets_are_tested(spark):
+    r = random.Random(9)
+
+    def draw(name):
+        letters = secret_scan.ALPHABETS[name]
+        while True:
+            t = "".join(r.choice(letters) for _ in range(40))
+            if len(re.findall("[0-9]", t)) > 1 and re.search("[089]", t) and (len(letters) < 64 or set(letters[-2:]) & set(t)):
+                return t
+
+    planted = []                                      # (text, secret, encoding)
+    for _ in range(12):
+        for around, name in (("aws_access=%s", "base64"), ("a_long_name_in_lower_case=%s", "base64"), ("&sig=%s&b=c", "base64"),
+                             ("see %s here", "BASE36"), ("/v1/my_path/%s", "base64url"), ("my-key_of-%s", "base64"),
+                             ("api/v1/users_all/%s", "base36"), ("sig=%s== x", "base64")):
+            secret = draw(name)
+            planted.append((around % secret, secret, name))
+    df = spark.createDataFrame([(k, t, None, None, None) for k, (t, _, _) in enumerate(planted)], DOC_SCHEMA)
+    scanned = {row._id: row.tokens for row in secret_scan.scan(df).collect()}
+    reported = {row.doc_id: row.spans for row in secret_scan.find_secrets(df).collect()}
+    seen = 0
+    for k, (text, secret, name) in enumerate(planted):
+        begin = text.index(secret)
+        end = begin + len(secret) + (2 if "==" in text else 0)
+        assert any(t.start <= begin and t.end >= end for t in scanned[k]), text
+        seen += any(a <= begin and b >= end for a, b in (map(int, x.split(":")[1:]) for x in reported[k].split(",") if x))
+    assert seen >= 0.85 * len(planted)
+
+
 def test_awkward_rows(spark):
     got = secret_scan.find_secrets(frame(spark)).collect()
     assert len(got) == len(awkward_rows())
