@@ -26,9 +26,8 @@ How it runs
      which they are added.
 The exchanged volume grows with the corpus; a shard's size does not.
 
-The target side is fitted on a bounded sample of labelled rows: ``TARGET_DOCS``
-ids chosen by hash (all where there are fewer), which bounds what is sent to the
-workers. Background counts cover all documents.
+Both sides are counted over all their documents: labelled ids are joined to the
+documents once, and the flag travels with the text.
 
 Defined cases: a null or empty text is the end mark alone (``n_tokens`` 1). Rows
 repeated with one id and text give equal rows. Documents with a null id are
@@ -45,13 +44,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import ship, stash, unit_hash
+from riskflow.llm.common import ship, stash
 
 __all__ = ["target_ids", "score_documents"]
 
 MASS = 50.0
 HOT = 2000
-TARGET_DOCS = 20_000
 SHARD_ENTRIES = 2_500_000
 PART_DOCUMENTS = 10_000
 FLUSH_TOKENS = 1_000_000
@@ -97,16 +95,23 @@ class _Reader:
         return out
 
 
-def target_ids(labels: DataFrame, id_col: str = "doc_id", flag_col: str = "quality",
-               most: int = TARGET_DOCS) -> list[int]:
-    """Ids of about ``most`` rows with flag 1 (all where there are fewer)."""
-    good = labels.where(F.col(flag_col) == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    n = good.count()
-    share = 1.0 if n <= most else most / n
-    return sorted(r[0] for r in good.where(unit_hash(F.col(id_col), "lm-target") < share).collect())
+def target_ids(labels: DataFrame, id_col: str = "doc_id", flag_col: str = "quality") -> DataFrame:
+    """One column, the ids of all rows with flag 1."""
+    return labels.where(F.col(flag_col) == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct()
 
 
-def _word_counts(targets: frozenset):
+def _flagged(df: DataFrame, targets: DataFrame | list, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text and whether the id is a target."""
+    if not isinstance(targets, DataFrame):
+        kind = df.schema[id_col].dataType.simpleString()
+        targets = df.sparkSession.createDataFrame([(i,) for i in targets], f"_target {kind}")
+    ids = targets.select(F.col(targets.columns[0]).alias("_target")).where("_target is not null").distinct()
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return stash(rows.join(ids, F.col("_id") == F.col("_target"), "left")
+                 .select("_id", "_text", F.col("_target").isNotNull().alias("_good")), "lm-rows")
+
+
+def _word_counts():
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         reader = _Reader()
@@ -125,9 +130,9 @@ def _word_counts(targets: frozenset):
                 names=["word", "n", "t"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, good in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x = reader.tokens(text)
-                held[1 if i in targets else 0].append(x)
+                held[1 if good else 0].append(x)
                 size += len(x)
                 if size >= FLUSH_TOKENS:
                     yield flush()
@@ -137,18 +142,18 @@ def _word_counts(targets: frozenset):
     return run
 
 
-def _pair_counts(targets: frozenset, hot: np.ndarray):
+def _pair_counts(hot: np.ndarray):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         reader = _Reader()
         for batch in batches:
             keys, flags = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, good in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x = reader.tokens(text)
                 known = np.isin(x, hot)
                 both = known[:-1] & known[1:]
                 keys.append(pair_key(x[:-1][both], x[1:][both]))
-                flags.append(np.full(len(keys[-1]), i in targets))
+                flags.append(np.full(len(keys[-1]), good))
             pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(at, minlength=len(pairs))
             t = np.bincount(at, weights=np.concatenate(flags), minlength=len(pairs))
@@ -199,7 +204,7 @@ SUMS = "part int, keys binary, ids binary, tokens binary, target binary, backgro
 SCORES = "_id string, n_tokens bigint, target_loss double, background_loss double"
 
 
-def _entries(targets: frozenset, stats: Statistics, shards: int):
+def _entries(stats: Statistics, shards: int):
     """Entries per shard. Pairs known to all are summed per document here; the
     sums travel as one more row, without entries, in a shard of their own turn."""
     def run(batches: Iterator) -> Iterator:
@@ -256,13 +261,13 @@ def _entries(targets: frozenset, stats: Statistics, shards: int):
 
         size, turn = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text, good in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 name = "" if i is None else str(i)
                 digest = xxhash.xxh64(name + ":", seed=17)
                 digest.update((text or "").encode("utf-8", "replace"))
                 ids.append(name)
                 keys.append(digest.intdigest() - (1 << 63))
-                flags.append(i in targets)
+                flags.append(good)
                 tokens.append(reader.tokens(text))
                 size += len(tokens[-1])
                 if size >= FLUSH_TOKENS:
@@ -364,15 +369,14 @@ def _add_part(pdf):
                          "target_loss": target[mine] / tokens[mine], "background_loss": background[mine] / tokens[mine]})
 
 
-def score_documents(df: DataFrame, targets: list, id_col: str = "doc_id", text_col: str = "text",
+def score_documents(df: DataFrame, targets: DataFrame | list, id_col: str = "doc_id", text_col: str = "text",
                     hot: int = HOT, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """Per row: id, ``n_tokens``, ``target_loss``, ``background_loss`` (nats per
-    token) and ``score`` (their difference)."""
+    token) and ``score`` (their difference). ``targets`` has the target ids."""
     ship(df)
-    wanted = frozenset(targets)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    words = stash(rows.mapInArrow(_word_counts(wanted), "word bigint, n bigint, t bigint")
+    rows = _flagged(df, targets, id_col, text_col)
+    words = stash(rows.mapInArrow(_word_counts(), "word bigint, n bigint, t bigint")
                   .groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "lm-words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"),
                       F.sum(F.when(F.col("word") == int(START), F.col("n"))).alias("docs")).first()
@@ -385,13 +389,13 @@ def score_documents(df: DataFrame, targets: list, id_col: str = "doc_id", text_c
     frequent = [(r["word"], r["n"], r["t"]) for r in words.where(
         (F.col("n") >= least) | (F.col("word") == int(START))).collect()]
     known = np.array(sorted(w for w, _, _ in frequent), np.uint64)
-    pairs = (rows.mapInArrow(_pair_counts(wanted, known), "pair bigint, n bigint, t bigint")
+    pairs = (rows.mapInArrow(_pair_counts(known), "pair bigint, n bigint, t bigint")
                  .groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= least).collect())
     stats = Statistics(tokens, total["k"] - 1, frequent, [(r["pair"], r["n"], r["t"]) for r in pairs])
     shards = max(1, -(-tokens // shard_entries))
 
     parts = max(1, -(-total["docs"] // PART_DOCUMENTS))
-    entries = rows.mapInArrow(_entries(wanted, stats, shards), ENTRY)
+    entries = rows.mapInArrow(_entries(stats, shards), ENTRY)
     sums = entries.groupBy("shard").applyInPandas(_score_shard(stats, parts), SUMS)
     out = sums.groupBy("part").applyInPandas(_add_part, SCORES)
     return out.select(F.expr(f"cast(nullif(_id, '') as {kind})").alias(id_col), "n_tokens", "target_loss",

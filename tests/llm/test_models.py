@@ -90,6 +90,20 @@ def test_scores_match_plain_counts(spark, hot, entries):
                    for r in got), key=repr) == _plain_scores(rows, set(targets), hot)
 
 
+def test_every_labelled_document_is_a_target(spark):
+    # far more labels than any cap: half of the documents are good and share a word
+    n = 50_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 2 = 0, 'good words', 'other words') as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2 = 0) as quality")
+    labels = labels.unionByName(labels.where("doc_id < 10"))          # repeated labels count once
+    got = lm_scoring.score_documents(docs, lm_scoring.target_ids(labels)).where("doc_id < 2").collect()
+    (good,) = (r.target_loss for r in got if r.doc_id == 0)
+    t = n // 2
+    share = {"good": 0.5 / 3, "words": 1 / 3, "end": 1 / 3}
+    want = -sum(math.log((t + 50 * b) / (t + 50)) for b in share.values()) / 3
+    assert good == pytest.approx(want, abs=1e-12)
+
+
 def test_scores_rank_good_held_out_documents(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     assert lm_scoring.score_documents(empty(spark), []).count() == 0
