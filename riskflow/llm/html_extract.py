@@ -4,15 +4,18 @@
    per block element, in page order. Scripts, styles, forms and other elements
    without prose leave nothing. Boilerplate elements - menus, headers, footers,
    sidebars, notices, adverts and reader comments, known by element, role or
-   name - leave a blank line, as does each border of a sectioning element.
+   name - leave a blank line, as does each border of a sectioning element. A role
+   or name never silences an element with more than half of the page's text
+   outside links (comments: only if it holds no ``h1`` or ``main`` either).
 2. A line's length is its characters outside links. The block sum of a line is
    the sum over the window of lines that begins there.
 3. A surge is a line where the block sum rises from nothing; its dive is where
    the sum falls back to zero, after as many blank lines as the window is
    wide. The text between a surge and its dive is one
-   region. Where the page marks its article (``article``, ``main``), the regions
-   inside it are the article; else the regions that hold a block sum above
-   ``SURGE_SHARE`` of the page's largest are kept.
+   region. Where the regions that the page marks as its article (``article``,
+   ``main``) hold at least half of the text, they are the article: marks, not
+   sums, decide there. Else the regions that hold a block sum above
+   ``SURGE_SHARE`` of the page's largest are kept, and the marked ones.
 
 White space inside a line becomes one space; lines are joined by two line
 feeds. Nothing else is dropped or capped. Pages are independent: no shuffle.
@@ -128,14 +131,29 @@ class _Lines:
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, length outside links, inside the marked article) per line."""
+    lines, wrong = _read(page, frozenset())
+    return _read(page, wrong)[0] if wrong else lines
+
+
+def _read(page: str, spared: frozenset) -> tuple[list[tuple[str, int, bool]], frozenset]:
+    """The lines, and where elements begin that a role or name silences though
+    they hold most of the text; those in ``spared`` are not silenced."""
     out, stack = _Lines(), []          # stack: (tag, reason it is silent or "")
     silent = article = links = 0
     at, opened = 0, Counter()          # opened: how often each element is on the stack
+    # text outside links and quiet elements so far, h1 and main so far; their values where elements on the
+    # stack begin; and what elements silenced by role or name hold
+    seen = heads = quiet = 0
+    begins, held = [], []
 
     def pop_to(k: int) -> None:
-        nonlocal silent, article, links
+        nonlocal silent, article, links, quiet
         while len(stack) > k:
             tag, why = stack.pop()
+            begin, before, above = begins.pop()
+            quiet -= why == "quiet"
+            if why in ("role", "name") or why == "comments" and heads > above:
+                held.append((begin, seen - before))
             opened[tag] -= 1
             if tag in BLOCK and not silent:
                 out.end_line(article > 0)
@@ -154,9 +172,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if m is None:
             if not silent:
                 out.text(page[at:], links > 0)
+            if not quiet and not opened["a"]:
+                seen += len(page[at:].strip())
             break
-        if m.start() > at and not silent:
-            out.text(page[at:m.start()], links > 0)
+        if m.start() > at:
+            if not silent:
+                out.text(page[at:m.start()], links > 0)
+            if not quiet and not opened["a"]:
+                seen += len(page[at:m.start()].strip())
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -194,6 +217,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag in BLOCK and not silent:
             out.end_line(article > 0)
         why = "quiet" if tag in SILENT else _boilerplate(tag, m[3], article > 0)
+        if m.start() in spared:
+            why = ""
         if tag == "form" and not why:
             # a form around the whole page is no form to leave out
             holds = _BODY.search(page, at)
@@ -210,13 +235,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             links += tag == "a"
             article += tag in ("article", "main")
         stack.append((tag, why))
+        begins.append((m.start(), seen, heads))
+        heads += tag in ("h1", "main")
+        quiet += why == "quiet"
         opened[tag] += 1
         if tag in RAW:
             raw_end = re.compile(f"</{tag}", re.IGNORECASE).search(page, at)
             at = raw_end.start() if raw_end else len(page)
     pop_to(0)
     out.end_line(False)
-    return out.lines
+    return out.lines, frozenset(begin for begin, n in held if 2 * n > seen)
 
 
 def main_regions(lines: list[tuple[str, int, bool]], window: int = WINDOW,
@@ -237,10 +265,10 @@ def main_regions(lines: list[tuple[str, int, bool]], window: int = WINDOW,
             regions.append((begin, i + 1))              # dive: a window of blank lines follows
             begin = None
     marked = [r for r in regions if any(lines[i][2] for i in range(*r))]
-    if marked:
+    if marked and 2 * sum(upto[e] - upto[b] for b, e in marked) >= upto[-1]:
         return marked
     floor = surge_share * max(blocks, default=0)
-    return [r for r in regions if max(blocks[r[0]:r[1]]) >= floor and any(length[r[0]:r[1]])]
+    return [r for r in regions if r in marked or max(blocks[r[0]:r[1]]) >= floor and any(length[r[0]:r[1]])]
 
 
 def extract_text(page: str | None) -> str:

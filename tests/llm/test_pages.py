@@ -37,6 +37,21 @@ def test_regions_without_a_marked_article():
     assert text.startswith("A long") and "Short." in text and "Copyright" not in text and "Home" not in text
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "menu-open", "page has-comments", "widget"])
+def test_a_name_does_not_silence_the_story(name):
+    story = "".join(f"<p>{f'Sentence {k} of the story goes on and on. ' * 4}</p>" for k in range(5))
+    page = f'<body><div class="{name}"><h1>Title</h1>{story}<div class="menu"><p>Home of the menu</p></div></div></body>'
+    got = html_extract.extract_text(page)
+    assert got.startswith("Title") and got.count("of the story") == 20 and "menu" not in got
+
+
+def test_a_small_marked_part_does_not_hide_the_story():
+    story = "".join(f"<p>{f'Sentence {k} of the story goes on and on. ' * 4}</p>" for k in range(5))
+    page = f"<body><main><p>A short teaser.</p></main><div>{story}</div></body>"
+    got = html_extract.extract_text(page)
+    assert "teaser" in got and got.count("of the story") == 20
+
+
 def _frame(spark):
     big = "<p>" + "long page " * 60_000 + "</p>"
     rows = [(1, "http://a", PAGE), (2, "http://b", PAGE), (3, None, None), (4, "u", ""), (5, "u", "<p>tiny</p>"),
