@@ -47,7 +47,7 @@ def test_a_name_does_not_silence_the_story(name):
 
 def test_a_small_marked_part_does_not_hide_the_story():
     story = "".join(f"<p>{f'Sentence {k} of the story goes on and on. ' * 4}</p>" for k in range(5))
-    page = f"<body><main><p>A short teaser.</p></main><div>{story}</div></body>"
+    page = f"<body><main><p>A short teaser.</p></main><nav>Menu</nav><div><div>{story}</div></div></body>"
     got = html_extract.extract_text(page)
     assert "teaser" in got and got.count("of the story") == 20
 
