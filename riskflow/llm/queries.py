@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.llm import (
-    exact_dedup, fingerprint, html_extract, language_id, lm_scoring, mixing, order_minhash, secret_scan,
-    sentencepiece_codec, warc)
+    exact_dedup, fill_middle, fingerprint, html_extract, language_id, lm_scoring, mixing, order_minhash, personal_data,
+    secret_scan, sentencepiece_codec, source_divergence, warc)
 from riskflow.llm.common import documents, labels, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,61 @@ def op7_order_minhash(spark, sf_dir):
 @query("op2_lm_scoring")
 def op2_lm_scoring(spark, sf_dir):
     return lm_scoring.score_documents(documents(spark, sf_dir), lm_scoring.target_ids(labels(spark, sf_dir)))
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words,
+    row_number() OVER () AS row
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n,
+    1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v.v) AS p FROM grid JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v.v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+used AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM used))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 10
+""")
+def op11_source_divergence(spark, sf_dir):
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
+@query("op12_personal_data")
+def op12_personal_data(spark, sf_dir):
+    return personal_data.digests(personal_data.find_personal_data(documents(spark, sf_dir)))
+
+
+@query("op13_fill_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS c1,
+    ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS c2, ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 AS spm,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM d),
+s AS (SELECT *, array_to_string(units[1:least(c1, c2)], '') AS prefix,
+    array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+    array_to_string(units[greatest(c1, c2) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN NOT plain THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+""")
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.digests(fill_middle.fill_in_middle(documents(spark, sf_dir)))
