@@ -12,14 +12,14 @@
    shingles also has the keys of its sequence and of its sequence without each
    one, so that two such nodes that differ by one shingle always share a value.
 3. Nodes that share a value form a bucket. Within a bucket pairs are not listed:
-   every member is compared with a leader. Links join nodes into classes; a
-   leader has met all of its bucket and leaves it. Buckets that still hold
-   several classes get a new leader, nodes without a link first, which is
-   compared with the members of other classes, and so on until no bucket holds
-   several classes. A turn costs at most one pair per node and table, whatever
-   the size of a bucket. Buckets that still hold several classes when a turn
-   after ``LEAST_TURNS`` finds no new link, or after ``MOST_TURNS``, are not given
-   up: the nodes in them are joined by an exact prefix filter. Two nodes at
+   every member is compared with a leader. Links join nodes into classes.
+   Buckets that still hold several classes get a new leader, nodes without a
+   link first, which is compared with the members of other classes; members of
+   its own class cost nothing. A turn costs at most one pair per node and table,
+   whatever the size of a bucket. When after ``LEAST_TURNS`` no open bucket has
+   more than ``REST_NODES`` nodes or a turn finds no new link, or after
+   ``MOST_TURNS``, open buckets are not given up:
+   the nodes in them are joined by an exact prefix filter. Two nodes at
    ``SIMILARITY`` share one of their rarest labelled shingles, early enough that
    the rest of both can still make up the overlap; the lengths, that overlap and
    a bitmap of either's shingles leave pairs out only if they cannot pass.
@@ -40,7 +40,8 @@ the same at every size.
 Defined cases: null and empty texts and texts without a word are in no class
 but their own (``class_id`` is the id, ``class_size`` 1). A class is named by
 its smallest id; null ids are members but name a class only if all are null.
-Rows repeated with one id and text are members each. Node keys are 64-bit
+Where several texts have that id, the one of the smallest node is kept. Rows
+repeated with one id and text are members each. Node keys are 64-bit
 hashes of the whole sequence. Only id and text are read. An empty table gives
 an empty result.
 """
@@ -64,8 +65,9 @@ SIMILARITY = 0.8
 TABLES = 32
 PICK = 5
 SHORT = 8             # shingles: two texts of no more that reach 0.8 differ by one shingle at most
-LEAST_TURNS = 2
+LEAST_TURNS = 1
 MOST_TURNS = 6
+REST_NODES = 2000     # nodes of the largest open bucket that the exact join takes over at
 SALT_ROWS = 2000      # nodes with one shingle that meet in one task of the rest's join
 BITMAP = 8            # longs of a node's bitmap
 _CACHE = 500_000
@@ -223,24 +225,28 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY
     return matches / (total - matches)
 
 
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _sketch_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: _id, node (null without words), sketch."""
+    """Per row: _id, _th (hash of the text), node (null without words), sketch."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         maker = Sketcher()
         for batch in batches:
             nodes, values = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = maker.shingles(text)
                 nodes.append(maker.key(s) if len(s) else None)
                 values.append(np.concatenate([maker.sketch(s), maker.short_keys(s)]) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-                names=["_id", "node", "sketch"])
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
+                names=["_id", "_th", "node", "sketch"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return stash(rows.mapInArrow(run, f"_id {kind}, node bigint, sketch array<bigint>"), "omh-sketch")
+    rows = df.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    return stash(rows.mapInArrow(run, f"_id {kind}, _th bigint, node bigint, sketch array<bigint>"), "omh-sketch")
 
 
 def _sequences(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -267,24 +273,24 @@ def _sequences(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
 
 
 def _verified(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches ``least``."""
+    """The pairs (a, b, la, lb: their classes so far) whose alignment reaches ``least``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow.compute as pc
         import pyarrow as pa
         for batch in batches:
             keep = []
-            left, right = batch.column(2), batch.column(3)
+            left, right = batch.column(4), batch.column(5)
             for k in range(batch.num_rows):
                 x, y = (c[k].values.to_numpy(zero_copy_only=False) for c in (left, right))
                 keep.append(alignment_similarity(x, y, least) >= least)
             yield pa.RecordBatch.from_arrays(
-                [pc.filter(batch.column(i), pa.array(keep, pa.bool_())) for i in range(2)], names=["a", "b"])
+                [pc.filter(batch.column(i), pa.array(keep, pa.bool_())) for i in range(4)], names=["a", "b", "la", "lb"])
 
     member = seqs.select(F.col("node").alias("_mn"), F.col("seq").alias("_ms"))
     leader = seqs.select(F.col("node").alias("_ln"), F.col("seq").alias("_ls"))
-    j = (pairs.join(member.hint("merge"), F.col("b") == F.col("_mn")).select("a", "b", "_ms")
-              .join(leader.hint("merge"), F.col("a") == F.col("_ln")).select("a", "b", "_ls", "_ms"))
-    return stash(j.mapInArrow(run, "a bigint, b bigint"), "omh-links")
+    j = (pairs.join(member.hint("merge"), F.col("b") == F.col("_mn")).select("a", "b", "la", "lb", "_ms")
+              .join(leader.hint("merge"), F.col("a") == F.col("_ln")).select("a", "b", "la", "lb", "_ls", "_ms"))
+    return stash(j.mapInArrow(run, "a bigint, b bigint, la bigint, lb bigint"), "omh-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -313,9 +319,9 @@ def _bitmap(labelled: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _rest(members: DataFrame, seqs: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """All links between classes of the buckets that still hold several: pairs
-    that may reach ``least`` by a prefix filter on the rarest labelled shingles."""
+def _rest(members: DataFrame, heads: DataFrame, seqs: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """All links between classes of the buckets that still hold several (``heads``):
+    pairs that may reach ``least`` by a prefix filter on the rarest labelled shingles."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
@@ -329,21 +335,19 @@ def _rest(members: DataFrame, seqs: DataFrame, tested: DataFrame, least: float)
                 names=["node", "label", "size", *bits, "tokens"])
 
     bits = [f"m{i}" for i in range(BITMAP)]
-    several = (members.groupBy(F.col("bucket").alias("_b")).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-               .where("_lo <> _hi").select("_b"))
-    nodes = stash(members.join(several.hint("merge"), F.col("bucket") == F.col("_b"), "left_semi")
+    nodes = stash(members.join(heads.select("_b").hint("merge"), F.col("bucket") == F.col("_b"), "left_semi")
                   .select(F.col("node").alias("_n"), "label").distinct(), "omh-open")
-    heads = stash(seqs.join(nodes.hint("merge"), F.col("node") == F.col("_n")).select("node", "label", "seq").mapInArrow(
+    whole = stash(seqs.join(nodes.hint("merge"), F.col("node") == F.col("_n")).select("node", "label", "seq").mapInArrow(
         run, "node bigint, label bigint, size bigint, " + "".join(f"{b} bigint, " for b in bits)
-        + "tokens array<bigint>"), "omh-heads")
-    tokens = heads.select(F.col("node").alias("_n"), F.explode("tokens").alias("token"))
+        + "tokens array<bigint>"), "omh-whole")
+    tokens = whole.select(F.col("node").alias("_n"), F.explode("tokens").alias("token"))
     counts = stash(tokens.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "omh-counts")
     # a node's shingles by frequency, the rarest at place 0: those of no other node come before all that are left here
     often = stash(tokens.join(counts.hint("merge"), F.col("token") == F.col("_t")).select("_n", "token", "n"), "omh-often")
     back = F.row_number().over(Window.partitionBy("_n").orderBy(F.desc("n"), F.desc("token")))
     share = least / (1.0 + least)
     first = (often.withColumn("_back", back)
-             .join(heads.drop("tokens").hint("merge"), F.col("_n") == F.col("node"))
+             .join(whole.drop("tokens").hint("merge"), F.col("_n") == F.col("node"))
              .withColumn("place", F.col("size") - F.col("_back"))
              .where(F.col("size") - F.col("place") >= least * F.col("size") - 1e-6)
              .withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
@@ -364,62 +368,70 @@ def _rest(members: DataFrame, seqs: DataFrame, tested: DataFrame, least: float)
                    & (F.col("x_size") >= least * F.col("y_size") - 1e-6)
                    & (F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) >= need)
                    & (apart <= F.col("x_size") + F.col("y_size") - 2 * need))
-    pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    pairs = (pairs.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+             .agg(F.first(F.least("x_label", "y_label")).alias("la"), F.first(F.greatest("x_label", "y_label")).alias("lb")))
     old = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     pairs = stash(pairs.join(old.hint("merge"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"),
                   "omh-pairs")
     return _verified(pairs, seqs, least)
 
 
+def _relabelled(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """node, label after the labels in ``merged`` (node: a label so far, label:
+    its new one) have changed; nodes without a class are not listed."""
+    if labels is None:
+        return merged
+    new = merged.select(F.col("node").alias("_l"), F.col("label").alias("_new"))
+    every = labels.unionByName(merged.select("node", F.col("node").alias("label")))
+    return stash(every.join(new.hint("merge"), F.col("label") == F.col("_l"), "left")
+                 .groupBy("node").agg(F.min(F.coalesce("_new", "label")).alias("label")), "omh-label")
+
+
 def _links(buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame | None:
     """Labels of the nodes in classes of several nodes, or None without links."""
-    labels, links, tested, turn = None, None, None, 0
+    labels, tested, turn = None, None, 0
     members = buckets.select("bucket", "node", F.col("node").alias("label"), F.lit(False).alias("linked"))
     while True:
-        # the leader of each bucket that still holds several classes: nodes without a link
+        # the leader of each bucket that holds several classes: nodes without a link
         # first, by one order of all nodes, so that buckets of a group share leaders
         rank = F.xxhash64(F.col("node"), F.lit(turn)) if turn else F.col("node")
-        heads = (members.groupBy(F.col("bucket").alias("_b"))
-                 .agg(F.min(F.struct(F.col("linked"), rank.alias("r"), F.col("node"), F.col("label"))).alias("_h"),
-                      F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-                 .where("_lo <> _hi").select("_b", F.col("_h.node").alias("_lead"), F.col("_h.label").alias("_own")))
-        heads = stash(heads, "omh-heads")
-        met = stash(members.join(heads.hint("merge"), F.col("bucket") == F.col("_b")).where("node <> _lead")
-                    .select("bucket", "node", "label", "_lead", "_own"), "omh-met")
-        pairs = met.where("label <> _own").select(F.least("_lead", "node").alias("a"),
-                                                  F.greatest("_lead", "node").alias("b")).distinct()
+        heads = stash(members.groupBy(F.col("bucket").alias("_b"))
+                      .agg(F.min(F.struct(F.col("linked"), rank.alias("r"), F.col("node"), F.col("label"))).alias("_h"),
+                           F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+                      .where("_lo <> _hi").select("_b", F.col("_h.node").alias("_lead"), F.col("_h.label").alias("_own"), "_n"),
+                      "omh-heads")
+        largest = heads.agg(F.max("_n")).first()[0]
+        if largest is None:
+            return labels           # every pair of classes that shares a bucket was tested
+        if turn > LEAST_TURNS and (not new or largest <= REST_NODES) or turn > MOST_TURNS:
+            break
+        # members of the leader's own class meet no one: a class that has formed costs no row
+        pairs = (members.join(heads.hint("merge"), (F.col("bucket") == F.col("_b")) & (F.col("label") != F.col("_own")))
+                 .groupBy(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b"))
+                 .agg(F.first(F.least("label", "_own")).alias("la"), F.first(F.greatest("label", "_own")).alias("lb")))
         if tested is not None:
             old = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
             pairs = pairs.join(old, (pairs["a"] == old["_a"]) & (pairs["b"] == old["_b"]), "left_anti")
         pairs = stash(pairs, "omh-pairs")
-        if met.limit(1).count() == 0:
-            return labels           # every pair of classes that shares a bucket was tested
         found = _verified(pairs, seqs, least)
         new = found.limit(1).count() > 0
         if new:
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # a leader has met all of its bucket and leaves it; buckets of one class are done
-        if labels is None:
-            members = met.select("bucket", "node", F.col("node").alias("label"), F.lit(False).alias("linked"))
-        else:
+            labels = _relabelled(labels, components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))
             at = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-            members = stash(met.join(at.hint("merge"), met["node"] == at["_n"], "left").select(
+            members = stash(buckets.join(at.hint("merge"), buckets["node"] == at["_n"], "left").select(
                 "bucket", "node", F.coalesce("_l", "node").alias("label"), F.col("_l").isNotNull().alias("linked")),
                 "omh-members")
-        if turn >= (LEAST_TURNS if not new else MOST_TURNS):
-            found = _rest(members, seqs, tested, least)
-            if found.limit(1).count():
-                labels = components(found if links is None else links.unionByName(found))
-            return labels
+        pairs = pairs.select("a", "b")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
+    found = _rest(members, heads, seqs, tested, least)
+    if found.limit(1).count():
+        labels = _relabelled(labels, components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))
+    return labels
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                           similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id, ``class_id``, ``class_size``, ``kept`` (its id
-    names the class)."""
+def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """_id, _th, class_id, class_size, kept per input row."""
     ship(df)
     sketches = _sketch_table(df, id_col, text_col)
     worded = sketches.where(F.col("node").isNotNull())
@@ -432,26 +444,46 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     seqs = _sequences(df, id_col, text_col, wanted)
     labels = _links(buckets.select("bucket", "node"), seqs, similarity)
 
-    rows = worded.select("_id", "node")
+    rows = worded.select("_id", "_th", "node")
     if labels is None:
-        rows = rows.withColumnRenamed("node", "class")
+        rows = rows.withColumn("class", F.col("node"))
     else:
         at = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        rows = rows.join(at, rows["node"] == at["_n"], "left").select("_id", F.coalesce("_l", "node").alias("class"))
+        rows = rows.join(at, rows["node"] == at["_n"], "left").select("_id", "_th", "node", F.coalesce("_l", "node").alias("class"))
     rows = stash(rows, "omh-rows")
-    names = stash(rows.groupBy(F.col("class").alias("_c")).agg(F.min("_id").alias("class_id"),
-                                                               F.count(F.lit(1)).alias("class_size")), "omh-names")
-    out = rows.join(names, rows["class"] == names["_c"]).select("_id", "class_id", "class_size")
-    alone = sketches.where(F.col("node").isNull()).select("_id", F.col("_id").alias("class_id"),
-                                                          F.lit(1).cast("bigint").alias("class_size"))
-    return out.unionByName(alone).select(F.col("_id").alias(id_col), "class_id", "class_size",
-                                         F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # the smallest id names the class; where it stands for several texts, one of them does
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("node")))
+    names = stash(rows.groupBy(F.col("class").alias("_c")).agg(first.alias("_f"), F.count(F.lit(1)).alias("class_size")),
+                  "omh-names")
+    out = rows.join(names, rows["class"] == names["_c"]).select(
+        "_id", "_th", F.col("_f.id").alias("class_id"), "class_size",
+        (F.col("_id").eqNullSafe(F.col("_f.id")) & (F.col("node") == F.col("_f.node"))).alias("kept"))
+    alone = sketches.where(F.col("node").isNull()).select(
+        "_id", "_th", F.col("_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                           similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: id, ``class_id``, ``class_size``, ``kept`` (the row
+    that stands for its class; rows repeated with one id and text do together)."""
+    return _classes(df, id_col, text_col, similarity).select(
+        F.col("_id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``df`` whose id names their class, with all their columns.
-    Only the ids that go are looked up."""
-    lost = (near_duplicate_classes(df, id_col, text_col, similarity).where("not kept")
-            .select(F.col(id_col).alias("_lost")).distinct())
-    return df.join(lost, df[id_col].eqNullSafe(F.col("_lost")), "left_anti")
+    """The rows of ``df`` that stand for their class, with all their columns. A
+    row is known by its id and its text's hash: rows that share an id, or have
+    none, stay or go by their own text. Only the keys that go are looked up."""
+    lost = (_classes(df, id_col, text_col, similarity).where("not kept")
+            .select(F.col("_id").alias("_lost_id"), F.col("_th").alias("_lost_text")).distinct())
+    mark = "_text_hash"
+    while mark in df.columns:
+        mark += "_"
+    own = [c for c in df.columns if c in ("_lost_id", "_lost_text")]
+    rows = df.withColumn(mark, _text_hash(text_col))
+    if own:
+        lost = lost.withColumnsRenamed({c: f"{c}{mark}" for c in ("_lost_id", "_lost_text")})
+    i, t = lost.columns
+    return rows.join(lost, rows[id_col].eqNullSafe(lost[i]) & (rows[mark] == lost[t]), "left_anti").drop(mark)

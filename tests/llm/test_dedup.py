@@ -165,6 +165,19 @@ def test_near_duplicates_on_awkward_rows(spark):
     assert order_minhash.near_duplicate_classes(empty(spark)).count() == 0
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    t = prose(21, 150)
+    rows = [(3, t), (5, t + " extra"), (5, prose(22, 150)), (None, t + " more"), (None, prose(23, 150)), (7, prose(24, 150)),
+            (8, prose(25, 150)), (8, prose(25, 150) + " more")]
+    df = spark.createDataFrame([(i, x, None, None, None, "a", "b", "c") for i, x in rows],
+                               DOC_SCHEMA + ", _lost string, _lost_id string, _text_hash string")
+    kept = order_minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = plain(kept, "doc_id", "text")
+    assert len(got) == 5 and set(got) >= {(3, t), rows[2], rows[4], rows[5]}
+    assert sum(i == 8 for i, _ in got) == 1
+
+
 def test_sketch_keeps_text_order():
     maker = order_minhash.Sketcher()
     a = maker.shingles(prose(1, 300))
