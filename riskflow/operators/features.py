@@ -60,22 +60,23 @@ def add_dpd_features(df: DataFrame) -> DataFrame:
         "*",
         clip_lower(dpd + F.col("dpd_delta"), 0.0).alias("projected_dpd_next"),
         (F.col("dpd_delta") * 0.6 + F.col("dpd_velocity_2m") / 2.0 * 0.4).alias("smooth_velocity"))
-    p = F.col("projected_dpd_next")
-    sp = clip_lower(dpd + F.col("smooth_velocity"), 0.0)
     return d.select(
-        "*",
-        sp.alias("smooth_proj_dpd"),
-        between_flag(p, 31, 90).alias("proj_will_be_high"),
-        (p > 90).cast("int").alias("proj_will_be_default"),
-        between_flag(p, 1, 30).alias("proj_will_be_medium"),
-        (p == 0).cast("int").alias("proj_will_be_low"),
-        between_flag(sp, 31, 90).alias("smooth_proj_high"),
-        (sp > 90).cast("int").alias("smooth_proj_default"),
+        "*", clip_lower(dpd + F.col("smooth_velocity"), 0.0).alias("smooth_proj_dpd")).select(
+        "*", *dpd_flags(),
         (F.col("risk_state_code") > F.col("prev_risk_state_code")).cast("int").alias("transitioning_up"),
-        (F.col("risk_state_code") < F.col("prev_risk_state_code")).cast("int").alias("transitioning_down"),
-        between_flag(dpd, 22, 30).alias("near_high_threshold"),
-        between_flag(dpd, 75, 90).alias("near_default_threshold"),
-        between_flag(dpd, 1, 8).alias("near_medium_threshold"))
+        (F.col("risk_state_code") < F.col("prev_risk_state_code")).cast("int").alias("transitioning_down"))
+
+
+def dpd_flags(kind: str = "int") -> list:
+    """The flags of a row's arrears and its two projections."""
+    dpd, p, sp = F.col("days_in_arrears"), F.col("projected_dpd_next"), F.col("smooth_proj_dpd")
+    flags = {
+        "proj_will_be_high": between_flag(p, 31, 90), "proj_will_be_default": p > 90,
+        "proj_will_be_medium": between_flag(p, 1, 30), "proj_will_be_low": p == 0,
+        "smooth_proj_high": between_flag(sp, 31, 90), "smooth_proj_default": sp > 90,
+        "near_high_threshold": between_flag(dpd, 22, 30), "near_default_threshold": between_flag(dpd, 75, 90),
+        "near_medium_threshold": between_flag(dpd, 1, 8)}
+    return [c.cast(kind).alias(name) for name, c in flags.items()]
 
 
 def month_index(panel: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Next-month risk-state models on MLlib.
+"""Next-month risk-state models.
 
-A ``RiskModel`` bundles what scoring needs: the fitted MLlib stages, the
+A ``RiskModel`` bundles what scoring needs: the fitted models (MLlib trees or a
+coefficient table), the
 ordered feature list, the population mean/std row used to standardise, and
 the early-warning threshold. Every step is a DataFrame transformation:
 training rows are never collected, scaling statistics are one aggregate row
@@ -14,16 +15,18 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.columns import between_flag, clip, state_from_dpd
+from riskflow.operators import logistic
 from riskflow.operators.evaluate import class_weights, label_encoding, safe_encode
 from riskflow.operators.scoring import PROB_COLS, with_prediction_columns
 from riskflow.schema import ROW_SEQ
+from riskflow.session import write_stage
 from riskflow.states import STATES
 
 # The notebook's 38 training features (36 numeric + 2 encoded).
@@ -102,27 +105,20 @@ def with_label(df: DataFrame, label: str = "next_risk_state") -> DataFrame:
 def recompute_dpd_features(df: DataFrame) -> DataFrame:
     """Derived DPD features after perturbing DPD / delta; the band position is
     taken from the DPD value itself (not from risk_state)."""
+    from riskflow.operators.features import dpd_flags
     dpd, delta, v2 = F.col("days_in_arrears"), F.col("dpd_delta"), F.col("dpd_velocity_2m")
     band = (F.when((dpd >= 31) & (dpd <= 90), (dpd - 31) / 58.0)
              .when((dpd >= 1) & (dpd <= 30), F.greatest(dpd - 5, F.lit(0.0)) / 24.0)
              .when(dpd == 0, F.lit(0.0))
              .otherwise(F.least(dpd / 280.0, F.lit(1.0))))
-    proj = F.greatest(F.lit(0.0), dpd + delta)
     sv = delta * 0.6 + (v2 / 2.0) * 0.4
-    sp = F.greatest(F.lit(0.0), dpd + sv)
-    return (df.withColumn("dpd_band_position", band)
-              .withColumn("projected_dpd_next", proj)
-              .withColumn("proj_will_be_high", between_flag(proj, 31, 90).cast("double"))
-              .withColumn("proj_will_be_default", (proj > 90).cast("double"))
-              .withColumn("proj_will_be_medium", between_flag(proj, 1, 30).cast("double"))
-              .withColumn("proj_will_be_low", (proj == 0).cast("double"))
-              .withColumn("smooth_velocity", sv)
-              .withColumn("smooth_proj_dpd", sp)
-              .withColumn("smooth_proj_high", between_flag(sp, 31, 90).cast("double"))
-              .withColumn("smooth_proj_default", (sp > 90).cast("double"))
-              .withColumn("near_high_threshold", between_flag(dpd, 22, 30).cast("double"))
-              .withColumn("near_default_threshold", between_flag(dpd, 75, 90).cast("double"))
-              .withColumn("near_medium_threshold", between_flag(dpd, 1, 8).cast("double")))
+    first = {"dpd_band_position": band, "projected_dpd_next": F.greatest(F.lit(0.0), dpd + delta), "smooth_velocity": sv,
+             "smooth_proj_dpd": F.greatest(F.lit(0.0), dpd + sv)}
+    d = df.select(*[c for c in df.columns if c not in first], *[c.alias(n) for n, c in first.items()])
+    flags = dpd_flags("double")
+    names = ["proj_will_be_high", "proj_will_be_default", "proj_will_be_medium", "proj_will_be_low", "smooth_proj_high",
+             "smooth_proj_default", "near_high_threshold", "near_default_threshold", "near_medium_threshold"]
+    return d.select(*[c for c in d.columns if c not in names], *flags)
 
 
 # 4 synthetic copies per High row, 5 % relative Gaussian noise.
@@ -136,46 +132,86 @@ def _row_hash(*parts):
                              F.col(ROW_SEQ).cast("string")).cast("binary"))
 
 
-def _normal(*parts):
-    """A standard normal number from the row's key (Box-Muller on two hashes'
-    digits): the same in every run and on every partitioning."""
-    def unit(text, at):
-        return (F.conv(F.substring(text, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    h = _row_hash(*parts)
-    return F.sqrt(F.lit(-2.0) * F.log(unit(h, 1))) * F.cos(unit(h, 9) * 6.283185307179586)
+BLOCK_DIGITS = 4       # hexadecimal digits of a row's hash: at most 65,536 blocks
+
+
+def ranked_rows(df: DataFrame, seed: int = 42) -> DataFrame:
+    """``df`` with ``_rank``: the row's place (from 0) by the hash of its key. Ranks
+    are places inside blocks of hashes plus the rows of the blocks before, so no
+    task sorts more than a block; the table of blocks is bounded by its digits."""
+    d = df.withColumn("_key", _row_hash(F.lit(str(seed))))
+    d = d.withColumn("_block", F.substring("_key", 1, BLOCK_DIGITS))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = d.groupBy(F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("_key")) - 1
+    return (d.withColumn("_place", place).join(F.broadcast(blocks), F.col("_block") == F.col("_b"))
+             .withColumn("_rank", F.col("_before") + F.col("_place")).drop("_key", "_block", "_b", "_before", "_place"))
+
+
+def draw_ranks(spark: SparkSession, draws: int, n: int, seed: int = 42, salt: str = "draw") -> DataFrame:
+    """``_draw`` (from 0) and the ``_rank`` below ``n`` that its hash falls on: draws with replacement."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), F.col("id").cast("string")).cast("binary"))
+    return spark.range(draws).select(
+        F.col("id").alias("_draw"), (F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % F.lit(n)).alias("_rank"))
+
+
+def draw_with_replacement(df: DataFrame, times: int, seed: int = 42) -> DataFrame:
+    """L4's draws: ``times`` x the rows of ``df``, each drawn from all rows alike by a
+    hash of seed and draw number. ``df`` is read more than once: write it first."""
+    ranked = ranked_rows(df, seed)
+    n = df.count()
+    if n == 0:
+        return df.withColumn("_draw", F.lit(0).cast("bigint"))
+    return ranked.join(draw_ranks(df.sparkSession, times * n, n, seed), "_rank").drop("_rank")
+
+
+def _normals(seed: int, n: int) -> tuple[list, list]:
+    """Columns of the digests (named) and ``n`` standard normal numbers from them
+    (Box-Muller): four to a digest of seed and draw number, the same in every run
+    and on every partitioning."""
+    digests = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(f"noise{i}"), F.col("_draw").cast("string")).cast("binary"))
+               .alias(f"_d{i}") for i in range(-(-n // 4))]
+
+    def unit(i, at):
+        return (F.conv(F.substring(f"_d{i}", at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    normals = []
+    for i in range(len(digests)):
+        for at in (1, 17):
+            size, angle = F.sqrt(F.lit(-2.0) * F.log(unit(i, at))), unit(i, at + 8) * 6.283185307179586
+            normals += [size * F.cos(angle), size * F.sin(angle)]
+    return digests, normals[:n]
 
 
 def augment_high(train: DataFrame, features: list[str], seed: int = 42,
                  copies: int = AUG_MULTIPLIER, target: str = "High",
                  label: str = "next_risk_state") -> DataFrame:
-    """L4: ``copies`` noisy copies of every row labelled ``target``.
+    """L4: ``copies`` x as many noisy rows as there are rows labelled ``target``,
+    drawn from them with replacement.
 
-    Each copy adds N(0, 0.05 * (|x| + 0.01)) to every feature (from a hash of
-    seed, feature, copy and row key), clips at 0, clamps DPD into the band of the row's
-    current DPD (Medium copies also get delta = |delta| + 2), and recomputes
-    the DPD-derived features. Rows fan out by a fixed factor with
-    ``explode`` — no group is gathered anywhere.
+    Each adds N(0, 0.05 * (|x| + 0.01)) to every feature (from a hash of seed and
+    draw), clips at 0, clamps DPD into the band of the drawn row's current DPD
+    (Medium copies also get delta = |delta| + 2), and recomputes the DPD-derived
+    features. The target's rows are written once; draws meet them by rank.
     """
-    base = fill_features(train.filter(F.col(label) == target), features)
-    raw = F.col("days_in_arrears")
-    cur = state_from_dpd(raw)
-    rep = base.withColumn("_cur", cur).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    noisy = rep.select(
-        *[c for c in rep.columns if c not in features],
-        *[F.greatest(F.lit(0.0), F.col(f) + _normal(F.lit(str(seed)), F.lit(f), F.col("_copy").cast("string")) * (NOISE_SIGMA * (F.abs(F.col(f)) + 0.01)))
-          .alias(f) for i, f in enumerate(features)])
-    d = F.col("days_in_arrears")
-    noisy = (noisy
-             .withColumn("days_in_arrears",
-                         F.when(F.col("_cur") == "High", clip(d, 31.0, 90.0))
-                          .when(F.col("_cur") == "Medium", clip(d, 22.0, 30.0))
-                          .when(F.col("_cur") == "Default", clip(d, 91.0, 300.0))
-                          .otherwise(clip(d, 0.0, 30.0)))
-             .withColumn("dpd_delta", F.when(F.col("_cur") == "Medium", F.abs(F.col("dpd_delta")) + 2.0)
-                         .otherwise(F.col("dpd_delta"))))
+    base = write_stage(fill_features(train.filter(F.col(label) == target), features)
+                       .withColumn("_cur", state_from_dpd(F.col("days_in_arrears"))), "augment")
+    drawn = draw_with_replacement(base, copies, seed)
+    digests, normals = _normals(seed, len(features))
+    others = [c for c in base.columns if c not in features]
+    noisy = drawn.select(*base.columns, *digests).select(
+        *others, *[F.greatest(F.lit(0.0), F.col(f) + z * (NOISE_SIGMA * (F.abs(F.col(f)) + 0.01))).alias(f)
+                   for f, z in zip(features, normals)])
+    d, cur = F.col("days_in_arrears"), F.col("_cur")
+    moved = {"days_in_arrears": F.when(cur == "High", clip(d, 31.0, 90.0)).when(cur == "Medium", clip(d, 22.0, 30.0))
+                                 .when(cur == "Default", clip(d, 91.0, 300.0)).otherwise(clip(d, 0.0, 30.0)),
+             "dpd_delta": F.when(cur == "Medium", F.abs(F.col("dpd_delta")) + 2.0).otherwise(F.col("dpd_delta"))}
+    for f in ("dpd_delta", "dpd_velocity_2m"):
+        if f not in noisy.columns:
+            noisy = noisy.withColumn(f, F.lit(0.0))
+    noisy = noisy.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in noisy.columns])
     out = recompute_dpd_features(noisy).withColumn(label, F.lit(target)).withColumn("synthetic", F.lit(True))
-    return out.drop("_cur", "_copy")
+    return out.drop("_cur")
 
 
 def append_synthetic(train: DataFrame, synthetic: DataFrame, features: list[str],
@@ -236,22 +272,33 @@ def _prepare(df: DataFrame, features: list[str], label: str = "next_risk_state",
     return d
 
 
+def training_table(train: DataFrame, features: list[str], label: str = "next_risk_state",
+                   weight: str | None = "weight") -> DataFrame:
+    """The stage boundary before every fit: features, label and balanced weight,
+    written once. Fits scan it again and again without the features' lineage."""
+    d = write_stage(with_label(fill_features(train, features), label).select(*features, "label"), "labelled")
+    if not weight:
+        return d
+    return write_stage(class_weights(d, "label", weight).select(*features, "label", weight), "training")
+
+
+def is_training_table(df: DataFrame, weight: str | None) -> bool:
+    return "label" in df.columns and (not weight or weight in df.columns)
+
+
 def fit_logistic(train: DataFrame, features: list[str], label: str = "next_risk_state",
                  C: float = 1.0, max_iter: int = 2000, tol: float = 1e-4,
                  weight: str | None = "weight") -> RiskModel:
     """Multinomial logistic regression on standardised features with
-    balanced class weights. scikit-learn's C maps to regParam = 1 / (C * sum w); tol
-    defaults to scikit-learn's 1e-4."""
-    d = _prepare(train, features, label, weight)
-    scaling = _scaling_row(d, features).cache()
-    shell = RiskModel("logistic", list(features), [], scaling)
-    ds = _assemble(d, shell)
-    wsum = ds.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    lr = LogisticRegression(family="multinomial", featuresCol="_features", labelCol="label",
-                            weightCol=weight, regParam=1.0 / (C * float(wsum)), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=tol)
-    shell.models = [lr.fit(ds)]
-    return shell
+    balanced class weights; ``C`` and ``tol`` as scikit-learn's (see
+    :mod:`riskflow.operators.logistic`)."""
+    d = train if is_training_table(train, weight) else training_table(train, features, label, weight)
+    stats = _scaling_row(d, features)
+    row = stats.first()
+    scaling = train.sparkSession.createDataFrame([tuple(row)], stats.schema)     # one row
+    n = len(features)
+    fitted = logistic.fit(d, list(features), list(row[:n]), list(row[n:]), c=C, max_iter=max_iter, tol=tol, weight=weight)
+    return RiskModel("logistic", list(features), [fitted], scaling)
 
 
 def fit_forest(train: DataFrame, features: list[str], label: str = "next_risk_state",
@@ -259,7 +306,8 @@ def fit_forest(train: DataFrame, features: list[str], label: str = "next_risk_st
                weight: str | None = "weight") -> RiskModel:
     """Random forest with balanced weights (MLlib caps depth at 30)."""
     shell = RiskModel("forest", list(features), [])
-    d = _assemble(_prepare(train, features, label, weight), shell)
+    d = train if is_training_table(train, weight) else _prepare(train, features, label, weight)
+    d = _assemble(d, shell)
     rf = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol=weight,
                                 numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                 featureSubsetStrategy="sqrt")
@@ -291,6 +339,9 @@ def predict_batch(model: RiskModel, df: DataFrame) -> DataFrame:
     on any feature table; the input columns pass through unchanged."""
     src = fill_features(df, model.features)
     cols = src.columns
+    if model.kind == "logistic":
+        return with_prediction_columns(logistic.probabilities(src, model.models[0], PROB_COLS)).withColumn(
+            "early_warning_high", F.col("p_high") >= model.threshold)
     t = _assemble(src, model)
     if model.kind == "boosted_ovr":
         for i, m in enumerate(model.models):
@@ -340,7 +391,7 @@ def linear_contributions(model: RiskModel, df: DataFrame, id_cols: list[str]) ->
     (id, class, feature); the coefficient table is k x p rows, fixed by the model."""
     if model.kind != "logistic":
         raise ValueError("linear contributions need the logistic model")
-    coef = model.models[0].coefficientMatrix.toArray().tolist()
+    coef = model.models[0].coefficients
     wt = df.sparkSession.createDataFrame(
         [(STATES[c], f, float(coef[c][j])) for c in range(len(STATES)) for j, f in enumerate(model.features)],
         "class string, feature string, w double")
@@ -406,7 +457,6 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 _MODEL_CLASSES = {
-    "logistic": "pyspark.ml.classification.LogisticRegressionModel",
     "forest": "pyspark.ml.classification.RandomForestClassificationModel",
     "boosted_ovr": "pyspark.ml.classification.GBTClassificationModel",
 }
@@ -415,8 +465,12 @@ _MODEL_CLASSES = {
 def save_model(model: RiskModel, path: str) -> None:
     """Fitted models, encodings, scaling row and metadata (kind, ordered
     features, threshold) under one folder."""
+    spark = SparkSession.active()
     for i, m in enumerate(model.models):
-        m.write().overwrite().save(f"{path}/model_{i}")
+        if model.kind == "logistic":
+            logistic.to_table(m, spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model_{i}")
+        else:
+            m.write().overwrite().save(f"{path}/model_{i}")
     if model.scaling is not None:
         model.scaling.write.mode("overwrite").parquet(f"{path}/scaling")
     meta = {"kind": model.kind, "features": model.features, "threshold": model.threshold,
@@ -424,16 +478,19 @@ def save_model(model: RiskModel, path: str) -> None:
     for c, table in model.encodings.items():
         table.write.mode("overwrite").parquet(f"{path}/encodings/{c}")
     meta["encodings"] = sorted(model.encodings)
-    SparkSession.active().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark, path: str) -> RiskModel:
     import importlib
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    mod, cls = _MODEL_CLASSES[meta["kind"]].rsplit(".", 1)
-    klass = getattr(importlib.import_module(mod), cls)
-    models = [klass.load(f"{path}/model_{i}") for i in range(meta["n_models"])]
+    if meta["kind"] == "logistic":
+        models = [logistic.from_table(spark.read.parquet(f"{path}/model_{i}")) for i in range(meta["n_models"])]
+    else:
+        mod, cls = _MODEL_CLASSES[meta["kind"]].rsplit(".", 1)
+        klass = getattr(importlib.import_module(mod), cls)
+        models = [klass.load(f"{path}/model_{i}") for i in range(meta["n_models"])]
     scaling = spark.read.parquet(f"{path}/scaling") if meta["has_scaling"] else None
     encodings = {c: spark.read.parquet(f"{path}/encodings/{c}") for c in meta.get("encodings", [])}
     return RiskModel(meta["kind"], meta["features"], models, scaling, meta["threshold"], encodings=encodings)

@@ -20,6 +20,7 @@ from riskflow.operators.sequence import with_neighbours
 from riskflow.plans import oracle as O
 from riskflow.plans.pipeline import SEARCH_TEXT, SNAPSHOT_MONTH, SNAPSHOT_SEGMENT, Portfolio
 from riskflow.schema import PANEL_NAMES, ROW_SEQ
+from riskflow.session import write_stage
 from riskflow.states import FIVE_STATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1374,17 +1375,31 @@ def q_standardise(spark, d):
 # MLlib models (L1-L15, A26, E22, E24, J8) — rows-only checks
 # ---------------------------------------------------------------------------
 
-_MODELS: dict[tuple, object] = {}
+_STAGES: dict[tuple, object] = {}
+
+
+def _once(spark, d, name, make):
+    """Stages and models are made once per application and data directory."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STAGES:
+        _STAGES[key] = make()
+    return _STAGES[key]
+
+
+def _written(spark, d):
+    """The featured panel, written once: fits and scores scan it."""
+    return _once(spark, d, "panel", lambda: write_stage(pf(spark, d).featured, "featured"))
 
 
 def _ml_sets(spark, d):
     from riskflow.operators import ml
-    train, test = evaluate.train_test(pf(spark, d).featured)
-    enc = ml.fit_encodings(train)
+    train, test = evaluate.train_test(_written(spark, d))
+    enc = _once(spark, d, "encodings", lambda: {c: write_stage(e, f"enc-{c}") for c, e in ml.fit_encodings(train).items()})
     return ml.apply_encodings(train, enc), ml.apply_encodings(test, enc), enc
 
 
 def _training_set(spark, d):
+    """Real and synthetic rows before balancing."""
     from riskflow.operators import ml
     train, _, _ = _ml_sets(spark, d)
     feats = ml.NOTEBOOK_FEATURES
@@ -1392,20 +1407,19 @@ def _training_set(spark, d):
 
 
 def _model(spark, d, kind):
-    """Fit once per session/data/kind; the fitted model is reused by the
-    prediction and explanation queries."""
+    """Fit once per application, data and kind from the written training table;
+    the fitted model is reused by the prediction and explanation queries."""
     from riskflow.operators import ml
-    key = (id(spark), d, kind)
-    if key not in _MODELS:
-        tr = _training_set(spark, d).cache()
-        feats = ml.NOTEBOOK_FEATURES
+    feats = ml.NOTEBOOK_FEATURES
+
+    def fit():
+        table = _once(spark, d, "training", lambda: ml.training_table(_training_set(spark, d), feats))
         if kind == "logistic":
-            _MODELS[key] = ml.fit_logistic(tr, feats)
-        elif kind == "forest":
-            _MODELS[key] = ml.fit_forest(tr, feats, **FOREST_PARAMS)
-        else:
-            _MODELS[key] = ml.fit_boosted(tr, feats, **BOOSTED_PARAMS)
-    return _MODELS[key]
+            return ml.fit_logistic(table, feats)
+        if kind == "forest":
+            return ml.fit_forest(table, feats, **FOREST_PARAMS)
+        return ml.fit_boosted(table, feats, **BOOSTED_PARAMS)
+    return _once(spark, d, kind, fit)
 
 
 # Model sizes used by the registered queries. The operator defaults follow the
@@ -1426,6 +1440,26 @@ def q_augment_balance(spark, d):
     return _training_set(spark, d).groupBy("next_risk_state", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("augment_high_draws", B(EVAL_CTES + """,
+high AS (SELECT loan_id, observation_month,
+           md5('42|' || loan_id || '|' || observation_month || '|' || CAST(row_seq AS VARCHAR)) AS k
+         FROM train WHERE next_risk_state = 'High'),
+ranked AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS rnk FROM high),
+drawn AS (SELECT ('0x' || substr(md5('42|draw|' || CAST(i AS VARCHAR)), 1, 15))::BIGINT
+                   % (SELECT count(*) FROM high) AS rnk, count(*) AS n
+          FROM range(4 * (SELECT count(*) FROM high)) t(i) GROUP BY 1)""", """
+SELECT loan_id, observation_month, coalesce(n, 0) AS n_drawn FROM ranked LEFT JOIN drawn USING (rnk)"""))
+def q_augment_draws(spark, d):
+    """L4: how often each High row is drawn."""
+    from riskflow.operators import ml
+    train, _ = evaluate.train_test(_written(spark, d))
+    high = write_stage(train.filter("next_risk_state = 'High'").select("loan_id", "observation_month", ROW_SEQ), "high")
+    drawn = ml.draw_with_replacement(high, ml.AUG_MULTIPLIER).groupBy("loan_id", "observation_month", ROW_SEQ) \
+        .agg(F.count(F.lit(1)).alias("n_drawn"))
+    return high.join(drawn, ["loan_id", "observation_month", ROW_SEQ], "left").select(
+        "loan_id", "observation_month", F.coalesce("n_drawn", F.lit(0)).alias("n_drawn"))
+
+
 def _ml_predictions(kind):
     def run(spark, d):
         from riskflow.operators import ml
@@ -1451,7 +1485,7 @@ def q_ml_sweep(spark, d):
 def _snapshot_features(spark, d):
     from riskflow.operators import ml
     _, _, enc = _ml_sets(spark, d)
-    snap = pf(spark, d).featured.filter(F.col("observation_month") == SNAPSHOT_MONTH)
+    snap = _written(spark, d).filter(F.col("observation_month") == SNAPSHOT_MONTH)
     return ml.apply_encodings(snap, enc)
 
 
@@ -1459,7 +1493,7 @@ def _snapshot_features(spark, d):
 def q_ml_predict_account(spark, d):
     from riskflow.operators import ml
     _, _, enc = _ml_sets(spark, d)
-    latest = account.latest_match(account.account_search(pf(spark, d).featured, SEARCH_TEXT))
+    latest = account.latest_match(account.account_search(_written(spark, d), SEARCH_TEXT))
     return ml.predict_account(_model(spark, d, "logistic"), ml.apply_encodings(latest, enc))
 
 
@@ -1468,7 +1502,7 @@ def q_ml_explain(spark, d):
     from riskflow.operators import ml
     _, _, enc = _ml_sets(spark, d)
     m = _model(spark, d, "logistic")
-    latest = ml.apply_encodings(account.latest_match(account.account_search(pf(spark, d).featured,
+    latest = ml.apply_encodings(account.latest_match(account.account_search(_written(spark, d),
                                                                             SEARCH_TEXT)), enc)
     scored = ml.predict_batch(m, latest).select("loan_id", "pred")
     c = ml.linear_contributions(m, latest, ["loan_id"])
@@ -1507,7 +1541,7 @@ def q_ml_boosted_explain(spark, d):
     from riskflow.operators import ml, treeshap
     _, _, enc = _ml_sets(spark, d)
     m = _model(spark, d, "boosted")
-    latest = ml.apply_encodings(account.latest_match(account.account_search(pf(spark, d).featured,
+    latest = ml.apply_encodings(account.latest_match(account.account_search(_written(spark, d),
                                                                             SEARCH_TEXT)), enc)
     scored = ml.predict_batch(m, latest).select("loan_id", "pred")
     c = treeshap.tree_contributions(m, latest, ["loan_id"])
@@ -1530,7 +1564,7 @@ def q_ml_forest_explain(spark, d):
     from riskflow.operators import ml, treeshap
     _, _, enc = _ml_sets(spark, d)
     m = _model(spark, d, "forest")
-    latest = ml.apply_encodings(account.latest_match(account.account_search(pf(spark, d).featured,
+    latest = ml.apply_encodings(account.latest_match(account.account_search(_written(spark, d),
                                                                             SEARCH_TEXT)), enc)
     scored = ml.predict_batch(m, latest).select("loan_id", "pred")
     c = treeshap.tree_contributions(m, latest, ["loan_id"])

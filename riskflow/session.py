@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,6 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return sc.getCheckpointDir() or target
 
 
+def write_stage(df, name: str):
+    """Write ``df`` as Parquet under the checkpoint directory and read it back:
+    a stage boundary whose lineage is a scan of shared files."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskflow-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_package_on_workers(spark: SparkSession) -> None:
     """Ship this package to the Python workers (``addPyFile`` of a zip), once
     per SparkContext. Only the operators that run Python on executors

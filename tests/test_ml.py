@@ -2,12 +2,15 @@
 oracle): augmentation clamps and sizes, probability simplex, prediction
 columns, contributions additivity, persistence round trip."""
 
+import hashlib
 import tempfile
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskflow.operators import evaluate, ml
+from riskflow.operators import evaluate, logistic, ml
 from riskflow.plans.pipeline import Portfolio
 
 SF = "/root/testdata/sf0.001"
@@ -69,7 +72,7 @@ def test_linear_contributions_reconstruct_logits(sets, lr):
     assert sums.count() == 5 * 4
     # softmax(sum + intercept) equals the model probability
     import math
-    icpt = dict(zip(["Low", "Medium", "High", "Default"], lr.models[0].interceptVector.toArray().tolist()))
+    icpt = dict(zip(["Low", "Medium", "High", "Default"], lr.models[0].intercepts))
     probs = {(r.loan_id, r.observation_month): r for r in ml.predict_batch(lr, rows).collect()}
     by = {}
     for r in sums.collect():
@@ -149,6 +152,60 @@ def test_forest_and_boosted_small(sets):
         assert all(abs(r.s - 1) < 1e-9 for r in s)
 
 
+def test_newton_finds_the_optimum():
+    # the same minimum from plain gradient descent on the same objective
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=(300, 3)), np.ones(300)])
+    y, w = rng.integers(0, 4, 300), rng.uniform(0.5, 2.0, 300)
+    y[x[:, 0] > 1] = 2
+    theta, loss, steps = logistic.minimise(lambda t, second: _reshaped(logistic.sums(x, y, w, t, second)), 4, 4, 1.0, 1e-9, 50)
+    assert steps < 15
+    penal = np.ones((4, 4))
+    penal[:, -1] = 0.0
+    plain_theta = np.zeros((4, 4))
+    for _ in range(20_000):
+        plain_theta -= 0.003 * (logistic.sums(x, y, w, plain_theta, False)[1] + penal * plain_theta)
+    want = logistic.sums(x, y, w, plain_theta, False)[0] + 0.5 * (penal * plain_theta ** 2).sum()
+    assert loss == pytest.approx(want, rel=1e-9) and loss <= want + 1e-9
+    assert np.allclose(theta[:, :-1], plain_theta[:, :-1], atol=1e-5)
+
+
+def _reshaped(found):
+    loss, grad, hess = found
+    return loss, grad, None if hess is None else hess.reshape(grad.size, grad.size), 1.0
+
+
+def test_duckdb_scores_from_the_saved_tables(spark, sets, lr):
+    _, test = sets
+    path = tempfile.mkdtemp(prefix="rf-model-") + "/m"
+    ml.save_model(lr, path)
+    rows = ml.fill_features(test, FEATS).select("loan_id", "observation_month", *FEATS).toPandas()  # noqa: F841
+    want = duckdb.sql(f"""
+        WITH long AS (UNPIVOT rows ON {', '.join(FEATS)} INTO NAME feature VALUE x),
+        coef AS (SELECT * FROM '{path}/model_0/*.parquet'),
+        z AS (SELECT loan_id, observation_month, class, sum((x - mean) / std * coefficient) AS s
+              FROM long JOIN coef USING (feature) GROUP BY ALL),
+        e AS (SELECT loan_id, observation_month, z.class, exp(s + b.coefficient) AS v FROM z
+              JOIN coef b ON b.class = z.class AND b.feature = '{logistic.INTERCEPT}')
+        SELECT loan_id, observation_month, v / sum(v) OVER (PARTITION BY loan_id, observation_month) AS p
+        FROM e QUALIFY class = 'High'""").fetchall()
+    want = {(a, b): p for a, b, p in want}
+    got = ml.predict_batch(ml.load_model(spark, path), test).select("loan_id", "observation_month", "p_high").collect()
+    assert len(got) == len(want) and all(abs(want[r.loan_id, r.observation_month] - r.p_high) < 1e-9 for r in got)
+
+
+def test_draws_with_replacement(spark, sets):
+    train, _ = sets
+    cols = ["loan_id", "observation_month", "row_seq"]
+    high = train.filter("next_risk_state = 'High'").select(*cols)
+    n = high.count()
+    for parts in (2, 5):
+        drawn = [tuple(r) for r in ml.draw_with_replacement(high.repartition(parts), 4).select("_draw", *cols).collect()]
+        keys = sorted((hashlib.md5(f"42|{a}|{b}|{c}".encode()).hexdigest(), (a, b, c)) for a, b, c in map(tuple, high.collect()))
+        want = [(i, *keys[int(hashlib.md5(f"42|draw|{i}".encode()).hexdigest()[:15], 16) % n][1]) for i in range(4 * n)]
+        assert sorted(drawn) == sorted(want)
+
+
 def test_sample_rows_exact_size(sets):
     train, _ = sets
     s = ml.sample_rows(train, 25, seed=3)
