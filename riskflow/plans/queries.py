@@ -1413,7 +1413,8 @@ def _model(spark, d, kind):
     feats = ml.NOTEBOOK_FEATURES
 
     def fit():
-        table = _once(spark, d, "training", lambda: ml.training_table(_training_set(spark, d), feats))
+        table = _once(spark, d, "training", lambda: ml.training_table(
+            _once(spark, d, "augmented", lambda: write_stage(_training_set(spark, d), "augmented")), feats))
         if kind == "logistic":
             return ml.fit_logistic(table, feats)
         if kind == "forest":
@@ -1440,6 +1441,28 @@ def q_augment_balance(spark, d):
     return _training_set(spark, d).groupBy("next_risk_state", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("smote_balance", B(EVAL_CTES + """,
+sizes AS (SELECT next_risk_state, count(*) * CASE WHEN next_risk_state = 'High' THEN 5 ELSE 1 END AS n
+          FROM train WHERE next_risk_state IS NOT NULL GROUP BY 1)""", """
+SELECT next_risk_state, (SELECT max(n) FROM sizes) - n AS n_synthetic, 0 AS n_outside FROM sizes
+WHERE n < (SELECT max(n) FROM sizes)"""))
+def q_smote_balance(spark, d):
+    """L5 on the augmented set: synthetic rows per class, and how many lie
+    outside the range of their class in any feature (none can)."""
+    from riskflow.operators import ml, smote
+    feats = ml.NOTEBOOK_FEATURES
+    table = _once(spark, d, "augmented", lambda: write_stage(_training_set(spark, d), "augmented"))
+    ranges = table.groupBy("next_risk_state").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in feats for f in (F.min, F.max)])
+    new = smote.smote(table, feats).join(F.broadcast(ranges), "next_risk_state")     # a row per state
+    outside = [(F.col(c) < F.col(f"min_{c}") - 1e-6 - F.abs(f"min_{c}") * 1e-9)
+               | (F.col(c) > F.col(f"max_{c}") + 1e-6 + F.abs(f"max_{c}") * 1e-9) for c in feats]
+    out = outside[0]
+    for o in outside[1:]:
+        out = out | o
+    return new.groupBy("next_risk_state").agg(F.count(F.lit(1)).alias("n_synthetic"),
+                                              F.count_if(out).cast("int").alias("n_outside"))
+
+
 @register("augment_high_draws", B(EVAL_CTES + """,
 high AS (SELECT loan_id, observation_month,
            md5('42|' || loan_id || '|' || observation_month || '|' || CAST(row_seq AS VARCHAR)) AS k
