@@ -36,6 +36,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -51,8 +52,9 @@ UNIT = 1_000_000_000
 
 SHARD_TERMS = 4096
 ROUND_BYTES = 24 << 20
-TASK_SLOTS = 4 << 20
-HELD_TERMS = 300_000      # distinct terms a task counts before it passes them on
+TASK_SLOTS = 8 << 20
+HELD_TERMS = 300_000      # distinct terms a task holds
+HELD_WORDS = 1 << 20      # words a task reads before it looks them up
 _SEED = 42
 
 _TERMS = re.compile(rb"[a-z\x80-\xff]+").findall     # in UTF-8 every byte of a character beyond ASCII is >= 0x80
@@ -126,6 +128,14 @@ def build_shard(keys: list[bytes]) -> tuple[int, list[int], list[bytes]]:
     return seed, shift.tolist(), stored
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class ShardedHash:
     """Look-up in some shards of one language; ``shards``: number, seed,
     displacements, stored keys. Slots count through all shards that are present."""
@@ -226,40 +236,57 @@ def _recount_round(texts: DataFrame, hashes: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         found = {lang: ShardedHash(*x) for lang, x in sent.value.items()}
-        dense: dict[tuple[str, str], np.ndarray] = {}
-        held: dict[tuple[str, str], Counter] = {}
+        number: dict[str, _Numbers] = {lang: _Numbers() for lang in found}       # terms in the order they came
+        slot_of = {lang: np.empty(0, np.int64) for lang in found}                # of the terms looked up so far
+        held: dict[tuple[str, str], list[np.ndarray]] = {}                       # numbers of the terms read since
+        dense: dict[tuple[str, str], np.ndarray] = {}                            # the last slot takes terms that are not kept
+        waiting = 0
 
         def passed_on():
             for (lang, source), counts in dense.items():
-                used = np.flatnonzero(counts)
+                used = np.flatnonzero(counts[:-1])
                 number, place = found[lang].shard_of(used)
                 for s in np.unique(number):
                     own = number == s
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]), pa.array([source]), pa.array([s], pa.int32()),
-                         pa.array([place[own]], pa.list_(pa.int32())), pa.array([counts[used[own]]], pa.list_(pa.int64()))],
+                         pa.array([place[own]], pa.list_(pa.int32())),
+                         pa.array([counts[used[own]]], pa.list_(pa.int64()))],
                         names=["lang", "source", "shard", "slots", "counts"])
             dense.clear()
 
         def looked_up():
-            for group, words in held.items():
-                hashed = found[group[0]]
+            for lang, numbers in number.items():
+                new = list(islice(numbers, len(slot_of[lang]), None))
+                slots = np.full(len(new), found[lang].slots, np.int64)
+                at, slot = found[lang].find(new)
+                slots[at] = slot
+                slot_of[lang] = np.concatenate([slot_of[lang], slots])
+            for group, parts in held.items():
+                size = found[group[0]].slots + 1
                 if group not in dense:
-                    if dense and sum(map(len, dense.values())) + hashed.slots > TASK_SLOTS:
+                    if dense and sum(map(len, dense.values())) + size > TASK_SLOTS:
                         yield from passed_on()
-                    dense[group] = np.zeros(hashed.slots, np.int64)
-                at, slot = hashed.find(list(words))
-                dense[group][slot] += np.fromiter(words.values(), np.int64, len(words))[at]
+                    dense[group] = np.zeros(size, np.int64)
+                dense[group] += np.bincount(slot_of[group[0]][np.concatenate(parts)], minlength=size)
             held.clear()
+            for lang, numbers in number.items():
+                if len(numbers) > HELD_TERMS:
+                    numbers.clear()
+                    slot_of[lang] = slot_of[lang][:0]
 
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(batch.num_rows):
                 if langs[i] not in found:
                     continue
-                held.setdefault((langs[i], sources[i]), Counter()).update(terms(batch.column(2)[i].as_py()))
-                if i % 64 == 0 and sum(map(len, held.values())) > HELD_TERMS:
+                words = terms(batch.column(2)[i].as_py())
+                held.setdefault((langs[i], sources[i]), []).append(
+                    np.fromiter(map(number[langs[i]].__getitem__, words), np.int64, len(words)))
+                waiting += len(words)
+                if waiting > HELD_WORDS:
                     yield from looked_up()
+                    waiting = 0
         yield from looked_up()
         yield from passed_on()
 
@@ -282,14 +309,6 @@ def recount(texts: DataFrame, hashes: DataFrame, round_bytes: int = ROUND_BYTES)
                  .agg(F.sum("_c.counts").alias("n")), "div-cells")
 
 
-def _share(count: str, total: str) -> F.Column:
-    """1 + floor(UNIT * (count + 2) / total), three digits of the quotient at a time."""
-    first = f"(({count}) + 2) * 1000"
-    second = f"({first}) % ({total}) * 1000"
-    third = f"({second}) % ({total}) * 1000"
-    return F.expr(f"1 + (({first}) div ({total})) * 1000000 + (({second}) div ({total})) * 1000 + ({third}) div ({total})")
-
-
 def _shares(counts: np.ndarray, total: int) -> np.ndarray:
     rest, out = counts + 2, np.zeros(len(counts), np.int64)
     for _ in range(3):
@@ -299,8 +318,8 @@ def _shares(counts: np.ndarray, total: int) -> np.ndarray:
     return 1 + out
 
 
-def _vectors(groups: DataFrame, hashes: DataFrame, cells: DataFrame) -> DataFrame:
-    """lang, source, shard, p: the dense shares of every group in every shard of its language."""
+def _dense(grid: DataFrame, cells: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``by``, n, p: counts and shares in every slot of a row of ``grid`` (``by``, size, total)."""
     def fill(key, table):
         import pyarrow as pa
         counts = np.zeros(table.column("size")[0].as_py(), np.int64)
@@ -308,14 +327,13 @@ def _vectors(groups: DataFrame, hashes: DataFrame, cells: DataFrame) -> DataFram
         if slot.null_count == 0:
             counts[slot.to_numpy()] = table.column("n").to_numpy()
         p = _shares(counts, table.column("total")[0].as_py())
-        return pa.table({"lang": [key[0].as_py()], "source": [key[1].as_py()], "shard": pa.array([key[2].as_py()], pa.int32()),
+        return pa.table({**{c: [k.as_py()] for c, k in zip(by, key)}, "n": pa.array([counts], pa.list_(pa.int64())),
                          "p": pa.array([p], pa.list_(pa.int64()))})
 
-    shards = hashes.select(F.col("lang").alias("_l"), F.col("shard").alias("_s"), F.size("keys").alias("size"))
-    grid = groups.join(shards, F.col("lang") == F.col("_l")).select("lang", "source", "total", F.col("_s").alias("shard"), "size")
-    full = grid.join(cells, ["lang", "source", "shard"], "left")
-    return stash(full.groupBy("lang", "source", "shard").applyInArrow(
-        fill, "lang string, source string, shard int, p array<bigint>"), "div-vectors")
+    kinds = ", ".join(f"{c} {'bigint' if c == 'shard' else 'string'}" for c in by)
+    full = grid.withColumn("shard", F.col("shard").cast("bigint")).join(
+        cells.withColumn("shard", F.col("shard").cast("bigint")), by, "left")
+    return stash(full.groupBy(*by).applyInArrow(fill, f"{kinds}, n array<bigint>, p array<bigint>"), name)
 
 
 def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -330,14 +348,23 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
 
     kept = hashes.groupBy(F.col("lang").alias("_kl")).agg(F.sum(F.size("keys")).alias("kept"))
     sums = cells.groupBy(F.col("lang").alias("_sl"), F.col("source").alias("_ss")).agg(F.sum("n").alias("words"))
-    groups = texts.select("lang", "source").distinct()
-    groups = (groups.join(sums, (F.col("lang") == F.col("_sl")) & (F.col("source") == F.col("_ss")), "left")
-              .join(kept, F.col("lang") == F.col("_kl"), "left")
-              .select("lang", "source", (F.coalesce("words", F.lit(0)) + 2 * F.coalesce("kept", F.lit(0))).alias("total")))
-    groups = stash(groups, "div-groups")
-
-    vectors = _vectors(groups, hashes, cells)
-    one, two = (vectors.select(*[F.col(c).alias(f"{s}_{c}") for c in vectors.columns]) for s in ("x", "y"))
+    groups = stash(texts.select("lang", "source").distinct()
+                   .join(sums, (F.col("lang") == F.col("_sl")) & (F.col("source") == F.col("_ss")), "left")
+                   .join(kept, F.col("lang") == F.col("_kl"), "left")
+                   .select("lang", "source", F.coalesce("words", F.lit(0)).alias("words"),
+                           F.coalesce("kept", F.lit(0)).alias("kept")), "div-groups")
+
+    # one row per shard: the small side of all that follows, so no row of a term is dealt by its language
+    shards = hashes.select(F.col("lang").alias("_l"), F.col("shard").alias("_s"), F.size("keys").alias("size"))
+    grid = stash(groups.join(shards, F.col("lang") == F.col("_l")).select(
+        "lang", "source", F.col("_s").alias("shard"), "size", (F.col("words") + 2 * F.col("kept")).alias("total")), "div-grid")
+    vectors = _dense(grid, cells, ["lang", "source", "shard"], "div-vectors")
+    wholes = groups.groupBy("lang").agg((F.sum("words") + 2 * F.first("kept")).alias("total"))
+    grid = stash(wholes.join(shards, F.col("lang") == F.col("_l")).select("lang", F.col("_s").alias("shard"), "size", "total"),
+                 "div-grid")
+    whole = _dense(grid, cells.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n")), ["lang", "shard"], "div-whole")
+
+    one, two = (vectors.select(*[F.col(c).alias(f"{s}_{c}") for c in ("lang", "source", "shard", "p")]) for s in ("x", "y"))
     apart = F.expr("aggregate(zip_with(x_p, y_p, (p, q) -> (p - q) * (p - q) div (p + q)), 0L, (a, v) -> a + v)")
     halves = (one.join(two, (F.col("x_lang") == F.col("y_lang")) & (F.col("x_shard") == F.col("y_shard"))
                        & (F.col("x_source") < F.col("y_source")))
@@ -352,16 +379,14 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
              .join(both, (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_a")) & (F.col("item") == F.col("_b")), "left")
              .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value")))
 
-    stored = hashes.select("lang", "shard", F.posexplode("keys").alias("slot", "term"))
-    words = cells.groupBy(F.col("lang").alias("_tl")).agg(F.sum("n").alias("words"))
-    totals = words.join(kept, F.col("_tl") == F.col("_kl")).select("_tl", (F.col("words") + 2 * F.col("kept")).alias("whole"))
-    whole = (cells.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n")).join(totals, F.col("lang") == F.col("_tl"))
-             .select("lang", "shard", "slot", _share("n", "whole").alias("q")).join(stored, ["lang", "shard", "slot"])
-             .select(F.col("lang").alias("_wl"), F.col("shard").alias("_ws"), F.col("slot").alias("_wp"), "q", "term"))
-    used = (cells.join(groups, ["lang", "source"]).select("lang", "source", "shard", "slot", _share("n", "total").alias("p"))
-            .join(whole, (F.col("lang") == F.col("_wl")) & (F.col("shard") == F.col("_ws")) & (F.col("slot") == F.col("_wp")))
-            .where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
-                                   F.expr("(p - q) * (p - q) div (p + q)").alias("value")))
+    stored = (whole.withColumnRenamed("p", "q").join(hashes.select("lang", F.col("shard").cast("bigint").alias("shard"), "keys"),
+                                                     ["lang", "shard"])
+              .select(F.col("lang").alias("_wl"), F.col("shard").alias("_ws"), "q", "keys"))
+    used = (vectors.join(stored, (F.col("lang") == F.col("_wl")) & (F.col("shard") == F.col("_ws")))
+            .select("lang", "source", F.explode(F.arrays_zip("n", "p", "q", "keys")).alias("_t"))
+            .where("_t.n > 0 AND _t.p > _t.q")
+            .select("lang", "source", F.lit("term").alias("part"), F.col("_t.keys").alias("item"),
+                    F.expr("(_t.p - _t.q) * (_t.p - _t.q) div (_t.p + _t.q)").alias("value")))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item")))
     out = pairs.withColumn("rank", rank).unionByName(used.withColumn("rank", rank).where(F.col("rank") <= top))
     return out.select(F.col("lang").alias(lang_col), F.col("source").alias(source_col), "part", "item", "value", "rank")

@@ -89,6 +89,7 @@ def test_rounds_and_flushes_change_nothing(spark, monkeypatch):
     cols = ("lang", "source", "shard", "slot", "n")
     whole = plain(sd.recount(texts, hashes), *cols)
     monkeypatch.setattr(sd, "HELD_TERMS", 50)
+    monkeypatch.setattr(sd, "HELD_WORDS", 30)
     monkeypatch.setattr(sd, "TASK_SLOTS", 40)
     assert plain(sd.recount(texts, hashes, round_bytes=4000), *cols) == whole
 
