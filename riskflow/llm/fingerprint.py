@@ -20,9 +20,10 @@
    chain takes its best partner; the mean, weighted by features, is the
    likeness (0 to 1).
 
-Neighbouring documents are brought together by one exchange: ids alone give the
-range borders, texts are dealt to ranges and sorted, and each task streams over
-its range with one row of look-ahead. The first row of every range is also sent
+Neighbouring documents are brought together by one exchange: ids alone give
+slices, the summed lengths of slices the ranges, texts are dealt to their range's
+task and sorted, and each task streams over its range with one row of
+look-ahead. The edited text takes over the windows measured in its two parts. The first row of every range is also sent
 to the range before it (the first of all to the last).
 
 Defined cases: a null text is empty and its fingerprint is empty; two empty
@@ -53,7 +54,8 @@ FILTER_FEATURES = 160
 HASHES = 5
 STEP = 1 << 13          # windows measured at once
 RANGE_ROWS = 4000       # rows per range of neighbouring documents, as long as there are no more than
-MAX_RANGES = 10_000     # ranges: the driver holds one border and one head per range
+MAX_RANGES = 10_000     # ranges: the driver holds one border and one head per slice of a range
+SLICES = 8              # slices of ids per range: their summed lengths decide where ranges begin
 
 _XLOGX = np.array([0.0] + [c * np.log2(c) for c in range(1, WINDOW + 1)])
 _STEPS, _MOST = np.diff(_XLOGX), _XLOGX[-1]
@@ -99,15 +101,44 @@ class Fingerprinter:
     def __init__(self, rarity: list[int]):
         self.rarity = np.asarray(rarity, np.int64)
 
-    def features(self, text: str) -> np.ndarray:
-        """Hashes of the selected windows, in text order."""
+    @staticmethod
+    def measured(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text's bytes and the bin of the window that begins at each of them, -1 where none does."""
         data = _as_array(text)
+        bins = np.full(len(data), -1, np.int16)
+        if len(data) >= WINDOW:
+            starts = _starts(data)
+            bins[starts] = _entropies(data, starts)
+        return data, bins
+
+    @staticmethod
+    def joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], head: int, tail: int):
+        """What ``measured`` gives for the first ``head`` bytes of ``a`` followed by the
+        first ``tail`` of ``b``: windows inside either part are known, those over
+        the border, and those that only now begin anywhere, are measured."""
+        data = np.concatenate([a[0][:head], b[0][:tail]])
+        bins = np.full(len(data), -1, np.int16)
+        if len(data) < WINDOW:
+            return data, bins
+        known = bins.copy()
+        known[:max(0, head - WINDOW + 1)] = a[1][:max(0, head - WINDOW + 1)]
+        known[head:head + max(0, tail - WINDOW + 1)] = b[1][:max(0, tail - WINDOW + 1)]
+        starts = _starts(data)
+        found = known[starts]
+        new = np.flatnonzero(found < 0)
+        found[new] = _entropies(data, starts[new])
+        bins[starts] = found
+        return data, bins
+
+    def features(self, measured: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Hashes of the selected windows, in text order."""
+        data, bins = measured
         if not len(data):
             return np.empty(0, np.uint64)
         if len(data) < WINDOW:
             return self._hash(np.pad(data, (0, WINDOW - len(data)))[None, :])
-        starts = _starts(data)
-        rank = self.rarity[_entropies(data, starts)]
+        starts = np.flatnonzero(bins >= 0)
+        rank = self.rarity[bins[starts]]
         if len(rank) > NEIGHBOURS:
             runs = np.lib.stride_tricks.sliding_window_view(rank, NEIGHBOURS)
             wins = np.bincount(np.arange(len(runs)) + runs.argmin(axis=1), minlength=len(rank))
@@ -130,7 +161,11 @@ class Fingerprinter:
 
     def filters(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Chained filters as a bit matrix and the features in each."""
-        found = self.features(text)
+        return self.chained(self.measured(text))
+
+    def chained(self, measured: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """``filters`` of a measured text."""
+        found = self.features(measured)
         _, first = np.unique(found, return_index=True)
         found = found[np.sort(first)]
         count = -(-len(found) // FILTER_FEATURES)
@@ -226,26 +261,40 @@ def with_next(df: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     spark = df.sparkSession
     ranges = min(MAX_RANGES, max(1, -(-rows.count() // range_rows)))
+    slices = ranges * SLICES
     borders: list[float] = []
     if ranges > 1:
-        share = [k / ranges for k in range(1, ranges)]
+        share = [k / slices for k in range(1, slices)]
         ids = rows.where(F.col("_id").isNotNull()).select(F.col("_id").cast("double").alias("_id"))
-        borders = sorted(set(ids.approxQuantile("_id", share, 0.2 / ranges)))
-    # ranges are numbered in reading order: the largest ids come first, null ids last
+        borders = sorted(set(ids.approxQuantile("_id", share, 0.2 / slices)))
+    # slices are numbered in reading order: the largest ids come first, null ids last
     if borders:
         inf = float("inf")
         cut = Bucketizer(splits=[-inf, *borders, inf], inputCol="_x", outputCol="_low", handleInvalid="keep")
         rows = cut.transform(rows.withColumn("_x", F.coalesce(F.col("_id").cast("double"), F.lit(-inf))))
-        rows = rows.select("_id", "_text", (len(borders) - F.col("_low")).cast("int").alias("_range"))
+        rows = rows.select("_id", "_text", (len(borders) - F.col("_low")).cast("int").alias("_slice"))
     else:
-        rows = rows.withColumn("_range", F.lit(0))
+        rows = rows.withColumn("_slice", F.lit(0))
     rows = rows.withColumn("_tie", F.xxhash64("_text"))
     # ~id turns the order round without overflow; null ids come last
     order = F.struct(F.col("_id").isNull().alias("n"), F.bitwise_not(F.coalesce(F.col("_id"), F.lit(0))).alias("i"),
                      F.col("_tie").alias("t"))
-    heads = {r["_range"]: (r["h"]["n"], r["h"]["i"], r["h"]["t"])
-             for r in rows.groupBy("_range").agg(F.min(order).alias("h")).collect()}
+    # consecutive slices of about one range's bytes are a range
+    found = sorted(rows.groupBy("_slice").agg(F.min(order).alias("h"), F.sum(F.octet_length("_text") + 64).alias("b")).collect(),
+                   key=lambda r: r["_slice"])
+    each = max(1.0, sum(r["b"] for r in found) / ranges)
+    heads, place, held = {}, {}, 0
+    for r in found:
+        k = int(held / each)
+        place[r["_slice"]] = k
+        heads.setdefault(k, (r["h"]["n"], r["h"]["i"], r["h"]["t"]))
+        held += r["b"]
+    ordered = sorted(heads)
+    number = {k: i for i, k in enumerate(ordered)}
+    heads = {number[k]: h for k, h in heads.items()}
     ordered = sorted(heads)
+    places = spark.createDataFrame([(s, number[k]) for s, k in place.items()] or [(0, 0)], "_s int, _range int")
+    rows = rows.join(F.broadcast(places), F.col("_slice") == F.col("_s")).select("_id", "_text", "_range", "_tie")
     sent = [(*heads[k], ordered[ordered.index(k) - 1]) for k in ordered]
     head = spark.createDataFrame(sent or [(False, 0, 0, 0)], "_n boolean, _i bigint, _t bigint, _to int")
     extra = (rows.join(F.broadcast(head), (F.col("_tie") == F.col("_t"))
@@ -253,7 +302,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE
                        & (F.col("_id").isNull() == F.col("_n")))
                  .select("_id", "_text", F.col("_to").alias("_range"), "_tie", F.lit(1).alias("_extra")))
     both = rows.select("_id", "_text", "_range", "_tie", F.lit(0).alias("_extra")).unionByName(extra)
-    return (both.repartition(max(1, len(ordered)), "_range")
+    return (both.repartitionById(max(1, len(ordered)), F.col("_range"))
                 .sortWithinPartitions("_range", "_extra", F.col("_id").desc_nulls_last(), "_tie")
                 .select("_id", "_text", "_range", "_extra"))
 
@@ -277,13 +326,17 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
         import pandas as pd
         maker = Fingerprinter(rarity)
-        # the row that waits for its successor: (id, text, filters, range, extra)
+        # the row that waits for its successor: (id, text, filters, range, extra, measured)
         held, out = None, []
 
-        def row(now, text, filters):
+        def row(now, text, filters, measured):
             half = len(now[1]) // 2
-            edited = now[1][:len(now[1]) - half] + text[:half]
-            changed = maker.filters(edited) if edited != now[1] else now[2]
+            kept, put = now[1][:len(now[1]) - half], text[:half]
+            edited = kept + put
+            if edited == now[1]:
+                changed = now[2]
+            else:
+                changed = maker.chained(maker.joined(now[5], measured, len(_as_array(kept)), len(_as_array(put))))
             return (now[0], len(now[1]), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(),
                     as_text(now[2]), as_text(changed), likeness(now[2], changed), likeness(now[2], filters))
 
@@ -293,10 +346,11 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 waits = held is not None and held[3] == place and not held[4]
                 if extra and not waits:
                     continue          # a repeated first row: only one is needed
-                filters = maker.filters(text)
+                measured = maker.measured(text)
+                filters = maker.chained(measured)
                 if waits:
-                    out.append(row(held, text, filters))
-                held = (_id, text, filters, place, extra)
+                    out.append(row(held, text, filters, measured))
+                held = (_id, text, filters, place, extra, measured)
                 if len(out) >= 500:
                     yield pd.DataFrame(out, columns=names)
                     out = []

@@ -182,3 +182,16 @@ def test_fingerprints_on_awkward_rows(spark):
     assert fingerprint.fingerprint_documents(empty(spark)).count() == 0
     one = spark.createDataFrame([(1, "alone in the table", None, None, None)], DOC_SCHEMA)
     assert fingerprint.fingerprint_documents(one).first().near_next == pytest.approx(1.0)
+
+
+def test_windows_of_the_edited_text_are_taken_over():
+    r = random.Random(12)
+    maker = fingerprint.Fingerprinter(list(range(fingerprint.BINS)))
+    texts = [prose(k, n) for k, n in enumerate((0, 1, 3, 9, 40, 300))]
+    texts += ["漢字" * n for n in (1, 5, 40, 200)] + ["x" * 500, "a b " * 50, "é" * 33 + " " + "ü" * 90, "tail" + "漢" * 60]
+    for _ in range(300):
+        a, b = r.choice(texts), r.choice(texts)
+        kept, put = a[:r.randint(0, len(a))], b[:r.randint(0, len(b))]
+        got = maker.joined(maker.measured(a), maker.measured(b), len(kept.encode()), len(put.encode()))
+        want = maker.measured(kept + put)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
