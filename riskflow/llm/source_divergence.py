@@ -5,8 +5,8 @@ minimal perfect hashes.
    term (a run of letters and of characters beyond ASCII, A to Z lower-cased)
    occurs; tasks add up their own documents first. The terms that reach
    ``LEAST_DOCS`` are kept.
-2. *Hash.* A language's kept terms are dealt to shards of about ``SHARD_TERMS``
-   by their hash. Every shard gets a minimal perfect hash (buckets of terms, the
+2. *Hash.* A language's kept terms are dealt to shards of at most about
+   ``SHARD_TERMS`` by their hash. Every shard gets a minimal perfect hash (buckets of terms, the
    largest first, each with the displacement that puts its terms on free slots;
    buckets of one term name their slot) and stores its terms in slot order.
 3. *Recount.* The shards are broadcast and a second pass looks every term up:
@@ -205,10 +205,11 @@ def kept_terms(texts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     kept = stash(texts.select("lang", "text").mapInArrow(run, "lang string, term string, n bigint")
                  .groupBy("lang", "term").agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).select("lang", "term"),
                  "div-kept")
-    shards = kept.groupBy(F.col("lang").alias("_lang")).agg(
-        F.ceil(F.count(F.lit(1)) / SHARD_TERMS).cast("int").alias("shards"))
-    return kept.join(shards, F.col("lang") == F.col("_lang")).select(
-        "lang", "term", "shards", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"))
+    # one number for all languages, by the largest: nothing is joined, or dealt, by language
+    most = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    shards = max(1, -(-most // SHARD_TERMS))
+    return kept.withColumn("shards", F.lit(shards)).withColumn(
+        "shard", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int"))
 
 
 def build_hashes(kept: DataFrame) -> DataFrame:
