@@ -6,33 +6,37 @@ an end mark - with the same smoothing:
 
     P(w | c) = (n(c, w) + MASS * B(w)) / (n(c) + MASS)
 
-``B`` is shared: a frequent word has its corpus frequency, the others share the
-rest evenly. A document's score is the mean over its tokens (words and the end)
-of the target's loss minus the background's loss: the lower, the more the
-document is like the target.
+``B`` is shared: the frequency of each word among all tokens (words and end
+marks) of the corpus. A document's score is the mean over its tokens of the
+target's loss minus the background's loss: the lower, the more the document is
+like the target.
 
 How it runs
-  1. Word counts over all documents, combined per task and then by word.
-     Words with at least one ``HOT``-th of all tokens (so at most ``HOT``) are
-     known to all workers; they are the hot contexts.
-  2. Pairs of two hot words are counted the same way. Pairs with at least one
-     ``HOT``-th of all tokens (at most ``HOT``) are known to all workers and are
-     scored where they are read: they are not exchanged.
-  3. All other (context, word, document) entries go to shards, the number of
-     which follows the token count: by context, or for a hot context by the
-     pair, so no context, word or pair gathers in one task. A shard counts its
-     pairs and contexts for both models and returns sums per document.
-  4. A shard's sums travel packed by parts of ``PART_DOCUMENTS`` documents, in
-     which they are added.
-The exchanged volume grows with the corpus; a shard's size does not.
-
-Both sides are counted over all their documents: labelled ids are joined to the
-documents once, and the flag travels with the text.
+  1. Labelled ids are joined to the documents, so the flag travels with the text;
+     the result is written, which fixes the order of rows for a task that is
+     run again.
+  2. Each task cuts its documents into blocks of about ``FLUSH_TOKENS`` tokens.
+     A block counts its distinct words and pairs of neighbours, for all and for
+     the target's documents, and deals these keys to shards by hash. A word or
+     pair is in a block once, however often it occurs, so neither gathers in a
+     shard. The number of tokens is counted the same way, as one more key.
+  3. A shard adds the counts of each key and returns them to every block that
+     has the key, in the order in which they came.
+  4. A block, whose documents travelled as places of its keys, works out the loss
+     of each of its pairs and adds them by document.
+A block sends and gets a few bytes per distinct key, so the exchanged volume
+grows with the corpus whatever the number of shards, a shard's size does not
+grow, and nothing is broadcast or collected.
+
+Every word but the end mark is a context as often as it is predicted, so the
+counts of words serve ``B(w)`` and ``n(c)``. A loss is the sum of
+``-log(n(c, w) + MASS * B(w))`` and ``log(n(c) + MASS)``; the latter is added
+where the context itself was predicted, the start mark's once a document.
 
 Defined cases: a null or empty text is the end mark alone (``n_tokens`` 1). Rows
 repeated with one id and text give equal rows. Documents with a null id are
-scored and are never in the target. Without target documents the target model
-is ``B`` alone. Only id and text are read. An empty table gives an empty result.
+scored and never targets. Without a target document the target model is ``B``.
+Only id and text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,25 +53,22 @@ from riskflow.llm.common import ship, stash
 __all__ = ["target_ids", "score_documents"]
 
 MASS = 50.0
-HOT = 2000
-SHARD_ENTRIES = 2_500_000
-PART_DOCUMENTS = 10_000
 FLUSH_TOKENS = 1_000_000
+SHARD_CHARS = 12_000_000
 _CACHE = 500_000
 _WORDS = re.compile(r"\w+")
-# Hashes that stand for the marks.
-START, END = np.uint64(1), np.uint64(2)
-_LOW48 = np.uint64((1 << 48) - 1)
+# Keys of the marks and of the number of tokens.
+START, END, TOTAL = np.uint64(1), np.uint64(2), np.uint64(3)
 
 
 class _WordHash(dict):
-    """48-bit hashes of words, kept for a bounded number of words."""
+    """64-bit hashes of words, kept for a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
         if len(self) > _CACHE:
             self.clear()
-        h = self[word] = (xxhash.xxh64_intdigest(word) & 0xFFFFFFFFFFFF) | 4
+        h = self[word] = xxhash.xxh64_intdigest(word) | 4
         return h
 
 
@@ -78,7 +79,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(_mix(context) + word * np.uint64(0x9E3779B97F4A7C15))
+    return _mix(_mix(context) + word * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(4)
 
 
 class _Reader:
@@ -101,302 +102,154 @@ def target_ids(labels: DataFrame, id_col: str = "doc_id", flag_col: str = "quali
 
 
 def _flagged(df: DataFrame, targets: DataFrame | list, id_col: str, text_col: str) -> DataFrame:
-    """_id, _text and whether the id is a target."""
+    """_id as text, _text and whether the id is a target."""
     if not isinstance(targets, DataFrame):
         kind = df.schema[id_col].dataType.simpleString()
         targets = df.sparkSession.createDataFrame([(i,) for i in targets], f"_target {kind}")
     ids = targets.select(F.col(targets.columns[0]).alias("_target")).where("_target is not null").distinct()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return stash(rows.join(ids, F.col("_id") == F.col("_target"), "left")
-                 .select("_id", "_text", F.col("_target").isNotNull().alias("_good")), "lm-rows")
+                 .select(F.col("_id").cast("string").alias("_id"), "_text",
+                         F.col("_target").isNotNull().alias("_good")), "lm-rows")
 
 
-def _word_counts():
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        reader = _Reader()
-        held: list = [[], []]
-        size = 0
-
-        def flush():
-            parts = [np.concatenate(h) if h else np.empty(0, np.uint64) for h in held]
-            words, at = np.unique(np.concatenate(parts), return_inverse=True)
-            n = np.bincount(at, minlength=len(words))
-            t = np.bincount(at[len(parts[0]):], minlength=len(words))
-            held[0].clear()
-            held[1].clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))],
-                names=["word", "n", "t"])
+# A block's own row has ids, lengths, places, predicted and marks; its rows for
+# the shards have keys (to the shard only), n and t.
+OWN = "block long, shard int, ids array<string>, lengths binary, places binary, predicted binary, marks binary"
+SENT = OWN + ", keys binary, n binary, t binary"
+COUNTED = OWN + ", n binary, t binary"
+SCORES = "_id string, n_tokens bigint, target_loss double, background_loss double"
 
-        for batch in batches:
-            for text, good in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = reader.tokens(text)
-                held[1 if good else 0].append(x)
-                size += len(x)
-                if size >= FLUSH_TOKENS:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
-    return run
 
+def _fields(*binaries: str):
+    import pyarrow as pa
+    return pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.list_(pa.field("element", pa.string()))),
+                      *[(b, pa.binary()) for b in ("lengths", "places", "predicted", "marks", *binaries)]])
 
-def _pair_counts(hot: np.ndarray):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        reader = _Reader()
-        for batch in batches:
-            keys, flags = [], []
-            for text, good in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = reader.tokens(text)
-                known = np.isin(x, hot)
-                both = known[:-1] & known[1:]
-                keys.append(pair_key(x[:-1][both], x[1:][both]))
-                flags.append(np.full(len(keys[-1]), good))
-            pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, minlength=len(pairs))
-            t = np.bincount(at, weights=np.concatenate(flags), minlength=len(pairs))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))],
-                names=["pair", "n", "t"])
-    return run
 
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: the mostly empty high bytes lie together and compress away."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
-class Statistics:
-    """What all workers know: totals, frequent words, frequent pairs."""
-
-    def __init__(self, tokens: int, kinds: int, words: list, pairs: list):
-        words, pairs = sorted(words), sorted((np.uint64(p & 0xFFFFFFFFFFFFFFFF), n, t) for p, n, t in pairs)
-        self.tokens, self.kinds = tokens, kinds
-        self.hot = np.array([w for w, _, _ in words], np.uint64)
-        self.hot_n = np.array([n for _, n, _ in words], np.float64)
-        self.hot_t = np.array([t for _, _, t in words], np.float64)
-        self.pair = np.array([p for p, _, _ in pairs], np.uint64)
-        self.pair_n = np.array([n for _, n, _ in pairs], np.float64)
-        self.pair_t = np.array([t for _, _, t in pairs], np.float64)
-
-    @staticmethod
-    def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, x), max(0, len(table) - 1))
-        return at, (table[at] == x) if len(table) else np.zeros(len(x), bool)
-
-    def base(self, word: np.ndarray) -> np.ndarray:
-        """B(w). The start mark is never predicted and has no share."""
-        out = np.full(len(word), 1.0 / max(1, self.kinds))
-        if len(self.hot):
-            predicted = self.hot != START
-            rest = max(0.0, 1.0 - self.hot_n[predicted].sum() / self.tokens)
-            out[:] = max(rest / max(1, self.kinds - int(predicted.sum())), 1e-12)
-            at, known = self._find(self.hot, word)
-            out[known] = self.hot_n[at[known]] / self.tokens
-        return out
-
-    def losses(self, word, pair_n, pair_t, context_n, context_t) -> tuple[np.ndarray, np.ndarray]:
-        """(target loss, background loss) of each pair."""
-        base = MASS * self.base(word)
-        return (-np.log((pair_t + base) / (context_t + MASS)), -np.log((pair_n + base) / (context_n + MASS)))
 
+def _unpack(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-ENTRY = ("shard int, ids binary, keys binary, flags binary, contexts binary, runs binary, words binary, "
-         "docs binary, counts binary")
-SUMS = "part int, keys binary, ids binary, tokens binary, target binary, background binary"
-SCORES = "_id string, n_tokens bigint, target_loss double, background_loss double"
 
-
-def _entries(stats: Statistics, shards: int):
-    """Entries per shard. Pairs known to all are summed per document here; the
-    sums travel as one more row, without entries, in a shard of their own turn."""
+def _cut(shards: int, flush_tokens: int):
+    """Blocks of documents: one own row each, and a row for each shard that has keys of it."""
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-        import xxhash
+        import pyarrow as pa
         from pyspark import TaskContext
         reader = _Reader()
-        ids, keys, flags, tokens = [], [], [], []
-
-        def flush():
-            lengths = np.array([len(x) - 1 for x in tokens])
-            doc = np.repeat(np.arange(len(tokens)), lengths)
-            context = np.concatenate([x[:-1] for x in tokens])
-            word = np.concatenate([x[1:] for x in tokens])
-            pair = pair_key(context, word)
-            flag = np.array(flags, np.uint8)
-            _, hot = stats._find(stats.hot, context)
-            at, known = stats._find(stats.pair, pair)
-            rows = []
-            # pairs known to all: their losses are looked up, not exchanged
-            where, _ = stats._find(stats.hot, context[known])
-            loss_t, loss_b = stats.losses(word[known], stats.pair_n[at[known]], stats.pair_t[at[known]],
-                                          stats.hot_n[where], stats.hot_t[where])
-            n = len(tokens)
-            local = [np.bincount(doc[known], minlength=n).astype(np.float64),
-                     np.bincount(doc[known], weights=loss_t, minlength=n),
-                     np.bincount(doc[known], weights=loss_b, minlength=n)]
-            rows.append((turn % shards, "\n".join(ids).encode(), np.array(keys, np.int64).tobytes(), flag.tobytes(),
-                         None, None, None, np.stack(local).tobytes(), None))
-            rest = ~known
-            doc, context, word, pair, hot = doc[rest], context[rest], word[rest], pair[rest], hot[rest]
-            shard = (np.where(hot, pair, _mix(context)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((doc, word, context, shard))
-            doc, context, word, shard = doc[order], context[order], word[order], shard[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(doc)))
-            doc, context, word, shard = doc[first], context[first], word[first], shard[first]
-            borders = np.searchsorted(shard, np.arange(shards + 1))
-            for s in range(shards):
+        fields = _fields("keys", "n", "t")
+        task = TaskContext.get().partitionId()
+
+        def block(turn, ids, flags, texts):
+            lengths = np.array([len(x) - 1 for x in texts], np.int64)
+            flag = np.array(flags, np.float64)
+            tokens = np.concatenate(texts)
+            words, word = np.unique(tokens, return_inverse=True)
+            inner = np.ones(len(tokens), bool)
+            inner[np.cumsum(lengths + 1) - 1] = False               # an end mark is no context
+            at = np.flatnonzero(inner)
+            pairs, first, pair = np.unique(pair_key(tokens[at], tokens[at + 1]), return_index=True, return_inverse=True)
+            good = np.repeat(flag, lengths + 1)
+            keys = np.concatenate([[TOTAL], words, pairs])
+            n = np.concatenate([[lengths.sum()], np.bincount(word), np.bincount(pair)])
+            t = np.concatenate([[lengths @ flag], np.bincount(word, weights=good),
+                                np.bincount(pair, weights=good[at])]).astype(np.int64)
+            # places of the keys once they are in the order of the shards
+            shard = (_mix(keys) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            predicted = np.arange(len(order), dtype=np.uint32)
+            predicted[place[1 + len(words):]] = place[1 + word[at[first] + 1]]
+            marks = place[[0, 1 + np.searchsorted(words, START), 1 + np.searchsorted(words, END)]]
+            name = (task << 32) + turn
+            rows = [(name, turn % shards, ids, lengths.tobytes(), _pack(place[1 + len(words) + pair]),
+                     _pack(predicted), marks.tobytes(), None, None, None)]
+            keys, n, t = keys[order], n[order], t[order]
+            borders = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(borders)):
                 part = slice(borders[s], borders[s + 1])
-                if part.start == part.stop:
-                    continue
-                c, w, used = context[part], word[part], np.unique(doc[part])
-                change = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                rows.append((s, None,
-                             np.array([keys[k] for k in used], np.int64).tobytes(), flag[used].tobytes(),
-                             c[change].tobytes(), np.diff(np.append(change, len(c))).astype(np.uint32).tobytes(),
-                             w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                             np.searchsorted(used, doc[part]).astype(np.uint32).tobytes(),
-                             count[part].astype(np.uint32).tobytes()))
-            return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in ENTRY.split(", ")])
-
-        size, turn = 0, TaskContext.get().partitionId()
+                rows.append((name, int(s), None, None, None, None, None,
+                             keys[part].tobytes(), _pack(n[part]), _pack(t[part])))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+
+        ids, flags, texts, size, turn = [], [], [], 0, 0
         for batch in batches:
             for i, text, good in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                name = "" if i is None else str(i)
-                digest = xxhash.xxh64(name + ":", seed=17)
-                digest.update((text or "").encode("utf-8", "replace"))
-                ids.append(name)
-                keys.append(digest.intdigest() - (1 << 63))
+                ids.append(i)
                 flags.append(good)
-                tokens.append(reader.tokens(text))
-                size += len(tokens[-1])
-                if size >= FLUSH_TOKENS:
-                    yield _batch(flush())
-                    ids, keys, flags, tokens, size = [], [], [], [], 0
-                    turn += 1
-        if tokens:
-            yield _batch(flush())
-
-    def _batch(pdf):
-        import pyarrow as pa
-        fields = [pa.int32()] + [pa.binary()] * (len(pdf.columns) - 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(pdf[c].tolist(), t) for c, t in zip(pdf.columns, fields, strict=True)], names=list(pdf.columns))
-
+                texts.append(reader.tokens(text))
+                size += len(texts[-1])
+                if size >= flush_tokens:
+                    yield block(turn, ids, flags, texts)
+                    ids, flags, texts, size, turn = [], [], [], 0, turn + 1
+        if texts:
+            yield block(turn, ids, flags, texts)
     return run
 
 
-def _pack(keys, ids, tokens, target, background, parts: int):
-    """Sums per document, packed into one row per part."""
-    import pandas as pd
-    part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    borders = np.searchsorted(part[order], np.arange(parts + 1))
+def _count(table):
+    """The counts of a shard's keys over all blocks, for each block that has them.
+    Own rows pass."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    fields = _fields("n", "t")
+    sent = table.filter(pc.is_valid(table["keys"]))
+    out = [table.filter(pc.is_null(table["keys"])).select(fields.names).cast(fields)]
+    if len(sent):
+        data = [np.frombuffer(x, np.uint64) for x in sent["keys"].to_pylist()]
+        borders = np.cumsum([0] + [len(x) for x in data])
+        kinds, at = np.unique(np.concatenate(data), return_inverse=True)
+        del data
+        sums = {}
+        for c in ("n", "t"):
+            total = np.zeros(len(kinds), np.int64)
+            for k, x in enumerate(sent[c].to_pylist()):      # a block has each key once
+                total[at[borders[k]:borders[k + 1]]] += _unpack(x, np.int64)
+            sums[c] = pa.array([_pack(total[at[a:b]]) for a, b in zip(borders, borders[1:], strict=False)], pa.binary())
+        columns = [sums[f.name] if f.name in sums else sent[f.name].cast(f.type) if f.name in ("block", "shard")
+                   else pa.nulls(len(sent), f.type) for f in fields]
+        out.append(pa.table(columns, schema=fields))
+    return pa.concat_tables(out)
+
+
+def _score(table):
+    """The documents of one block with their losses per token."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    counts = table.filter(pc.is_valid(table["n"])).sort_by("shard")
+    (own,) = table.filter(pc.is_null(table["n"])).to_pylist()
+    n, t = (np.concatenate([_unpack(x, np.int64) for x in counts[c].to_pylist()]).astype(np.float64) for c in ("n", "t"))
+    lengths = np.frombuffer(own["lengths"], np.int64)
+    places, predicted = (_unpack(own[c], np.uint32) for c in ("places", "predicted"))
+    total, start, end = np.frombuffer(own["marks"], np.uint32)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    base = MASS * n[predicted] / n[total]
     out = []
-    for p in range(parts):
-        k = order[borders[p]:borders[p + 1]]
-        if len(k):
-            names = None if ids is None else "\n".join([ids[i] for i in k]).encode()
-            out.append((p, keys[k].tobytes(), names, tokens[k].astype(np.uint32).tobytes(),
-                        target[k].astype(np.float64).tobytes(), background[k].astype(np.float64).tobytes()))
-    return pd.DataFrame(out, columns=[x.split(" ")[0] for x in SUMS.split(", ")])
-
-
-def _score_shard(stats: Statistics, parts: int):
-    def run(pdf):
-        import pandas as pd
-        whole = pdf["contexts"].isna()
-        out = [_local_sums(r, parts) for r in pdf[whole].itertuples(index=False)]
-        pdf = pdf[~whole]
-        if not len(pdf):
-            return pd.concat(out, ignore_index=True)
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
-        contexts = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["contexts"]])
-        runs = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["runs"]])
-        packed = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["words"]]).reshape(-1, 6)
-        wide = np.zeros((len(packed), 8), np.uint8)
-        wide[:, :6] = packed
-        word = wide.view("<u8").ravel().astype(np.uint64)
-        del packed, wide
-        sizes = [len(x) // 8 for x in pdf["keys"]]
-        starts = np.cumsum([0] + sizes[:-1])
-        doc = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + k
-                              for x, k in zip(pdf["docs"], starts, strict=True)])
-        count = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.float64)
-        flag = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["flags"]])[doc]
-        # contexts and pairs get small numbers, then both models count by them
-        kinds, at = np.unique(contexts, return_inverse=True)
-        context = np.repeat(at, runs)
-        context_n = np.bincount(context, weights=count, minlength=len(kinds))
-        context_t = np.bincount(context, weights=count * flag, minlength=len(kinds))
-        place, known = stats._find(stats.hot, kinds)
-        if known.any():        # a hot context is spread over shards; its totals are known
-            context_n[known], context_t[known] = stats.hot_n[place[known]], stats.hot_t[place[known]]
-        pair, first, at = np.unique(pair_key(kinds[context], word), return_index=True, return_inverse=True)
-        pair_n = np.bincount(at, weights=count, minlength=len(pair))
-        pair_t = np.bincount(at, weights=count * flag, minlength=len(pair))
-        loss_t, loss_b = stats.losses(word[first], pair_n, pair_t, context_n[context[first]], context_t[context[first]])
-        n = len(keys)
-        out.append(_pack(keys, None, np.bincount(doc, weights=count, minlength=n),
-                         np.bincount(doc, weights=count * loss_t[at], minlength=n),
-                         np.bincount(doc, weights=count * loss_b[at], minlength=n), parts))
-        return pd.concat(out, ignore_index=True)
-    return run
-
-
-def _local_sums(row, parts: int):
-    """The sums of known pairs. Every document row is in one of these, with its id."""
-    n, t, b = np.frombuffer(row.docs, np.float64).reshape(3, -1)
-    return _pack(np.frombuffer(row.keys, np.int64), row.ids.decode().split("\n"), n, t, b, parts)
-
-
-def _add_part(pdf):
-    """Scores of the documents of one part. Rows repeated with one id and text
-    share a key: their sums were added, and each row is returned."""
-    import pandas as pd
-    keys, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]]), return_inverse=True)
-
-    def added(column, kind):
-        values = np.concatenate([np.frombuffer(x, kind) for x in pdf[column]]).astype(np.float64)
-        return np.bincount(at, weights=values, minlength=len(keys))
-
-    tokens, target, background = added("tokens", np.uint32), added("target", np.float64), added("background", np.float64)
-    named = pdf[pdf["ids"].notna()]
-    ids = np.array([i for x in named["ids"] for i in x.decode().split("\n")], dtype=object)
-    mine = np.searchsorted(keys, np.concatenate([np.frombuffer(x, np.int64) for x in named["keys"]]))
-    rows = np.bincount(mine, minlength=len(keys))[mine]
-    return pd.DataFrame({"_id": ids, "n_tokens": (tokens[mine] / rows).astype(np.int64),
-                         "target_loss": target[mine] / tokens[mine], "background_loss": background[mine] / tokens[mine]})
+    for count in (t, n):
+        value = np.where(predicted == end, 0.0, np.log(count[predicted] + MASS)) - np.log(count + base)
+        added = np.bincount(doc, weights=value[places], minlength=len(lengths))
+        out.append((added + np.log(count[start] + MASS)) / lengths)
+    return pa.table({"_id": pa.array(own["ids"], pa.string()), "n_tokens": lengths, "target_loss": out[0],
+                     "background_loss": out[1]})
 
 
 def score_documents(df: DataFrame, targets: DataFrame | list, id_col: str = "doc_id", text_col: str = "text",
-                    hot: int = HOT, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+                    shard_chars: int = SHARD_CHARS, flush_tokens: int = FLUSH_TOKENS) -> DataFrame:
     """Per row: id, ``n_tokens``, ``target_loss``, ``background_loss`` (nats per
     token) and ``score`` (their difference). ``targets`` has the target ids."""
     ship(df)
     kind = df.schema[id_col].dataType.simpleString()
     rows = _flagged(df, targets, id_col, text_col)
-    words = stash(rows.mapInArrow(_word_counts(), "word bigint, n bigint, t bigint")
-                  .groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "lm-words")
-    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"),
-                      F.sum(F.when(F.col("word") == int(START), F.col("n"))).alias("docs")).first()
-    if not total["n"]:
-        return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("bigint").alias("n_tokens"),
-                           *[F.lit(0.0).alias(c) for c in ("target_loss", "background_loss", "score")]).where("false")
-    # at most `hot` words hold a share of 1 / hot each; the start mark is a context of every document
-    tokens = total["n"] - total["docs"]
-    least = max(2.0, total["n"] / hot)
-    frequent = [(r["word"], r["n"], r["t"]) for r in words.where(
-        (F.col("n") >= least) | (F.col("word") == int(START))).collect()]
-    known = np.array(sorted(w for w, _, _ in frequent), np.uint64)
-    pairs = (rows.mapInArrow(_pair_counts(known), "pair bigint, n bigint, t bigint")
-                 .groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= least).collect())
-    stats = Statistics(tokens, total["k"] - 1, frequent, [(r["pair"], r["n"], r["t"]) for r in pairs])
-    shards = max(1, -(-tokens // shard_entries))
-
-    parts = max(1, -(-total["docs"] // PART_DOCUMENTS))
-    entries = rows.mapInArrow(_entries(stats, shards), ENTRY)
-    sums = entries.groupBy("shard").applyInPandas(_score_shard(stats, parts), SUMS)
-    out = sums.groupBy("part").applyInPandas(_add_part, SCORES)
-    return out.select(F.expr(f"cast(nullif(_id, '') as {kind})").alias(id_col), "n_tokens", "target_loss",
-                      "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    size = rows.agg(F.sum(F.length("_text")).alias("n")).first()["n"] or 0
+    sent = rows.mapInArrow(_cut(max(1, -(-size // shard_chars)), flush_tokens), SENT)
+    out = sent.groupBy("shard").applyInArrow(_count, COUNTED).groupBy("block").applyInArrow(_score, SCORES)
+    return out.select(F.col("_id").cast(kind).alias(id_col), "n_tokens", "target_loss", "background_loss",
+                      (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -53,24 +53,20 @@ def test_language_on_awkward_rows(spark):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
-def _plain_scores(rows, targets, hot):
+def _plain_scores(rows, targets):
     seq = [(i, ["<s>", *lm_scoring._WORDS.findall((t or "").lower()), "</s>"]) for i, t in rows]
     pn, pt, cn, ct, w = Counter(), Counter(), Counter(), Counter(), Counter()
     for i, s in seq:
-        w.update(s)
+        w.update(s[1:])
         pn.update(zip(s, s[1:]))
         cn.update(s[:-1])
         if i in targets:
             pt.update(zip(s, s[1:]))
             ct.update(s[:-1])
-    total = sum(w.values())
-    n = total - len(seq)
-    often = {x for x, k in w.items() if k >= max(2, total / hot) and x != "<s>"}
-    rest = max(max(0.0, 1 - sum(w[x] for x in often) / n) / max(1, len(w) - 1 - len(often)), 1e-12)
+    n = sum(w.values())
 
     def loss(p, pairs, contexts):
-        base = w[p[1]] / n if p[1] in often else rest
-        return -math.log((pairs[p] + 50 * base) / (contexts[p[0]] + 50))
+        return -math.log((pairs[p] + 50 * w[p[1]] / n) / (contexts[p[0]] + 50))
 
     out = []
     for i, s in seq:
@@ -79,15 +75,24 @@ def _plain_scores(rows, targets, hot):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot,entries", [(2000, 10_000_000), (60, 500)])
-def test_scores_match_plain_counts(spark, hot, entries):
+@pytest.mark.parametrize("chars,flush", [(10_000_000, 1_000_000), (2000, 300), (50, 1)])
+def test_scores_match_plain_counts(spark, chars, flush):
     rows = [(r[0], r[1]) for r in awkward_rows()]
     rows += [(100 + k, "the of " * 20 + prose(k, 80)) for k in range(40)]
     df = spark.createDataFrame([(*r, None, None, None) for r in rows], DOC_SCHEMA)
     targets = [1, 9, *range(100, 120)]
-    got = lm_scoring.score_documents(df, targets, hot=hot, shard_entries=entries).collect()
+    got = lm_scoring.score_documents(df, targets, shard_chars=chars, flush_tokens=flush).collect()
     assert sorted(((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9), round(r.score, 8))
-                   for r in got), key=repr) == _plain_scores(rows, set(targets), hot)
+                   for r in got), key=repr) == _plain_scores(rows, set(targets))
+
+
+def test_scores_keep_text_ids(spark):
+    rows = [("a\nb", "one two"), ("", "three"), (None, "four"), ("null", None), ("a\nb", "one two")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for targets in (["a\nb", ""], []):
+        got = lm_scoring.score_documents(df, targets).collect()
+        assert sorted(((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9), round(r.score, 8))
+                       for r in got), key=repr) == _plain_scores(rows, set(targets))
 
 
 def test_every_labelled_document_is_a_target(spark):
