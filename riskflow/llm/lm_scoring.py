@@ -12,21 +12,23 @@ target's loss minus the background's loss: the lower, the more the document is
 like the target.
 
 How it runs
-  1. Labelled ids are joined to the documents, so the flag travels with the text;
-     the result is written, which fixes the order of rows for a task that is
-     run again.
-  2. Each task cuts its documents into blocks of about ``FLUSH_TOKENS`` tokens.
-     A block counts its distinct words and pairs of neighbours, for all and for
+  1. Documents are dealt by a hash of their id to blocks of about ``BLOCK_CHARS``
+     characters, and the labelled ids with them, so a block knows which of its
+     documents are targets. What a block holds depends on the rows alone, not on
+     their order, so a task that is run again gives the same rows.
+  2. A block counts its distinct words and pairs of neighbours, for all and for
      the target's documents, and deals these keys to shards by hash. A word or
      pair is in a block once, however often it occurs, so neither gathers in a
      shard. The number of tokens is counted the same way, as one more key.
   3. A shard adds the counts of each key and returns them to every block that
      has the key, in the order in which they came.
-  4. A block, whose documents travelled as places of its keys, works out the loss
-     of each of its pairs and adds them by document.
+  4. The counts meet the block's texts again (the same exchange of them); the
+     block works out the loss of each of its pairs and adds them by document.
 A block sends and gets a few bytes per distinct key, so the exchanged volume
 grows with the corpus whatever the number of shards, a shard's size does not
-grow, and nothing is broadcast or collected.
+grow, and nothing is broadcast or collected. A key travels as 48 bits of its hash
+besides those that choose the shard: with 2 million keys a shard, one shard in
+some hundred has two keys counted as one.
 
 Every word but the end mark is a context as often as it is predicted, so the
 counts of words serve ``B(w)`` and ``n(c)``. A loss is the sum of
@@ -35,25 +37,25 @@ where the context itself was predicted, the start mark's once a document.
 
 Defined cases: a null or empty text is the end mark alone (``n_tokens`` 1). Rows
 repeated with one id and text give equal rows. Documents with a null id are
-scored and never targets. Without a target document the target model is ``B``.
+scored and never targets; they are dealt by their text. Rows that share an id
+are in one block, so their texts must fit a task. Without a target document the target model is ``B``.
 Only id and text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import ship, stash
+from riskflow.llm.common import ship
 
 __all__ = ["target_ids", "score_documents"]
 
 MASS = 50.0
-FLUSH_TOKENS = 1_000_000
+BLOCK_CHARS = 6_000_000
 SHARD_CHARS = 12_000_000
 _CACHE = 500_000
 _WORDS = re.compile(r"\w+")
@@ -101,155 +103,142 @@ def target_ids(labels: DataFrame, id_col: str = "doc_id", flag_col: str = "quali
     return labels.where(F.col(flag_col) == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct()
 
 
-def _flagged(df: DataFrame, targets: DataFrame | list, id_col: str, text_col: str) -> DataFrame:
-    """_id as text, _text and whether the id is a target."""
-    if not isinstance(targets, DataFrame):
-        kind = df.schema[id_col].dataType.simpleString()
-        targets = df.sparkSession.createDataFrame([(i,) for i in targets], f"_target {kind}")
-    ids = targets.select(F.col(targets.columns[0]).alias("_target")).where("_target is not null").distinct()
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return stash(rows.join(ids, F.col("_id") == F.col("_target"), "left")
-                 .select(F.col("_id").cast("string").alias("_id"), "_text",
-                         F.col("_target").isNotNull().alias("_good")), "lm-rows")
-
-
-# A block's own row has ids, lengths, places, predicted and marks; its rows for
-# the shards have keys (to the shard only), n and t.
-OWN = "block long, shard int, ids array<string>, lengths binary, places binary, predicted binary, marks binary"
-SENT = OWN + ", keys binary, n binary, t binary"
-COUNTED = OWN + ", n binary, t binary"
+SENT = "block long, shard int, keys binary, n binary, t binary"
+COUNTED = "block long, shard int, n binary, t binary"
 SCORES = "_id string, n_tokens bigint, target_loss double, background_loss double"
 
 
 def _fields(*binaries: str):
     import pyarrow as pa
-    return pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.list_(pa.field("element", pa.string()))),
-                      *[(b, pa.binary()) for b in ("lengths", "places", "predicted", "marks", *binaries)]])
+    return pa.schema([("block", pa.int64()), ("shard", pa.int32()), *[(b, pa.binary()) for b in binaries]])
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers byte by byte: the mostly empty high bytes lie together and compress away."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Counts byte by byte: the mostly empty high bytes lie together and compress away."""
+    return x.astype("<i8").view(np.uint8).reshape(len(x), 8).T.tobytes()
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def _cut(shards: int, flush_tokens: int):
-    """Blocks of documents: one own row each, and a row for each shard that has keys of it."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
+class _Block:
+    """The documents of a block, ordered by id and text, with its distinct keys in
+    the order of the shards."""
+
+    def __init__(self, rows, shards: int):
+        texts = zip(rows["_id"].to_pylist(), rows["_text"].to_pylist(), strict=True)
+        texts = sorted(texts, key=lambda r: (r[0] is None, r[0] or "", r[1] or ""))
+        self.ids = [i for i, _ in texts]
         reader = _Reader()
+        tokens = [reader.tokens(x) for _, x in texts]
+        self.lengths = np.array([len(x) - 1 for x in tokens], np.int64)
+        tokens = np.concatenate(tokens)
+        self.words, self.word = np.unique(tokens, return_inverse=True)
+        inner = np.ones(len(tokens), bool)
+        inner[np.cumsum(self.lengths + 1) - 1] = False               # an end mark is no context
+        self.at = np.flatnonzero(inner)
+        pairs, self.first, self.pair = np.unique(pair_key(tokens[self.at], tokens[self.at + 1]),
+                                                 return_index=True, return_inverse=True)
+        keys = np.concatenate([[TOTAL], self.words, pairs])
+        shard = (_mix(keys) % np.uint64(shards)).astype(np.int64)
+        self.order = np.argsort(shard, kind="stable")
+        self.keys, self.borders = keys[self.order], np.searchsorted(shard[self.order], np.arange(shards + 1))
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """Occurrences of each key, the documents weighted."""
+        by_token = np.repeat(weights, self.lengths + 1)
+        found = np.concatenate([[self.lengths @ weights], np.bincount(self.word, by_token, len(self.words)),
+                                np.bincount(self.pair, by_token[self.at], len(self.first))])
+        return found.astype(np.int64)[self.order]
+
+    def losses(self, n: np.ndarray, t: np.ndarray) -> list:
+        """(target, background) loss per token of each document, from the counts of the keys."""
+        back = np.argsort(self.order)
+        n, t = n[back], t[back]
+        k = 1 + len(self.words)
+        predicted = self.word[self.at[self.first] + 1]
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        base = MASS * n[1:k][predicted] / n[0]
+        out = []
+        for count in (t, n):
+            context = np.where(self.words == END, 0.0, np.log(count[1:k] + MASS))
+            value = context[predicted] - np.log(count[k:] + base)
+            added = np.bincount(doc, value[self.pair], len(self.lengths))
+            out.append((added + context[np.searchsorted(self.words, START)]) / self.lengths)
+        return out
+
+
+def _cut(shards: int):
+    """A block's counts: a row for each shard that has keys of it."""
+    def run(rows, targets):
+        import pyarrow as pa
         fields = _fields("keys", "n", "t")
-        task = TaskContext.get().partitionId()
-
-        def block(turn, ids, flags, texts):
-            lengths = np.array([len(x) - 1 for x in texts], np.int64)
-            flag = np.array(flags, np.float64)
-            tokens = np.concatenate(texts)
-            words, word = np.unique(tokens, return_inverse=True)
-            inner = np.ones(len(tokens), bool)
-            inner[np.cumsum(lengths + 1) - 1] = False               # an end mark is no context
-            at = np.flatnonzero(inner)
-            pairs, first, pair = np.unique(pair_key(tokens[at], tokens[at + 1]), return_index=True, return_inverse=True)
-            good = np.repeat(flag, lengths + 1)
-            keys = np.concatenate([[TOTAL], words, pairs])
-            n = np.concatenate([[lengths.sum()], np.bincount(word), np.bincount(pair)])
-            t = np.concatenate([[lengths @ flag], np.bincount(word, weights=good),
-                                np.bincount(pair, weights=good[at])]).astype(np.int64)
-            # places of the keys once they are in the order of the shards
-            shard = (_mix(keys) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            predicted = np.arange(len(order), dtype=np.uint32)
-            predicted[place[1 + len(words):]] = place[1 + word[at[first] + 1]]
-            marks = place[[0, 1 + np.searchsorted(words, START), 1 + np.searchsorted(words, END)]]
-            name = (task << 32) + turn
-            rows = [(name, turn % shards, ids, lengths.tobytes(), _pack(place[1 + len(words) + pair]),
-                     _pack(predicted), marks.tobytes(), None, None, None)]
-            keys, n, t = keys[order], n[order], t[order]
-            borders = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(borders)):
-                part = slice(borders[s], borders[s + 1])
-                rows.append((name, int(s), None, None, None, None, None,
-                             keys[part].tobytes(), _pack(n[part]), _pack(t[part])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-
-        ids, flags, texts, size, turn = [], [], [], 0, 0
-        for batch in batches:
-            for i, text, good in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids.append(i)
-                flags.append(good)
-                texts.append(reader.tokens(text))
-                size += len(texts[-1])
-                if size >= flush_tokens:
-                    yield block(turn, ids, flags, texts)
-                    ids, flags, texts, size, turn = [], [], [], 0, turn + 1
-        if texts:
-            yield block(turn, ids, flags, texts)
+        if not len(rows):
+            return fields.empty_table()
+        block = _Block(rows, shards)
+        known = set(targets["_target"].to_pylist())
+        n = block.counts(np.ones(len(block.ids)))
+        t = block.counts(np.array([i in known for i in block.ids], np.float64))
+        low = block.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        used = np.flatnonzero(np.diff(block.borders))
+        parts = [slice(block.borders[s], block.borders[s + 1]) for s in used]
+        return pa.table([pa.array([rows["block"][0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32()),
+                         pa.array([low[p].tobytes() for p in parts], pa.binary()),
+                         *[pa.array([_pack(c[p]) for p in parts], pa.binary()) for c in (n, t)]], schema=fields)
     return run
 
 
 def _count(table):
-    """The counts of a shard's keys over all blocks, for each block that has them.
-    Own rows pass."""
+    """The counts of a shard's keys over all blocks, for each block that has them."""
     import pyarrow as pa
-    import pyarrow.compute as pc
-    fields = _fields("n", "t")
-    sent = table.filter(pc.is_valid(table["keys"]))
-    out = [table.filter(pc.is_null(table["keys"])).select(fields.names).cast(fields)]
-    if len(sent):
-        data = [np.frombuffer(x, np.uint64) for x in sent["keys"].to_pylist()]
-        borders = np.cumsum([0] + [len(x) for x in data])
-        kinds, at = np.unique(np.concatenate(data), return_inverse=True)
-        del data
-        sums = {}
-        for c in ("n", "t"):
-            total = np.zeros(len(kinds), np.int64)
-            for k, x in enumerate(sent[c].to_pylist()):      # a block has each key once
-                total[at[borders[k]:borders[k + 1]]] += _unpack(x, np.int64)
-            sums[c] = pa.array([_pack(total[at[a:b]]) for a, b in zip(borders, borders[1:], strict=False)], pa.binary())
-        columns = [sums[f.name] if f.name in sums else sent[f.name].cast(f.type) if f.name in ("block", "shard")
-                   else pa.nulls(len(sent), f.type) for f in fields]
-        out.append(pa.table(columns, schema=fields))
-    return pa.concat_tables(out)
-
-
-def _score(table):
+    data = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in table["keys"].to_pylist()]
+    borders = np.cumsum([0] + [len(x) for x in data])
+    wide = np.zeros((borders[-1], 8), np.uint8)
+    wide[:, :6] = np.concatenate(data)
+    del data
+    kinds, at = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+    del wide
+    out = [table["block"], table["shard"]]
+    for c in ("n", "t"):
+        sums = np.bincount(at, np.concatenate([_unpack(x) for x in table[c].to_pylist()]), len(kinds)).astype(np.int64)
+        out.append(pa.array([_pack(sums[at[a:b]]) for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary()))
+    return pa.table(out, schema=_fields("n", "t"))
+
+
+def _score(shards: int):
     """The documents of one block with their losses per token."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    counts = table.filter(pc.is_valid(table["n"])).sort_by("shard")
-    (own,) = table.filter(pc.is_null(table["n"])).to_pylist()
-    n, t = (np.concatenate([_unpack(x, np.int64) for x in counts[c].to_pylist()]).astype(np.float64) for c in ("n", "t"))
-    lengths = np.frombuffer(own["lengths"], np.int64)
-    places, predicted = (_unpack(own[c], np.uint32) for c in ("places", "predicted"))
-    total, start, end = np.frombuffer(own["marks"], np.uint32)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    base = MASS * n[predicted] / n[total]
-    out = []
-    for count in (t, n):
-        value = np.where(predicted == end, 0.0, np.log(count[predicted] + MASS)) - np.log(count + base)
-        added = np.bincount(doc, weights=value[places], minlength=len(lengths))
-        out.append((added + np.log(count[start] + MASS)) / lengths)
-    return pa.table({"_id": pa.array(own["ids"], pa.string()), "n_tokens": lengths, "target_loss": out[0],
-                     "background_loss": out[1]})
+    def run(rows, counted):
+        import pyarrow as pa
+        block = _Block(rows, shards)
+        counted = counted.sort_by("shard")
+        n, t = (np.concatenate([_unpack(x) for x in counted[c].to_pylist()]).astype(np.float64) for c in ("n", "t"))
+        target, background = block.losses(n, t)
+        return pa.table({"_id": pa.array(block.ids, pa.string()), "n_tokens": block.lengths, "target_loss": target,
+                         "background_loss": background})
+    return run
 
 
 def score_documents(df: DataFrame, targets: DataFrame | list, id_col: str = "doc_id", text_col: str = "text",
-                    shard_chars: int = SHARD_CHARS, flush_tokens: int = FLUSH_TOKENS) -> DataFrame:
+                    block_chars: int = BLOCK_CHARS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Per row: id, ``n_tokens``, ``target_loss``, ``background_loss`` (nats per
     token) and ``score`` (their difference). ``targets`` has the target ids."""
     ship(df)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = _flagged(df, targets, id_col, text_col)
-    size = rows.agg(F.sum(F.length("_text")).alias("n")).first()["n"] or 0
-    sent = rows.mapInArrow(_cut(max(1, -(-size // shard_chars)), flush_tokens), SENT)
-    out = sent.groupBy("shard").applyInArrow(_count, COUNTED).groupBy("block").applyInArrow(_score, SCORES)
+    if not isinstance(targets, DataFrame):
+        targets = df.sparkSession.createDataFrame([(i,) for i in targets], f"_target {kind}")
+    size = df.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
+    blocks, shards = (max(1, -(-size // x)) for x in (block_chars, shard_chars))
+
+    def dealt(*by):
+        return F.pmod(F.xxhash64(F.coalesce(*by)), F.lit(blocks)).alias("block")
+
+    name = F.col(id_col).cast("string")
+    rows = df.select(dealt(name, F.col(text_col)), name.alias("_id"), F.col(text_col).alias("_text")).groupBy("block")
+    wanted = F.col(targets.columns[0]).cast("string")
+    ids = targets.where(wanted.isNotNull()).select(dealt(wanted), wanted.alias("_target"))
+    sent = rows.cogroup(ids.groupBy("block")).applyInArrow(_cut(shards), SENT)
+    counted = sent.groupBy("shard").applyInArrow(_count, COUNTED)
+    out = rows.cogroup(counted.groupBy("block")).applyInArrow(_score(shards), SCORES)
     return out.select(F.col("_id").cast(kind).alias(id_col), "n_tokens", "target_loss", "background_loss",
                       (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -75,13 +75,13 @@ def _plain_scores(rows, targets):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chars,flush", [(10_000_000, 1_000_000), (2000, 300), (50, 1)])
-def test_scores_match_plain_counts(spark, chars, flush):
+@pytest.mark.parametrize("block,shard", [(6_000_000, 12_000_000), (3000, 20_000), (40_000, 2000)])
+def test_scores_match_plain_counts(spark, block, shard):
     rows = [(r[0], r[1]) for r in awkward_rows()]
     rows += [(100 + k, "the of " * 20 + prose(k, 80)) for k in range(40)]
     df = spark.createDataFrame([(*r, None, None, None) for r in rows], DOC_SCHEMA)
     targets = [1, 9, *range(100, 120)]
-    got = lm_scoring.score_documents(df, targets, shard_chars=chars, flush_tokens=flush).collect()
+    got = lm_scoring.score_documents(df, targets, block_chars=block, shard_chars=shard).collect()
     assert sorted(((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9), round(r.score, 8))
                    for r in got), key=repr) == _plain_scores(rows, set(targets))
 
