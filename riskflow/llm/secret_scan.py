@@ -21,7 +21,8 @@ The step-up needs ranks over all tokens of the corpus. P-values are rounded up
 to bins, counts per bin are aggregated map-side, and the threshold per stratum
 comes from a running sum over at most a few thousand bins: exact for the
 rounded values, with nothing gathered. Texts are read once; the scan without
-texts is written to the shared folder before the thresholds are applied.
+texts is written to the shared folder, and so are the tested tokens, a row each,
+before the thresholds are applied.
 
 Spans are in code points, end exclusive; ``a:b:c`` is kind, start, end. A span's
 extent is the whole match. Defined cases: a null text is empty and has no
@@ -129,9 +130,9 @@ def _encoding(t: Column) -> Column:
 
 
 def _candidates(run: Column) -> Column:
-    """The run itself if it is in an encoding, else its parts that are."""
+    """The run itself if it is in an encoding, else its parts that are; ``k`` is the number of the parts' pattern."""
     whole = F.struct(run["start"].alias("start"), run["end"].alias("end"), run["text"].alias("text"),
-                     _encoding(run["text"]).alias("enc"))
+                     _encoding(run["text"]).alias("enc"), F.lit(0).alias("k"))
 
     def parts(k):
         found = _located(run["text"], PARTS[k], F.regexp_extract_all(run["text"], F.lit(PARTS[k]), F.lit(0)))
@@ -141,14 +142,8 @@ def _candidates(run: Column) -> Column:
             F.when(p["end"] == F.length(run["text"]), run["end"]).otherwise(run["start"] + p["end"]).alias("end"),
             p["text"].alias("text"), _encoding(p["text"]).alias("enc"), F.lit(k).alias("k")))
 
-    def outer(found):
-        return F.filter(found, lambda p: ~F.exists(found, lambda o: (o["start"] <= p["start"]) & (o["end"] >= p["end"]) & (
-            (o["end"] - o["start"] > p["end"] - p["start"]) | (o["k"] < p["k"]))))
-
-    split = _let(F.filter(F.concat(*map(parts, range(len(PARTS)))), lambda p: p["enc"].isNotNull()), outer)
-    return _let(whole, lambda w: F.when(w["enc"].isNotNull(), F.array(w)).otherwise(F.transform(
-        split, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"),
-                                  p["enc"].alias("enc")))))
+    split = F.filter(F.concat(*map(parts, range(len(PARTS)))), lambda p: p["enc"].isNotNull())
+    return _let(whole, lambda w: F.when(w["enc"].isNotNull(), F.array(w)).otherwise(split))
 
 
 def _erfc(x: Column) -> Column:
@@ -208,10 +203,9 @@ def battery(token: Column, encoding: Column) -> Column:
     return _let(F.struct(index.alias("x"), F.length(alphabet).alias("a")), tests)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, ``assign``, ``access``, ``hex`` (arrays of struct<start,
-    kind, end>) and ``tokens``: candidates outside the base spans with
-    encoding, length and p-value."""
+    kind, end>) and ``runs``: maximal runs of encoding characters with start, end and text."""
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     text = F.col("_text")
     found = rows.select(
@@ -225,30 +219,74 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         "_id", "_v1", _located(text, ASSIGN, F.col("_m1")).alias("_s1"),
         _located(text, ACCESS, F.col("_m2")).alias("_s2"), _located(text, HEX, F.col("_m3")).alias("_s3"),
         _located(text, TOKEN, F.col("_m4")).alias("_s4"))
-    base = placed.select(
+    return placed.select(
         "_id",
         _plain(F.filter("_s1", lambda s, i: F.length(F.col("_v1")[i]) >= ASSIGN_LEAST), "assign").alias("assign"),
         _plain(F.filter("_s2", lambda s: F.length(s["text"]) >= ACCESS_LEAST), "access").alias("access"),
-        _plain(F.col("_s3"), "hex").alias("hex"), "_s4")
-    named = base.select("*", F.concat("assign", "access", "hex").alias("_base"), F.transform("_s4", lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        F.rtrim(s["text"], F.lit("=")).alias("text"))).alias("_s5"))
-    named = named.withColumn("_s6", F.filter(F.flatten(F.transform("_s5", _candidates)), lambda s: (
-        F.length(s["text"]) >= 20) & ~F.exists(
-            "_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    tokens = F.transform("_s6", lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"),
-        # lengths that double share a stratum
-        F.floor(F.log2(F.length(s["text"]).cast("double"))).cast("int").alias("band"),
-        F.floor(-F.log(F.greatest(battery(s["text"], s["enc"]), F.lit(1e-300))) * BIN).cast("int").alias("bin")))
-    return named.select("_id", "assign", "access", "hex", tokens.alias("tokens"))
-
-
-def thresholds(scanned: DataFrame, q: float = LEVEL) -> DataFrame:
+        _plain(F.col("_s3"), "hex").alias("hex"), F.transform("_s4", lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"),
+            F.rtrim(s["text"], F.lit("=")).alias("text"))).alias("runs"))
+
+
+def candidates(scanned: DataFrame) -> DataFrame:
+    """A row per token to test: ``_row``, start, end, text and enc. ``scanned`` is
+    a scan with a ``_row`` for each of its rows.
+
+    Tokens within another one and tokens that overlap a base span go. Both are
+    found by one running maximum of the ends in the order of starts, so the work
+    follows the number of spans also in a text that has very many."""
+    tokens = (scanned.select("_row", F.explode("runs").alias("run"))
+              .select("_row", F.col("run.start").alias("_run"), F.explode(_candidates(F.col("run"))).alias("t"))
+              .select("_row", "_run", "t.*"))
+    inside = (Window.partitionBy("_row", "_run").orderBy("start", F.col("end").desc(), "k")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    tokens = (tokens.withColumn("_upto", F.max("end").over(inside))
+              .where((F.coalesce("_upto", F.lit(-1)) < F.col("end")) & (F.length("text") >= 20)))
+    spans = scanned.select("_row", F.explode(F.concat("assign", "access", "hex")).alias("s")).select(
+        "_row", F.col("s.start").alias("_at"), F.lit(1).alias("_base"), F.col("s.end").alias("_upto"),
+        *[F.lit(None).cast(k).alias(c) for c, k in (("start", "int"), ("end", "int"), ("text", "string"), ("enc", "string"))])
+    both = spans.unionByName(tokens.select(
+        "_row", F.col("end").alias("_at"), F.lit(0).alias("_base"), F.lit(None).cast("int").alias("_upto"),
+        "start", "end", "text", "enc"))
+    # base spans that start before the token ends: the furthest of their ends
+    before = (Window.partitionBy("_row").orderBy("_at", "_base")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (both.withColumn("_reach", F.max("_upto").over(before))
+            .where((F.col("_base") == 0) & (F.coalesce("_reach", F.lit(-1)) <= F.col("start")))
+            .select("_row", "start", "end", "text", "enc"))
+
+
+def tested(tokens: DataFrame) -> DataFrame:
+    """``_row``, start, end, enc, ``band`` (lengths that double share a stratum) and ``bin`` of the p-value.
+    Tokens are dealt anew, so one text's tokens are tested by many tasks."""
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tokens.repartition(parts, "_row", "start").select(
+        "_row", "start", "end", "enc", F.floor(F.log2(F.length("text").cast("double"))).cast("int").alias("band"),
+        F.floor(-F.log(F.greatest(battery(F.col("text"), F.col("enc")), F.lit(1e-300))) * BIN).cast("int").alias("bin"))
+
+
+def _scanned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with base spans, and the tested tokens of all rows, both written."""
+    rows = stash(_found(df, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "secret-scan")
+    return rows.drop("runs"), stash(tested(candidates(rows)), "secret-tokens")
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``assign``, ``access``, ``hex`` (arrays of struct<start,
+    kind, end>) and ``tokens``: candidates outside the base spans with
+    encoding, length and p-value."""
+    rows, tokens = _scanned(df, id_col, text_col)
+    kind = "array<struct<start:int,end:int,enc:string,band:int,bin:int>>"
+    found = tokens.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "enc", "band", "bin")))
+                                       .alias("tokens"))
+    return (rows.join(found, "_row", "left").drop("_row")
+            .withColumn("tokens", F.coalesce("tokens", F.array().cast(kind))))
+
+
+def thresholds(tokens: DataFrame, q: float = LEVEL) -> DataFrame:
     """Per stratum (``enc``, ``band``) the first bin whose tokens are rejected
     as not random; strata without a rejection are missing."""
-    counts = (scanned.select(F.explode("tokens").alias("t")).groupBy("t.enc", "t.band", "t.bin")
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = tokens.groupBy("enc", "band", "bin").agg(F.count(F.lit(1)).alias("n"))
     down = (Window.partitionBy("enc", "band").orderBy(F.col("bin").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counts = counts.select("*", F.sum("n").over(down).alias("upto"),
@@ -259,24 +297,21 @@ def thresholds(scanned: DataFrame, q: float = LEVEL) -> DataFrame:
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = LEVEL) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    scanned = stash(scan(df, id_col, text_col), "secret-scan")
+    rows, tokens = _scanned(df, id_col, text_col)
     # one row: at most one entry per encoding and power of two of a length
-    limits = thresholds(scanned, q).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws(":", "enc", F.col("band").cast("string")), "least"))).alias("limits"))
-    limit = limits.scalar()
+    limit = thresholds(tokens, q).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws(":", "enc", F.col("band").cast("string")), "least")))).scalar()
+    kept = tokens.withColumn("_least", F.try_element_at(limit, F.concat_ws(":", "enc", F.col("band").cast("string"))))
+    kept = kept.where(F.coalesce(F.col("bin") < F.col("_least"), F.lit(True))).groupBy("_row").agg(F.collect_list(
+        F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")).alias("random"))
 
     def joined(spans):
         return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
             ":", F.array(*[F.lit(k) for k in KINDS])[s["kind"]], s["start"].cast("string"),
             s["end"].cast("string"))), ",")
 
-    with_limit = scanned.withColumn("_limit", limit)
-    kept = F.filter("tokens", lambda t: F.coalesce(
-        t["bin"] < F.try_element_at(F.col("_limit"), F.concat_ws(":", t["enc"], t["band"].cast("string"))),
-        F.lit(True)))
-    random = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"),
-                                                  t["end"].alias("end")))
-    out = with_limit.select("_id", "assign", "access", "hex", random.alias("random"))
+    out = rows.join(kept, "_row", "left").withColumn("random", F.coalesce(
+        "random", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     base = F.concat("assign", "access", "hex")
     return out.select(
         F.col("_id").alias(id_col), F.size("assign").cast("bigint").alias("n_assign"),
