@@ -93,7 +93,8 @@ def _count(batches: Iterator) -> Iterator:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_docs: int = SAMPLE_DOCS, min_count: int = MIN_COUNT) -> Model:
-    """Learn from labelled rows outside the held-out third."""
+    """Learn from labelled rows outside the held-out third. Where the model exceeds
+    its bound, ``min_count`` doubles until it does not."""
     ship(df)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
@@ -104,8 +105,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} language labels")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["_lang"], min(1.0, sample_docs / r["_rows"]))])
-    sample = rows.where(F.coalesce(unit_hash(F.col("_id"), "langid"), F.lit(0.0)) < share[F.col("_lang")]) \
-                 .select("_text", "_lang")
+    # rows without an id are drawn by their text
+    drawn = unit_hash(F.coalesce(F.col("_id").cast("string"), F.col("_text")), "langid")
+    sample = rows.where(drawn < share[F.col("_lang")]).select("_text", "_lang")
     counted = (sample.mapInArrow(_count, "lang string, is_word boolean, item string, n bigint")
                      .groupBy("is_word", "item", "lang").agg(F.sum("n").alias("n"))
                      .groupBy("is_word", "item")
@@ -113,7 +115,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                      .where(F.col("all") >= min_count).select("is_word", "item", "per"))
     entries = counted.toArrow()
     if entries.num_rows > MODEL_ENTRIES:
-        raise ValueError("the language model exceeds its bound; lower sample_docs or raise min_count")
+        return fit(df, id_col, text_col, lang_col, sample_docs, 2 * min_count)
     return _model(zip(*(entries.column(c).to_pylist() for c in ("is_word", "item", "per")), strict=True))
 
 

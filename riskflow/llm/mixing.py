@@ -139,12 +139,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     def joined(*parts):
         return F.to_json(F.array(*parts), {"ignoreNullFields": "false"})
 
-    take = (plan.groupBy(joined(*key).alias("_mix_key")).agg(F.sum("copies").cast("int").alias("_mix_n"))
-                .where("_mix_n > 0"))
+    def free(name):
+        while name.lower() in (c.lower() for c in df.columns):
+            name = "_" + name
+        return name
+
+    own, number, copy = free("_mix_own"), free("_mix_rn"), free("_mix_e")
+    wanted, times = free("_mix_key"), free("_mix_n")
+    take = (plan.groupBy(joined(*key).alias(wanted)).agg(F.sum("copies").cast("int").alias(times))
+                .where(F.col(times) > 0))
     md5 = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    once = Window.partitionBy("_mix_own").orderBy("_mix_own")
-    rows = (df.withColumn("_mix_own", joined(F.col(id_col).cast("string"), md5, F.col(source_col)))
-              .withColumn("_mix_rn", F.row_number().over(once)).where("_mix_rn = 1"))
-    return (rows.join(take, rows["_mix_own"] == take["_mix_key"])
-                .withColumn("_mix_e", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
+    once = Window.partitionBy(own).orderBy(own)
+    rows = (df.withColumn(own, joined(F.col(id_col).cast("string"), md5, F.col(source_col)))
+              .withColumn(number, F.row_number().over(once)).where(F.col(number) == 1))
+    return (rows.join(take, rows[own] == take[wanted])
+                .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
                 .select(*[F.col(f"`{c}`") for c in df.columns]))

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 from riskflow.llm import mixing
 from riskflow.llm.queries import ORACLE
@@ -55,3 +56,13 @@ def test_mix_emits_the_planned_copies(spark):
     want = plan.where("copies > 0").groupBy("doc_id").sum("copies").collect()
     assert {r[0]: r[1] for r in out.groupBy("doc_id").count().collect()} == {r[0]: r[1] for r in want}
     assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_mix_keeps_columns_named_like_its_own(spark):
+    rows = [(k, f"some words {k}", "en", "ab"[k % 2], 12) for k in range(20)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    names = ("_mix_key", "_mix_n", "_mix_own", "_MIX_RN", "_mix_e")
+    clashing = df.select("*", *[F.lit(n).alias(n) for n in names])
+    got = mixing.mix(clashing)
+    assert got.columns == clashing.columns and plain(got, *df.columns) == plain(mixing.mix(df), *df.columns)
+    assert all(r[n] == n for r in got.collect() for n in names)

@@ -53,6 +53,17 @@ def test_language_on_awkward_rows(spark):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+def test_language_sample_and_model_stay_bounded(spark, monkeypatch):
+    rows = [(None, f"word{str(k).translate(str.maketrans('0123456789', 'abcdefghij'))} common", "en", None, None)
+            for k in range(3000)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    seen = language_id.fit(df, sample_docs=300, min_count=1).words
+    assert 150 < len(seen) < 600                       # rows without an id are sampled like others
+    monkeypatch.setattr(language_id, "MODEL_ENTRIES", 40)
+    small = language_id.fit(df, sample_docs=300, min_count=1)
+    assert 0 < len(small.words) + len(small.grams) <= 40
+
+
 def _plain_scores(rows, targets):
     seq = [(i, ["<s>", *lm_scoring._WORDS.findall((t or "").lower()), "</s>"]) for i, t in rows]
     pn, pt, cn, ct, w = Counter(), Counter(), Counter(), Counter(), Counter()
