@@ -15,14 +15,14 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.columns import between_flag, clip, state_from_dpd
-from riskflow.operators import logistic
+from riskflow.operators import boosting, logistic
 from riskflow.operators.evaluate import class_weights, label_encoding, safe_encode
 from riskflow.operators.scoring import PROB_COLS, with_prediction_columns
 from riskflow.schema import ROW_SEQ
@@ -230,7 +230,7 @@ def append_synthetic(train: DataFrame, synthetic: DataFrame, features: list[str]
 class RiskModel:
     kind: str
     features: list[str]
-    models: list            # fitted MLlib models (one, or one per state for one-vs-rest)
+    models: list            # the fitted model: MLlib forest, boosted trees or coefficients
     scaling: DataFrame | None = None
     threshold: float = HIGH_RISK_THRESHOLD
     meta: dict = field(default_factory=dict)
@@ -317,21 +317,13 @@ def fit_forest(train: DataFrame, features: list[str], label: str = "next_risk_st
 
 def fit_boosted(train: DataFrame, features: list[str], label: str = "next_risk_state",
                 rounds: int = 300, depth: int = 6, learning_rate: float = 0.1,
-                subsample: float = 0.8, seed: int = 42, weight: str | None = "weight") -> RiskModel:
-    """Gradient-boosted trees, one binary model per state (one-vs-rest);
-    the four positive-class probabilities are renormalised at prediction."""
-    shell = RiskModel("boosted_ovr", list(features), [])
+                subsample: float = 0.8, colsample: float = 0.8, bins: int = boosting.MOST_BINS,
+                seed: int = 42, weight: str | None = "weight") -> RiskModel:
+    """Gradient-boosted trees on the softmax loss, one tree per state and
+    round (see :mod:`riskflow.operators.boosting`)."""
     d = train if is_training_table(train, weight) else training_table(train, features, label, weight)
-    d = _assemble(d, shell)
-    models = []
-    for i, _s in enumerate(STATES):
-        di = d.withColumn("_y", (F.col("label") == float(i)).cast("double"))
-        gbt = GBTClassifier(featuresCol="_features", labelCol="_y", weightCol=weight, maxIter=rounds,
-                            maxDepth=depth, stepSize=learning_rate, subsamplingRate=subsample,
-                            featureSubsetStrategy="0.8", seed=seed)
-        models.append(gbt.fit(di))
-    shell.models = models
-    return shell
+    return RiskModel("boosted", list(features), [boosting.fit(
+        d, list(features), rounds, depth, learning_rate, subsample, colsample, bins, seed=seed, weight=weight)])
 
 
 def predict_batch(model: RiskModel, df: DataFrame) -> DataFrame:
@@ -342,19 +334,12 @@ def predict_batch(model: RiskModel, df: DataFrame) -> DataFrame:
     if model.kind == "logistic":
         return with_prediction_columns(logistic.probabilities(src, model.models[0], PROB_COLS)).withColumn(
             "early_warning_high", F.col("p_high") >= model.threshold)
-    t = _assemble(src, model)
-    if model.kind == "boosted_ovr":
-        for i, m in enumerate(model.models):
-            m = m.copy()
-            m.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
-            t = m.transform(t)
-        ps = [vector_to_array(f"_prob{i}")[1] for i in range(len(STATES))]
-        tot = sum(ps[1:], ps[0])
-        out = t.select(*cols, *[(p / tot).alias(c) for p, c in zip(ps, PROB_COLS)])
-    else:
-        t = model.models[0].transform(t)
-        arr = vector_to_array("probability")
-        out = t.select(*cols, *[arr[i].alias(c) for i, c in enumerate(PROB_COLS)])
+    if model.kind == "boosted":
+        return with_prediction_columns(boosting.probabilities(src, model.models[0], PROB_COLS)).withColumn(
+            "early_warning_high", F.col("p_high") >= model.threshold)
+    t = model.models[0].transform(_assemble(src, model))
+    arr = vector_to_array("probability")
+    out = t.select(*cols, *[arr[i].alias(c) for i, c in enumerate(PROB_COLS)])
     return with_prediction_columns(out).withColumn(
         "early_warning_high", F.col("p_high") >= model.threshold)
 
@@ -458,7 +443,6 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 _MODEL_CLASSES = {
     "forest": "pyspark.ml.classification.RandomForestClassificationModel",
-    "boosted_ovr": "pyspark.ml.classification.GBTClassificationModel",
 }
 
 
@@ -469,6 +453,8 @@ def save_model(model: RiskModel, path: str) -> None:
     for i, m in enumerate(model.models):
         if model.kind == "logistic":
             logistic.to_table(m, spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model_{i}")
+        elif model.kind == "boosted":
+            boosting.to_table(m, spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model_{i}")
         else:
             m.write().overwrite().save(f"{path}/model_{i}")
     if model.scaling is not None:
@@ -487,6 +473,9 @@ def load_model(spark, path: str) -> RiskModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     if meta["kind"] == "logistic":
         models = [logistic.from_table(spark.read.parquet(f"{path}/model_{i}")) for i in range(meta["n_models"])]
+    elif meta["kind"] == "boosted":
+        models = [boosting.from_table(spark.read.parquet(f"{path}/model_{i}"), meta["features"])
+                  for i in range(meta["n_models"])]
     else:
         mod, cls = _MODEL_CLASSES[meta["kind"]].rsplit(".", 1)
         klass = getattr(importlib.import_module(mod), cls)
