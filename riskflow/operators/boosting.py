@@ -5,9 +5,9 @@ written as a table (a byte per feature). A round grows one tree per class on the
 same gradients. Each level of all of them is one pass: every task adds the
 gradients and Hessians of its rows by (class, node, feature, bin), the sums of a
 node meet in one task, which takes one partial sum after the other, and the
-node's best split comes back to the driver as a row. So a level moves at most
-``tasks x nodes`` blobs of ``features x bins`` sums, whatever the rows, and the
-driver holds the model only.
+node's best split comes back to the driver as a row. Only bins that hold rows
+travel, so a level moves at most ``tasks x nodes x features x bins`` sums,
+whatever the rows, and the driver holds the model only.
 
 Gradients are rounded to whole multiples of a power of two chosen from the total
 weight, so sums are exact in any order: a lost task or another partitioning
@@ -203,13 +203,15 @@ def _level(rows: DataFrame, newer: list[list[Tree]], growing: list[Tree], fronti
            columns: list[np.ndarray], bins: int, number: int, scale: float, params: dict) -> list:
     """One pass: per open (class, node) its sums and best split."""
     k, width = len(STATES), len(params["widths"])
+    offset = np.concatenate([[0], np.cumsum(params["widths"])]).astype(np.int64)
+    size = int(offset[-1])
     slot = {}
     for c, node in frontier:
         slot.setdefault(c, {})[node] = len(slot.get(c, {}))
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        sums = {c: np.zeros((2, width, len(s) * bins)) for c, s in slot.items()}
+        sums = {c: np.zeros((2, len(s) * size)) for c, s in slot.items()}
         seen = False
         for b in batches:
             rid = b.column(0).to_numpy(zero_copy_only=False)
@@ -228,30 +230,31 @@ def _level(rows: DataFrame, newer: list[list[Tree]], growing: list[Tree], fronti
                     at[node] = place
                 place = at[growing[c].leaves(x, growing[c].bin)]
                 here = np.flatnonzero(place >= 0)
-                base, gc, hc = place[here] * bins, g[here, c], h[here, c]
-                for f in columns[c]:
-                    key = base + x[here, f]
-                    size = sums[c].shape[2]
-                    sums[c][0, f] += np.bincount(key, gc, size)
-                    sums[c][1, f] += np.bincount(key, hc, size)
+                key = (place[here, None] * size + offset[columns[c]] + x[np.ix_(here, columns[c])]).ravel()
+                for i, d in enumerate((g, h)):
+                    sums[c][i] += np.bincount(key, np.repeat(d[here, c], len(columns[c])), len(slot[c]) * size)
         if seen:
             for c, places in slot.items():
                 for node, place in places.items():
-                    part = sums[c][:, :, place * bins:(place + 1) * bins].transpose(1, 2, 0)
+                    part = sums[c][:, place * size:(place + 1) * size]
+                    held = np.flatnonzero(part[1])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([c], pa.int32()), pa.array([node], pa.int32()),
-                         pa.array([np.ascontiguousarray(part).tobytes()], pa.binary())], names=["c", "node", "sums"])
+                         pa.array([held.astype(np.int32).tobytes()], pa.binary()),
+                         pa.array([part[:, held].tobytes()], pa.binary())], names=["c", "node", "held", "sums"])
 
     def choose(batches: Iterator) -> Iterator:
         import pyarrow as pa
         found: dict[tuple[int, int], np.ndarray] = {}
+        feature = np.repeat(np.arange(width), params["widths"])
         for b in batches:
-            for c, node, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
-                part = np.frombuffer(blob).reshape(width, bins, 2)
-                found[c, node] = found[c, node] + part if (c, node) in found else part
+            for c, node, held, part in zip(*(b.column(i).to_pylist() for i in range(4))):
+                whole = found.setdefault((c, node), np.zeros((2, size)))
+                whole[:, np.frombuffer(held, np.int32)] += np.frombuffer(part).reshape(2, -1)
         out = []
-        for (c, node), whole in sorted(found.items()):
-            whole = whole / scale
+        for (c, node), flat in sorted(found.items()):
+            whole = np.zeros((width, bins, 2))       # features with fewer bins end in empty ones
+            whole[feature, np.arange(size) - offset[feature]] = flat.T / scale
             total = whole[columns[c][0]].sum(axis=0)
             best = best_split(whole, columns[c], params["penalty"], params["least_weight"])
             out.append((c, node, float(total[0]), float(total[1]), *(best or (0.0, -1, 0, 0.0, 0.0))))
@@ -261,7 +264,7 @@ def _level(rows: DataFrame, newer: list[list[Tree]], growing: list[Tree], fronti
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)],
                                              names=["c", "node", "g", "h", "gain", "feature", "at", "gl", "hl"])
 
-    parts = rows.mapInArrow(add, "c int, node int, sums binary").repartition("c", "node")
+    parts = rows.mapInArrow(add, "c int, node int, held binary, sums binary").repartition("c", "node")
     return parts.mapInArrow(choose, "c int, node int, g double, h double, gain double, feature int, at int, "
                                     "gl double, hl double").collect()      # one row per open node
 
