@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from riskflow.functions.columns import state_from_dpd
 from riskflow.schema import PANEL_NAMES, PANEL_SCHEMA, ROW_SEQ
-from riskflow.session import ensure_checkpoint_dir
+from riskflow.session import ensure_checkpoint_dir, write_stage
 from riskflow.states import STATES
 
 
@@ -35,9 +35,10 @@ def scan_panel(spark: SparkSession, path: str, fmt: str | None = None, store: st
     differs from the first one. NaN and its spellings are null.
 
     ``row_seq``, the ingestion order that decides between rows of one loan and
-    month, must not depend on how files are split at query time: where the
-    input has none, the panel is written once with it - to ``store`` or the
-    session's shared folder - and read from there.
+    month, is the row's number by file name and place in its file, from 0, so
+    another ingest with other split sizes gives the same. Where the input has
+    none, the panel is written once with it - to ``store`` or the session's
+    shared folder - and read from there.
     """
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     if fmt == "csv":
@@ -61,13 +62,27 @@ def scan_panel(spark: SparkSession, path: str, fmt: str | None = None, store: st
             c = F.when(~F.isnan(c), c)
         cols.append(c.alias(field.name))
     extra = [F.col(f"`{c}`") for c in df.columns if c not in PANEL_NAMES and c != ROW_SEQ]
-    df = df.select(*cols, *extra)
     if ROW_SEQ in df.columns:
-        return df
+        return df.select(*cols, *extra)
     store = store or f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskflow-panel-{uuid.uuid4().hex[:12]}"
-    df = df.withColumn(ROW_SEQ, F.monotonically_increasing_id())
-    df.write.parquet(store)
-    return spark.read.schema(df.schema).parquet(store)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("id"))
+    out = _numbered(df.select(F.struct(*cols, *extra).alias("row"), place.alias("place")))
+    out.write.parquet(store)
+    return spark.read.schema(out.schema).parquet(store)
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """``row`` with the row's number by file and place. A task reads a split from
+    its start to its end, so ids follow one another within it; the numbers at
+    which splits begin are a running sum over one row per split. The read is
+    written first: ids and splits are those of a single scan."""
+    stage = write_stage(placed, "ingest")
+    splits = stage.groupBy("place.file", "place.start").agg(F.min("place.id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    rows = stage.join(splits, (F.col("place.file") == splits.file) & (F.col("place.start") == splits.start))
+    return rows.select("row.*", (F.col("place.id") + F.col("shift")).alias(ROW_SEQ))
 
 
 def scan_transitions(spark: SparkSession, path: str) -> DataFrame:
