@@ -62,3 +62,22 @@ def test_a_pass_adds_no_older_trees(spark, monkeypatch):
     monkeypatch.setattr(boosting, "STAGE_ROUNDS", 1)
     again = boosting.fit(table, ["a", "b"], rounds=12, depth=2)
     assert [[t.__dict__ for t in x] for x in model.rounds] == [[t.__dict__ for t in x] for x in again.rounds]
+
+
+def test_a_boosted_pass_reads_blocks_of_rows(spark, monkeypatch):
+    """Blocks hold every row once, with its number in the table, whatever their size."""
+    table = ml.training_table(training_rows(spark), ["a", "b"]).coalesce(2)
+    cuts = boosting.quantile_cuts(table, ["a", "b"], 8)
+    found, trees = [], []
+    for size in (boosting.BLOCK_ROWS, 7):
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", size)
+        rows = boosting._binned(table, ["a", "b"], cuts, "weight")
+        assert rows.count() <= 2 if size > 7 else rows.count() >= 400 / 7
+        batch = rows.toArrow().combine_chunks().to_batches()[0]
+        found.append(sorted((int(i), *map(int, bins), int(y), float(w)) for rid, x, y_, w_, m in boosting._arrays(batch, 2)
+                            for i, bins, y, w in zip(rid, x.T, y_, w_)))
+        model = boosting.fit(table, ["a", "b"], rounds=2, depth=3, cuts=cuts)
+        trees.append([[t.__dict__ for t in x] for x in model.rounds])
+    want = sorted((r.rid, int(np.searchsorted(cuts[0], r.a)), int(np.searchsorted(cuts[1], r.b)), int(r.label), r.weight)
+                  for r in table.selectExpr("monotonically_increasing_id() AS rid", "*").collect())
+    assert found == [want, want] and trees[0] == trees[1]
