@@ -81,3 +81,22 @@ def test_a_boosted_pass_reads_blocks_of_rows(spark, monkeypatch):
     want = sorted((r.rid, int(np.searchsorted(cuts[0], r.a)), int(np.searchsorted(cuts[1], r.b)), int(r.label), r.weight)
                   for r in table.selectExpr("monotonically_increasing_id() AS rid", "*").collect())
     assert found == [want, want] and trees[0] == trees[1]
+
+
+def test_a_logistic_fit_writes_and_reads_blocks_only(spark):
+    def written(name):
+        return len(glob.glob(ensure_checkpoint_dir(spark).replace("file:", "") + f"/riskflow-{name}-*"))
+    rows = training_rows(spark).selectExpr("*", "0.1D AS c")
+    before = written("training"), written("packed")
+    model = ml.fit_logistic(rows, ["a", "b", "c"], written=True)
+    assert (written("training"), written("packed")) == (before[0], before[1] + 1)
+    table = ml.training_table(rows, ["a", "b", "c"])
+    blocks = logistic.packed(table, ["a", "b", "c"])
+    assert blocks.count() <= table.rdd.getNumPartitions()
+    mean, std = logistic.statistics(blocks, 3)
+    x = np.array([list(r) for r in table.select("a", "b", "c").collect()])
+    assert np.allclose(mean, x.mean(axis=0), rtol=1e-12) and np.allclose(std[:2], x.std(axis=0)[:2], rtol=1e-12)
+    assert std[2] == 0.0
+    assert logistic.statistics(logistic.packed(table.limit(0), ["a", "b", "c"]), 3) == ([None] * 3, [None] * 3)
+    again = ml.fit_logistic(table, ["a", "b", "c"])
+    assert np.allclose(model.models[0].coefficients, again.models[0].coefficients, atol=1e-9)
