@@ -100,3 +100,17 @@ def test_a_logistic_fit_writes_and_reads_blocks_only(spark):
     assert logistic.statistics(logistic.packed(table.limit(0), ["a", "b", "c"]), 3) == ([None] * 3, [None] * 3)
     again = ml.fit_logistic(table, ["a", "b", "c"])
     assert np.allclose(model.models[0].coefficients, again.models[0].coefficients, atol=1e-9)
+
+
+def test_a_forest_grows_on_tasks_of_like_size(spark, monkeypatch):
+    """Tasks cut by bytes differ in rows; a small table keeps its own."""
+    one = spark.range(0, 20, numPartitions=2).union(spark.range(20, 1000, numPartitions=1))
+    assert ml.even_tasks(one) is one
+    monkeypatch.setattr(ml, "EVEN_ROWS", 100)
+    even = ml.even_tasks(one)
+    sizes = even.selectExpr("spark_partition_id() AS p").groupBy("p").count().toPandas()["count"]
+    assert sizes.max() <= 1.5 * 1000 / len(sizes) and sizes.max() <= 150 and sorted(r.id for r in even.collect()) == list(range(1000))
+    seen = []
+    monkeypatch.setattr(ml, "even_tasks", lambda d: seen.append(d.columns) or d)
+    ml.fit_forest(ml.training_table(training_rows(spark), ["a", "b"]), ["a", "b"], num_trees=2, max_depth=2)
+    assert seen == [["_features", "label", "weight"]]
