@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from riskflow.session import ensure_checkpoint_dir, ensure_package_on_workers
 
-__all__ = ["documents", "pages", "labels", "shared_folder", "stash", "ship", "fold", "unit_hash",
+__all__ = ["documents", "pages", "labels", "shared_folder", "stash", "ship", "slices", "fold", "unit_hash",
            "held_out"]
 
+# Rows of a batch that a task turns into Python objects at a time.
+SLICE_ROWS = 1000
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -44,6 +47,14 @@ def ship(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def slices(batches, rows: int = SLICE_ROWS):
+    """Arrow batches of at most ``rows`` rows: what a task holds follows these, not
+    the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def held_out(id_col) -> F.Column:
     """crc32 of the id as text leaves remainder 1 by 3: the held-out third."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

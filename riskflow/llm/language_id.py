@@ -44,7 +44,10 @@ SAMPLE_DOCS = 4000
 MIN_COUNT = 3
 MODEL_ENTRIES = 4_000_000
 MAX_LANGUAGES = 1000
-CACHE_WORDS = 300_000
+# Words and n-grams that a task counts, and words that it looks up, at a time.
+COUNT_WORDS = 100_000
+CACHE_WORDS = 50_000
+CACHE_ENTRIES = 1_000_000
 # Scores below this are rejected by the filtering stage.
 LEAST_SCORE = 0.5
 
@@ -85,7 +88,7 @@ def _count(batches: Iterator) -> Iterator:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in find(text.lower()):
                 words[lang, w] += 1
-        if len(words) > CACHE_WORDS:
+        if len(words) > COUNT_WORDS:
             yield from flush()
             words.clear()
     yield from flush()
@@ -140,55 +143,122 @@ def _model(entries) -> Model:
     return Model(langs, out[0], out[1], [0.0] * len(langs))
 
 
+class Packed(NamedTuple):
+    """A model as the workers hold it: items as one Arrow array and their log
+    frequencies as one matrix per kind, a tenth of the dictionaries' memory.
+    ``grams`` has one pair per length."""
+    languages: list[str]
+    words: tuple
+    grams: dict[int, tuple]
+    unseen: list[float]
+
+
+def pack(model: Model) -> Packed:
+    import numpy as np
+    import pyarrow as pa
+
+    def table(items: list[str], logs: dict) -> tuple:
+        return (pa.array(items, pa.large_string()),
+                np.array([logs[i] for i in items], dtype=float).reshape(len(items), len(model.languages)))
+    by_length: dict[int, list[str]] = {}
+    for g in model.grams:
+        by_length.setdefault(len(g), []).append(g)
+    return Packed(model.languages, table(list(model.words), model.words),
+                  {n: table(items, model.grams) for n, items in by_length.items()}, model.unseen)
+
+
 class Scorer:
-    def __init__(self, model: Model):
+    def __init__(self, model: Model | Packed):
         self.model = model
+        self.packed = model if isinstance(model, Packed) else pack(model)
         self.find = re.compile(WORD).findall
-        self.cache: dict[str, list[float]] = {}
+
+    def vectors(self, words: list[str]):
+        """A row of log frequencies per word."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        m = self.packed
+        out = np.empty((len(words), len(m.languages)))
+
+        def places(items: list[str], known) -> np.ndarray:
+            found = pc.index_in(pa.array(items, pa.large_string()), value_set=known)
+            return pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+        at = places(words, m.words[0])
+        out[at >= 0] = m.words[1][at[at >= 0]]
+        left = np.flatnonzero(at < 0).tolist()
+        for n in range(MAX_N, 0, -1):
+            # a word has no grams longer than itself with its borders
+            tried = [i for i in left if len(words[i]) + 2 >= n]
+            if n not in m.grams or not tried:
+                continue
+            grams = [grams_of(words[i], n) for i in tried]
+            known, logs = m.grams[n]
+            at, begin, done = places([g for gs in grams for g in gs], known), 0, set()
+            for i, gs in zip(tried, grams, strict=True):
+                own = at[begin:begin + len(gs)]
+                begin += len(gs)
+                hits = logs[own[own >= 0]].tolist()
+                if hits:
+                    # the mean, so a word weighs the same however many n-grams are known
+                    out[i] = [sum(column) / len(hits) for column in zip(*hits, strict=True)]
+                    done.add(i)
+            left = [i for i in left if i not in done]
+        out[left] = m.unseen
+        return out
 
     def word(self, w: str) -> list[float]:
-        m = self.model
-        known = m.words.get(w)
-        if known is not None:
-            return known
-        for n in range(min(MAX_N, len(w) + 2), 0, -1):
-            hits = [m.grams[g] for g in grams_of(w, n) if g in m.grams]
-            if hits:
-                # the mean, so a word weighs the same however many n-grams are known
-                return [sum(h[k] for h in hits) / len(hits) for k in range(len(m.languages))]
-        return m.unseen
+        return self.vectors([w])[0].tolist()
 
     def text(self, text: str | None) -> tuple[str, float]:
-        words = Counter(self.find(text.lower())) if text else None
-        langs = self.model.languages
-        if not words or not langs:
-            return UNDETERMINED, 0.0
-        sums, total, cache = [0.0] * len(langs), 0, self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in sorted(words):
-            n = words[w]
-            s = cache.get(w)
-            if s is None:
-                s = cache[w] = self.word(w)
-            for k, v in enumerate(s):
-                sums[k] += n * v
-            total += n
-        best = max(range(len(langs)), key=lambda k: (sums[k], -k))
-        scale = math.sqrt(total) / total
-        return langs[best], 1.0 / sum(math.exp((s - sums[best]) * scale) for s in sums)
+        return next(self.texts([text]))
+
+    def texts(self, texts) -> Iterator[tuple[str, float]]:
+        """Language and score of each text. Words are looked up for many texts at
+        once; what waits for them is bounded by ``CACHE_WORDS`` and ``CACHE_ENTRIES``."""
+        import numpy as np
+        seen: dict[str, int] = {}
+        waiting, entries = [], 0
+        for text in texts:
+            words = Counter(self.find(text.lower())) if text and self.packed.languages else None
+            if not words:
+                waiting.append(None)
+                continue
+            order = sorted(words)
+            waiting.append((np.array([seen.setdefault(w, len(seen)) for w in order], np.int32),
+                            np.array([words[w] for w in order], float)))
+            entries += len(order)
+            if len(seen) > CACHE_WORDS or entries > CACHE_ENTRIES:
+                yield from self._results(seen, waiting)
+                seen, waiting, entries = {}, [], 0
+        yield from self._results(seen, waiting)
+
+    def _results(self, seen: dict[str, int], waiting: list) -> Iterator[tuple[str, float]]:
+        langs = self.packed.languages
+        logs = self.vectors(list(seen)) if seen else None
+        for found in waiting:
+            if found is None:
+                yield UNDETERMINED, 0.0
+                continue
+            at, n = found
+            # a running sum adds the words one after the other, in their order
+            sums = (logs[at] * n[:, None]).cumsum(axis=0)[-1].tolist()
+            total = int(n.sum())
+            best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+            scale = math.sqrt(total) / total
+            yield langs[best], 1.0 / sum(math.exp((s - sums[best]) * scale) for s in sums)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``held_out``, ``lang_pred``, ``score``."""
     spark = ship(df)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(pack(model))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         scorer = Scorer(sent.value)
         for batch in batches:
-            found = [scorer.text(t) for t in batch.column(2).to_pylist()]
+            found = list(scorer.texts(t.as_py() for t in batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())],
@@ -205,13 +275,13 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text",
     """The rows of ``df`` whose language is identified with at least
     ``least_score``, with all their columns. No shuffle."""
     spark = ship(df)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(pack(model))
 
-    @F.pandas_udf("boolean")
+    @F.arrow_udf("boolean")
     def identified(texts):
-        import pandas as pd
+        import pyarrow as pa
         scorer = Scorer(sent.value)
-        found = [scorer.text(t) for t in texts]
-        return pd.Series([lang != UNDETERMINED and score >= least_score for lang, score in found])
+        found = scorer.texts(t.as_py() for t in texts)
+        return pa.array([lang != UNDETERMINED and score >= least_score for lang, score in found], pa.bool_())
 
     return df.where(identified(F.col(text_col)))

@@ -43,7 +43,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import ship
+from riskflow.llm.common import ship, slices
 
 __all__ = ["MODEL_PATH", "Model", "read_model", "Segmenter", "encode", "decode", "round_trip"]
 
@@ -371,7 +371,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         seg = _segmenter(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids, counts = seg.encode_flat(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _lists(ids, counts), pa.array(counts, pa.int64())],
@@ -391,7 +391,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         seg = _segmenter(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [seg.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
 
@@ -409,7 +409,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         seg = _segmenter(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, counts = seg.encode_flat(texts)
             digests, same, at = [], [], 0

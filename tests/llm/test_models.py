@@ -211,3 +211,48 @@ def test_windows_of_the_edited_text_are_taken_over():
         got = maker.joined(maker.measured(a), maker.measured(b), len(kept.encode()), len(put.encode()))
         want = maker.measured(kept + put)
         assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_packed_language_model(documents, monkeypatch):
+    """What the workers hold is a fraction of the dictionaries, and scores are those of a plain sum."""
+    import sys
+
+    import pyarrow as pa
+    texts = [r.text for r in documents.select("text").limit(300).collect()] + [None, "", "12 3", "zqx qqqzz"]
+    entries = Counter((w, ("en", "fr")[k % 2]) for k, t in enumerate(texts) for w in language_id.re.findall(language_id.WORD, (t or "").lower()))
+    items: dict = {}
+    for (w, lang), n in entries.items():
+        for kind, item in [(True, w)] + [(False, g) for m in range(1, 6) for g in language_id.grams_of(w, m)]:
+            items.setdefault((kind, item), Counter())[lang] += n
+    model = language_id._model([(*k, [{"lang": x, "n": n} for x, n in c.items()]) for k, c in items.items() if c.total() > 1])
+    packed = language_id.pack(model)
+    tables = [packed.words, *packed.grams.values()]
+    plain = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) + 24 * len(v) for k, v in d.items())
+                for d in (model.words, model.grams))
+    assert sum(keys.nbytes + logs.nbytes for keys, logs in tables) < plain / 4
+
+    def vector(w):
+        if w in model.words:
+            return model.words[w]
+        for n in range(min(5, len(w) + 2), 0, -1):
+            hits = [model.grams[g] for g in language_id.grams_of(w, n) if g in model.grams]
+            if hits:
+                return [sum(h[k] for h in hits) / len(hits) for k in range(2)]
+        return model.unseen
+
+    want = []
+    for t in texts:
+        words = Counter(language_id.re.findall(language_id.WORD, (t or "").lower()))
+        sums = [0.0, 0.0]
+        for w in sorted(words):
+            for k, v in enumerate(vector(w)):
+                sums[k] += words[w] * v
+        scale = math.sqrt(words.total()) / max(words.total(), 1)
+        best = max((0, 1), key=lambda k: (sums[k], -k))
+        want.append((model.languages[best], 1.0 / sum(math.exp((s - sums[best]) * scale) for s in sums)) if words else ("und", 0.0))
+    for held in (50_000, 3):
+        monkeypatch.setattr(language_id, "CACHE_WORDS", held)
+        assert list(language_id.Scorer(packed).texts(texts)) == want
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["x"])
+    from riskflow.llm import common
+    assert [b.num_rows for b in common.slices([batch, batch.slice(0, 0)])] == [1000, 1000, 500]
