@@ -69,3 +69,40 @@ def test_disbursement_lies_k_mod_24_months_back(spark, tables):
         F.date_format(F.add_months(F.to_date(F.concat("m", F.lit("-01"))), -(k % 24)), "yyyyMMdd"))
     rows = first.select("loan_id", "d", "e", want.alias("w")).collect()
     assert len(rows) == 6 and all(x.d == x.e == x.w for x in rows)
+
+
+def test_windows_run_on_narrow_rows(spark):
+    """Neighbours are found before the panel's columns are formed, and the written
+    table holds the narrow rows; results equal the operators over the whole panel."""
+    import re
+
+    from riskflow.operators import clean, features
+    from riskflow.plans.pipeline import Portfolio
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    wide = features.trajectory_features(clean.verified_columns(p.panel), with_next=True, bounded=True)
+    written = p.written_features()
+    assert wide.columns == p.featured.columns == written.columns
+    assert wide.exceptAll(p.featured).count() == p.featured.exceptAll(wide).count() == 0
+    assert wide.exceptAll(written).count() == written.exceptAll(wide).count() == 0
+    verified = clean.verified_panel(p.panel, bounded=True)
+    assert verified.columns == p.verified.columns
+    assert verified.exceptAll(p.verified).count() == p.verified.exceptAll(verified).count() == 0
+    plan = p.featured._jdf.queryExecution().optimizedPlan().toString()
+    first_window = plan.index("Window [")
+    assert plan.index("accrued_interest") < first_window                # formed above the windows
+    assert "accrued_interest" not in re.split(r"Window \[", plan, maxsplit=1)[1]
+
+
+def test_dates_are_read_by_cast(spark):
+    from pyspark.sql import functions as F
+
+    from riskflow.functions.columns import parse_month, parse_yyyymmdd
+    rows = [("20010203", "2001-02"), ("2024131x", "2001-2"), ("20010229", "2001-13"), ("2001011 ", "+2001-01"), ("00000101", "0000-01"),
+            ("2001-1-1", "2001-01-01"), ("2001010112", " 001-01"), (None, None)]
+    df = spark.createDataFrame(rows, "d string, m string").select(
+        "d", "m", parse_yyyymmdd("d").cast("string").alias("a"), parse_month("m").cast("string").alias("b"),
+        F.try_to_date(F.substring("d", 1, 8), "yyyyMMdd").cast("string").alias("x"),
+        F.try_to_date(F.concat("m", F.lit("-01")), "yyyy-MM-dd").cast("string").alias("y"))
+    assert all(r.a == r.x and r.b == r.y for r in df.collect())
+    cast_only = spark.range(1).select(parse_yyyymmdd(F.lit("20010203")))._jdf.queryExecution().analyzed().toString()
+    assert "yyyyMMdd" not in cast_only
