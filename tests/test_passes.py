@@ -106,3 +106,64 @@ def test_dates_are_read_by_cast(spark):
     assert all(r.a == r.x and r.b == r.y for r in df.collect())
     cast_only = spark.range(1).select(parse_yyyymmdd(F.lit("20010203")))._jdf.queryExecution().analyzed().toString()
     assert "yyyyMMdd" not in cast_only
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_are_exchanged_once(spark, tables):
+    """One exchange of the lines and one of ``part`` serve the sums, the walk, the
+    neighbours and the join."""
+    for name in ("verified_panel", "trajectory_features"):
+        assert _exchanges(queries.QUERIES[name](spark, tables)) == 2, name
+
+
+def test_search_by_loan_is_moved_below_the_windows(spark, tables):
+    plan = queries.QUERIES["account_latest_rows"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Window [", 0, plan.index("RepartitionByExpression")):]
+    assert "Contains(lower(concat(LN" in below and "Contains(lower(concat(ANON_" in below
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 5])
+def test_neighbours_of_copies_equal_a_window_over_the_copies(spark, copies):
+    r = random.Random(copies)
+    rows = [(k, m, r.choice([0.0, 0.0, 40.0, 95.0])) for k in range(4) for m in sorted(r.sample(range(12), 2 + 2 * k))]
+    df = spark.createDataFrame(rows, "k long, ym int, x double")
+    part = spark.createDataFrame([(k, c, copies + k % 2) for k in range(4) for c in range(copies + k % 2)],
+                                 "k long, _copy int, _copies int")
+    payload, wanted = {"s": (F.col("x") > 30).cast("int"), "x": "x"}, {"lags": 3, "lead": True, "run_of": "s"}
+    late = sequence.loan_neighbours(df.join(part, "k").drop("_copies"), payload, key="k", order=("ym", "_copy"), **wanted).drop("_copy")
+    early = sequence.neighbours_of_copies(
+        sequence.loan_neighbours(df, payload, key="k", order=("ym",), **wanted).join(part, "k"), payload, **wanted)
+    assert sorted(late.columns) == sorted(early.columns)
+    early = early.select(*late.columns)
+    assert canon([tuple(x) for x in late.collect()], late.columns) == canon([tuple(x) for x in early.collect()], late.columns)
+
+
+def test_features_on_narrow_rows_keep_parts_listed_twice(spark, tables):
+    from riskflow.operators import clean, features
+    from riskflow.plans.pipeline import Portfolio
+    p = Portfolio(spark, tables)
+    wide = features.trajectory_features(clean.verified_columns(p.panel), with_next=True, bounded=True)
+    for got in (p.featured, p.written_features()):
+        assert got.columns == wide.columns and got.schema.simpleString() == wide.schema.simpleString()
+        assert wide.exceptAll(got).count() == got.exceptAll(wide).count() == 0
+    verified = clean.verified_panel(p.panel, bounded=True)
+    assert verified.exceptAll(p.verified).count() == p.verified.exceptAll(verified).count() == 0
+
+
+def test_numbers_read_dates_as_the_formatter_does(spark):
+    from riskflow.functions.columns import parse_month, parse_yyyymmdd
+    rows = [("+2001010", "2001-+1"), (" 2001011", "2001- 1"), ("20010230", "2001-1 "), ("20011231", "0999-01"), ("09990101", "2001-00"),
+            ("2001.101", "2001/01"), ("20011301", "2001-1."), ("20010100", "99999-1"), ("2001０101", "2001-０1"), ("", ""), ("20000229", "2001-12 ")]
+    df = spark.createDataFrame(rows, "d string, m string").select(
+        "d", "m", parse_yyyymmdd("d").cast("string").alias("a"), parse_month("m").cast("string").alias("b"),
+        F.when(F.col("d").rlike(r"^[0-9]{8}"), F.try_to_date(F.substring("d", 1, 8), "yyyyMMdd")).cast("string").alias("x"),
+        F.try_to_date(F.concat("m", F.lit("-01")), "yyyy-MM-dd").cast("string").alias("y"))
+    assert all(r.a == r.x and r.b == r.y for r in df.collect())
+
+
+def test_dates_are_read_once_a_row(spark, tables):
+    plan = queries.QUERIES["verified_panel"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("make_date(") == 2
