@@ -167,3 +167,13 @@ def test_numbers_read_dates_as_the_formatter_does(spark):
 def test_dates_are_read_once_a_row(spark, tables):
     plan = queries.QUERIES["verified_panel"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("make_date(") == 2
+
+
+def test_copies_lie_in_the_order_of_their_neighbours(spark, tables):
+    from riskflow.plans.pipeline import Portfolio
+    p = Portfolio(spark, tables)
+    for df in (p.verified, p.featured):
+        rows = df.where(F.col("loan_id") == "LN000002").select("observation_month", "risk_state", "next_risk_state").collect()
+        assert len(rows) == 24 and rows[-1].next_risk_state is None
+        assert all(a.next_risk_state == b.risk_state and a.observation_month <= b.observation_month
+                   for a, b in zip(rows, rows[1:]))
