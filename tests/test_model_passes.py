@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from riskflow.operators import boosting, logistic, ml
-from riskflow.session import ensure_checkpoint_dir
+from riskflow.session import block_scans, ensure_checkpoint_dir
 from riskflow.states import STATES
 
 
@@ -114,3 +114,32 @@ def test_a_forest_grows_on_tasks_of_like_size(spark, monkeypatch):
     monkeypatch.setattr(ml, "even_tasks", lambda d: seen.append(d.columns) or d)
     ml.fit_forest(ml.training_table(training_rows(spark), ["a", "b"]), ["a", "b"], num_trees=2, max_depth=2)
     assert seen == [["_features", "label", "weight"]]
+
+
+def test_a_logistic_fit_reads_its_rows_once(spark, monkeypatch):
+    """Rows are formed into the fit's blocks only; classes are counted there, and a pass has a task per file."""
+    seen, rows = spark.sparkContext.accumulator(0), training_rows(spark).repartition(3)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    passed = rows.mapInArrow(counted, rows.schema)
+    model = ml.fit_logistic(passed, ["a", "b"])
+    assert seen.value == 400
+    table = ml.training_table(rows, ["a", "b"])
+    assert np.allclose(model.models[0].coefficients, ml.fit_logistic(table, ["a", "b"]).models[0].coefficients, atol=1e-9)
+    blocks = logistic.packed(ml.with_label(rows, "next_risk_state").repartition(5), ["a", "b"], None)
+    assert logistic.label_weights(blocks) == {int(r.label): r.weight for r in table.select("label", "weight").distinct().collect()}
+    with block_scans(spark):
+        assert spark.read.parquet(*blocks.inputFiles()).rdd.getNumPartitions() == len(blocks.inputFiles()) > 1
+    assert spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true"
+
+
+def test_the_hessian_is_rebuilt_from_its_parts():
+    r = np.random.default_rng(3)
+    x, y, w, theta = r.normal(size=(60, 5)), r.integers(0, 4, 60), r.random(60) + 0.5, r.normal(size=(4, 5))
+    hess = logistic.sums(x, y, w, theta, True)[2]
+    pairs, upper = logistic._triangles(4, 5)
+    flat = np.concatenate([hess[a, :, b, :][upper] for a, b in pairs])
+    assert np.allclose(logistic._whole(flat, 4, 5), hess.reshape(20, 20), atol=1e-12)
