@@ -143,3 +143,21 @@ def test_the_hessian_is_rebuilt_from_its_parts():
     pairs, upper = logistic._triangles(4, 5)
     flat = np.concatenate([hess[a, :, b, :][upper] for a, b in pairs])
     assert np.allclose(logistic._whole(flat, 4, 5), hess.reshape(20, 20), atol=1e-12)
+
+
+def test_a_siblings_sums_are_what_is_left_of_the_parents(spark):
+    """Rows are added up for one of two siblings; the other's sums and split are those of its own rows."""
+    table = ml.training_table(training_rows(spark), ["a", "b"])
+    cuts = boosting.quantile_cuts(table, ["a", "b"], 8)
+    rows = boosting._binned(table, ["a", "b"], cuts, "weight")
+    params = {"widths": [len(c) + 1 for c in cuts], "seed": 1, "subsample": 0.8, "penalty": 1.0, "least_weight": 0.0}
+    columns, trees = [np.array([0, 1])] * 4, [boosting.Tree() for _ in STATES]
+
+    def level(frontier, above=None):
+        return boosting._level(rows, trees, frontier, above, columns, 8, 0, 2.0 ** 30, params)
+    above = level([(0, -1, 0, -1)])
+    root = above.first()
+    low, high = trees[0].split(0, root.feature, root["at"], 0.0)
+    both = {r.node: r for r in level([(0, 0, low, high)], above).collect()}
+    each = {r.node: r for n in (low, high) for r in level([(0, -1, n, -1)]).collect()}
+    assert both == each and set(both) == {low, high} and root.h == both[low].h + both[high].h
